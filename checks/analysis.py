@@ -23,19 +23,18 @@ def a01b(spark, d):
     return rounded(stats.column_stats(spark_sql(spark, d, "SELECT event_id, value FROM events"), ["event_id"]))
 
 
-_FIT = """round(regr_slope({y}, {x}), 6) + 0.0 AS slope, round(regr_intercept({y}, {x}), 4) + 0.0 AS intercept,
-    CASE WHEN isnan(corr({y}, {x})) THEN NULL ELSE round(corr({y}, {x}), 6) + 0.0 END AS r, CAST(regr_count({y}, {x}) AS BIGINT) AS n"""
+_FIT = """round(regr_slope({y}, {x}), 4) + 0.0 AS slope, round(regr_intercept({y}, {x}), 4) + 0.0 AS intercept,
+    CASE WHEN isnan(corr({y}, {x})) THEN NULL ELSE round(corr({y}, {x}), 4) + 0.0 END AS r, CAST(regr_count({y}, {x}) AS BIGINT) AS n"""
 
 
 @check("a02_line_fit", f"SELECT l_returnflag AS flag, {_FIT.format(x='l_quantity', y='l_extendedprice')} FROM lineitem GROUP BY l_returnflag")
 def a02(spark, d):
     rows = spark_sql(spark, d, "SELECT l_returnflag AS flag, l_quantity AS x, l_extendedprice AS y FROM lineitem")
-    fit = stats.line_fit(rows, ["flag"])
-    return rounded(fit.withColumn("intercept", F.round("intercept", 4)))
+    return rounded(stats.line_fit(rows, ["flag"]), 4)
 
 
 @check("a02_constant_columns", """
-    SELECT user_id, CASE WHEN count(*) < 2 THEN NULL ELSE 0.0 END AS slope_y, CAST(NULL AS DOUBLE) AS r_y, CAST(NULL AS DOUBLE) AS slope_x, CAST(NULL AS DOUBLE) AS r_x, CAST(count(*) AS BIGINT) AS n
+    SELECT user_id, CASE WHEN count(*) < 2 THEN NULL ELSE CAST(0 AS DOUBLE) END AS slope_y, CAST(NULL AS DOUBLE) AS r_y, CAST(NULL AS DOUBLE) AS slope_x, CAST(NULL AS DOUBLE) AS r_x, CAST(count(*) AS BIGINT) AS n
     FROM events GROUP BY user_id""")
 def a02b(spark, d):
     rows = spark_sql(spark, d, "SELECT user_id, value, CAST(5 AS DOUBLE) AS five FROM events")
@@ -112,13 +111,11 @@ _CIRCLE = """WITH RECURSIVE
 
 
 @check("a10_circle_fit", _CIRCLE + """
-    SELECT f.log_id, n, 'ok' AS status, round(cx, 5) AS cx, round(cy, 5) AS cy, round(radius, 5) AS radius, round(radial_std, 5) AS radial_std, round(arc_deg, 4) AS arc_deg,
-           round(sqrt(cx*cx + cy*cy), 5) AS "offset", round(sqrt(cx*cx + cy*cy)/radius, 5) AS offset_ratio, round(degrees(asin(least(1, sqrt(cx*cx + cy*cy)/radius))), 4) AS heading_error_deg
+    SELECT f.log_id, n, 'ok' AS status, round(cx, 5) AS cx, round(cy, 5) AS cy, round(radius, 5) AS radius, round(radial_std, 5) AS radial_std, round(arc_deg, 5) AS arc_deg,
+           round(sqrt(cx*cx + cy*cy), 5) AS "offset", round(sqrt(cx*cx + cy*cy)/radius, 5) AS offset_ratio, round(degrees(asin(least(1, sqrt(cx*cx + cy*cy)/radius))), 5) AS heading_error_deg
     FROM fit f JOIN sp ON f.log_id = sp.log_id""")
 def a10(spark, d):
-    fit = circle.fit_circle(view(spark, d, "cloud"))
-    out = rounded(fit, 5)
-    return out.withColumns({c: F.round(c, 4) for c in ("arc_deg", "heading_error_deg")})
+    return rounded(circle.fit_circle(view(spark, d, "cloud")), 5)
 
 
 @check("a10_circle_failures", """
@@ -299,18 +296,18 @@ def _spacing(points):
     return points.select("log_id").distinct().withColumn("dt", F.lit(0.1))
 
 
-@check("a22_power_spectrum", f"WITH {_DFT} SELECT log_id, CAST(k AS BIGINT) AS k, round(freq, 6) AS freq, round(psd, 5) + 0.0 AS psd FROM psd")
+@check("a22_power_spectrum", f"WITH {_DFT} SELECT log_id, CAST(k AS BIGINT) AS k, round(freq, 5) AS freq, round(psd, 5) + 0.0 AS psd FROM psd")
 def a22(spark, d):
     points = view(spark, d, "signal")
     out = spectrum.power_spectrum(points, _spacing(points), ["log_id"]).select("log_id", "k", "freq", "psd")
-    return rounded(out).withColumn("psd", F.round("psd", 5) + 0.0)
+    return rounded(out, 5)
 
 
-@check("a22_narrow_band", f"WITH {_DFT} SELECT log_id, CAST(k AS BIGINT) AS k, round(freq, 6) AS freq, round(psd, 5) + 0.0 AS psd FROM psd WHERE k IN (0, 1, 7, 30)")
+@check("a22_narrow_band", f"WITH {_DFT} SELECT log_id, CAST(k AS BIGINT) AS k, round(freq, 5) AS freq, round(psd, 5) + 0.0 AS psd FROM psd WHERE k IN (0, 1, 7, 30)")
 def a22b(spark, d):
     points = view(spark, d, "signal")
     out = spectrum.narrow_band(points, _spacing(points), ["log_id"], (0, 1, 7, 30))
-    return rounded(out).withColumn("psd", F.round("psd", 5) + 0.0)
+    return rounded(out, 5)
 
 
 @check("a22_gapped_series", "SELECT log_id, CAST(0 AS BIGINT) AS bins FROM telemetry GROUP BY log_id")
@@ -325,12 +322,12 @@ def a22c(spark, d):
 
 
 @check("a23_dominant_peak", f"""
-    WITH {_DFT} SELECT log_id, CAST(k AS BIGINT) AS k, round(freq, 6) AS freq, round(psd, 5) AS psd FROM (
+    WITH {_DFT} SELECT log_id, CAST(k AS BIGINT) AS k, round(freq, 5) AS freq, round(psd, 5) AS psd FROM (
         SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY psd DESC, k) AS o FROM psd WHERE k >= 1 AND freq >= 1) p WHERE o = 1""")
 def a23(spark, d):
     points = view(spark, d, "signal")
     bins = spectrum.power_spectrum(points, _spacing(points), ["log_id"])
-    return rounded(spectrum.dominant_peak(bins, ["log_id"], 1.0)).withColumn("psd", F.round("psd", 5))
+    return rounded(spectrum.dominant_peak(bins, ["log_id"], 1.0), 5)
 
 
 @check("a24_log_view", f"""
@@ -340,7 +337,7 @@ def a24(spark, d):
     points = view(spark, d, "signal")
     bins = spectrum.power_spectrum(points, _spacing(points), ["log_id"])
     out = spectrum.log_view(bins, ["log_id"]).select("log_id", "k", "floor", "shown_psd")
-    return rounded(out, 8).withColumn("shown_psd", F.round("shown_psd", 5) + 0.0)
+    return out.select("log_id", "k", F.round("floor", 8).alias("floor"), (F.round("shown_psd", 5) + 0.0).alias("shown_psd"))
 
 
 @check("a25_internal_resistance", """
@@ -359,11 +356,11 @@ _PAIR = """
     e AS (SELECT log_id, side, min(ts_us) AS t0, max(ts_us) AS t1, median(step) AS step FROM s GROUP BY log_id, side),
     p AS (SELECT log_id, max(t0) AS t0, min(t1) AS t1, max(step) AS step, CAST(floor((min(t1) - max(t0)) / max(step)) + 1 AS BIGINT) AS n FROM e GROUP BY log_id),
     g AS (SELECT log_id, t0, step, n, unnest(range(n)) AS i FROM p),
-    b AS (SELECT g.log_id, g.i, g.n, g.step, s.side, g.t0 + g.i * g.step AS t,
+    nb AS (SELECT g.log_id, g.i, g.n, g.step, s.side, g.t0 + g.i * g.step AS t,
                  arg_max(struct_pack(t := s.ts_us, v := s.value), s.ts_us) FILTER (s.ts_us <= g.t0 + g.i * g.step) AS b,
                  arg_min(struct_pack(t := s.ts_us, v := s.value), s.ts_us) FILTER (s.ts_us > g.t0 + g.i * g.step) AS a
           FROM g JOIN s ON s.log_id = g.log_id GROUP BY ALL),
-    v AS (SELECT log_id, i, n, step, side, CASE WHEN b.t = t THEN b.v ELSE b.v + (t - b.t) / (a.t - b.t) * (a.v - b.v) END AS value FROM b)"""
+    v AS (SELECT log_id, i, n, step, side, CASE WHEN b.t = t THEN b.v ELSE b.v + (t - b.t) / (a.t - b.t) * (a.v - b.v) END AS value FROM nb)"""
 
 
 @check("j10_grid_pair", f"""

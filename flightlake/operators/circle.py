@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlake.scale import Ordered, join_per_key, previous
+from flightlake.scale import Ordered, join_per_key, previous, scratch_table
 
 # Fixed values.
 FEWEST_POINTS = 3
@@ -70,43 +70,50 @@ def moments(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _settled(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that later ones read many times, each evaluated once.
+
+    Plain projections would be merged and the solver repeated wherever its
+    result is mentioned; a generator is not merged.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def circle_from_moments(m: DataFrame) -> DataFrame:
     """Centre and radius per moment row, ``status`` telling why there is none."""
     c = F.col
-    cov = c("uu") * c("vv") - c("uv") * c("uv")
     var_z = c("zz") - c("z") * c("z")
-    solved = (
-        m.withColumn("cov", cov)
-        .withColumn("a3", 4 * c("z"))
-        .withColumn("a2", -3 * c("z") * c("z") - c("zz"))
-        .withColumn("a1", var_z * c("z") + 4 * c("cov") * c("z") - c("uz") * c("uz") - c("vz") * c("vz"))
-        .withColumn(
-            "a0",
-            c("uz") * (c("uz") * c("vv") - c("vz") * c("uv"))
-            + c("vz") * (c("vz") * c("uu") - c("uz") * c("uv"))
-            - var_z * c("cov"),
-        )
-        .withColumn("root", _smallest_root(c("a0"), c("a1"), c("a2"), c("a3")))
-        .withColumn("det", 2 * (c("root") * c("root") - c("root") * c("z") + c("cov")))
+    cubic = _settled(_settled(m, cov=c("uu") * c("vv") - c("uv") * c("uv")),
+        a3=4 * c("z"),
+        a2=-3 * c("z") * c("z") - c("zz"),
+        a1=var_z * c("z") + 4 * c("cov") * c("z") - c("uz") * c("uz") - c("vz") * c("vz"),
+        a0=c("uz") * (c("uz") * c("vv") - c("vz") * c("uv"))
+        + c("vz") * (c("vz") * c("uu") - c("uz") * c("uv"))
+        - var_z * c("cov"),
+    )
+    solved = _settled(cubic, root=_smallest_root(c("a0"), c("a1"), c("a2"), c("a3")))
+    solved = _settled(solved, det=2 * (c("root") * c("root") - c("root") * c("z") + c("cov")))
+    placed = _settled(
+        solved,
+        _cx=F.try_divide(c("uz") * (c("vv") - c("root")) - c("vz") * c("uv"), c("det")),
+        _cy=F.try_divide(c("vz") * (c("uu") - c("root")) - c("uz") * c("uv"), c("det")),
     )
-    cx = F.try_divide(c("uz") * (c("vv") - c("root")) - c("vz") * c("uv"), c("det"))
-    cy = F.try_divide(c("vz") * (c("uu") - c("root")) - c("uz") * c("uv"), c("det"))
     usable = (c("s") > 0) & (c("cov") > SMALLEST_COVARIANCE) & (F.abs(c("det")) > SMALLEST_DETERMINANT)
-    placed = (
-        solved.withColumns({"_cx": cx, "_cy": cy})
-        .withColumn("radius", F.sqrt(c("_cx") * c("_cx") + c("_cy") * c("_cy") + c("z")) * c("s"))
-        .withColumn("cx", c("_cx") * c("s") + c("mx"))
-        .withColumn("cy", c("_cy") * c("s") + c("my"))
-        .withColumn(
-            "status",
-            F.when(c("n") < FEWEST_POINTS, "too-few-samples")
-            .when(F.coalesce(usable & (c("radius") > 0) & ~F.isnan("radius"), F.lit(False)), "ok")
-            .otherwise("degenerate"),
-        )
+    placed = _settled(
+        placed,
+        radius_=F.sqrt(c("_cx") * c("_cx") + c("_cy") * c("_cy") + c("z")) * c("s"),
+        cx_=c("_cx") * c("s") + c("mx"),
+        cy_=c("_cy") * c("s") + c("my"),
+    )
+    status = (
+        F.when(c("n") < FEWEST_POINTS, "too-few-samples")
+        .when(F.coalesce(usable & (c("radius_") > 0) & ~F.isnan("radius_"), F.lit(False)), "ok")
+        .otherwise("degenerate")
     )
-    ok = c("status") == "ok"
     keep = [x for x in m.columns if x not in ("mx", "my", "s", "uu", "vv", "uv", "uz", "vz", "z", "zz")]
-    return placed.select(*keep, "status", *[F.when(ok, c(x)).alias(x) for x in ("cx", "cy", "radius")])
+    return placed.select(
+        *keep, status.alias("status"), *[F.when(status == "ok", c(f"{x}_")).alias(x) for x in ("cx", "cy", "radius")]
+    )
 
 
 def angular_coverage(angles: DataFrame, keys: Sequence[str], angle: str = "angle") -> DataFrame:
@@ -130,7 +137,8 @@ def fit_circle(points: DataFrame, keys: Sequence[str] = ("log_id",)) -> DataFram
     """Circle per key over rows with both ``x`` and ``y``."""
     keys = list(keys)
     known = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, "x", "y")
-    fit = circle_from_moments(moments(known, keys))
+    # One row per key, read by the passes that measure the fit.
+    fit = scratch_table(circle_from_moments(moments(known, keys)), "circles")
     measured = join_per_key(known, fit.where("status = 'ok'").select(*keys, "cx", "cy"), keys, "x")
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     measured = measured.withColumns({"r": F.sqrt(dx * dx + dy * dy), "angle": F.atan2(dy, dx)})
