@@ -251,7 +251,11 @@ def flight_tables(records: DataFrame) -> dict[str, DataFrame]:
 
 
 def flight_summary(records: DataFrame) -> DataFrame:
-    """One row per log: bounds and how much of everything it holds."""
+    """One row per log: bounds and how much of everything it holds.
+
+    Every table is derived from the records, so they are decoded once.
+    """
+    records = scratch_table(records, "records")
     t = flight_tables(records)
     count = lambda name, label: t[name].groupBy("log_id").agg(F.count(F.lit(1)).alias(label))
     out = t["bounds"]

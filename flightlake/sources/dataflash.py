@@ -244,7 +244,7 @@ def formats(framed: DataFrame) -> DataFrame:
         F.conv(F.hex(F.substring("body", 1, 1)), 16, 10).cast("int").alias("msg_type"),
         F.trim(text(3, 4)).alias("name"),
         text(7, 16).alias("format"),
-        F.filter(F.transform(F.split(text(23, 64), ","), F.trim), lambda c: c != "").alias("labels"),
+        F.filter(F.transform(F.split(text(23, 64), ","), lambda c: F.trim(c)), lambda c: c != "").alias("labels"),
     )
     usable = F.col("format").rlike("^[" + "".join(LAYOUT) + "]+$") & (F.col("msg_type") != DECLARATION)
     size = F.lit(0)
