@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from checks.registry import check, rounded
 from checks.views import spark_sql, view
-from flightlake.operators.sequence import fill_time
 from flightlake.operators.tables import num, txt
 from flightlake.sources import dataflash, planfile, tlog
 from flightlake.sources.tables import read_by_message, write_by_message
@@ -120,7 +119,7 @@ def src04b(spark, d):
 @check("src04_clockless_rows", f"""{_FRAMES}
     SELECT log_id, ts_us, FALSE AS has_time, CAST(seq % 256 AS DOUBLE) AS kind, CAST(seq % 3000 - 1500 AS DOUBLE) AS delta FROM w""")
 def src04c(spark, d):
-    rows = fill_time(dataflash.raw_records(onboard_logs(spark, d))).where("message = 'STAT'")
+    rows = dataflash.read_dataflash(onboard_logs(spark, d), range_bytes=3001).where("message = 'STAT'")
     return rows.select("log_id", "ts_us", "has_time", num("Kind").alias("kind"), num("Delta").alias("delta"))
 
 

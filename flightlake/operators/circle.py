@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlake.scale import Ordered, join_per_key, previous, scratch_table
+from flightlake.scale import Groups, Ordered, previous, scratch_table
 
 # Fixed values.
 FEWEST_POINTS = 3
@@ -41,9 +41,10 @@ def _smallest_root(a0: Column, a1: Column, a2: Column, a3: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start, step)["x"]
 
 
-def moments(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+def moments(points: DataFrame, keys: Sequence[str], groups: Groups | None = None) -> DataFrame:
     """Per key: count, centre, RMS radius and the scaled moments about the centre."""
     keys = list(keys)
+    groups = groups or Groups(points, keys)
     centre = points.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("x").alias("mx"),
@@ -53,7 +54,7 @@ def moments(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     u = F.try_divide(F.col("x") - F.col("mx"), F.col("s"))
     v = F.try_divide(F.col("y") - F.col("my"), F.col("s"))
     scaled = (
-        join_per_key(points, centre, keys, "x")
+        groups.join(points, centre, "x")
         .withColumns({"u": u, "v": v})
         .withColumn("z", F.col("u") * F.col("u") + F.col("v") * F.col("v"))
     )
@@ -116,13 +117,15 @@ def circle_from_moments(m: DataFrame) -> DataFrame:
     )
 
 
-def angular_coverage(angles: DataFrame, keys: Sequence[str], angle: str = "angle") -> DataFrame:
+def angular_coverage(
+    angles: DataFrame, keys: Sequence[str], angle: str = "angle", split: bool | None = None
+) -> DataFrame:
     """Degrees spanned: the full turn less the largest empty gap, wrap included."""
     keys = list(keys)
     distinct = angles.select(*keys, F.col(angle).alias("angle")).groupBy(*keys, "angle").agg(
         F.count(F.lit(1)).alias("_n")
     )
-    gaps = Ordered(distinct, keys, ["angle"]).scan(_prev=previous("angle")).rows()
+    gaps = Ordered(distinct, keys, ["angle"], split=split).scan(_prev=previous("angle")).rows()
     turn = F.lit(2.0) * F.pi()
     widest = F.greatest(
         F.coalesce(F.max(F.col("angle") - F.col("_prev.angle")), F.lit(0.0)),
@@ -137,13 +140,14 @@ def fit_circle(points: DataFrame, keys: Sequence[str] = ("log_id",)) -> DataFram
     """Circle per key over rows with both ``x`` and ``y``."""
     keys = list(keys)
     known = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, "x", "y")
+    groups = Groups(known, keys)
     # One row per key, read by the passes that measure the fit.
-    fit = scratch_table(circle_from_moments(moments(known, keys)), "circles")
-    measured = join_per_key(known, fit.where("status = 'ok'").select(*keys, "cx", "cy"), keys, "x")
+    fit = scratch_table(circle_from_moments(moments(known, keys, groups)), "circles")
+    measured = groups.join(known, fit.where("status = 'ok'").select(*keys, "cx", "cy"), "x")
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     measured = measured.withColumns({"r": F.sqrt(dx * dx + dy * dy), "angle": F.atan2(dy, dx)})
     spread = measured.groupBy(*keys).agg(F.stddev_pop("r").alias("radial_std"))
-    arc = angular_coverage(measured, keys)
+    arc = angular_coverage(measured, keys, split=groups.split)
     offset = F.sqrt(F.col("cx") * F.col("cx") + F.col("cy") * F.col("cy"))
     return (
         fit.join(spread, keys, "left")

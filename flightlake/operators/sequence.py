@@ -77,19 +77,15 @@ def median_step(samples: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     return exact_median(ordered.rows(), keys, "step", "median_step", split=ordered.split)
 
 
-def longest_run(samples: DataFrame, keys: Sequence[str] = SERIES, gap_factor: float = GAP_FACTOR):
-    """Rows of the longest gap-free run of each series, and its grid.
-
-    Returns ``(rows, grid)``; ``grid`` has one row per series: ``t0, t1, step,
-    n_grid, n_run, dropped``.  A series too short for either is absent from both.
-    """
-    keys = list(keys)
+def _best_run(samples: DataFrame, keys: list[str], gap_factor: float) -> tuple[Ordered, DataFrame]:
+    """Rows of the longest gap-free run of each series, and its grid."""
     ordered = steps(samples, keys)
     spacing = exact_median(ordered.rows(), keys, "step", "median_step", split=ordered.split)
     marked = (
         ordered.attach(spacing)
         .with_columns(_cut=F.when(F.col("step") > F.col("median_step") * gap_factor, 1).otherwise(0))
         .scan(run=running_sum(F.col("_cut")))
+        .frozen("runs")
     )
     runs = marked.rows().groupBy(*keys, "run").agg(
         F.count(F.lit(1)).alias("n_run"),
@@ -110,9 +106,18 @@ def longest_run(samples: DataFrame, keys: Sequence[str] = SERIES, gap_factor: fl
         .withColumn("dropped", F.col("_all") - F.col("n_run"))
         .drop("_all")
     )
-    chosen = marked.attach(grid.select(*keys, F.col("run").alias("_best"))).where(
-        F.col("run") == F.col("_best")
-    )
+    chosen = marked.attach(grid.select(*keys, F.col("run").alias("_best"))).where(F.col("run") == F.col("_best"))
+    return chosen, grid
+
+
+def longest_run(samples: DataFrame, keys: Sequence[str] = SERIES, gap_factor: float = GAP_FACTOR):
+    """Rows of the longest gap-free run of each series, and its grid.
+
+    Returns ``(rows, grid)``; ``grid`` has one row per series: ``t0, t1, step,
+    n_grid, n_run, dropped``.  A series too short for either is absent from both.
+    """
+    keys = list(keys)
+    chosen, grid = _best_run(samples, keys, gap_factor)
     return chosen.rows().select(*keys, "ts_us", "seq", "value"), grid
 
 
@@ -123,11 +128,14 @@ def uniform_grid(samples: DataFrame, keys: Sequence[str] = SERIES, gap_factor: f
     NULL value beside a gap.
     """
     keys = list(keys)
-    rows, grid = longest_run(samples, keys, gap_factor)
+    chosen, grid = _best_run(samples, keys, gap_factor)
+    rows = chosen.rows().select(*keys, "ts_us", "seq", "value")
     stamps = explode_range(grid.select(*keys, "t0", "step", "n_grid"), F.col("n_grid"), "i").select(
         *keys, (F.col("t0") + F.col("i") * F.col("step")).cast("double").alias("ts_us"), F.col("i").alias("seq")
     )
-    points = interpolate(rows, stamps, keys).withColumnRenamed("seq", "i")
+    # No spacing in a run exceeds gap_factor steps, so a series that fits a task
+    # has a grid that does: it is not counted again.
+    points = interpolate(rows, stamps, keys, split=chosen.split).withColumnRenamed("seq", "i")
     return points, grid
 
 

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flightlake.scale import join_per_key
 
@@ -23,7 +24,13 @@ LOG_FLOOR = 1e-8
 #: Longest transform done as one array.
 WHOLE = 1 << 16
 
-_COMPLEX = "k array<long>, re array<double>, im array<double>"
+_COMPLEX = T.StructType(
+    [
+        T.StructField("k", T.ArrayType(T.LongType())),
+        T.StructField("re", T.ArrayType(T.DoubleType())),
+        T.StructField("im", T.ArrayType(T.DoubleType())),
+    ]
+)
 
 
 @F.pandas_udf(_COMPLEX)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlake.scale import Ordered, first_known, join_per_key, last_known, next_known
+from flightlake.scale import Ordered, first_known, join_per_key, last_known, next_known, scratch_table
 
 SERIES = ("log_id",)
 
@@ -140,7 +140,7 @@ def pair_on_common_time(
         inside = F.col("ts_us").between(F.col("t0"), F.col("t1"))
     else:
         inside = F.lit(True) if window is None else F.col("ts_us").between(*window)
-    both = both.withColumn("inside", inside)
+    both = scratch_table(both.withColumn("inside", inside), "pairs")
     in_a = F.count_if(F.col("inside") & (F.col("side") == "a"))
     in_b = F.count_if(F.col("inside") & (F.col("side") == "b"))
     lead = (

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flightlake.functions.values import align_angle, round_half_up
 from flightlake.operators.sequence import crossing_index, median_step
@@ -115,14 +116,18 @@ def lag_reach(n: Column, dt: Column, max_lag_sec: float | None = None) -> Column
     return F.greatest(F.lit(1), F.least(budget, round_half_up(want / dt))).cast("int")
 
 
-SUMS = "k array<int>, m array<double>, sx array<double>, sy array<double>, sxx array<double>, syy array<double>, sxy array<double>"
+_SUMS = ("m", "sx", "sy", "sxx", "syy", "sxy")
+_SUMS_TYPE = T.StructType(
+    [T.StructField("k", T.ArrayType(T.IntegerType()))]
+    + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in _SUMS]
+)
 
 
-@F.pandas_udf(SUMS)
+@F.pandas_udf(_SUMS_TYPE)
 def _shifted_sums(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     """Sums over a block of pairs ``des[i], act[i+k]`` for every shift ``k``."""
     for at, des_at, des, act_at, act, reach in parts:
-        out: dict[str, list] = {c: [] for c in ("k", "m", "sx", "sy", "sxx", "syy", "sxy")}
+        out: dict[str, list] = {c: [] for c in ("k", *_SUMS)}
         for start, di, dv, ai, av, r in zip(at, des_at, des, act_at, act, reach):
             x = np.full(LAG_BLOCK, np.nan)
             y = np.full(LAG_BLOCK + 2 * r, np.nan)
@@ -174,8 +179,8 @@ def lag_profile(grid: DataFrame, keys: Sequence[str] = SERIES, max_lag_sec: floa
     sums = blocks.select(
         *keys,
         _shifted_sums(F.col("block") * LAG_BLOCK, F.col("d.i"), F.col("d.des"), F.col("a.i"), F.col("a.act"), F.col("reach")).alias("s"),
-    ).select(*keys, F.inline(F.arrays_zip(*[F.col(f"s.{c}").alias(c) for c in ("k", "m", "sx", "sy", "sxx", "syy", "sxy")])))
-    folded = sums.groupBy(*keys, "k").agg(*[F.sum(c).alias(c) for c in ("m", "sx", "sy", "sxx", "syy", "sxy")])
+    ).select(*keys, F.inline(F.arrays_zip(*[F.col(f"s.{c}").alias(c) for c in ("k", *_SUMS)])))
+    folded = sums.groupBy(*keys, "k").agg(*[F.sum(c).alias(c) for c in _SUMS])
     c = F.col
     vx = c("sxx") - c("sx") * c("sx") / c("m")
     vy = c("syy") - c("sy") * c("sy") / c("m")
@@ -262,8 +267,9 @@ def step_gate(rows: Ordered) -> DataFrame:
 def step_metrics(grid: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Step response per key; no row where the window holds no step."""
     keys = list(keys)
-    rows = Ordered(grid.select(*keys, "i", "des", "act", "n", "dt"), keys, ["i"]).scan(_prev=previous("des", "act"))
-    gate = step_gate(rows)
+    rows = Ordered(grid.select(*keys, "i", "des", "act", "n", "dt"), keys, ["i"])
+    rows = rows.scan(_prev=previous("des", "act")).frozen("steps")
+    gate = scratch_table(step_gate(rows), "gate")
     early = F.col("i") < F.col("before")
     part = F.when(early, "before").otherwise("after")
     levels = rows.attach(gate.select(*keys, "before")).rows().select(

@@ -55,7 +55,7 @@ def compass_report(
     samples: DataFrame, catalog: DataFrame, intervals: DataFrame | None = None
 ) -> DataFrame:
     """Circle fit, arc, field magnitude and load dependence of every compass."""
-    sources = rules.compass_sources(catalog)
+    sources = scratch_table(rules.compass_sources(catalog), "compasses")
     keys = ["log_id", "message"]
     axes = sources.select(
         *keys, F.inline(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"{a}_field").alias("field")) for a in "xyz"]))
@@ -73,7 +73,7 @@ def compass_report(
         *keys, F.col("mean").alias("b_mean"), F.col("std").alias("b_std"), F.col("cv").alias("b_cv")
     )
     # Load on the compass's own stamps, interpolated from the load's whole series.
-    driver = rules.driver_sources(catalog).where("pos = 1")
+    driver = scratch_table(rules.driver_sources(catalog).where("pos = 1"), "drivers")
     drive_names = sorted({d[1] for d in rules.DRIVERS})
     drive = join_per_key(
         samples.where(F.col("field").isin(*drive_names)), driver.select(*SERIES), list(SERIES), "seq"
@@ -101,7 +101,7 @@ def outputs_report(
 ) -> DataFrame:
     """State, saturation and balance of every channel of every bank."""
     found = rules.actuator_channels(catalog)
-    limits = channels.channel_limits(found, params, manual_min, manual_max)
+    limits = scratch_table(channels.channel_limits(found, params, manual_min, manual_max), "limits")
     bank = F.lit(False)
     for message_re, field_re, _, _ in rules.BANKS:
         bank = bank | (F.col("message").rlike(message_re) & F.col("field").rlike(field_re))
@@ -113,7 +113,7 @@ def tracking_report(
     samples: DataFrame, catalog: DataFrame, intervals: DataFrame | None = None
 ) -> DataFrame:
     """Error, lag and step response of every commanded/achieved pair."""
-    pairs = rules.tracking_pairs(catalog)
+    pairs = scratch_table(rules.tracking_pairs(catalog), "pairs")
     keys = ["log_id", "label"]
     sided = [*keys, "side"]
     sides = pairs.select(
@@ -159,6 +159,7 @@ def scatter_report(
     ``presets`` as ``rules.scatter_presets`` gives them.
     """
     keys = ["log_id", "label"]
+    presets = scratch_table(presets, "presets")
     axis = lambda s: presets.select(
         *keys, F.col(f"{s}_message").alias("message"), F.col(f"{s}_field").alias("field")
     )

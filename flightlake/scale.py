@@ -255,6 +255,10 @@ class Ordered:
             )
         )
 
+    def frozen(self, name: str) -> Ordered:
+        """Written to scratch, for steps that read the rows several times."""
+        return self._same(scratch_table(self.df, name))
+
     def attach(self, per_key: DataFrame, how: str = "inner") -> Ordered:
         """Join a table with one row per key.
 
@@ -271,36 +275,47 @@ class Ordered:
         return self.df.drop("_piece")
 
 
+class Groups:
+    """Which groups of a table are too large for one task; looked up once, used often."""
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], group_rows: int | None = None):
+        self.keys = list(keys)
+        limit = group_rows or GROUP_ROWS
+        sizes = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+        hot = sizes.select(*self.keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
+        #: Large groups and the parts each is cut into; at most total rows / limit of them.
+        self.hot = None if hot.limit(1).count() == 0 else scratch_table(hot, "hot")
+
+    @property
+    def split(self) -> bool:
+        return self.hot is not None
+
+    def join(self, df: DataFrame, per_key: DataFrame, spread_by: str, how: str = "inner") -> DataFrame:
+        """Join a one-row-per-key table to many rows per key.
+
+        Spark broadcasts the small side when its size allows.  A large group is
+        salted by a hash of ``spread_by``, its one row repeated per salt.
+        """
+        if self.hot is None:
+            return df.join(per_key, self.keys, how)
+        salts = F.coalesce(F.col("_salts"), F.lit(1))
+        hot = F.broadcast(self.hot)
+        left = df.join(hot, self.keys, "left").withColumn(
+            "_salt", F.pmod(F.xxhash64(spread_by), salts.cast("long")).cast("int")
+        )
+        right = (
+            per_key.join(hot, self.keys, "left")
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+            .drop("_salts")
+        )
+        return left.join(right, [*self.keys, "_salt"], how).drop("_salt", "_salts")
+
+
 def join_per_key(
-    df: DataFrame,
-    per_key: DataFrame,
-    keys: Sequence[str],
-    spread_by: str,
-    how: str = "inner",
-    group_rows: int | None = None,
+    df: DataFrame, per_key: DataFrame, keys: Sequence[str], spread_by: str, how: str = "inner"
 ) -> DataFrame:
-    """Join a one-row-per-key table to many rows per key.
-
-    Spark broadcasts the small side when its size allows.  Keys holding more
-    than ``group_rows`` rows are salted by a hash of ``spread_by``; the list of
-    them is bounded by total rows / ``group_rows``.
-    """
-    limit = group_rows or GROUP_ROWS
-    keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    if sizes.limit(1).count() == 0:
-        return df.join(per_key, keys, how)
-    hot = F.broadcast(sizes.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")))
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    left = df.join(hot, keys, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(spread_by), salts.cast("long")).cast("int")
-    )
-    right = (
-        per_key.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("_salts")
-    )
-    return left.join(right, [*keys, "_salt"], how).drop("_salt", "_salts")
+    """``Groups.join`` where the groups are needed only once."""
+    return Groups(df, keys).join(df, per_key, spread_by, how)
 
 
 def exact_median(

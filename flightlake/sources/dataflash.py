@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightlake.operators.sequence import fill_time
 from flightlake.sources.files import TOLD_ARROW, byte_ranges, range_bytes_of, settle_ranges
 
 # The record mark and the type that declares others.
@@ -50,7 +49,7 @@ ROWS_PER_BATCH = 20_000
 
 FRAMES = "log_id string, seq long, msg_type int, body binary"
 RECORDS = (
-    "log_id string, source string, seq long, msg_type int, message string, ts_us long, "
+    "log_id string, source string, seq long, msg_type int, message string, ts_us long, has_time boolean, "
     "nums map<string,double>, txts map<string,string>"
 )
 
@@ -76,6 +75,11 @@ class Layout:
         return {label: i for i, label in enumerate(named)}
 
 
+    def has_clock(self) -> bool:
+        at = self.columns().get("TimeUS")
+        return at is not None and LAYOUT[self.format[at]][1] is not None
+
+
 def _layouts(declared: bytes) -> dict[int, Layout]:
     out: dict[int, Layout] = {}
     for at in range(0, len(declared), DECLARATION_SIZE):
@@ -122,16 +126,29 @@ def _scan(row: dict) -> tuple[dict[int, list[int]], dict[int, Layout], bytes, in
     return found, layouts, buf, base, max(row["hi"], base + pos) if found else row["hi"], b"".join(declared)
 
 
+def _last_clock(found: dict[int, list[int]], layouts: dict[int, Layout], buf: bytes) -> int | None:
+    """The last stamp in a range: that of the last record whose type has a clock."""
+    timed = [
+        (at[-1], layouts[kind]) for kind, at in found.items() if kind != DECLARATION and layouts[kind].has_clock()
+    ]
+    for pos, layout in sorted(timed, key=lambda t: -t[0]):
+        clock, _, _ = _decode(layout, _gather(buf, np.array([pos + 3]), layout.dtype.itemsize))
+        if clock[0].as_py() is not None:
+            return clock[0].as_py()
+    return None
+
+
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            found, _, _, base, end, declared = _scan(row)
+            found, layouts, buf, base, end, declared = _scan(row)
             last = max((p[-1] for p in found.values()), default=None)
             if last is None or base + last < row["lo"]:
                 end = row["hi"]
             early = sorted(base + p for at in found.values() for p in at[:4096] if base + p < row["lo"] + 8192)
+            clock = _last_clock(found, layouts, buf)
             yield pa.RecordBatch.from_pylist(
-                [{**row, "end": end, "declared": declared, "early": early}],
+                [{**row, "end": end, "declared": declared, "early": early, "last_clock": clock}],
                 schema=TOLD_ARROW,
             )
 
@@ -203,26 +220,47 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
 
 
+def _fill(positions: np.ndarray, clocks: np.ndarray, known: np.ndarray, before: int) -> np.ndarray:
+    """Stamps in file order, a row without one taking the last seen before it."""
+    order = np.argsort(positions, kind="stable")
+    index = np.where(known[order], np.arange(len(order)), -1)
+    last = np.maximum.accumulate(index)
+    filled = np.where(last >= 0, clocks[order][last], before)
+    out = np.empty_like(filled)
+    out[order] = filled
+    return out
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             found, layouts, buf, base, _, _ = _scan(row)
+            parts = []
             for kind, at in found.items():
                 if kind == DECLARATION:
                     continue
                 layout = layouts[kind]
                 for cut in range(0, len(at), ROWS_PER_BATCH):
-                    part = np.asarray(at[cut : cut + ROWS_PER_BATCH], dtype=np.int64)
-                    n = len(part)
-                    time, nums, txts = _decode(layout, _gather(buf, part + 3, layout.dtype.itemsize))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([row["log_id"]] * n, pa.string()), pa.array(["bin"] * n, pa.string()),
-                            pa.array(part + base, pa.int64()), pa.array([kind] * n, pa.int32()),
-                            pa.array([layout.name] * n, pa.string()), time, nums, txts,
-                        ],
-                        names=["log_id", "source", "seq", "msg_type", "message", "ts_us", "nums", "txts"],
-                    )
+                    where = np.asarray(at[cut : cut + ROWS_PER_BATCH], dtype=np.int64)
+                    parts.append((layout, where, *_decode(layout, _gather(buf, where + 3, layout.dtype.itemsize))))
+            if not parts:
+                continue
+            known = np.concatenate([p[2].is_valid().to_numpy(zero_copy_only=False) for p in parts])
+            clocks = np.concatenate([p[2].fill_null(0).to_numpy(zero_copy_only=False) for p in parts])
+            filled = _fill(np.concatenate([p[1] for p in parts]), clocks, known, row["clock"] or 0)
+            done = 0
+            for layout, where, _, nums, txts in parts:
+                n = len(where)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["log_id"]] * n, pa.string()), pa.array(["bin"] * n, pa.string()),
+                        pa.array(where + base, pa.int64()), pa.array([layout.msg_type] * n, pa.int32()),
+                        pa.array([layout.name] * n, pa.string()), pa.array(filled[done : done + n], pa.int64()),
+                        pa.array(known[done : done + n], pa.bool_()), nums, txts,
+                    ],
+                    names=["log_id", "source", "seq", "msg_type", "message", "ts_us", "has_time", "nums", "txts"],
+                )
+                done += n
 
 
 def settled_ranges(files: DataFrame, range_bytes: int | None = None) -> DataFrame:
@@ -259,11 +297,6 @@ def formats(framed: DataFrame) -> DataFrame:
     ).withColumn("body_size", size)
 
 
-def raw_records(files: DataFrame, range_bytes: int | None = None) -> DataFrame:
-    """Decoded records; ``ts_us`` is NULL where the record carries no clock."""
-    return settled_ranges(files, range_bytes).mapInArrow(_records, RECORDS)
-
-
 def one_type_per_name(records: DataFrame) -> DataFrame:
     """Of several types sharing a name in one log, the one that appears last."""
     types = records.groupBy("log_id", "message", "msg_type").agg(F.min("seq").alias("first"))
@@ -275,5 +308,9 @@ def one_type_per_name(records: DataFrame) -> DataFrame:
 
 
 def read_dataflash(files: DataFrame, range_bytes: int | None = None) -> DataFrame:
-    """Records of onboard logs with a clock on every row."""
-    return fill_time(raw_records(files, range_bytes))
+    """Records of onboard logs, a clock on every row; one pass, no shuffle.
+
+    A row without a clock of its own takes the last one before it in the file, 0
+    if there is none, and says so in ``has_time``.
+    """
+    return settled_ranges(files, range_bytes).mapInArrow(_records, RECORDS)

@@ -15,13 +15,16 @@ RANGE_BYTES = 32 << 20
 #: A range also reads this far past its end, to finish its last record.
 OVERHANG = 4096
 
-RANGES = "log_id string, path string, lo long, hi long, length long, start long, known binary, content binary"
-TOLD = RANGES + ", end long, declared binary, early array<long>"
+RANGES = (
+    "log_id string, path string, lo long, hi long, length long, start long, known binary, content binary, clock long"
+)
+TOLD = RANGES + ", end long, declared binary, early array<long>, last_clock long"
 TOLD_ARROW = pa.schema(
     [
         ("log_id", pa.string()), ("path", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()),
         ("length", pa.int64()), ("start", pa.int64()), ("known", pa.binary()), ("content", pa.binary()),
-        ("end", pa.int64()), ("declared", pa.binary()), ("early", pa.list_(pa.int64())),
+        ("clock", pa.int64()), ("end", pa.int64()), ("declared", pa.binary()), ("early", pa.list_(pa.int64())),
+        ("last_clock", pa.int64()),
     ]
 )
 
@@ -102,6 +105,7 @@ def byte_ranges(files: DataFrame, range_bytes: int | None = None) -> DataFrame:
         .select(
             "log_id", "path", lo.alias("lo"), hi.alias("hi"), "length",
             lo.alias("start"), F.unhex(F.lit("")).alias("known"), piece.alias("content"),
+            F.lit(None).cast("long").alias("clock"),
         )
         .repartition("log_id", "lo")
     )
@@ -118,9 +122,10 @@ def settle_ranges(
     A range whose true start - the end of the one before - was among those
     first records has already been read right; the others are scanned again.
     Every round settles at least one more range of each log, and as records
-    fall into step within a few hundred bytes, two rounds are usual.
+    fall into step within a few hundred bytes, two rounds are usual.  ``clock``
+    is the last stamp any earlier range of the log carries.
 
-    ``summarise`` adds ``end long, declared binary, early array<long>``.
+    ``summarise`` adds ``end, declared, early, last_clock``.
     """
     if ranges.where("lo > 0").limit(1).count() == 0:
         return ranges  # every log fits one range
@@ -140,6 +145,7 @@ def settle_ranges(
             {
                 "true_start": F.coalesce(F.greatest(F.lag("end").over(along), F.col("lo")), F.lit(0).cast("long")),
                 "true_known": first_known,
+                "clock": F.last("last_clock", True).over(earlier),
             }
         )
         same_known = F.col("known") == F.col("true_known")

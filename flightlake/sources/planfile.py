@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flightlake.functions.geo import is_route_command, is_route_vertex
+from flightlake.scale import scratch_table
 
 # Fixed values.
 LARGEST_PLAN = 8 << 20
@@ -114,37 +115,50 @@ def json_plans(routed: DataFrame) -> DataFrame:
     return parts.withColumn("reason", reason).drop("doc", "file_type", "mission")
 
 
+def _inner_items(item: Column) -> Column:
+    """Items stored inside a complex item; NULL for any other and for an empty one."""
+    kind = F.try_variant_get(item, "$.type", "string")
+    inner = F.try_variant_get(item, "$.TransectStyleComplexItem.Items", "array<variant>")
+    return F.when(kind.isin("ComplexItem", "survey") & (F.size(inner) > 0), inner)
+
+
+def _opened(items: Column) -> Column:
+    """Complex items replaced by what they hold, one level down, places kept."""
+    place = lambda s, j: F.concat(s["place"], F.array(j))
+    return F.flatten(
+        F.transform(
+            items,
+            lambda s: F.coalesce(
+                F.transform(
+                    _inner_items(s["item"]),
+                    lambda sub, j: F.struct(place(s, j).alias("place"), sub.alias("item")),
+                ),
+                F.array(s),
+            ),
+        )
+    )
+
+
 def json_items(plans: DataFrame) -> DataFrame:
     """Items of accepted JSON plans after expanding complex ones.
 
     ``place`` orders them as written; ``unreadable`` marks what belongs on the
     route but cannot be drawn, ``too_deep`` nesting beyond ``NESTING``.
     """
-    level = plans.where("reason IS NULL").select("log_id", F.posexplode("items").alias("at", "item")).select(
-        "log_id", F.array("at").alias("place"), "item"
-    )
+    items = F.transform("items", lambda x, i: F.struct(F.array(i).alias("place"), x.alias("item")))
+    for _ in range(NESTING):
+        items = _opened(items)
+    flat = plans.where("reason IS NULL").select("log_id", F.inline(items))
+    flat = flat.where(F.schema_of_variant("item").rlike("^(OBJECT|ARRAY)"))
     kind = _at("item", "$.type", "string")
-    children = _at("item", "$.TransectStyleComplexItem.Items", "array<variant>")
-    done = None
-    for depth in range(NESTING + 1):
-        marked = level.withColumn("complex", F.coalesce(kind.isin("ComplexItem", "survey"), F.lit(False))).withColumn(
-            "inner", F.when(F.col("complex"), children)
-        )
-        opens = F.coalesce(F.size("inner") > 0, F.lit(False))
-        flat = marked.where(~opens if depth < NESTING else F.lit(True)).select(
-            "log_id", "place", "item", "complex", (opens if depth == NESTING else F.lit(False)).alias("too_deep")
-        )
-        done = flat if done is None else done.unionByName(flat)
-        level = marked.where(opens).select(
-            "log_id", "place", F.posexplode("inner").alias("at", "sub")
-        ).select("log_id", F.concat("place", F.array("at")).alias("place"), F.col("sub").alias("item"))
-    done = done.where(F.schema_of_variant("item").rlike("^(OBJECT|ARRAY)"))
-    coordinate, params = _at("item", "$.coordinate", "array<variant>"), _at("item", "$.params", "array<variant>")
+    moved = F.schema_of_variant(_at("item", "$.coordinate")).startswith("ARRAY")
     spot = lambda c, p: F.when(
-        coordinate.isNotNull(), _json_number(F.get(coordinate, F.lit(c)))
-    ).otherwise(_json_number(F.get(params, F.lit(p))))
-    read = done.select(
-        "log_id", "place", "complex", "too_deep",
+        F.coalesce(moved, F.lit(False)), _json_number(_at("item", f"$.coordinate[{c}]"))
+    ).otherwise(_json_number(_at("item", f"$.params[{p}]")))
+    read = flat.select(
+        "log_id", "place",
+        F.coalesce(kind.isin("ComplexItem", "survey"), F.lit(False)).alias("complex"),
+        _inner_items(F.col("item")).isNotNull().alias("too_deep"),
         _json_number(_at("item", "$.command")).alias("command"),
         spot(0, 4).alias("lat"), spot(1, 5).alias("lon"), spot(2, 6).alias("alt"),
         _json_number(_at("item", "$.frame")).alias("frame"),
@@ -198,8 +212,8 @@ def parse_plans(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``outcome`` has one row per file: kind, waypoints, unreadable items, and the
     reason if it was rejected.  A rejected file gives no waypoints.
     """
-    routed = route_plans(files)
-    rows = text_rows(routed)
+    routed = scratch_table(route_plans(files).drop("content"), "plans")
+    rows = scratch_table(text_rows(routed), "plan-lines")
     bad = F.size("parts") != TEXT_FIELDS
     judged = rows.groupBy("log_id").agg(
         F.min_by(F.struct("line", F.size("parts").alias("found")), F.when(bad, F.col("line"))).alias("bad")
@@ -216,7 +230,8 @@ def parse_plans(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     from_text = _last_written(text_items(rows.join(good, "log_id", "left_semi")), "file_seq")
 
     plans = json_plans(routed)
-    items = json_items(plans)
+    # Parsed once; the flat items are read for numbering and for counting.
+    items = scratch_table(json_items(plans), "plan-items")
     numbered = number_items(items).where("NOT unreadable")
     names = ["log_id", "place", "seq", "command", "lat", "lon", "alt", "frame"]
     from_json = _last_written(numbered.select(*names).unionByName(_home(plans)), "place")

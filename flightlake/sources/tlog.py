@@ -78,7 +78,7 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, _, base, end = _scan(row) if row["start"] < row["hi"] else ([], b"", 0, row["start"])
             early = [base + f[0] for f in found[:1024]]
             yield pa.RecordBatch.from_pylist(
-                [{**row, "end": end, "declared": b"", "early": early}],
+                [{**row, "end": end, "declared": b"", "early": early, "last_clock": None}],
                 schema=TOLD_ARROW,
             )
 
