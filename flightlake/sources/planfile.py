@@ -28,7 +28,7 @@ WAYPOINTS = ("log_id", "seq", "command", "lat", "lon", "alt", "frame")
 
 def read_plans(spark: SparkSession, folder: str) -> DataFrame:
     """``(log_id, size, content)`` per file; content is NULL where the size rules a plan out."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     meta = F.col("_metadata")
     small = files.where(meta["file_size"] <= LARGEST_PLAN).select(
         meta["file_path"].alias("log_id"), meta["file_size"].alias("size"), F.col("value").alias("content")
