@@ -13,7 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlake.scale import Ordered, first_known, join_per_key, last_known, next_known, scratch_table
+from flightlake.scale import (
+    Groups,
+    Ordered,
+    first_known,
+    join_per_key,
+    last_known,
+    next_known,
+    scratch_table,
+)
 
 SERIES = ("log_id",)
 
@@ -129,18 +137,18 @@ def pair_on_common_time(
     Per key, whichever side has fewer rows in the window (``a`` on a tie) lends
     its stamps and the other is interpolated from its whole series.  A key with
     no rows on either side in the window gives none.  ``window`` is one interval
-    for all or a table ``(log_id, t0, t1)``.
+    for all, a table ``(log_id, t0, t1)``, or an ``inside`` flag on the rows.
     """
     keys = list(keys)
-    both = a.select(*keys, "ts_us", "seq", "value", F.lit("a").alias("side")).unionByName(
-        b.select(*keys, "ts_us", "seq", "value", F.lit("b").alias("side"))
-    )
+    own = ["inside"] if "inside" in a.columns else []
+    rows = [*keys, "ts_us", "seq", "value", *own]
+    both = a.select(*rows, F.lit("a").alias("side")).unionByName(b.select(*rows, F.lit("b").alias("side")))
     if isinstance(window, DataFrame):
         both = join_per_key(both, window.select("log_id", "t0", "t1"), ["log_id"], "seq")
-        inside = F.col("ts_us").between(F.col("t0"), F.col("t1"))
-    else:
-        inside = F.lit(True) if window is None else F.col("ts_us").between(*window)
-    both = scratch_table(both.withColumn("inside", inside), "pairs")
+        both = both.withColumn("inside", F.col("ts_us").between(F.col("t0"), F.col("t1")))
+    elif not own:
+        both = both.withColumn("inside", F.lit(True) if window is None else F.col("ts_us").between(*window))
+    both = scratch_table(both, "pairs")
     in_a = F.count_if(F.col("inside") & (F.col("side") == "a"))
     in_b = F.count_if(F.col("inside") & (F.col("side") == "b"))
     lead = (
@@ -149,19 +157,21 @@ def pair_on_common_time(
         .where("na > 0 AND nb > 0")
         .select(*keys, F.when(F.col("na") <= F.col("nb"), "a").otherwise("b").alias("lead"))
     )
-    # One pass serves both roles: every row is a source for the other side, and
-    # rows of the leading side inside the window are the instants.
-    time = F.col("ts_us").cast("double").alias("_t")
-    own = F.struct("ts_us", "seq", "value")
-    marked = both.select(
-        *keys, "ts_us", "seq", "value", "side", "inside", time,
-        F.explode(F.array(F.lit(0), F.lit(1))).alias("_ask"),
-    ).where((F.col("_ask") == 0) | F.col("inside"))
-    ordered = Ordered(marked, keys, ["_t", "_ask", "side", "seq"]).attach(lead)
-    source = F.when((F.col("_ask") == 0) & (F.col("side") != F.col("lead")), own)
-    found = ordered.scan(
-        first=first_known(source), before=last_known(source), after=next_known(source)
-    ).where((F.col("_ask") == 1) & (F.col("side") == F.col("lead")))
+    # A row of the leading side inside the window is an instant; a row of the
+    # other side is a source.
+    groups = Groups(both, keys)
+    ask = F.col("side") == F.col("lead")
+    roles = (
+        groups.join(both, lead, "seq")
+        .withColumns({"_t": F.col("ts_us").cast("double"), "_ask": ask.cast("int")})
+        .where((F.col("_ask") == 0) | F.col("inside"))
+    )
+    source = F.when(F.col("_ask") == 0, F.struct("ts_us", "seq", "value"))
+    found = (
+        Ordered(roles, keys, ["_t", "_ask", "seq"], split=groups.split)
+        .scan(first=first_known(source), before=last_known(source), after=next_known(source))
+        .where(F.col("_ask") == 1)
+    )
     other = between("value")
     a_leads = F.col("lead") == "a"
     return found.rows().select(

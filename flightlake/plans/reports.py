@@ -18,7 +18,7 @@ from flightlake.operators.select import fields, interval_window, keep_messages
 from flightlake.operators.sequence import detrend, uniform_grid, unwrap_angle
 from flightlake.operators.trajectory import trajectory
 from flightlake.plans import rules
-from flightlake.scale import join_per_key, scratch_table
+from flightlake.scale import Groups, join_per_key, scratch_table
 
 SERIES = ("log_id", "message", "field")
 
@@ -160,13 +160,20 @@ def scatter_report(
     """
     keys = ["log_id", "label"]
     presets = scratch_table(presets, "presets")
-    axis = lambda s: presets.select(
-        *keys, F.col(f"{s}_message").alias("message"), F.col(f"{s}_field").alias("field")
-    )
-    series = lambda s: join_per_key(samples, axis(s), list(SERIES), "seq").select(*keys, "ts_us", "seq", "value")
-    paired = timejoin.pair_on_common_time(series("x"), series("y"), intervals, keys)
-    scale = presets.select(*keys, "x_scale", "y_scale")
-    scaled = join_per_key(paired, scale, keys, "seq").select(
+    # What the pairing needs to know of a preset travels with its rows.
+    carried = presets if intervals is None else presets.join(intervals, "log_id")
+    told = [*keys, "x_scale", "y_scale"]
+    inside = F.lit(True) if intervals is None else F.col("ts_us").between(F.col("t0"), F.col("t1"))
+    groups = Groups(samples, SERIES)
+
+    def series(axis: str) -> DataFrame:
+        ends = [] if intervals is None else ["t0", "t1"]
+        picked = carried.select(
+            *told, *ends, F.col(f"{axis}_message").alias("message"), F.col(f"{axis}_field").alias("field")
+        )
+        return groups.join(samples, picked, "seq").select(*told, "ts_us", "seq", "value", inside.alias("inside"))
+
+    scaled = timejoin.pair_on_common_time(series("x"), series("y"), keys=told).select(
         *keys, (F.col("a") * F.col("x_scale")).alias("x"), (F.col("b") * F.col("y_scale")).alias("y")
     )
     fit = stats.line_fit(scaled, keys)
