@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.registry import check, rounded
@@ -374,3 +375,23 @@ def src01(spark, d):
         SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN '.BIN' WHEN 1 THEN '.log' WHEN 2 THEN '.Tlog' WHEN 3 THEN '' ELSE '.txt' END AS path,
                unhex(CASE WHEN page_id % 2 = 0 THEN 'A3' ELSE 'FD' END) AS head FROM pages""")
     return named.select("page_id", "path", log_kind(F.col("path"), F.col("head")).alias("kind"))
+
+
+@check("s02_mission_order", """
+    SELECT log_id, seq, lat, row_number() OVER (PARTITION BY log_id ORDER BY seq) AS place FROM (
+        SELECT log_id, seq, round(arg_max(lat, file_seq), 6) + 0.0 AS lat FROM mission_items WHERE command = 16 GROUP BY log_id, seq) m""")
+def s02(spark, d):
+    """A plan has one row per number: a short list, numbered in its order."""
+    items = view(spark, d, "mission_items").where("command = 16")
+    plan = items.groupBy("log_id", "seq").agg(F.max_by("lat", "file_seq").alias("lat")).orderBy("log_id", "seq")
+    return rounded(plan.withColumn("place", F.row_number().over(Window.partitionBy("log_id").orderBy("seq"))))
+
+
+@check("s06_longest_series", """
+    SELECT log_id, message, n_rows FROM (
+        SELECT log_id, message, CAST(count(*) AS BIGINT) AS n_rows, row_number() OVER (PARTITION BY log_id ORDER BY count(*) DESC, message) AS k FROM telemetry GROUP BY log_id, message) t WHERE k <= 2""")
+def s06(spark, d):
+    """Top-k per log over the catalog, ties broken by name."""
+    counts = tables.message_counts(view(spark, d, "telemetry"))
+    best = Window.partitionBy("log_id").orderBy(F.desc("n_rows"), "message")
+    return counts.withColumn("k", F.row_number().over(best)).where("k <= 2").drop("k")

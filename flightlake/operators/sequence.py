@@ -15,6 +15,7 @@ from flightlake.scale import (
     exact_median,
     explode_range,
     join_per_key,
+    known_before,
     last_known,
     previous,
     row_index,
@@ -47,21 +48,15 @@ def mode_changes(labelled: DataFrame) -> DataFrame:
 
 def unwrap_angle(samples: DataFrame, keys: Sequence[str] = SERIES, period: float = 360.0) -> DataFrame:
     """Undo the wrap of an angle; gaps stay gaps and do not reset the offset."""
-    known = Ordered(samples, keys, TIME_ORDER)
     value = F.col("value")
-    # The previous known value is the last one at or before the previous row.
-    stepped = known.scan(_last=last_known(F.when(value.isNotNull(), F.struct("value"))))
-    stepped = stepped.scan(_prev=previous("_last"))
-    moved = F.when(
-        value.isNotNull() & F.col("_prev._last").isNotNull(),
-        -turns(value - F.col("_prev._last.value"), period),
-    ).otherwise(F.lit(0.0))
+    stepped = Ordered(samples, keys, TIME_ORDER).scan(_prev=known_before(value))
+    moved = F.coalesce(-turns(value - F.col("_prev"), period), F.lit(0.0))
     return (
         stepped.with_columns(_moved=moved)
         .scan(_offset=running_sum(F.col("_moved")))
         .rows()
         .withColumn("value", value + F.col("_offset"))
-        .drop("_last", "_prev", "_moved", "_offset")
+        .drop("_prev", "_moved", "_offset")
     )
 
 

@@ -83,9 +83,7 @@ def log_bounds(records: DataFrame, trajectory: DataFrame | None = None) -> DataF
 
 def last_write(named: DataFrame) -> DataFrame:
     """``(log_id, name, value)`` of the latest row per name in file order."""
-    return named.groupBy("log_id", "name").agg(
-        F.max_by(F.struct("value"), F.col("seq"))["value"].alias("value")
-    )
+    return named.groupBy("log_id", "name").agg(F.max_by("value", "seq").alias("value"))
 
 
 def params(records: DataFrame) -> DataFrame:

@@ -187,7 +187,7 @@ def merge_on_time(samples: DataFrame, refs: Sequence[tuple[str, str]]) -> DataFr
     """All chosen series on the union of their stamps, one column per series.
 
     Of several rows at one stamp the last in file order wins, also when it is a
-    gap, which is why the value travels inside a struct.
+    gap: ``max_by`` passes over a NULL order, not over a NULL value.
     """
     chosen = F.lit(False)
     columns = []
@@ -195,7 +195,7 @@ def merge_on_time(samples: DataFrame, refs: Sequence[tuple[str, str]]) -> DataFr
         match = (F.col("message") == message) & (F.col("field") == field)
         chosen = chosen | match
         columns.append(
-            F.max_by(F.struct("value"), F.when(match, F.col("seq")))["value"].alias(f"{message}.{field}")
+            F.max_by("value", F.when(match, F.col("seq"))).alias(f"{message}.{field}")
         )
     return samples.where(chosen).groupBy("log_id", "ts_us").agg(*columns)
 

@@ -47,9 +47,12 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the scratch folder and read it back, cutting its lineage."""
+    """Write ``df`` to the scratch folder and read it back, cutting its lineage.
+
+    Tables lie in one folder per application, to be removed when it is done.
+    """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -111,6 +114,14 @@ def last_known(value: Column) -> Scan:
     )
 
 
+def known_before(value: Column) -> Scan:
+    """Latest non-null ``value`` strictly before the row."""
+    at = last_known(value)
+    return Scan(
+        lambda fwd, back, whole: F.last(value, True).over(_before(fwd, False)), at.summary, at.carry, at.merge
+    )
+
+
 def first_known(value: Column) -> Scan:
     """Earliest non-null ``value`` at or before the row."""
     return Scan(
@@ -187,6 +198,7 @@ class Ordered:
         _ready: bool = False,
     ):
         self.keys, self.order = list(keys), list(order)
+        self._written = False
         limit = group_rows or GROUP_ROWS
         if not _ready:
             rows = 0
@@ -202,6 +214,7 @@ class Ordered:
                     ),
                     "pieces",
                 )
+                self._written = True
         self.split = bool(split)
         self.df = df
 
@@ -215,7 +228,13 @@ class Ordered:
         return self._same(self.df.where(condition))
 
     def scan(self, **scans: Scan) -> Ordered:
-        """Add one column per scan; all of them share one shuffle and sort."""
+        """Add one column per scan; all of them share one shuffle and sort.
+
+        A split series is read twice, for its carries and for its rows, so what
+        was computed before is written down first.
+        """
+        if self.split and not self._written:
+            return self.frozen("scan").scan(**scans)
         part = self.keys + (["_piece"] if self.split else [])
         whole = Window.partitionBy(*part)
         fwd = whole.orderBy(*self.order)
@@ -257,7 +276,9 @@ class Ordered:
 
     def frozen(self, name: str) -> Ordered:
         """Written to scratch, for steps that read the rows several times."""
-        return self._same(scratch_table(self.df, name))
+        out = self._same(scratch_table(self.df, name))
+        out._written = True
+        return out
 
     def attach(self, per_key: DataFrame, how: str = "inner") -> Ordered:
         """Join a table with one row per key.

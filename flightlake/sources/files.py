@@ -140,7 +140,7 @@ def settle_ranges(
     while True:
         along = Window.partitionBy("log_id").orderBy("lo")
         earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-        first_known = F.unhex(F.coalesce(F.array_join(F.collect_list(F.hex("declared")).over(earlier), ""), F.lit("")))
+        first_known = F.unhex(F.coalesce(F.array_join(F.collect_list(F.when(F.length("declared") > 0, F.hex("declared"))).over(earlier), ""), F.lit("")))
         due = scanned.withColumns(
             {
                 "true_start": F.coalesce(F.greatest(F.lag("end").over(along), F.col("lo")), F.lit(0).cast("long")),
