@@ -16,6 +16,7 @@ from checks.registry import check, rounded
 from checks.views import spark_sql, view
 from flightlake.operators.tables import num, txt
 from flightlake.sources import dataflash, planfile, tlog
+from flightlake.sources.files import ingest_errors
 from flightlake.sources.tables import read_by_message, write_by_message
 from flightlake.scale import scratch_dir
 
@@ -87,6 +88,13 @@ def src02(spark, d):
     ))
 
 
+@check("src02_ingest_errors", f"""{_FRAMES}
+    SELECT log_id, CAST(1 + sum(CASE seq % 5 WHEN 0 THEN 3 WHEN 1 THEN 5 ELSE 0 END) AS VARCHAR) || ' bytes outside records' AS reason FROM w GROUP BY log_id""")
+def src02b(spark, d):
+    logs = onboard_logs(spark, d)
+    return ingest_errors(logs, dataflash.framed_bytes(dataflash.frames(logs)))
+
+
 @check("src03_formats", f"""{_FRAMES}
     SELECT DISTINCT log_id, CAST(t AS BIGINT) AS msg_type, name, format, labels, CAST(size AS BIGINT) AS body_size
     FROM w, (VALUES (130, 'GPS', 'QLLen', 'TimeUS|Lat|Lng|Alt|Tag', 24), (131, 'STAT', 'Bh', 'Kind|Delta', 3), (132, 'XYZ', 'B', 'One', 1)) AS v(t, name, format, labels, size)""")

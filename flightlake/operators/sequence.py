@@ -60,15 +60,15 @@ def unwrap_angle(samples: DataFrame, keys: Sequence[str] = SERIES, period: float
     )
 
 
-def steps(samples: DataFrame, keys: Sequence[str] = SERIES) -> Ordered:
+def steps(samples: DataFrame, keys: Sequence[str] = SERIES, split: bool | None = None) -> Ordered:
     """Ordered rows with ``step``, the spacing to the row before (NULL on the first)."""
-    seen = Ordered(samples, keys, TIME_ORDER).scan(_prev=previous("ts_us"))
+    seen = Ordered(samples, keys, TIME_ORDER, split=split).scan(_prev=previous("ts_us"))
     return seen.with_columns(step=F.col("ts_us") - F.col("_prev.ts_us"))
 
 
-def median_step(samples: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+def median_step(samples: DataFrame, keys: Sequence[str] = SERIES, split: bool | None = None) -> DataFrame:
     """Exact median spacing per series; none with fewer than two rows."""
-    ordered = steps(samples, keys)
+    ordered = steps(samples, keys, split)
     return exact_median(ordered.rows(), keys, "step", "median_step", split=ordered.split)
 
 

@@ -10,10 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flightlake import scale
 from flightlake.functions.values import align_angle, round_half_up
 from flightlake.operators.sequence import crossing_index, median_step
 from flightlake.operators.timejoin import between, around
-from flightlake.scale import Ordered, exact_median, explode_range, join_per_key, previous, scratch_table
+from flightlake.scale import (
+    Ordered,
+    exact_median,
+    explode_range,
+    group_sizes,
+    join_per_key,
+    previous,
+    scratch_table,
+)
 
 SERIES = ("log_id",)
 
@@ -43,11 +52,12 @@ def grid_pair(
     both = desired.select(*keys, F.lit("des").alias("side"), "ts_us", "seq", "value").unionByName(
         actual.select(*keys, F.lit("act").alias("side"), "ts_us", "seq", "value")
     )
+    largest = group_sizes(both, sided)[0]
     ends = both.groupBy(*sided).agg(
         F.count(F.lit(1)).alias("rows"), F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1")
     )
-    plan = (
-        ends.join(median_step(both, sided), sided)
+    plan = scratch_table(
+        ends.join(median_step(both, sided, largest > scale.GROUP_ROWS), sided)
         .groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("sides"),
@@ -64,8 +74,12 @@ def grid_pair(
         )
         .withColumn("n", (F.floor((F.col("t1") - F.col("t0")) / F.col("step")) + 1).cast("long"))
         .where(F.col("n") >= FEWEST_POINTS)
-        .select(*keys, "t0", "step", "n")
+        .select(*keys, "t0", "step", "n"),
+        "grid-plan",
     )
+    # Long gaps can give far more grid points than rows.
+    longest = plan.agg(F.max("n")).first()[0] or 0
+    split = largest + longest > scale.GROUP_ROWS
     stamps = explode_range(plan, F.col("n"), "i").select(
         *keys,
         F.explode(F.array(F.lit("des"), F.lit("act"))).alias("side"),
@@ -74,7 +88,7 @@ def grid_pair(
         "n",
         (F.col("step") / F.lit(1e6)).alias("dt"),
     )
-    valued = around(both, stamps, sided).select(*keys, "side", "seq", "ts_us", "n", "dt", between().alias("value"))
+    valued = around(both, stamps, sided, split=split).select(*keys, "side", "seq", "ts_us", "n", "dt", between().alias("value"))
     wide = valued.groupBy(*keys, F.col("seq").alias("i")).agg(
         F.first("ts_us").alias("ts_us"),
         F.max(F.when(F.col("side") == "des", F.col("value"))).alias("des"),

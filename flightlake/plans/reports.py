@@ -138,7 +138,7 @@ def tracking_report(
     # Angles are unwrapped before they are resampled; the others pass by.
     rows = scratch_table(rows, "tracking")
     turned = unwrap_angle(rows.where("wrap > 0"), sided, 360.0)
-    ready = rows.where("wrap = 0").unionByName(turned)
+    ready = scratch_table(rows.where("wrap = 0").unionByName(turned), "tracking")
     one = lambda s: ready.where(F.col("side") == s).select(*keys, "wrap", "ts_us", "seq", "value")
     gridded = tracking.grid_pair(one("des"), one("act"), [*keys, "wrap"], wrap=F.col("wrap")).drop("wrap")
     metrics = tracking.tracking_metrics(gridded, keys)

@@ -25,7 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Rows of one series (or one group) a single task is asked to hold.
-GROUP_ROWS = 2_000_000
+GROUP_ROWS = 1_000_000
+#: Pieces a table is cut into at most, unless the cluster asks for more shuffle
+#: partitions itself.  It bounds the carry tables, which are broadcast.
+MOST_PIECES = 50_000
 
 _local_scratch: dict[str, str] = {}
 
@@ -202,12 +205,12 @@ class Ordered:
         limit = group_rows or GROUP_ROWS
         if not _ready:
             rows = 0
-            if split is None:
+            if split is None or split:
                 largest, rows = group_sizes(df, self.keys)
-                split = largest > limit
+                split = split or largest > limit
             if split:
                 shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-                parts = max(shuffles, 2 * math.ceil(rows / limit))
+                parts = max(shuffles, min(MOST_PIECES, 2 * math.ceil(rows / limit)))
                 df = scratch_table(
                     df.repartitionByRange(parts, *self.keys, *self.order).withColumn(
                         "_piece", F.spark_partition_id()
@@ -304,7 +307,7 @@ class Groups:
         limit = group_rows or GROUP_ROWS
         sizes = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
         hot = sizes.select(*self.keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
-        #: Large groups and the parts each is cut into; at most total rows / limit of them.
+        #: Large groups and the parts each is cut into.
         self.hot = None if hot.limit(1).count() == 0 else scratch_table(hot, "hot")
 
     @property
@@ -320,7 +323,7 @@ class Groups:
         if self.hot is None:
             return df.join(per_key, self.keys, how)
         salts = F.coalesce(F.col("_salts"), F.lit(1))
-        hot = F.broadcast(self.hot)
+        hot = self.hot  # written, so Spark knows its size and broadcasts it if small
         left = df.join(hot, self.keys, "left").withColumn(
             "_salt", F.pmod(F.xxhash64(spread_by), salts.cast("long")).cast("int")
         )

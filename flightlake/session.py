@@ -38,5 +38,7 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # A median holds a whole group's values: few groups at a time per task.
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "32")
     ship(spark)
     return spark

@@ -272,6 +272,10 @@ def frames(files: DataFrame, range_bytes: int | None = None) -> DataFrame:
     return settled_ranges(files, range_bytes).mapInArrow(_frames, FRAMES)
 
 
+def framed_bytes(framed: DataFrame) -> DataFrame:
+    return framed.groupBy("log_id").agg(F.sum(F.octet_length("body") + 3).cast("long").alias("bytes"))
+
+
 def formats(framed: DataFrame) -> DataFrame:
     """Declared layouts, the first declaration of a type winning."""
     text = lambda at, size: F.regexp_replace(

@@ -161,3 +161,25 @@ def settle_ranges(
         again = moved.where(~F.col("settled")).select(*columns).mapInArrow(summarise, TOLD)
         kept = moved.where("settled").select(*scanned.columns)
         scanned = scratch_table(kept.unionByName(again), "ranges")
+
+
+def ingest_errors(files: DataFrame, framed: DataFrame) -> DataFrame:
+    """``(log_id, reason)`` of logs that were not read whole.
+
+    ``framed(log_id, bytes)`` is what each log's records occupy.  Bytes between
+    records are skipped and a record cut short by the end is dropped; both are
+    counted here rather than passed over.
+    """
+    size = F.octet_length("content").cast("long") if "content" in files.columns else F.col("length")
+    read = F.coalesce("bytes", F.lit(0).cast("long"))
+    return (
+        files.select("log_id", size.alias("length"))
+        .join(framed, "log_id", "left")
+        .where(read < F.col("length"))
+        .select(
+            "log_id",
+            F.when(read == 0, "no records").otherwise(
+                F.concat((F.col("length") - read).cast("string"), F.lit(" bytes outside records"))
+            ).alias("reason"),
+        )
+    )
