@@ -87,10 +87,11 @@ def last_write(named: DataFrame) -> DataFrame:
 
 
 def params(records: DataFrame) -> DataFrame:
-    onboard = records.where(F.col("message") == "PARM").select(
+    has = lambda label: F.map_contains_key("nums", label)
+    onboard = records.where((F.col("message") == "PARM") & has("Value")).select(
         "log_id", "seq", txt("Name").alias("name"), num("Value").alias("value")
     )
-    link = records.where(F.col("message") == "PARAM_VALUE").select(
+    link = records.where((F.col("message") == "PARAM_VALUE") & has("paramValue")).select(
         "log_id", "seq", txt("paramId").alias("name"), num("paramValue").alias("value")
     )
     return last_write(onboard.unionByName(link).where("name IS NOT NULL"))

@@ -374,11 +374,15 @@ def exact_median(
 
 
 def explode_range(df: DataFrame, count: Column, name: str, block: int = 65_536) -> DataFrame:
-    """One row per integer in ``[0, count)``, in blocks so no row expands without bound."""
+    """One row per integer in ``[0, count)``, in blocks so no row expands without bound.
+
+    The blocks are spread over an explicit number of partitions: they weigh next
+    to nothing until they are expanded, and would otherwise be merged into one.
+    """
     blocks = df.withColumn(
         "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((count - 1) / block)))
     )
-    spread = blocks.repartition("_block", *[c for c in df.columns if c in ("log_id", "message", "field")])
+    spread = blocks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     start = F.col("_block") * block
     stop = F.least(start + block, count.cast("long")) - 1
     return spread.withColumn(name, F.explode(F.sequence(start, stop))).drop("_block")

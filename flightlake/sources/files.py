@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +15,10 @@ from flightlake.scale import scratch_table
 RANGE_BYTES = 32 << 20
 #: A range also reads this far past its end, to finish its last record.
 OVERHANG = 4096
+#: Bytes a task reads at least, where there are enough tasks: short logs share one.
+TASK_BYTES = 8 << 20
+#: Tasks a reading job is cut into at most.
+MOST_TASKS = 200_000
 
 RANGES = (
     "log_id string, path string, lo long, hi long, length long, start long, known binary, content binary, clock long"
@@ -107,10 +112,15 @@ def byte_ranges(files: DataFrame, range_bytes: int | None = None) -> DataFrame:
             lo.alias("start"), F.unhex(F.lit("")).alias("known"), piece.alias("content"),
             F.lit(None).cast("long").alias("clock"),
         )
-        .repartition("log_id", "lo")
     )
 
 
+def _spread(ranges: DataFrame, tasks: int) -> DataFrame:
+    """Ranges dealt out evenly.  The number is explicit: a row that stands for 32
+    MiB weighs a few bytes, and left to its own sizing Spark would merge them all."""
+    return ranges.repartition(max(1, min(tasks, MOST_TASKS)))
+
+
 def settle_ranges(
     ranges: DataFrame, summarise: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 ) -> DataFrame:
@@ -127,16 +137,23 @@ def settle_ranges(
 
     ``summarise`` adds ``end, declared, early, last_clock``.
     """
-    if ranges.where("lo > 0").limit(1).count() == 0:
+    count, furthest, size = ranges.agg(
+        F.count(F.lit(1)), F.max("lo"), F.sum(F.col("hi") - F.col("lo"))
+    ).first()
+    shuffles = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(count, max(shuffles, math.ceil((size or 0) / TASK_BYTES)))
+    ranges = _spread(ranges, tasks)
+    if not furthest:
         return ranges  # every log fits one range
     single = ranges.where("lo = 0 AND hi = length")
     shared = ranges.where("NOT (lo = 0 AND hi = length)")
+
     # What the heads declare is a good first guess for all ranges of a log.
     heads = shared.where("lo = 0").mapInArrow(summarise, TOLD).select("log_id", F.col("declared").alias("_head"))
     guessed = shared.join(heads, "log_id").withColumn(
         "known", F.when(F.col("lo") > 0, F.col("_head")).otherwise(F.col("known"))
     ).drop("_head")
-    scanned = scratch_table(guessed.mapInArrow(summarise, TOLD), "ranges")
+    scanned = scratch_table(_spread(guessed, tasks).mapInArrow(summarise, TOLD), "ranges")
     while True:
         along = Window.partitionBy("log_id").orderBy("lo")
         earlier = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -157,8 +174,8 @@ def settle_ranges(
         moved = due.withColumns({"start": F.col("true_start"), "known": F.col("true_known")})
         columns = [c.split()[0] for c in RANGES.split(", ")]
         if due.where(~F.col("settled")).limit(1).count() == 0:
-            return single.unionByName(moved.select(*columns))
-        again = moved.where(~F.col("settled")).select(*columns).mapInArrow(summarise, TOLD)
+            return single.unionByName(_spread(moved.select(*columns), tasks))
+        again = _spread(moved.where(~F.col("settled")).select(*columns), tasks).mapInArrow(summarise, TOLD)
         kept = moved.where("settled").select(*scanned.columns)
         scanned = scratch_table(kept.unionByName(again), "ranges")
 
