@@ -80,7 +80,7 @@ KNOWN = (
 )
 
 #: A line that only says who holds the rights since when.
-COPYRIGHT_LINE = r"(?m)^[^\S\n]*(?:[*#/;-]+[^\S\n]*)?(?:copyright\b|\(c\)|©)[^\n]*(?:[0-9]{4}|\(c\)|©)[^\n]*$"
+COPYRIGHT_LINE = r"(^|\n)[ \t]*(?:[*#/;-]+[ \t]*)?(?:copyright\b|\(c\)|©)[^\n]*?(?:[0-9]{4}|\(c\)|©)[^\n]*"
 FOLDED = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -144,11 +144,9 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
 
     whole = digests(rights.select(*KEY, _folded(F.col("body")).alias("folded")), longest)
     lines = digests(
-        rights.select(*KEY, F.explode(F.split("lower", "\n")).alias("line"))
-        # Folding a line of n characters leaves its letters and digits, so what is far
-        # too long once blanks and marks are gone needs no folding.
+        rights.select(*KEY, F.posexplode(F.split("lower", "\n")).alias("pos", "line"))
         .where(F.length("line") > 0)
-        .select(*KEY, _folded(F.col("line")).alias("folded")),
+        .select(*KEY, "pos", _folded(F.col("line")).alias("folded")),
         longest,
     )
     in_text = whole.join(known, "digest").groupBy(*KEY).agg(
@@ -158,7 +156,7 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
         *KEY
     ).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("of")))).alias("line_licenses"),
-        F.count(F.lit(1)).alias("n_lines"),
+        F.size(F.collect_set("pos")).alias("n_lines"),
     )
     none = F.array().cast("array<string>")
     everything = join_documents(join_documents(keyed(docs).select(*KEY), in_text), in_lines)
@@ -168,3 +166,53 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
         F.coalesce("line_licenses", none).alias("line_licenses"),
         F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
     )
+
+
+def licenses_of(docs: DataFrame, licenses: DataFrame) -> DataFrame:
+    """``scan`` with the licences as text, one row per document."""
+    return scan(docs, licenses).select(
+        "doc_id",
+        F.array_join("text_licenses", ",").alias("text_licenses"),
+        F.array_join("line_licenses", ",").alias("line_licenses"),
+        F.col("n_lines").alias("n_license_lines"),
+    )
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _sql_folded(text: str) -> str:
+    return f"trim(regexp_replace({text}, {_sql_text(FOLDED)}, ' ', 'g'))"
+
+
+def _sql_lower(text: str) -> str:
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _sql_spelled(folded: str) -> str:
+    out = f"' ' || replace({folded}, ' ', '  ') || ' '"
+    for other, common in SPELLINGS:
+        other, common = other.replace(" ", "  "), common.replace(" ", "  ")
+        out = f"replace({out}, ' {other} ', ' {common} ')"
+    return f"trim(replace({out}, '  ', ' '))"
+
+
+def _sql_body(text: str) -> str:
+    return f"regexp_replace({text}, {_sql_text(COPYRIGHT_LINE)}, ' ', 'g')"
+
+
+_SQL_KNOWN = ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, text in KNOWN)
+ORACLE = f"""
+WITH known AS (SELECT DISTINCT license, {_sql_spelled(_sql_folded(_sql_body(_sql_lower("text"))))} AS canon
+               FROM (VALUES {_SQL_KNOWN}) AS t(license, text)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_sql_lower("coalesce(text, '')")} AS low FROM documents),
+whole AS (SELECT r, {_sql_spelled(_sql_folded(_sql_body("low")))} AS canon FROM docs),
+lines AS (SELECT r, {_sql_spelled(_sql_folded("line"))} AS canon
+          FROM (SELECT r, unnest(string_split(low, chr(10))) AS line FROM docs)),
+by_text AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS l FROM whole JOIN known USING (canon) GROUP BY r),
+by_line AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS l FROM lines JOIN known USING (canon) GROUP BY r),
+counts AS (SELECT r, count(*) AS n FROM lines WHERE canon IN (SELECT canon FROM known) GROUP BY r)
+SELECT doc_id, coalesce(t.l, '') AS text_licenses, coalesce(b.l, '') AS line_licenses, coalesce(n, 0)::BIGINT AS n_license_lines
+FROM docs LEFT JOIN by_text t USING (r) LEFT JOIN by_line b USING (r) LEFT JOIN counts USING (r)
+"""

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flightlake.llm import decontaminate, line_dedup
+from flightlake.llm import decontaminate, licenses, line_dedup
 from flightlake.llm.common import read_table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses_of(read_table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     return decontaminate.contamination(docs, items).drop("text_hash")
@@ -20,11 +24,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
     "op4_line_dedup": op4_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": licenses.ORACLE,
     "op2_decontamination": decontaminate.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
 }
