@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flightlake.llm import decontaminate, licenses, line_dedup
+from flightlake.llm import decontaminate, licenses, line_dedup, near_duplicates
 from flightlake.llm.common import read_table
 
 
@@ -23,10 +23,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated_lines(read_table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
     "op4_line_dedup": op4_line_dedup,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {
