@@ -7,11 +7,12 @@ repeated row is the same document and two texts that share an id stay apart.
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlake.scale import scratch_table
+from flightlake.scale import scratch_dir
 from flightlake.session import ship
 
 #: Rows of a few numbers each that a join may broadcast; counted before it does.
@@ -21,10 +22,21 @@ KEY = ["doc_id", "text_hash"]
 
 __all__ = [
     "BROADCAST_ROWS", "KEY", "ascii_lower", "held_out", "join_documents", "keyed", "read_table",
-    "scratch_table", "ship", "small", "table_rows",
+    "scratch_path", "scratch_table", "ship", "small", "table_rows",
 ]
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back, cutting its lineage."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
