@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flightlake.llm import decontaminate, licenses, line_dedup, near_duplicates, packing, token_files
+from flightlake.llm import (
+    decontaminate,
+    language,
+    licenses,
+    line_dedup,
+    near_duplicates,
+    packing,
+    quality,
+    token_files,
+    toxicity,
+)
 from flightlake.llm.common import read_table
 
 
@@ -31,17 +41,36 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    found = quality.quality(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *base, "base_failed", "kept", "quality")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity.toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.languages(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
     "op3_token_files": op3_token_files,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
+    "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {

@@ -21,6 +21,11 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+AS_IS = np.arange(256, dtype=np.uint8)
+#: Bytes that are no part of a letter: all of ASCII but A-Z and a-z.
+NO_LETTERS = np.arange(256) < 128
+NO_LETTERS[ord("A") : ord("Z") + 1] = False
+NO_LETTERS[ord("a") : ord("z") + 1] = False
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -81,14 +86,14 @@ def spans(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = SPACES) ->
     return starts, np.flatnonzero(inside & ~after) + 1
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every span of lower-cased bytes."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
+    """64-bit hash of every span of bytes, lower-cased unless ``fold`` says otherwise."""
     out = np.empty(len(starts), np.uint64)
     a = 0
     while a < len(starts):
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + SLICE, "right")))
         base, stop = int(starts[a]), int(ends[b - 1])
-        low = LOWER[data[base:stop]].astype(np.uint64)
+        low = fold[data[base:stop]].astype(np.uint64)
         low += np.uint64(1)
         low *= _power("up", _BASE, stop - base)
         sums = np.zeros(stop - base + 1, np.uint64)
@@ -99,10 +104,12 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    data: np.ndarray, bounds: np.ndarray, between: np.ndarray = SPACES, fold: np.ndarray = LOWER
+) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word in order, and where each row's words begin."""
-    starts, ends = spans(data, bounds)
-    return hashes(data, starts, ends), np.searchsorted(starts, bounds)
+    starts, ends = spans(data, bounds, between)
+    return hashes(data, starts, ends, fold), np.searchsorted(starts, bounds)
 
 
 def windows(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,3 +137,12 @@ def distinct(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     fresh[1:] = values[1:] != values[:-1]
     fresh[bounds[:-1][np.diff(bounds) > 0]] = True
     return values[fresh], np.concatenate(([0], np.cumsum(fresh)))[bounds]
+
+
+def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of each row's values, 0 for a row without; rows of a matrix are summed column by column."""
+    out = np.zeros((len(bounds) - 1, *values.shape[1:]), values.dtype)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        out[full] = np.add.reduceat(values, bounds[:-1][full], axis=0)
+    return out
