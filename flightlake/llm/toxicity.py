@@ -6,7 +6,8 @@ the document's likelihood says which sentences to blame.  Training uses about
 ``SAMPLE`` labelled documents chosen by a hash, never a held-out one; scoring covers
 every text whole and returns the offending sentences as character ranges.
 
-Words are runs of letters, A-Z folded; sentences end at ``.``, ``!``, ``?`` or a line
+Words are runs of letters, A-Z folded, and weigh through themselves and their first 4, 5
+and 6 bytes, so inflected forms share what their stem has learned.  Sentences end at ``.``, ``!``, ``?`` or a line
 feed.  Null, empty or wordless text has the score of no sentence at all, 0.  Without a
 label of either kind nothing is learned and every score is 0.  Repeated rows get the
 same answer; several labels of a document count as its highest.
@@ -24,9 +25,12 @@ from pyspark.sql import functions as F
 from flightlake.llm import words
 from flightlake.llm.common import held_out, ship, small
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 19
+STEMS = (4, 5, 6)
+#: Root of the likelihood ratio by which a feature must tell the classes apart to weigh anything.
+CLEAR = 5.0
 #: Labelled documents learned from, at most about.
-SAMPLE = 16_000
+SAMPLE = 8_000
 OUTPUT = (
     "doc_id long, held_out boolean, score double, predicted int, "
     "offending array<struct<start:int,length:int,score:double>>"
@@ -35,18 +39,34 @@ _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
 
 
+#: Features of a word: itself and its stems.
+WIDTH = 1 + len(STEMS)
+
+
+def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Buckets of every word and its stems; a word too short for a stem has itself again."""
+    out = np.empty((len(starts), WIDTH), np.int32)
+    for i, length in enumerate((None, *STEMS)):
+        stop = ends if length is None else np.minimum(ends, starts + length)
+        hashed = words.hashes(data, starts, stop)
+        if length is not None:
+            hashed = words.mixed(hashed + np.uint64(length) * (stop < ends).astype(np.uint64))
+        out[:, i] = (hashed >> np.uint64(45)).astype(np.int32)
+    return out.ravel()
+
+
 def _sentences(batch: pa.RecordBatch) -> Iterator[tuple]:
     """Word buckets; where each sentence's words and each row's sentences begin; the sentences' bytes."""
     data, bounds = words.utf8(batch["text"])
     for a, b in words.portions(bounds):
         part, rows = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
         starts, ends = words.spans(part, rows, words.NO_LETTERS)
-        buckets = (words.hashes(part, starts, ends) >> np.uint64(46)).astype(np.int32)
         first, last = words.spans(part, rows, _ENDS)
         held = np.searchsorted(starts, np.append(first, len(part)))
         worded = np.diff(held) > 0
         first, last = first[worded], last[worded]
-        yield a, b, part, rows, buckets, np.append(np.searchsorted(starts, first), len(starts)), np.searchsorted(first, rows), first, last
+        held = np.append(np.searchsorted(starts, first), len(starts))
+        yield a, b, part, rows, _features(part, starts, ends), held * WIDTH, np.searchsorted(first, rows), first, last
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +89,7 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def train(toxic: np.ndarray, sizes: list[np.ndarray], buckets: np.ndarray, epochs: int = 60) -> np.ndarray:
+def train(toxic: np.ndarray, sizes: list[np.ndarray], buckets: np.ndarray, epochs: int = 150) -> np.ndarray:
     """Weights of the word buckets, the bias last."""
     n_sentences = np.array([len(x) for x in sizes])
     keep = n_sentences > 0
@@ -81,18 +101,31 @@ def train(toxic: np.ndarray, sizes: list[np.ndarray], buckets: np.ndarray, epoch
     if not (y & keep).any() or not (~y & keep).any():
         weights[-1] = -np.inf
         return weights
-    document = np.repeat(np.repeat(np.arange(len(y)), n_sentences), per_sentence)
-    seen = np.unique(document * BUCKETS + buckets)
-    of, bucket = seen // BUCKETS, seen % BUCKETS
-    with_it = np.bincount(bucket, minlength=BUCKETS)
-    bad = np.bincount(bucket[y[of]], minlength=BUCKETS)
-    # Begin from how much likelier a word makes a toxic document, sure only with support.
-    odds = np.log((bad + 1) / (y.sum() + 2)) - np.log((with_it - bad + 1) / ((~y).sum() + 2))
-    weights[:-1] = np.where(with_it >= 4, odds, 0) * with_it / (with_it + 20)
-    weights[-1] = -4 - np.log(max(1.0, n_sentences.mean()))
-    rare = with_it < 4
-    speed = np.full(BUCKETS + 1, 1e-8)
+    per_document = words.row_sums(per_sentence, at)
+    begin = np.concatenate(([0], np.cumsum(per_document)))
+    with_it, bad = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for a, b in words.portions(begin):
+        document = np.repeat(np.arange(b - a), per_document[a:b])
+        seen = np.unique(document * BUCKETS + buckets[begin[a] : begin[b]])
+        with_it += np.bincount(seen % BUCKETS, minlength=BUCKETS)
+        bad += np.bincount((seen % BUCKETS)[y[a + seen // BUCKETS]], minlength=BUCKETS)
+    # Begin from how much likelier a feature makes a toxic document, where that is clear.
+    good = with_it - bad
+    odds = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((good + 0.5) / ((~y).sum() + 1))
+    share = y.mean()
+    surprise = 2 * (
+        bad * np.log(np.maximum(bad, 1) / np.maximum(with_it * share, 1e-9))
+        + good * np.log(np.maximum(good, 1) / np.maximum(with_it * (1 - share), 1e-9))
+    )
+    clear = (odds > 0) & (surprise > CLEAR**2)
+    weights[:-1] = np.where(clear, odds / WIDTH, 0)
+    weights[-1] = -4
+    # Only what weighs something is gone through again and again.
     sentence = np.repeat(np.arange(len(per_sentence)), per_sentence)
+    kept = clear[buckets]
+    buckets, sentence = buckets[kept], sentence[kept]
+    held = np.searchsorted(sentence, np.arange(len(per_sentence) + 1))
+    speed = np.full(BUCKETS + 1, 1e-8)
     for _ in range(epochs):
         z = words.row_sums(weights[buckets], held) + weights[-1]
         calm = words.row_sums(_softplus(z), at)  # -log of no sentence being toxic
@@ -100,7 +133,6 @@ def train(toxic: np.ndarray, sizes: list[np.ndarray], buckets: np.ndarray, epoch
         slope = np.repeat(blame, n_sentences) * np.exp(-_softplus(-z)) / len(y)
         gradient = np.append(np.bincount(buckets, weights=slope[sentence], minlength=BUCKETS), slope.sum())
         gradient[:-1] += 1e-5 * weights[:-1]
-        gradient[:-1][rare] = 0
         speed += gradient**2
         weights -= 0.3 * gradient / np.sqrt(speed)
     return weights
@@ -118,13 +150,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bags = (
         texts.join(small(taught, taught.count()), "doc_id")
-        .select("toxic", "text")
+        .groupBy(F.xxhash64("text").alias("copy"))  # a copied text teaches once
+        .agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
         .mapInArrow(_bags, "toxic int, sizes array<int>, buckets array<int>")
         .toArrow()
     )
     sizes = [np.asarray(x, np.int64) for x in bags["sizes"].to_pylist()]
     flat = bags["buckets"].combine_chunks().flatten().to_numpy() if bags.num_rows else np.empty(0, np.int32)
-    return train(bags["toxic"].to_numpy(), sizes, flat.astype(np.int64))
+    return train(bags["toxic"].to_numpy(), sizes, flat)
 
 
 def _score(weights: np.ndarray) -> Callable:
