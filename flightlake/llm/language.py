@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightlake.llm import words
@@ -31,7 +31,7 @@ STEPS = 12
 #: Languages a document's mixture may name at most in the choice of its set.
 MOST_LANGUAGES = 6
 LETTER = re.compile(r"[^\W\d_]")
-OUTPUT = "doc_id long, held_out boolean, lang_pred string, score double, languages map<string,double>"
+FOUND = "held_out boolean, lang_pred string, score double, languages map<string,double>"
 
 
 def _trigrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,11 +48,12 @@ def _trigrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple]:
-    data, bounds = words.utf8(batch["text"])
+    column = batch["text"] if "text" in batch.schema.names else batch["row"].field("text")
+    data, bounds = words.utf8(column)
     for a, b in words.portions(bounds, words.SLICE // 2):
         part, rows = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
         starts, ends = words.spans(part, rows, words.NO_LETTERS)
-        yield a, b, part, starts, ends, np.searchsorted(starts, rows)
+        yield a, b, part, rows, starts, ends, np.searchsorted(starts, rows)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +61,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch["lang"].to_pylist()
-        for a, b, data, starts, ends, at in _texts(batch):
+        for a, b, data, rows, starts, ends, at in _texts(batch):
             grams, begin = _trigrams(data, starts, ends)
             for i in range(a, b):
                 own = grams[begin[at[i - a]] : begin[at[i - a + 1]]]
@@ -139,7 +140,7 @@ def mixture(
 def _predict(names: list[str], table: np.ndarray, penalty: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, starts, ends, at in _texts(batch):
+            for a, b, data, rows, starts, ends, at in _texts(batch):
                 part = batch.slice(a, b - a)
                 n = b - a
                 lettered = np.diff(at) > 0
@@ -149,7 +150,7 @@ def _predict(names: list[str], table: np.ndarray, penalty: float) -> Callable:
                     ascii_word = np.logical_or.reduceat((data < 128) & ~words.NO_LETTERS[data], starts)
                     plain = words.row_sums(ascii_word.astype(np.int64), at) > 0
                     for i in np.flatnonzero(lettered & ~plain).tolist():
-                        lettered[i] = bool(LETTER.search(part["text"][i].as_py()))
+                        lettered[i] = bool(LETTER.search(bytes(data[rows[i] : rows[i + 1]]).decode()))
                 shares, chosen = np.zeros((n, len(names))), np.zeros((n, len(names)), bool)
                 if names and len(starts):
                     grams, begin = _trigrams(data, starts, ends)
@@ -163,7 +164,7 @@ def _predict(names: list[str], table: np.ndarray, penalty: float) -> Callable:
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part["doc_id"],
+                        part["row"],
                         part["held_out"],
                         pa.array([names[t] if s else "und" for t, s in zip(top.tolist(), sure.tolist(), strict=True)]),
                         pa.array([
@@ -171,25 +172,26 @@ def _predict(names: list[str], table: np.ndarray, penalty: float) -> Callable:
                         ], pa.float64()),
                         pa.array(found, pa.map_(pa.string(), pa.float64())),
                     ],
-                    ["doc_id", "held_out", "lang_pred", "score", "languages"],
+                    ["row", "held_out", "lang_pred", "score", "languages"],
                 )
 
     return run
 
 
-def languages(
-    docs: DataFrame, taught_by: DataFrame | None = None, penalty: float = 3.0, keep: tuple[Column, ...] = ()
-) -> DataFrame:
-    """``(doc_id, held_out, lang_pred, score, languages)`` of every row.
+def languages(docs: DataFrame, taught_by: DataFrame | None = None, penalty: float = 3.0) -> DataFrame:
+    """``(row, held_out, lang_pred, score, languages)``: every row of ``docs`` and what was found.
 
     ``penalty``: log-likelihood a further language must win, times the log of the number
-    of words; ``languages``: the shares of the chosen set.
+    of words; ``languages``: the shares of the chosen set.  ``row`` holds the input's
+    columns, so none of their names can clash.
     """
     ship(docs.sparkSession)
     known = taught_by if taught_by is not None else docs
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     names, table = learn(known)
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), "text"
+        F.struct(*docs.columns).alias("row"), held_out(F.col("doc_id").cast("long")).alias("held_out")
+    )
+    return rows.mapInArrow(
+        _predict(names, table, penalty), f"row {docs.schema.simpleString()}, {FOUND}"
     )
-    return rows.mapInArrow(_predict(names, table, penalty), OUTPUT)

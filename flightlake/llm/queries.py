@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flightlake.llm import (
     decontaminate,
+    extraction,
     language,
     licenses,
     line_dedup,
@@ -41,6 +42,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents"))
 
 
+def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(read_table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     found = quality.quality(read_table(spark, sf_dir, "documents"))
@@ -57,8 +62,8 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = language.languages(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "held_out", "lang_pred", "score")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.languages(docs).select("row.doc_id", "held_out", "lang_pred", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
+    "op6_extraction": op6_extraction,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
