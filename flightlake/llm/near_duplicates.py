@@ -10,7 +10,10 @@ deep and thin ones stay shallow, and no region is ever enumerated whole.
 Candidates whose signatures agree enough are confirmed on the full shingle sets, in two
 passes: first the strongest tree of candidates in every region, which joins most of
 what belongs together; then every remaining candidate pair whose ends are still in
-different components.  Pairs left out have both ends in one component already.
+different components.  Pairs left out have both ends in one component already.  The
+second pass reads dense regions less deep (``WIDE`` classes may share a prefix), and
+with a longer signature, so that a text with a single partner among thousands of
+less similar ones meets it too.
 
 Defined results: null, empty or blank text has no shingle and links with nothing; a text
 of fewer words than a shingle is one shingle; a repeated row is in its own class; rows
@@ -36,17 +39,29 @@ VALUES, ORDERS = 64, 16
 #: Prefix lengths tried in turn, and classes that may share one.
 LADDER = (3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64)
 REGION = 32
+#: The same for the second pass over regions too dense for the first prefix, and the
+#: values of the signature compared there.
+WIDE, LONG = 1024, 512
 #: Standard errors of a signature's estimate below the threshold that a candidate may lie.
 SLACK = 4.0
 
-_seeds = np.random.default_rng(20240607).integers(0, 2**32, (2, VALUES), dtype=np.uint32)
+_seeds = np.random.default_rng(20240607).integers(0, 2**32, (2, LONG), dtype=np.uint32)
 _XOR, _TIMES = _seeds[0], _seeds[1] | np.uint32(1)
 
 SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, signature binary"
 
 
-def least_estimate(threshold: float) -> float:
-    return threshold - SLACK * (threshold * (1 - threshold) / VALUES) ** 0.5
+def least_estimate(threshold: float, values: int) -> float:
+    return threshold - SLACK * (threshold * (1 - threshold) / values) ** 0.5
+
+
+def _minima(values: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` MinHash values of every set of a row of sets, none empty."""
+    short = (values.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    least = np.empty((len(begin), n), np.uint32)
+    for i in range(n):
+        least[:, i] = np.minimum.reduceat((short ^ _XOR[i]) * _TIMES[i], begin)
+    return least
 
 
 def _shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -70,9 +85,7 @@ def _signatures(k: int) -> Callable:
                 if len(full):
                     one[full] = np.add.reduceat(words.mixed(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begin)
                     two[full] = np.add.reduceat(words.mixed(values ^ np.uint64(0x3C3C3C3C3C3C3C3C)), begin)
-                    short = (values >> np.uint64(32)).astype(np.uint32)
-                    for i in range(VALUES):
-                        least[full, i] = np.minimum.reduceat((short ^ _XOR[i]) * _TIMES[i], begin)
+                    least[full] = _minima(values, begin, VALUES)
                 sizes.append(count)
                 sums.append(one)
                 xors.append(two)
@@ -108,8 +121,23 @@ def _sets(k: int) -> Callable:
     return run
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, VALUES)
+def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long signatures of full sets, two bytes a value."""
+    for batch in batches:
+        sets = batch["shingles"]
+        at = np.concatenate(([0], np.cumsum(sets.value_lengths().to_numpy()))).astype(np.int64)
+        flat = sets.flatten().to_numpy()
+        for a, b in words.portions(at, words.SLICE // 4):
+            least = _minima(flat[at[a] : at[b]], at[a:b] - at[a], LONG).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"].slice(a, b - a), pa.array([row.tobytes() for row in least], pa.binary())],
+                ["id", "signature"],
+            )
+
+
+def _matrix(column: pa.Array, kind: type = np.uint32) -> np.ndarray:
+    held = column.to_pylist()
+    return np.frombuffer(b"".join(held), kind).reshape(len(held), -1)
 
 
 def _prefixes(matrix: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
@@ -143,9 +171,13 @@ def _regions_of(depth: int) -> Callable:
     return run
 
 
-def regions(classes: DataFrame) -> DataFrame:
-    """``(region, id)`` of at most ``REGION`` classes that share a prefix, and at least two."""
-    settled, rows, chained = [], classes.select("id", "signature"), None
+def regions(classes: DataFrame, rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """``(region, id, depth)`` of at most ``limit`` classes that share a prefix, and at least two.
+
+    ``rows``: ``(id, signature)``, with ``order_no`` if only some orders are meant.  Also
+    returns which orders of which classes the first prefix was too short for.
+    """
+    settled, chained, dense = [], None, None
     for depth in LADDER:
         placed = scratch_table(
             rows.mapInArrow(_regions_of(depth), "id long, order_no int, region long"), f"depth-{depth}"
@@ -156,21 +188,23 @@ def regions(classes: DataFrame) -> DataFrame:
         )
         row = sizes.agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("most")).first()
         joined = placed.join(small(sizes, row["n"]), "region")
-        settled.append(joined.where(F.col("n") <= REGION).select("region", "id"))
-        if (row["most"] or 0) <= REGION:
+        level = F.lit(depth).alias("depth")
+        settled.append(joined.where(F.col("n") <= limit).select("region", "id", level))
+        deep = joined.where(F.col("n") > limit)
+        dense = deep.select("id", "order_no") if dense is None else dense
+        if (row["most"] or 0) <= limit:
             break
-        deep = joined.where(F.col("n") > REGION)
         rows = deep.select("id", "order_no").join(classes.select("id", "signature"), "id")
         # Signatures equal to the last value: cut at random, and all compared with one of them.
         chained = deep.select("region", "id", "least", "n") if depth == LADDER[-1] else None
     if chained is not None:
-        block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (REGION // 2)))
-        settled.append(chained.select(F.xxhash64("region", block).alias("region"), "id"))
-        star = F.xxhash64("region", "id")
+        block = F.pmod(F.xxhash64("id"), F.ceil(2 * F.col("n") / limit))
+        settled.append(chained.select(F.xxhash64("region", block).alias("region"), "id", level))
+        star = F.xxhash64("region", "id").alias("region")
         settled.append(
-            chained.where("id <> least").select(star.alias("region"), F.explode(F.array("id", "least")).alias("id"))
+            chained.where("id <> least").select(star, F.explode(F.array("id", "least")).alias("id"), level)
         )
-    return reduce(DataFrame.union, settled)
+    return reduce(DataFrame.union, settled), dense
 
 
 def _forest(a: np.ndarray, b: np.ndarray, close: np.ndarray) -> np.ndarray:
@@ -192,29 +226,37 @@ def _forest(a: np.ndarray, b: np.ndarray, close: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def _pairs(at_least: float, forest: bool) -> Callable:
-    """Candidate pairs of rows that lie together by region.
+def _alike(matrix: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.empty(len(x))
+    for a in range(0, len(x), 8192):
+        out[a : a + 8192] = (matrix[x[a : a + 8192]] == matrix[y[a : a + 8192]]).mean(axis=1)
+    return out
+
 
-    A region has so few rows that those of a batch's last one wait for the next batch.
+def _pairs(threshold: float, kind: type, forest: bool) -> Callable:
+    """Candidate pairs of rows that lie together by region, their ends in different parts.
+
+    A region has a bounded number of rows; those of a batch's last one wait for the next.
     """
 
     def found(region: np.ndarray, ids: np.ndarray, part: np.ndarray, matrix: np.ndarray) -> pa.RecordBatch:
-        left, right, close = [], [], []
+        left, right, close = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        head = np.ascontiguousarray(matrix[:, :VALUES])
         for step in range(1, len(ids)):
-            first = np.flatnonzero(region[step:] == region[:-step])
-            if not len(first):
+            x = np.flatnonzero(region[step:] == region[:-step])
+            if not len(x):
                 break
-            first = first[part[first] != part[first + step]]
-            alike = np.empty(len(first))
-            for a in range(0, len(first), 16384):
-                at = first[a : a + 16384]
-                alike[a : a + 16384] = (matrix[at] == matrix[at + step]).mean(axis=1)
-            good = alike >= at_least
-            left.append(first[good])
-            right.append(first[good] + step)
-            close.append(alike[good])
-        if not left:
-            left, right, close = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+            x = x[part[x] != part[x + step]]
+            alike = _alike(head, x, x + step)
+            good = alike >= least_estimate(threshold, VALUES)
+            x, alike = x[good], alike[good]
+            if matrix.shape[1] > VALUES and len(x):
+                alike = _alike(matrix, x, x + step)
+                good = alike >= least_estimate(threshold, matrix.shape[1])
+                x, alike = x[good], alike[good]
+            left.append(x)
+            right.append(x + step)
+            close.append(alike)
         x, y, s = np.concatenate(left), np.concatenate(right), np.concatenate(close)
         if forest and len(x):
             # A class stands in several regions of a batch; nodes are rows, so regions stay apart.
@@ -229,7 +271,8 @@ def _pairs(at_least: float, forest: bool) -> Callable:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = (batch["region"].to_numpy(), batch["id"].to_numpy(), batch["part"].to_numpy(), _matrix(batch["signature"]))
+            columns = [batch[c].to_numpy() for c in ("region", "id", "part")]
+            now = (*columns, _matrix(batch["signature"], kind))
             now = now if kept is None else tuple(np.concatenate(x) for x in zip(kept, now, strict=True))
             whole = int(np.searchsorted(now[0], now[0][-1]))
             kept = tuple(x[whole:] for x in now)
@@ -241,15 +284,21 @@ def _pairs(at_least: float, forest: bool) -> Callable:
     return run
 
 
-def candidates(placed: DataFrame, parts: DataFrame | None, classes: DataFrame, threshold: float, forest: bool) -> DataFrame:
-    """Distinct candidate pairs of the regions, whose ends differ in ``part`` if given."""
-    rows = placed.join(classes.select("id", "signature"), "id")
+def candidates(
+    placed: DataFrame, parts: DataFrame | None, signatures: DataFrame, threshold: float, kind: type = np.uint32
+) -> DataFrame:
+    """Distinct candidate pairs of the regions.
+
+    Without ``parts`` the strongest forest of each region; with them every pair whose
+    ends lie in different ones.
+    """
+    rows = placed.join(signatures.select("id", "signature"), "id")
     if parts is None:
         rows = rows.withColumn("part", F.col("id"))
     else:
         rows = rows.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
     rows = rows.select("region", "id", "part", "signature").repartition("region").sortWithinPartitions("region")
-    return rows.mapInArrow(_pairs(least_estimate(threshold), forest), "a long, b long").where("a <> b").distinct()
+    return rows.mapInArrow(_pairs(threshold, kind, parts is None), "a long, b long").where("a <> b").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -281,18 +330,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: float = 0.8) -
         .select("d1", "d2", F.col("m.doc_id").alias("id"), F.col("m.signature").alias("signature")),
         "classes",
     )
-    placed = scratch_table(regions(classes), "regions")
+    settled, deep = regions(classes, classes.select("id", "signature"), REGION)
+    placed = scratch_table(settled, "regions")
+    dense = scratch_table(deep, "dense")
 
-    strongest = scratch_table(candidates(placed, None, classes, threshold, True), "strongest")
-    ends = strongest.select(F.col("a").alias("id")).union(strongest.select(F.col("b").alias("id"))).distinct()
-    asked = scratch_table(ends, "asked")
+    strongest = scratch_table(candidates(placed, None, classes, threshold), "strongest")
+    ends = strongest.select(F.col("a").alias("id")).union(strongest.select(F.col("b").alias("id")))
+    asked = scratch_table(ends.union(dense.select("id")).distinct(), "asked")
     wanted = texts.join(small(asked, asked.count()), texts["doc_id"] == asked["id"], "left_semi")
     sets = scratch_table(wanted.mapInArrow(_sets(shingle), "id long, shingles array<long>"), "sets")
     links = scratch_table(confirmed(strongest, sets, threshold), "confirmed")
     parts = scratch_table(components(links), "parts")
 
-    rest = candidates(placed, parts, classes, threshold, False).join(strongest, ["a", "b"], "left_anti")
-    more = scratch_table(confirmed(scratch_table(rest, "rest"), sets, threshold), "confirmed")
+    rest = candidates(placed.where(F.col("depth") == LADDER[0]), parts, classes, threshold)
+    if dense.count():
+        rows = dense.join(classes.select("id", "signature"), "id")
+        wide = scratch_table(regions(classes, rows, WIDE)[0], "wide")
+        some = sets.join(dense.select("id").distinct(), "id", "left_semi")
+        longer = scratch_table(some.mapInArrow(_long, "id long, signature binary"), "long")
+        rest = rest.union(candidates(wide, parts, longer, threshold, np.uint16)).distinct()
+    rest = scratch_table(rest.join(strongest, ["a", "b"], "left_anti"), "rest")
+    more = scratch_table(confirmed(rest, sets, threshold), "confirmed")
     # Rows that share an id but not the text hang together by the id itself.
     final = components(links.union(more))
     lowest = signed.join(classes.select("d1", "d2", "id"), ["d1", "d2"], "left").join(
