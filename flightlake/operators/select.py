@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightlake.functions.values import SEARCH_TIME_FIELD, TIME_FIELDS
@@ -27,8 +28,15 @@ def field(samples: DataFrame, message: str, name: str) -> DataFrame:
     return samples.where((F.col("message") == message) & (F.col("field") == name))
 
 
+def is_one_of(refs: Sequence[tuple[str, str]]) -> Column:
+    """Whether a row belongs to one of the fields, said so that a scan can prune by message."""
+    return reduce(
+        lambda some, ref: some | ((F.col("message") == ref[0]) & (F.col("field") == ref[1])), refs, F.lit(False)
+    )
+
+
 def fields(samples: DataFrame, refs: Sequence[tuple[str, str]]) -> DataFrame:
-    return samples.where(F.struct("message", "field").isin(*[F.struct(F.lit(m), F.lit(f)) for m, f in refs]))
+    return samples.where(is_one_of(refs))
 
 
 def time_window(rows: DataFrame, t0: int, t1: int) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flightlake.operators.select import is_one_of
 from flightlake.scale import (
     Groups,
     Ordered,
@@ -207,8 +208,7 @@ def at_instants(samples: DataFrame, instants: DataFrame, refs: Sequence[tuple[st
     """
     picked = F.array(*[F.struct(F.lit(m).alias("message"), F.lit(f).alias("field")) for m, f in refs])
     asked = instants.select("log_id", "ts_us", "seq", F.inline(picked))
-    wanted = samples.where(F.struct("message", "field").isin(*[F.struct(F.lit(m), F.lit(f)) for m, f in refs]))
-    return nearest(wanted, asked, ("log_id", "message", "field"))
+    return nearest(samples.where(is_one_of(refs)), asked, ("log_id", "message", "field"))
 
 
 def position_at(trajectory: DataFrame, instants: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flightlake.operators import channels, circle, spectrum, stats, tables, timejoin, tracking
 from flightlake.operators.mission import log_mission
-from flightlake.operators.select import fields, interval_window, keep_messages
+from flightlake.operators.select import fields, interval_window, is_one_of, keep_messages
 from flightlake.operators.sequence import detrend, uniform_grid, unwrap_angle
 from flightlake.operators.trajectory import trajectory
 from flightlake.plans import rules
@@ -32,13 +32,23 @@ def _windowed(rows: DataFrame, intervals: DataFrame | None) -> DataFrame:
     return rows if intervals is None else interval_window(rows, intervals)
 
 
+def _names_in(table: DataFrame, *columns: str) -> list[str]:
+    """The different message names of a rule table: as many as there are message types."""
+    names = table.select(F.explode(F.array(*columns)).alias("name")).where("name IS NOT NULL").distinct()
+    return sorted(r["name"] for r in names.collect())
+
+
 def window_stats(
     samples: DataFrame,
     selected: Sequence[tuple[str, str]],
     extra: Sequence[tuple[str, str]] = (),
     intervals: DataFrame | None = None,
+    catalog: DataFrame | None = None,
 ) -> DataFrame:
-    """Statistics of the chosen fields; a field without samples keeps its row."""
+    """Statistics of the chosen fields; a field without samples keeps its row.
+
+    With ``catalog`` only the chosen messages are read, and the logs come from it.
+    """
     refs = list(dict.fromkeys([*selected, *extra]))
     listed = F.array(
         *[
@@ -47,7 +57,7 @@ def window_stats(
         ]
     )
     measured = stats.column_stats(_windowed(fields(samples, refs), intervals))
-    asked = samples.select("log_id").distinct().select("log_id", F.inline(listed))
+    asked = (samples if catalog is None else catalog).select("log_id").distinct().select("log_id", F.inline(listed))
     return asked.join(measured, list(SERIES), "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -74,9 +84,8 @@ def compass_report(
     )
     # Load on the compass's own stamps, interpolated from the load's whole series.
     driver = scratch_table(rules.driver_sources(catalog).where("pos = 1"), "drivers")
-    drive_names = sorted({d[1] for d in rules.DRIVERS})
     drive = join_per_key(
-        samples.where(F.col("field").isin(*drive_names)), driver.select(*SERIES), list(SERIES), "seq"
+        samples.where(is_one_of([d[:2] for d in rules.DRIVERS])), driver.select(*SERIES), list(SERIES), "seq"
     ).select("log_id", "ts_us", "seq", "value")
     drive = join_per_key(drive, sources.select(*keys), ["log_id"], "seq")
     on_mag = timejoin.interpolate(drive, cloud.select(*keys, "ts_us", "seq", "b"), keys)
@@ -164,6 +173,7 @@ def scatter_report(
     carried = presets if intervals is None else presets.join(intervals, "log_id")
     told = [*keys, "x_scale", "y_scale"]
     inside = F.lit(True) if intervals is None else F.col("ts_us").between(F.col("t0"), F.col("t1"))
+    samples = keep_messages(samples, _names_in(presets, "x_message", "y_message"))
     groups = Groups(samples, SERIES)
 
     def series(axis: str) -> DataFrame:
@@ -198,6 +208,7 @@ def spectrum_report(
     is none: ``missing``, ``short``, ``gaps``.
     """
     keys = list(SERIES)
+    samples = keep_messages(samples, _names_in(chosen_fields, "message"))
     chosen = scratch_table(join_per_key(samples, chosen_fields.select(*keys), keys, "seq").select(*keys, "ts_us", "seq", "value"), "signal")
     points, grid = uniform_grid(_windowed(chosen, intervals), keys)
     points, grid = scratch_table(points, "points"), scratch_table(grid, "grids")

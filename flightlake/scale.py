@@ -26,9 +26,6 @@ from pyspark.sql import functions as F
 
 #: Rows of one series (or one group) a single task is asked to hold.
 GROUP_ROWS = 1_000_000
-#: Pieces a table is cut into at most, unless the cluster asks for more shuffle
-#: partitions itself.  It bounds the carry tables, which are broadcast.
-MOST_PIECES = 50_000
 
 _local_scratch: dict[str, str] = {}
 
@@ -210,7 +207,7 @@ class Ordered:
                 split = split or largest > limit
             if split:
                 shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-                parts = max(shuffles, min(MOST_PIECES, 2 * math.ceil(rows / limit)))
+                parts = max(shuffles, 2 * math.ceil(rows / limit))
                 df = scratch_table(
                     df.repartitionByRange(parts, *self.keys, *self.order).withColumn(
                         "_piece", F.spark_partition_id()
@@ -256,7 +253,8 @@ class Ordered:
             .agg(*[s.summary(position).alias(f"_s_{name}") for name, s in scans.items()])
             .withColumn("_pieces", F.count(F.lit(1)).over(over_key))
             # Only a series that crosses a piece border appears here: no more
-            # than two rows per piece, however many series there are.
+            # than two rows per piece, however many series there are.  Spark
+            # broadcasts them while they are few, and else joins by piece.
             .where("_pieces > 1")
             .select(
                 *part,
@@ -268,7 +266,7 @@ class Ordered:
         )
         kept = self.df.columns
         return self._same(
-            out.join(F.broadcast(carries), part, "left").select(
+            out.join(carries, part, "left").select(
                 *kept,
                 *[
                     s.merge(F.col(name), F.col(f"_c_{name}")).alias(name)

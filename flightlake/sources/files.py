@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,37 +44,45 @@ def log_kind(path: Column, first_byte: Column | None = None) -> Column:
     return F.coalesce(by_name, F.when(F.hex(first_byte) == "A3", "bin").otherwise("tlog"))
 
 
-def list_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """``(log_id, path, length, kind)`` of every file below ``folder``.
+def _peek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first byte of every file whose name does not tell its kind."""
+    for batch in batches:
+        told = zip(batch.column("path").to_pylist(), batch.column("named").to_pylist(), strict=True)
+        heads = [None if named else read_range(path, 0, 1) for path, named in told]
+        yield batch.append_column("head", pa.array(heads, pa.binary()))
+
+
+def with_kind(listed: DataFrame) -> DataFrame:
+    """``(log_id, path, length, kind)`` of listed files ``(path, length)``, streamed or not.
 
     Only the listing is read; files without a telling extension are peeked at.
     """
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    return (
+        listed.select("path", "length", log_kind(F.col("path")).isNotNull().alias("named"))
+        .mapInArrow(_peek, "path string, length long, named boolean, head binary")
+        .select(
+            F.col("path").alias("log_id"), "path", "length", log_kind(F.col("path"), F.col("head")).alias("kind")
+        )
     )
 
-    def peek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            heads = [read_range(p, 0, 1) for p in batch.column("path").to_pylist()]
-            yield batch.append_column("head", pa.array(heads, pa.binary()))
-
-    named = found.where(log_kind(F.col("path")).isNotNull()).withColumn("kind", log_kind(F.col("path")))
-    unnamed = (
-        found.where(log_kind(F.col("path")).isNull())
-        .mapInArrow(peek, "path string, length long, head binary")
-        .withColumn("kind", log_kind(F.col("path"), F.col("head")))
-        .drop("head")
-    )
-    return named.unionByName(unnamed).select(F.col("path").alias("log_id"), "path", "length", "kind")
+
+def list_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """``(log_id, path, length, kind)`` of every file below ``folder``."""
+    return with_kind(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
 
 
 def read_range(path: str, start: int, stop: int) -> bytes:
     """Bytes ``[start, stop)`` of a file any executor can reach."""
     from pyarrow import fs
 
-    if path.startswith("file:/") and not path.startswith("file:///"):
-        path = "file:///" + path[len("file:/"):].lstrip("/")
-    store, inner = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    scheme, _, rest = path.partition(":")
+    if scheme == "file" or not rest.startswith("/"):
+        # A local name may hold anything, spaces and percent signs too.
+        local = rest if scheme == "file" else path
+        store, inner = fs.LocalFileSystem(), "/" + local.lstrip("/") if local.startswith("/") else local
+    else:
+        # Names come as they are, and a URI has them quoted.
+        store, inner = fs.FileSystem.from_uri(quote(path.replace("s3a://", "s3://", 1), safe=":/@"))
     with store.open_input_file(inner) as f:
         f.seek(start)
         return f.read(max(0, stop - start))

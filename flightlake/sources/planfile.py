@@ -1,24 +1,23 @@
 """Flight-plan files: the line-based text form and the JSON form.
 
-A plan file is whole in one row; files above ``LARGEST_PLAN`` are not plans and
-are rejected by size before they are read.
+A plan file is whole in one row.  A caller may name a size above which a file is no
+plan; it is then rejected before it is read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightlake.functions.geo import is_route_command, is_route_vertex
-from flightlake.scale import scratch_table
+from flightlake.scale import Ordered, last_known, row_index, scratch_table
 
 # Fixed values.
-LARGEST_PLAN = 8 << 20
 TEXT_HEADER = "QGC WPL"
 TEXT_FIELDS = 12
 WAYPOINT, GLOBAL_FRAME = 16, 0
-#: Complex items nested deeper than this are reported, not guessed at.
-NESTING = 3
 
 _SPACE = r"[\s\x0B   -     　﻿]"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -26,16 +25,17 @@ _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 WAYPOINTS = ("log_id", "seq", "command", "lat", "lon", "alt", "frame")
 
 
-def read_plans(spark: SparkSession, folder: str) -> DataFrame:
-    """``(log_id, size, content)`` per file; content is NULL where the size rules a plan out."""
+def read_plans(spark: SparkSession, folder: str, largest: int | None = None) -> DataFrame:
+    """``(log_id, size, content)`` per file; content is NULL where ``largest`` rules a plan out."""
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     meta = F.col("_metadata")
-    small = files.where(meta["file_size"] <= LARGEST_PLAN).select(
-        meta["file_path"].alias("log_id"), meta["file_size"].alias("size"), F.col("value").alias("content")
-    )
+    told = (meta["file_path"].alias("log_id"), meta["file_size"].alias("size"), F.col("value").alias("content"))
+    if largest is None:
+        return files.select(*told)
+    small = files.where(meta["file_size"] <= largest).select(*told)
     large = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-        .where(F.col("length") > LARGEST_PLAN)
+        .where(F.col("length") > largest)
         .select(F.col("path").alias("log_id"), F.col("length").alias("size"), F.lit(None).cast("string").alias("content"))
     )
     return small.unionByName(large)
@@ -48,7 +48,7 @@ def route_plans(files: DataFrame) -> DataFrame:
     """
     body = F.regexp_replace("content", f"^{_SPACE}+", "")
     kind = (
-        F.when(F.col("content").isNull() | (F.col("size") > LARGEST_PLAN), "too-large")
+        F.when(F.col("content").isNull(), "too-large")
         .when(F.col("body").startswith("{"), "json")
         .when(F.col("body").startswith(TEXT_HEADER), "text")
         .otherwise("other")
@@ -122,33 +122,33 @@ def _inner_items(item: Column) -> Column:
     return F.when(kind.isin("ComplexItem", "survey") & (F.size(inner) > 0), inner)
 
 
-def _opened(items: Column) -> Column:
-    """Complex items replaced by what they hold, one level down, places kept."""
-    place = lambda s, j: F.concat(s["place"], F.array(j))
-    return F.flatten(
-        F.transform(
-            items,
-            lambda s: F.coalesce(
-                F.transform(
-                    _inner_items(s["item"]),
-                    lambda sub, j: F.struct(place(s, j).alias("place"), sub.alias("item")),
-                ),
-                F.array(s),
-            ),
+def _expanded(level: DataFrame) -> DataFrame:
+    """``(log_id, place, item)`` with complex items replaced by what they hold, however deep.
+
+    Each round opens one level of what is still closed, until nothing is.
+    """
+    done = []
+    while True:
+        level = level.withColumn("inner", _inner_items(F.col("item")))
+        done.append(level.where("inner IS NULL").select("log_id", "place", "item"))
+        opened = level.where("inner IS NOT NULL").select("log_id", "place", F.posexplode("inner").alias("j", "sub"))
+        opened = opened.select(
+            "log_id", F.concat("place", F.array("j")).alias("place"), F.to_json("sub").alias("body")
         )
-    )
+        opened = scratch_table(opened, "nested-items")
+        if opened.limit(1).count() == 0:
+            return reduce(DataFrame.unionByName, done)
+        level = opened.select("log_id", "place", F.parse_json("body").alias("item"))
 
 
 def json_items(plans: DataFrame) -> DataFrame:
     """Items of accepted JSON plans after expanding complex ones.
 
     ``place`` orders them as written; ``unreadable`` marks what belongs on the
-    route but cannot be drawn, ``too_deep`` nesting beyond ``NESTING``.
+    route but cannot be drawn.
     """
-    items = F.transform("items", lambda x, i: F.struct(F.array(i).alias("place"), x.alias("item")))
-    for _ in range(NESTING):
-        items = _opened(items)
-    flat = plans.where("reason IS NULL").select("log_id", F.inline(items))
+    first = plans.where("reason IS NULL").select("log_id", F.posexplode("items").alias("i", "item"))
+    flat = _expanded(first.select("log_id", F.array("i").alias("place"), "item"))
     flat = flat.where(F.schema_of_variant("item").rlike("^(OBJECT|ARRAY)"))
     kind = _at("item", "$.type", "string")
     moved = F.schema_of_variant(_at("item", "$.coordinate")).startswith("ARRAY")
@@ -158,7 +158,6 @@ def json_items(plans: DataFrame) -> DataFrame:
     read = flat.select(
         "log_id", "place",
         F.coalesce(kind.isin("ComplexItem", "survey"), F.lit(False)).alias("complex"),
-        _inner_items(F.col("item")).isNotNull().alias("too_deep"),
         _json_number(_at("item", "$.command")).alias("command"),
         spot(0, 4).alias("lat"), spot(1, 5).alias("lon"), spot(2, 6).alias("alt"),
         _json_number(_at("item", "$.frame")).alias("frame"),
@@ -169,18 +168,14 @@ def json_items(plans: DataFrame) -> DataFrame:
 
 
 def number_items(items: DataFrame) -> DataFrame:
-    """``seq`` of each item: its own valid number, else one more than the item before.
-
-    Items of one file (at most ``LARGEST_PLAN`` bytes) share a task.
-    """
-    file = Window.partitionBy("log_id").orderBy("place")
-    upto = file.rowsBetween(Window.unboundedPreceding, 0)
+    """``seq`` of each item: its own valid number, else one more than the item before."""
     valid = (F.col("jump_id") >= 0) & (F.col("jump_id") == F.floor("jump_id"))
-    ranked = items.where("NOT complex").withColumn("rank", F.row_number().over(file))
-    anchor = F.last(F.when(valid, F.struct("jump_id", "rank")), True).over(upto)
-    return ranked.withColumn("_a", anchor).withColumn(
-        "seq", F.coalesce(F.col("_a.jump_id") + F.col("rank") - F.col("_a.rank"), F.col("rank").cast("double"))
-    ).drop("_a", "rank")
+    ranked = Ordered(items.where("NOT complex"), ["log_id"], ["place"]).scan(_rank=row_index())
+    ranked = ranked.with_columns(_rank=F.col("_rank") + 1)
+    numbered = ranked.scan(_a=last_known(F.when(valid, F.struct("jump_id", "_rank")))).rows()
+    return numbered.withColumn(
+        "seq", F.coalesce(F.col("_a.jump_id") + F.col("_rank") - F.col("_a._rank"), F.col("_rank").cast("double"))
+    ).drop("_a", "_rank")
 
 
 def _home(plans: DataFrame) -> DataFrame:
@@ -194,14 +189,18 @@ def _home(plans: DataFrame) -> DataFrame:
 
 
 def _last_written(items: DataFrame, order: str) -> DataFrame:
-    """Drawable items, the last write of each number."""
+    """Drawable items, the last write of each whole number.
+
+    A number is made whole before items are told apart by it; one beyond any
+    integer, as a broken file may hold, is none.
+    """
     drawn = items.where(is_route_vertex(F.col("command"), F.col("lat"), F.col("lon")))
     return (
-        drawn.groupBy("log_id", "seq")
+        drawn.withColumn("seq", F.col("seq").try_cast("long")).where("seq IS NOT NULL").groupBy("log_id", "seq")
         .agg(F.max_by(F.struct("command", "lat", "lon", "alt", "frame"), F.col(order)).alias("w"))
         .select(
-            "log_id", F.col("seq").cast("long").alias("seq"), F.col("w.command").cast("int").alias("command"),
-            "w.lat", "w.lon", "w.alt", F.col("w.frame").cast("int").alias("frame"),
+            "log_id", "seq", F.col("w.command").try_cast("int").alias("command"),
+            "w.lat", "w.lon", "w.alt", F.col("w.frame").try_cast("int").alias("frame"),
         )
     )
 
@@ -235,9 +234,7 @@ def parse_plans(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     numbered = number_items(items).where("NOT unreadable")
     names = ["log_id", "place", "seq", "command", "lat", "lon", "alt", "frame"]
     from_json = _last_written(numbered.select(*names).unionByName(_home(plans)), "place")
-    lost = items.groupBy("log_id").agg(
-        F.count_if("unreadable").alias("unreadable"), F.bool_or("too_deep").alias("too_deep")
-    )
+    lost = items.groupBy("log_id").agg(F.count_if("unreadable").alias("unreadable"))
 
     waypoints = from_text.unionByName(from_json)
     drawn = waypoints.groupBy("log_id").agg(F.count(F.lit(1)).alias("n"))
@@ -252,7 +249,6 @@ def parse_plans(files: DataFrame) -> tuple[DataFrame, DataFrame]:
             .when(F.col("kind") == "other", "not a mission file")
             .when(F.col("reason").isNotNull(), F.col("reason"))
             .when(F.coalesce("n", F.lit(0)) == 0, "no drawable waypoints")
-            .when(F.col("too_deep"), "items nested too deep")
             .alias("reason"),
         )
     )

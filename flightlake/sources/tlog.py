@@ -26,8 +26,8 @@ SCALARS = {
     "int32_t": "<i4", "uint64_t": "<u8", "int64_t": "<i8", "float": "<f4", "double": "<f8", "char": "S1",
 }
 
-#: A dialect is a protocol definition: a few thousand rows.
-LARGEST_DIALECT = 100_000
+#: Stamps are microseconds in 63 bits; what a resync through junk may read beyond is none.
+LAST_STAMP = 2**63 - 1
 
 FRAMES = "log_id string, seq long, ts_us long, msg_id int, payload binary"
 RECORDS = (
@@ -83,8 +83,9 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _stamp(buf: bytes, pos: int) -> int:
-    return int.from_bytes(buf[pos : pos + 8], "big")
+def _stamp(buf: bytes, pos: int) -> int | None:
+    stamp = int.from_bytes(buf[pos : pos + 8], "big")
+    return stamp if stamp <= LAST_STAMP else None
 
 
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +118,11 @@ def frames(files: DataFrame, range_bytes: int | None = None) -> DataFrame:
 
 
 def _definitions(dialect: DataFrame) -> dict[int, tuple[str, np.dtype, list[tuple[str, bool]]]]:
-    """Per message id: name, payload layout, and its kept fields (is it text?)."""
-    rows = layered_dialect(dialect).limit(LARGEST_DIALECT + 1).collect()
-    if len(rows) > LARGEST_DIALECT:
-        raise ValueError(f"a dialect of more than {LARGEST_DIALECT} fields is not a protocol definition")
+    """Per message id: name, payload layout, and its kept fields (is it text?).
+
+    A dialect is a protocol definition, as long as the protocol has fields.
+    """
+    rows = layered_dialect(dialect).collect()
     by_id: dict[int, list] = {}
     for r in rows:
         by_id.setdefault(r["msg_id"], []).append(r)

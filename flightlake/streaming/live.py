@@ -12,20 +12,19 @@ from pyspark.sql.streaming import StreamingQuery
 from flightlake.operators.sequence import mode_changes
 from flightlake.operators.stats import stat_columns
 from flightlake.scale import scratch_table
-from flightlake.sources.files import log_kind
-
+from flightlake.sources.files import with_kind
 
 # The columns of the file listing source.
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
 def arriving_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of ``(log_id, path, length, kind)``, one row per new file; contents are not read."""
+    """Stream of ``(log_id, path, length, kind)``, one row per new file; at most its first byte is read."""
     listed = (
         spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch).load(folder)
     )
-    return listed.select(F.col("path").alias("log_id"), "path", "length", log_kind(F.col("path")).alias("kind"))
+    return with_kind(listed)
 
 
 def ingest(

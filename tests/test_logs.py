@@ -218,3 +218,22 @@ def test_written_tables_prune(spark, folder, tmp_path):
     assert back.count() == rows.count()
     plan = back.where("message = 'GPS' AND ts_us > 1100").select("value")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "GreaterThan(ts_us,1100)" in plan
+
+
+def test_names_may_hold_anything(spark, folder):
+    """Spaces, percent and number signs and other letters, as ground stations write them."""
+    names = ["2024-05-01 10-12-33.bin", "a%20b#1.bin", "höhe ü.bin", "sub dir/x?y.bin", "plain.bin", "untold name"]
+    path = folder({n: GPS + gps(i + 1, 1, 1, 1) for i, n in enumerate(names)})
+    found = list_logs(spark, path)
+    assert found.count() == len(names) and {r.kind for r in found.collect()} == {"bin"}
+    rows = dataflash.read_dataflash(found).groupBy("log_id").count().collect()
+    assert sorted(r["count"] for r in rows) == [1] * len(names)
+
+
+def test_a_stamp_beyond_63_bits_is_none(spark, folder):
+    """A resync through junk can read any stamp; the frames around it are kept."""
+    good = frame2(1234, 5, b"\1" * 9)
+    wild = b"\xff" * 8 + good[8:]
+    path = folder({"x.tlog": good + wild + good})
+    got = [r.ts_us for r in tlog.frames(list_logs(spark, path)).orderBy("seq").collect()]
+    assert len(got) == 3 and got[1] is None and got[0] is not None and got[0] == got[2]

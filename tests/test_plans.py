@@ -28,6 +28,12 @@ def survey(items, kind="ComplexItem"):
     return {"type": kind, "TransectStyleComplexItem": {"Items": items}}
 
 
+def deep(n, items):
+    for _ in range(n):
+        items = [survey(items)]
+    return items[0]
+
+
 CASES = {
     "text": HEAD + "\n".join([line(0, 0), line(1, lat=36), line(2, 22, lat=37)]),
     "text-dressed": "﻿ \r\n" + HEAD.strip() + "\r\n# note\r\n\r\n  " + line(1).replace("\t", "   ") + " \r\n",
@@ -50,7 +56,9 @@ CASES = {
     "json-bare": json.dumps({"fileType": "Plan"}),
     "json-broken": '{"fileType":"Plan",',
     "neither": "hello",
-    "json-deep": plan([survey([survey([survey([survey([simple(36, 139)])])])])]),
+    "json-deep": plan([deep(12, [simple(41, 139), simple(42, 139)]), simple(43, 139)]),
+    "json-wild": plan([simple(36, 139, 1e300), {**simple(37, 139, 3), "frame": 1e20}, simple(38, 139, 4)]),
+    "text-fractions": HEAD + "\n".join([line(1, lat=36), line("1.5", lat=37), line(2, lat=38)]),
 }
 
 
@@ -88,6 +96,20 @@ def test_json(parsed):
     assert lats(points, "json-lost") == [(0, 35.0), (1, 36.0)] and outcome["json-lost"].unreadable == 2
     assert lats(points, "json-numbers") == [(0, 35.0), (1, 36.0), (8, 37.0), (9, 38.0), (10, 39.0)]
     assert lats(points, "json-no-home") == [(1, 36.0)]
+    assert lats(points, "json-deep") == [(0, 35.0), (1, 41.0), (2, 42.0), (3, 43.0)]
+
+
+def test_odd_numbers(parsed):
+    """A number no integer holds counts as none given, a frame as unknown; fractions are cut off."""
+    points, outcome = parsed
+    assert [(p[0], p[2], p[4]) for p in points["json-wild"]] == [
+        (0, 35.0, 0),
+        (1, 36.0, 3),
+        (3, 37.0, None),
+        (4, 38.0, 3),
+    ]
+    assert lats(points, "text-fractions") == [(1, 37.0), (2, 38.0)]
+    assert outcome["json-wild"].reason is None
 
 
 def test_refusals(parsed):
@@ -102,7 +124,6 @@ def test_refusals(parsed):
         "json-bare": "no mission",
         "json-broken": "not JSON",
         "neither": "not a mission file",
-        "json-deep": "items nested too deep",
         "large": "too large",
     }
     assert "text-commas" not in points
@@ -113,3 +134,6 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.plan").write_text(CASES["json"])
     waypoints, outcome = parse_plans(read_plans(spark, str(tmp_path)))
     assert waypoints.count() == 6 and sorted(r.kind for r in outcome.collect()) == ["json", "text"]
+    (tmp_path / "c.plan").write_text(" " * 3000 + CASES["json"])
+    _, outcome = parse_plans(read_plans(spark, str(tmp_path), largest=3000))
+    assert sorted(r.kind for r in outcome.collect()) == ["json", "text", "too-large"]

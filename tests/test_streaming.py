@@ -26,6 +26,10 @@ def test_arriving_logs_are_ingested_once(spark, tmp_path):
     (drop / "b.bin").write_bytes(GPS + gps(3, 1, 1, 1))
     assert run() == (2, 3)
     assert run() == (2, 3)
+    # Without a telling name the first byte decides.
+    (drop / "no telling %20name").write_bytes(b"\xa3" + (GPS + gps(4, 1, 1, 1))[1:])
+    (drop / "other").write_bytes(b"\0" * 30)
+    assert run() == (3, 4)
 
 
 def test_modes_are_followed_across_batches(spark, tmp_path):
