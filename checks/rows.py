@@ -9,7 +9,7 @@ from checks.registry import check, rounded
 from checks.views import spark_sql, view
 from flightlake.functions import display, geo, values
 from flightlake.operators import select, sequence, tables
-from flightlake.operators.mission import command_items, is_flight_plan, route_vertices
+from flightlake.operators.mission import command_items, in_order, is_flight_plan, route_vertices
 from flightlake.sources.files import log_kind
 from flightlake.sources.tlog import layered_dialect
 
@@ -361,9 +361,20 @@ def s01(spark, d):
     return tables.time_sorted(view(spark, d, "hourly").select("log_id", "message", "ts_us", "seq", "value"))
 
 
-@check("s03_name_order")
+# Underscores come before digits and letters, case only settles ties, lower case first.
+_BY_NAME = ", ".join(
+    f"translate(lower({c}), '_', '!'), translate({c}, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')"
+    for c in ("message", "field")
+)
+
+
+@check("s03_name_order", f"""
+    SELECT log_id, message, field, CAST(row_number() OVER (PARTITION BY log_id ORDER BY {_BY_NAME}) AS INT) AS place
+    FROM fleet_catalog""")
 def s03(spark, d):
-    return select.name_order(view(spark, d, "fleet_catalog").select("log_id", "message", "field"), "message", "field")
+    names = view(spark, d, "fleet_catalog").select("log_id", "message", "field")
+    return select.name_order(names, "message", "field", within=["log_id"])
 
 
 @check("src01_log_kind", """
@@ -379,12 +390,11 @@ def src01(spark, d):
 
 @check("s02_mission_order", """
     SELECT log_id, seq, lat, row_number() OVER (PARTITION BY log_id ORDER BY seq) AS place FROM (
-        SELECT log_id, seq, round(arg_max(lat, file_seq), 6) + 0.0 AS lat FROM mission_items WHERE command = 16 GROUP BY log_id, seq) m""")
+        SELECT log_id, seq, round(arg_max(lat, file_seq), 6) + 0.0 AS lat FROM mission_items GROUP BY log_id, seq) m""")
 def s02(spark, d):
     """A plan has one row per number: a short list, numbered in its order."""
-    items = view(spark, d, "mission_items").where("command = 16")
-    plan = items.groupBy("log_id", "seq").agg(F.max_by("lat", "file_seq").alias("lat")).orderBy("log_id", "seq")
-    return rounded(plan.withColumn("place", F.row_number().over(Window.partitionBy("log_id").orderBy("seq"))))
+    items = view(spark, d, "mission_items")
+    return rounded(in_order(items.groupBy("log_id", "seq").agg(F.max_by("lat", "file_seq").alias("lat"))))
 
 
 @check("s06_longest_series", """
@@ -392,6 +402,4 @@ def s02(spark, d):
         SELECT log_id, message, CAST(count(*) AS BIGINT) AS n_rows, row_number() OVER (PARTITION BY log_id ORDER BY count(*) DESC, message) AS k FROM telemetry GROUP BY log_id, message) t WHERE k <= 2""")
 def s06(spark, d):
     """Top-k per log over the catalog, ties broken by name."""
-    counts = tables.message_counts(view(spark, d, "telemetry"))
-    best = Window.partitionBy("log_id").orderBy(F.desc("n_rows"), "message")
-    return counts.withColumn("k", F.row_number().over(best)).where("k <= 2").drop("k")
+    return select.longest_series(tables.message_counts(view(spark, d, "telemetry")), 2)

@@ -121,13 +121,17 @@ def j08(spark, d):
 
 @check("j09_position_at", """
     SELECT e.event_id AS seq, round(p.lat, 6) + 0.0 AS lat, round(p.lon, 6) + 0.0 AS lon, round(p.alt, 6) AS alt
-    FROM events e ASOF JOIN fixes p ON CAST(e.user_id % 4 AS VARCHAR) = p.log_id AND epoch_us(e.ts) + 1800000000 >= p.ts_us""")
+    FROM events e ASOF JOIN fixes p ON CAST(e.user_id % 4 AS VARCHAR) = p.log_id AND epoch_us(e.ts) + 1800000000 >= p.ts_us
+    UNION ALL
+    SELECT e.event_id, round(f.lat, 6) + 0.0, round(f.lon, 6) + 0.0, round(f.alt, 6)
+    FROM events e JOIN (SELECT log_id, min(ts_us) AS ts_us, arg_min(lat, (ts_us, seq)) AS lat, arg_min(lon, (ts_us, seq)) AS lon, arg_min(alt, (ts_us, seq)) AS alt
+                        FROM fixes GROUP BY log_id) f
+    ON CAST(e.user_id % 4 AS VARCHAR) = f.log_id AND epoch_us(e.ts) + 1800000000 < f.ts_us""")
 def j09(spark, d):
     path = view(spark, d, "fixes").withColumn("heading", F.lit(None).cast("double"))
     asked = view(spark, d, "telemetry").select("log_id", (F.col("ts_us") + 1800000000).alias("ts_us"), "seq")
-    # Instants before the first fix clamp to it; the oracle's join has no row there.
-    found = timejoin.position_at(path, asked)
-    return rounded(found.where("held_ts_us <= ts_us").select("seq", "lat", "lon", "alt"))
+    # Instants before the first fix clamp to it.
+    return rounded(timejoin.position_at(path, asked).select("seq", "lat", "lon", "alt"))
 
 
 # --- order of rows ----------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightlake.functions.geo import as_degrees, is_route_vertex
-from flightlake.scale import join_per_key
+from flightlake.scale import Ordered, join_per_key, row_index
 
 WAYPOINT = ("command", "lat", "lon", "alt", "frame")
 
@@ -20,6 +20,12 @@ def is_flight_plan(mission_type: Column) -> Column:
     return F.coalesce(mission_type, F.lit(0.0)) == 0
 
 
+def in_order(plan: DataFrame) -> DataFrame:
+    """Waypoints with their ``place`` in their log's plan, counted from 1."""
+    by_number = Ordered(plan, ["log_id"], ["seq"]).scan(place=row_index())
+    return by_number.with_columns(place=F.col("place") + 1).rows()
+
+
 def newest_plan(items: DataFrame, transfers: DataFrame | None = None) -> DataFrame:
     """The plan a log last held: ``log_id, seq`` and the waypoint columns.
 

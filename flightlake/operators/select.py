@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightlake.functions.values import SEARCH_TIME_FIELD, TIME_FIELDS
@@ -140,6 +140,19 @@ def search_params(params: DataFrame, raw: str) -> DataFrame:
     return params.where(F.upper("name").contains(raw.upper()))
 
 
-def name_order(rows: DataFrame, *columns: str) -> DataFrame:
-    """Order as a reader expects: case folded, underscores before digits."""
-    return rows.orderBy(*[F.collate(c, "UNICODE") for c in columns])
+def name_order(rows: DataFrame, *columns: str, within: Sequence[str] | None = None) -> DataFrame:
+    """Order as a reader expects: case folded, underscores before digits.
+
+    With ``within`` the rows keep no order but get their ``place`` in it, from 1 in each
+    group; what is listed by name (the fields of a log) is short.
+    """
+    order = [F.collate(c, "UNICODE") for c in columns]
+    if within is None:
+        return rows.orderBy(*order)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
+
+
+def longest_series(counts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` messages of each log with most rows, ties broken by name."""
+    best = Window.partitionBy("log_id").orderBy(F.desc("n_rows"), "message")
+    return counts.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= k).drop("_k")
