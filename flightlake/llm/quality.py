@@ -128,6 +128,11 @@ def _share(part: str, whole: str) -> Column:
     return F.col(part) / F.greatest(F.col(whole), F.lit(1))
 
 
+def _plain() -> Column:
+    """No rule speaks for a text of marks."""
+    return (_share("n_symbols", "n_words") <= 0.1) & (_share("n_letters", "word_chars") >= 0.8)
+
+
 RULES = (
     Rule("short", False, lambda: F.col("n_words") < 30),
     Rule("odd_words", False, lambda: ~_share("word_chars", "n_words").between(2.0, 12.0)),
@@ -138,17 +143,22 @@ RULES = (
     Rule("shouting", False, lambda: _share("n_shouts", "n_words") > 0.3),
     Rule("few_letters", False, lambda: _share("n_letters", "word_chars") < 0.6),
     Rule("digits", False, lambda: _share("n_digits", "word_chars") > 0.3),
-    Rule("full_lines", True, lambda: (F.col("n_words") >= 30) & (_share("n_ended", "n_lines") >= 0.8)),
-    Rule("letters", True, lambda: _share("n_letters", "word_chars") >= 0.9),
+    Rule("full_lines", True, lambda: _plain() & (F.col("n_words") >= 30) & (_share("n_ended", "n_lines") >= 0.8)),
+    Rule("letters", True, lambda: _plain() & (_share("n_letters", "word_chars") >= 0.9)),
     Rule(
         "mixed_case",
         True,
-        lambda: (_share("n_upper", "n_letters") <= 0.15) & _share("word_chars", "n_words").between(3.0, 9.0),
+        lambda: _plain()
+        & (_share("n_upper", "n_letters") <= 0.15)
+        & _share("word_chars", "n_words").between(3.0, 9.0),
     ),
     Rule(
         "unrepeated",
         True,
-        lambda: (F.col("n_words") >= 30) & (F.col("n_dup_lines") == 0) & (_share("n_repeat_words", "n_words") <= 0.05),
+        lambda: _plain()
+        & (F.col("n_words") >= 30)
+        & (F.col("n_dup_lines") == 0)
+        & (_share("n_repeat_words", "n_words") <= 0.05),
     ),
 )
 #: Accuracy a rule is taken to have before any vote is seen, and the votes that counts for.
