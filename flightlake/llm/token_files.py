@@ -26,8 +26,8 @@ from flightlake.llm.common import scratch_path, scratch_table, ship
 from flightlake.llm.tokens import encoder, vocabulary_path
 
 BLOCK, CHECKPOINT = 16_384, 256
-#: Ids coded or decoded at once.
-AT_ONCE = 1 << 21
+#: Ids coded, and decoded, at once: what is coded should stay near the processor.
+CODED, DECODED = 1 << 16, 1 << 19
 BLOCK_SCHEMA = "doc_id long, row_no long, block int, n_ids int, checkpoints array<int>, bits binary"
 
 
@@ -63,8 +63,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each id occurs in the partition."""
     total = np.zeros(1, np.int64)
     for batch in batches:
-        for held in batch["ids"].to_pylist():
-            n = np.bincount(_wide(held), minlength=len(total))
+        held = batch["ids"].to_pylist()
+        for a in range(0, len(held), 500):
+            n = np.bincount(np.concatenate([_wide(x) for x in held[a : a + 500]]), minlength=len(total))
             n[: len(total)] += total
             total = n
     seen = np.flatnonzero(total)
@@ -171,7 +172,7 @@ def _write(ids: np.ndarray, bits: np.ndarray) -> Callable:
                 for block, a in enumerate(range(0, len(wide), BLOCK)):
                     rows.append((doc, number, block, wide[a : a + BLOCK]))
                     held += len(rows[-1][3])
-                    if held >= AT_ONCE:
+                    if held >= CODED:
                         yield blocks(rows, codes, lengths)
                         rows, held = [], 0
             if rows:
@@ -238,7 +239,7 @@ def _read(ids: np.ndarray, bits: np.ndarray) -> Callable[[Iterator[pa.RecordBatc
         for batch in batches:
             sizes = batch["n_ids"].to_numpy().astype(np.int64)
             bounds = np.concatenate(([0], np.cumsum(sizes)))
-            for a, b in words.portions(bounds, AT_ONCE):
+            for a, b in words.portions(bounds, DECODED):
                 part, n = batch.slice(a, b - a), sizes[a:b]
                 held = [np.frombuffer(x, np.uint8) for x in part["bits"].to_pylist()]
                 begin = np.concatenate(([0], np.cumsum([len(x) for x in held])))[:-1] * 8
