@@ -36,27 +36,43 @@ SCHEMA = ", ".join(f"{c} long" for c in COLUMNS)
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """The items of each of ``k`` near-equal windows."""
-    if k == 1 or not sizes:
-        return [list(range(len(sizes)))] + [[] for _ in range(k - 1)]
-    heap = []
-    for i, size in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[0] = size
-        heap.append((-size, i, sums, [[i]] + [[] for _ in range(k - 1)]))
+    """The items of each of ``k`` near-equal windows.
+
+    A merge keeps only which place of either side went where; the windows of the items
+    follow from the last merge back to the first.
+    """
+    n = len(sizes)
+    if k == 1 or not n:
+        return [list(range(n))] + [[] for _ in range(k - 1)]
+    sums = []
+    for size in sizes:
+        one = np.zeros(k, np.int64)
+        one[0] = size
+        sums.append(one)
+    heap = [(-size, i) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
-    number = len(sizes)
+    merges = []
     while len(heap) > 1:
-        _, _, sums, held = heapq.heappop(heap)
-        _, _, other, more = heapq.heappop(heap)
-        sums = sums + other[::-1]
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order] - sums[order[-1]]
-        more.reverse()
-        held = [held[j] + more[j] if more[j] else held[j] for j in order.tolist()]
-        number += 1
-        heapq.heappush(heap, (-int(sums[0]), number, sums, held))
-    return heap[0][3]
+        _, a = heapq.heappop(heap)
+        _, b = heapq.heappop(heap)
+        both = sums[a] + sums[b][::-1]
+        order = (-both).argsort(kind="stable")
+        both = both[order]
+        both -= both[-1]
+        merges.append((a, b, order))
+        sums.append(both)
+        heapq.heappush(heap, (-int(both[0]), len(sums) - 1))
+    window: dict[int, np.ndarray] = {len(sums) - 1: np.arange(k)}
+    for made in range(len(sums) - 1, n - 1, -1):
+        a, b, order = merges[made - n]
+        own = window.pop(made)
+        window[a], window[b] = np.empty(k, np.int64), np.empty(k, np.int64)
+        window[a][order] = own
+        window[b][k - 1 - order] = own
+    out: list[list[int]] = [[] for _ in range(k)]
+    for i in range(n):
+        out[int(window[i][0])].append(i)
+    return out
 
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
