@@ -19,9 +19,7 @@ from pyspark.sql import functions as F
 from flightlake.llm.common import KEY, ascii_lower, join_documents, keyed, scratch_table, small
 
 #: ASCII letters and digits, and everything beyond ASCII, make words.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: For counting words before case is folded.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[\p{Alnum}\P{ASCII}]+"
 #: Windows of some hundred bytes each that are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 100_000
 
@@ -110,7 +108,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
     )
     hits = spans.select(*KEY, covered_words(F.col("spans")).cast("long").alias("n_hit"), "items")
     counted = keyed(docs).select(
-        *KEY, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words")
+        *KEY, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words")
     )
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
