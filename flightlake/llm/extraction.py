@@ -289,7 +289,7 @@ def score(tree: Tree, model: Model) -> list[float]:
     return [get("", 0.0) + sum(get(f, 0.0) for f in features(node)) for node in tree.nodes]
 
 
-def train(pages: list[tuple[Tree, list[int]]], epochs: int = 40, speed: float = 0.4) -> Model:
+def train(pages: list[tuple[Tree, list[int]]], epochs: int = 30, speed: float = 0.4) -> Model:
     """Potentials that make the labels of the pages likely; adaptive gradient steps."""
     model = Model(Counter(), [[1.0, -1.0, -1.0, 1.0] for _ in range(3)])
     seen: Counter = Counter()
@@ -367,13 +367,14 @@ def _surrounding(rng: random.Random, role: str, name: str, tag: str) -> str:
     return f'<{tag}{own} data-out="1">{inner}</{tag}>'
 
 
-def built_pages(seed: int = 11, rounds: int = 3) -> Iterator[tuple[Tree, list[int]]]:
+def built_pages(seed: int = 11, rounds: int = 6) -> Iterator[tuple[Tree, list[int]]]:
     """Labelled pages: an article among what may surround it, under every listed name."""
     rng = random.Random(seed)
     every = [
         (role, name, tag) for role, (names, tags) in SURROUNDINGS.items() for name in names.split() for tag in tags.split()
     ]
-    articles = [(tag, name) for tag, names in ARTICLES.items() for name in (names.split() or [""])]
+    # The tags that say what they are come as often as all names together.
+    articles = [(tag, name) for tag, names in ARTICLES.items() for name in (names.split() or [""] * 6)]
     for _ in range(rounds):
         rng.shuffle(every)
         turn = itertools.cycle(rng.sample(articles, len(articles)))
