@@ -18,11 +18,14 @@ from flightlake.session import ship
 #: Rows of a few numbers each that a join may broadcast; counted before it does.
 BROADCAST_ROWS = 500_000
 
+#: Narrow rows that one task takes without effort.
+ROWS_A_TASK = 50_000
+
 KEY = ["doc_id", "text_hash"]
 
 __all__ = [
     "BROADCAST_ROWS", "KEY", "ascii_lower", "held_out", "join_documents", "keyed", "read_table",
-    "scratch_path", "scratch_table", "ship", "small", "table_rows",
+    "scratch_path", "scratch_table", "ship", "small",
 ]
 
 
@@ -30,8 +33,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def scratch_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back, cutting its lineage."""
+def scratch_table(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back, cutting its lineage.
+
+    ``rows``: how many narrow rows it has at most, if known; they need no more tasks
+    than hold ``ROWS_A_TASK`` each.
+    """
+    if rows is not None and rows <= ROWS_A_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -59,10 +68,6 @@ def ascii_lower(text: Column) -> Column:
     ).otherwise(F.lower(text))
 
 
-def table_rows(df: DataFrame) -> int:
-    return df.count()
-
-
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if its counted ``rows`` keep to the bound; else Spark chooses."""
     return F.broadcast(df) if rows <= bound else df

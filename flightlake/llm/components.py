@@ -31,22 +31,19 @@ def _small_star(links: DataFrame) -> DataFrame:
     return lower.union(least.select("a", F.col("m").alias("b")))
 
 
-def _tidy(links: DataFrame) -> DataFrame:
-    return scratch_table(links.where("a <> b").distinct(), "links")
-
-
 def _print_of(links: DataFrame) -> tuple:
-    return tuple(
-        links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    )
+    """What tells one set of links from another: their number and the sum of their hashes."""
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def components(links: DataFrame) -> DataFrame:
     """``(id, component)`` of every node that has a link: the smallest id it reaches."""
-    current = _tidy(links.select("a", "b"))
+    current = scratch_table(links.select("a", "b").where("a <> b").distinct(), "links")
     before = None
     while (now := _print_of(current)) != before:
         before = now
-        current = _tidy(_small_star(_large_star(current)))
+        # A step has at most twice the links it begins with.
+        step = _small_star(_large_star(current)).where("a <> b").distinct()
+        current = scratch_table(step, "links", rows=2 * now[0])
     stars = current.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return stars.union(current.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -7,13 +7,14 @@ to the region: a prefix shared by more than ``REGION`` classes is read further,
 by value down a fixed ladder, until what shares it is few; so dense regions are cut
 deep and thin ones stay shallow, and no region is ever enumerated whole.
 
+A region the first prefix makes small is compared by that signature.  Denser ones are cut
+to ``WIDE`` classes and compared by a longer signature, so that a text with a single
+partner among thousands of less similar ones meets it too.
+
 Candidates whose signatures agree enough are confirmed on the full shingle sets, in two
 passes: first the strongest tree of candidates in every region, which joins most of
 what belongs together; then every remaining candidate pair whose ends are still in
-different components.  Pairs left out have both ends in one component already.  The
-second pass reads dense regions less deep (``WIDE`` classes may share a prefix), and
-with a longer signature, so that a text with a single partner among thousands of
-less similar ones meets it too.
+different components.  Pairs left out have both ends in one component already.
 
 Defined results: null, empty or blank text has no shingle and links with nothing; a text
 of fewer words than a shingle is one shingle; a repeated row is in its own class; rows
@@ -24,7 +25,6 @@ with nothing, its component is null and it is kept.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +36,13 @@ from flightlake.llm.common import scratch_table, ship, small
 from flightlake.llm.components import components
 
 VALUES, ORDERS = 64, 16
-#: Prefix lengths tried in turn, and classes that may share one.
+#: Prefix lengths tried in turn, and classes that may share the first and a further one.
 LADDER = (3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64)
-REGION = 32
-#: The same for the second pass over regions too dense for the first prefix, and the
-#: values of the signature compared there.
-WIDE, LONG = 1024, 512
+REGION, WIDE = 32, 1024
+#: Members of a dense region that a class meets which shares no further prefix with few.
+SOME = 4
+#: Values of the signature that is compared in dense regions.
+LONG = 512
 #: Standard errors of a signature's estimate below the threshold that a candidate may lie.
 SLACK = 4.0
 
@@ -150,61 +151,79 @@ def _prefixes(matrix: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _regions_of(depth: int) -> Callable:
-    """Region of every order of every class; of one order where the rows name it."""
+def _regions_of(depths: tuple[int, ...]) -> Callable:
+    """Region at every depth, of every order of every class; of one order where rows name it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            matrix, ids = _matrix(batch["signature"]), batch["id"].to_numpy()
-            if "order_no" in batch.schema.names:
-                orders = batch["order_no"].to_numpy().astype(np.int64)
-            else:
-                orders = np.tile(np.arange(ORDERS), len(ids))
-                ids, matrix = np.repeat(ids, ORDERS), np.repeat(matrix, ORDERS, axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(orders.astype(np.int32)), pa.array(_prefixes(matrix, orders, depth))],
-                ["id", "order_no", "region"],
-            )
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                matrix, ids = _matrix(part["signature"]), part["id"].to_numpy()
+                if "order_no" in part.schema.names:
+                    orders = part["order_no"].to_numpy().astype(np.int64)
+                else:
+                    orders = np.tile(np.arange(ORDERS), len(ids))
+                    ids, matrix = np.repeat(ids, ORDERS), np.repeat(matrix, ORDERS, axis=0)
+                for depth in depths:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(ids),
+                            pa.array(orders.astype(np.int32)),
+                            pa.array(np.full(len(ids), depth, np.int32)),
+                            pa.array(_prefixes(matrix, orders, depth)),
+                        ],
+                        ["id", "order_no", "depth", "region"],
+                    )
 
     return run
 
 
-def regions(classes: DataFrame, rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """``(region, id, depth)`` of at most ``limit`` classes that share a prefix, and at least two.
+def _placed(rows: DataFrame, depths: tuple[int, ...], name: str) -> DataFrame:
+    """``(id, order_no, depth, region)`` with ``n``, the classes that share the region, and some of them."""
+    placed = scratch_table(
+        rows.mapInArrow(_regions_of(depths), "id long, order_no int, depth int, region long"), name
+    )
+    some = [F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(SOME)]
+    sizes = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.array(*some).alias("some")).where("n > 1")
+    sizes = scratch_table(sizes, "sizes")
+    return placed.join(small(sizes, sizes.count()), "region")
+
 
-    ``rows``: ``(id, signature)``, with ``order_no`` if only some orders are meant.  Also
-    returns which orders of which classes the first prefix was too short for.
+def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(region, id)`` of the regions that the first prefix made small; ``(region, id,
+    order_no)`` of the others, ``ORDERS`` standing for cuts of them; and ``(id, orders)``:
+    as bits, the orders in which the first prefix alone was enough for a dense region.
     """
-    settled, chained, dense = [], None, None
-    for depth in LADDER:
-        placed = scratch_table(
-            rows.mapInArrow(_regions_of(depth), "id long, order_no int, region long"), f"depth-{depth}"
-        )
-        sizes = scratch_table(
-            placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1"),
-            "sizes",
-        )
-        row = sizes.agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("most")).first()
-        joined = placed.join(small(sizes, row["n"]), "region")
-        level = F.lit(depth).alias("depth")
-        settled.append(joined.where(F.col("n") <= limit).select("region", "id", level))
-        deep = joined.where(F.col("n") > limit)
-        dense = deep.select("id", "order_no") if dense is None else dense
-        if (row["most"] or 0) <= limit:
-            break
-        rows = deep.select("id", "order_no").join(classes.select("id", "signature"), "id")
-        # Signatures equal to the last value: cut at random, and all compared with one of them.
-        chained = deep.select("region", "id", "least", "n") if depth == LADDER[-1] else None
-    if chained is not None:
-        block = F.pmod(F.xxhash64("id"), F.ceil(2 * F.col("n") / limit))
-        settled.append(chained.select(F.xxhash64("region", block).alias("region"), "id", level))
-        star = F.xxhash64("region", "id").alias("region")
-        settled.append(
-            chained.where("id <> least").select(star, F.explode(F.array("id", "least")).alias("id"), level)
-        )
-    return reduce(DataFrame.union, settled), dense
+    first = _placed(classes.select("id", "signature"), LADDER[:1], "first-prefix").select("id", "order_no", "region", "n")
+    thin = scratch_table(first.where(F.col("n") <= REGION).select("region", "id"), "thin")
+    dense = scratch_table(first.where(F.col("n") > REGION), "dense")
+    # Only what one prefix crowds is read further.
+    whole, crowd = dense.where(F.col("n") <= WIDE), dense.where(F.col("n") > WIDE)
+    told = whole.groupBy("id").agg(F.expr("sum(shiftleft(1, order_no))").cast("int").alias("orders"))
+    wide = whole.select("region", "id", "order_no")
+    deeper = _placed(
+        crowd.select("id", "order_no").join(classes.select("id", "signature"), "id"), LADDER, "prefixes"
+    )
+    seen = F.struct("depth", "region", "n", "some")
+    chosen = scratch_table(
+        deeper.groupBy("id", "order_no").agg(
+            # The shallowest prefix that few enough share, and the one before.
+            F.min(F.when(F.col("n") <= WIDE, F.struct("depth", "region"))).alias("fitting"),
+            F.max(F.when(F.col("n") > WIDE, seen)).alias("parent"),
+        ),
+        "chosen",
+        rows=crowd.count(),
+    )
+    cut = chosen.where("fitting IS NOT NULL").select(F.col("fitting.region").alias("region"), "id")
+    # What no prefix fits, parted from a dense region at once or never, meets some of it;
+    # where even whole signatures agree also a random share.
+    alone = chosen.where("fitting IS NULL AND parent IS NOT NULL").select("id", "parent.*")
+    met = alone.select("id", "region", F.explode("some").alias("other")).where("id <> other")
+    ends = met.select(F.xxhash64("region", "id", "other").alias("region"), F.explode(F.array("id", "other")).alias("id"))
+    block = F.pmod(F.xxhash64("id", "region"), F.ceil(2 * F.col("n") / WIDE))
+    shares = alone.where(F.col("depth") == LADDER[-1]).select(F.xxhash64("region", block).alias("region"), "id")
+    cuts = cut.union(shares).union(ends).withColumn("order_no", F.lit(ORDERS))
+    return thin, wide.union(cuts), told
 
 
 def _forest(a: np.ndarray, b: np.ndarray, close: np.ndarray) -> np.ndarray:
@@ -239,7 +258,16 @@ def _pairs(threshold: float, kind: type, forest: bool) -> Callable:
     A region has a bounded number of rows; those of a batch's last one wait for the next.
     """
 
-    def found(region: np.ndarray, ids: np.ndarray, part: np.ndarray, matrix: np.ndarray) -> pa.RecordBatch:
+    def elsewhere(x: np.ndarray, y: np.ndarray, order: np.ndarray, orders: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+        """Whether a pair also meets in the undivided region of an earlier order, and so is told there."""
+        same = (matrix[x, :VALUES] == matrix[y, :VALUES]).reshape(len(x), ORDERS, VALUES // ORDERS)[:, :, : LADDER[0]].all(axis=2)
+        number = np.arange(ORDERS)
+        both = (((orders[x] & orders[y])[:, None] >> number) & 1).astype(bool)
+        return (same & both & (number < order[x][:, None])).any(axis=1)
+
+    def found(
+        region: np.ndarray, ids: np.ndarray, part: np.ndarray, order: np.ndarray, orders: np.ndarray, matrix: np.ndarray
+    ) -> pa.RecordBatch:
         left, right, close = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         head = np.ascontiguousarray(matrix[:, :VALUES])
         for step in range(1, len(ids)):
@@ -254,6 +282,8 @@ def _pairs(threshold: float, kind: type, forest: bool) -> Callable:
                 alike = _alike(matrix, x, x + step)
                 good = alike >= least_estimate(threshold, matrix.shape[1])
                 x, alike = x[good], alike[good]
+                here = ~elsewhere(x, x + step, order, orders, matrix)
+                x, alike = x[here], alike[here]
             left.append(x)
             right.append(x + step)
             close.append(alike)
@@ -271,7 +301,7 @@ def _pairs(threshold: float, kind: type, forest: bool) -> Callable:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch[c].to_numpy() for c in ("region", "id", "part")]
+            columns = [batch[c].to_numpy() for c in ("region", "id", "part", "order_no", "orders")]
             now = (*columns, _matrix(batch["signature"], kind))
             now = now if kept is None else tuple(np.concatenate(x) for x in zip(kept, now, strict=True))
             whole = int(np.searchsorted(now[0], now[0][-1]))
@@ -292,12 +322,12 @@ def candidates(
     Without ``parts`` the strongest forest of each region; with them every pair whose
     ends lie in different ones.
     """
-    rows = placed.join(signatures.select("id", "signature"), "id")
+    rows = placed.join(signatures, "id")
     if parts is None:
         rows = rows.withColumn("part", F.col("id"))
     else:
         rows = rows.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
-    rows = rows.select("region", "id", "part", "signature").repartition("region").sortWithinPartitions("region")
+    rows = rows.select("region", "id", "part", "order_no", "orders", "signature").repartition("region").sortWithinPartitions("region")
     return rows.mapInArrow(_pairs(threshold, kind, parts is None), "a long, b long").where("a <> b").distinct()
 
 
@@ -330,28 +360,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: float = 0.8) -
         .select("d1", "d2", F.col("m.doc_id").alias("id"), F.col("m.signature").alias("signature")),
         "classes",
     )
-    settled, deep = regions(classes, classes.select("id", "signature"), REGION)
-    placed = scratch_table(settled, "regions")
-    dense = scratch_table(deep, "dense")
-
-    strongest = scratch_table(candidates(placed, None, classes, threshold), "strongest")
-    ends = strongest.select(F.col("a").alias("id")).union(strongest.select(F.col("b").alias("id")))
-    asked = scratch_table(ends.union(dense.select("id")).distinct(), "asked")
+    thin, wide, told = regions(classes)
+    # In thin regions pairs are few, and told in every order they meet in.
+    thin = thin.withColumn("order_no", F.lit(0))
+    plain = classes.select("id", F.lit(0).alias("orders"), "signature")
+    thin_tree = scratch_table(candidates(thin, None, plain, threshold), "thin-tree")
+    ends = thin_tree.select(F.col("a").alias("id")).union(thin_tree.select(F.col("b").alias("id")))
+    crowded = scratch_table(wide.select("id").distinct(), "crowded")
+    asked = scratch_table(ends.union(crowded).distinct(), "asked")
     wanted = texts.join(small(asked, asked.count()), texts["doc_id"] == asked["id"], "left_semi")
     sets = scratch_table(wanted.mapInArrow(_sets(shingle), "id long, shingles array<long>"), "sets")
-    links = scratch_table(confirmed(strongest, sets, threshold), "confirmed")
-    parts = scratch_table(components(links), "parts")
+    in_crowd = sets.join(small(crowded, crowded.count()), "id", "left_semi")
+    longer = scratch_table(in_crowd.mapInArrow(_long, "id long, signature binary"), "long")
+    longer = longer.join(told, "id", "left").select("id", F.coalesce("orders", F.lit(0)).alias("orders"), "signature")
 
-    rest = candidates(placed.where(F.col("depth") == LADDER[0]), parts, classes, threshold)
-    if dense.count():
-        rows = dense.join(classes.select("id", "signature"), "id")
-        wide = scratch_table(regions(classes, rows, WIDE)[0], "wide")
-        some = sets.join(dense.select("id").distinct(), "id", "left_semi")
-        longer = scratch_table(some.mapInArrow(_long, "id long, signature binary"), "long")
-        rest = rest.union(candidates(wide, parts, longer, threshold, np.uint16)).distinct()
-    rest = scratch_table(rest.join(strongest, ["a", "b"], "left_anti"), "rest")
+    def found(parts: DataFrame | None, known: DataFrame, name: str) -> DataFrame:
+        return scratch_table(known.union(candidates(wide, parts, longer, threshold, np.uint16)).distinct(), name)
+
+    tree = found(None, thin_tree, "tree")
+    links = scratch_table(confirmed(tree, sets, threshold), "confirmed")
+    parts = scratch_table(components(links), "parts")
+    rest = found(parts, candidates(thin, parts, plain, threshold), "rest").join(tree, ["a", "b"], "left_anti")
     more = scratch_table(confirmed(rest, sets, threshold), "confirmed")
-    # Rows that share an id but not the text hang together by the id itself.
     final = components(links.union(more))
     lowest = signed.join(classes.select("d1", "d2", "id"), ["d1", "d2"], "left").join(
         final, "id", "left"
