@@ -190,16 +190,17 @@ def _placed(rows: DataFrame, depths: tuple[int, ...], name: str) -> DataFrame:
 
 
 def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(region, id)`` of the regions that the first prefix made small; ``(region, id,
-    order_no)`` of the others, ``ORDERS`` standing for cuts of them; and ``(id, orders)``:
-    as bits, the orders in which the first prefix alone was enough for a dense region.
+    """``(region, id, order_no)`` of the regions that the first prefix made small; the same
+    of the others, ``ORDERS`` standing for cuts of them; and ``(id, orders)``: as bits,
+    the orders in which the first prefix alone was enough.
     """
     first = _placed(classes.select("id", "signature"), LADDER[:1], "first-prefix").select("id", "order_no", "region", "n")
-    thin = scratch_table(first.where(F.col("n") <= REGION).select("region", "id"), "thin")
+    thin = scratch_table(first.where(F.col("n") <= REGION).select("region", "id", "order_no"), "thin")
     dense = scratch_table(first.where(F.col("n") > REGION), "dense")
     # Only what one prefix crowds is read further.
     whole, crowd = dense.where(F.col("n") <= WIDE), dense.where(F.col("n") > WIDE)
-    told = whole.groupBy("id").agg(F.expr("sum(shiftleft(1, order_no))").cast("int").alias("orders"))
+    undivided = thin.select("id", "order_no").union(whole.select("id", "order_no"))
+    told = undivided.groupBy("id").agg(F.expr("sum(shiftleft(1, order_no))").cast("int").alias("orders"))
     wide = whole.select("region", "id", "order_no")
     deeper = _placed(
         crowd.select("id", "order_no").join(classes.select("id", "signature"), "id"), LADDER, "prefixes"
@@ -361,9 +362,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: float = 0.8) -
         "classes",
     )
     thin, wide, told = regions(classes)
-    # In thin regions pairs are few, and told in every order they meet in.
-    thin = thin.withColumn("order_no", F.lit(0))
-    plain = classes.select("id", F.lit(0).alias("orders"), "signature")
+    told = scratch_table(told, "told")
+    orders = F.coalesce("orders", F.lit(0)).alias("orders")
+    plain = classes.join(told, "id", "left").select("id", orders, "signature")
     thin_tree = scratch_table(candidates(thin, None, plain, threshold), "thin-tree")
     ends = thin_tree.select(F.col("a").alias("id")).union(thin_tree.select(F.col("b").alias("id")))
     crowded = scratch_table(wide.select("id").distinct(), "crowded")
@@ -372,7 +373,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: float = 0.8) -
     sets = scratch_table(wanted.mapInArrow(_sets(shingle), "id long, shingles array<long>"), "sets")
     in_crowd = sets.join(small(crowded, crowded.count()), "id", "left_semi")
     longer = scratch_table(in_crowd.mapInArrow(_long, "id long, signature binary"), "long")
-    longer = longer.join(told, "id", "left").select("id", F.coalesce("orders", F.lit(0)).alias("orders"), "signature")
+    longer = longer.join(told, "id", "left").select("id", orders, "signature")
 
     def found(parts: DataFrame | None, known: DataFrame, name: str) -> DataFrame:
         return scratch_table(known.union(candidates(wide, parts, longer, threshold, np.uint16)).distinct(), name)
