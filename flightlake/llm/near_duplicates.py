@@ -9,7 +9,9 @@ deep and thin ones stay shallow, and no region is ever enumerated whole.
 
 A region the first prefix makes small is compared by that signature.  Denser ones are cut
 to ``WIDE`` classes and compared by a longer signature, so that a text with a single
-partner among thousands of less similar ones meets it too.
+partner among thousands of less similar ones meets it too.  What more than ``WIDE`` classes
+share a first prefix with is cut there; of those classes, the pairs that no cut has linked
+are joined once more on the rarest shingles of their full sets, by which none is missed.
 
 Candidates whose signatures agree enough are confirmed on the full shingle sets, in two
 passes: first the strongest tree of candidates in every region, which joins most of
@@ -45,6 +47,10 @@ SOME = 4
 LONG = 512
 #: Standard errors of a signature's estimate below the threshold that a candidate may lie.
 SLACK = 4.0
+#: Members of either side of a shingle's group that are joined at a time.
+BLOCK = 512
+#: Classes whose shingles tell which are common, and the buckets these are counted in.
+COUNTED, BUCKETS = 4096, 1 << 16
 
 _seeds = np.random.default_rng(20240607).integers(0, 2**32, (2, LONG), dtype=np.uint32)
 _XOR, _TIMES = _seeds[0], _seeds[1] | np.uint32(1)
@@ -189,10 +195,10 @@ def _placed(rows: DataFrame, depths: tuple[int, ...], name: str) -> DataFrame:
     return placed.join(small(sizes, sizes.count()), "region")
 
 
-def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """``(region, id, order_no)`` of the regions that the first prefix made small; the same
-    of the others, ``ORDERS`` standing for cuts of them; and ``(id, orders)``: as bits,
-    the orders in which the first prefix alone was enough.
+    of the others, ``ORDERS`` standing for cuts of them; ``(id, orders)``: as bits, the
+    orders in which the first prefix alone was enough; and ``(region, id)`` of what was cut.
     """
     first = _placed(classes.select("id", "signature"), LADDER[:1], "first-prefix").select("id", "order_no", "region", "n")
     thin = scratch_table(first.where(F.col("n") <= REGION).select("region", "id", "order_no"), "thin")
@@ -224,7 +230,7 @@ def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     block = F.pmod(F.xxhash64("id", "region"), F.ceil(2 * F.col("n") / WIDE))
     shares = alone.where(F.col("depth") == LADDER[-1]).select(F.xxhash64("region", block).alias("region"), "id")
     cuts = cut.union(shares).union(ends).withColumn("order_no", F.lit(ORDERS))
-    return thin, wide.union(cuts), told
+    return thin, wide.union(cuts), told, crowd.select("region", "id")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, close: np.ndarray) -> np.ndarray:
@@ -348,6 +354,128 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def _buckets(shingles: np.ndarray) -> np.ndarray:
+    return (words.mixed(shingles.view(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of the partition fall in every bucket, as one row."""
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        total += np.bincount(_buckets(batch["shingles"].flatten().to_numpy()), minlength=BUCKETS)
+    if total.any():
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+
+def _rarest(common: np.ndarray, percent: int) -> Callable:
+    """The rarest shingles of every set: one of them is in both of any two sets as alike as asked.
+
+    ``common`` orders them, by bucket; any order is right.  ``leads``: the shingle is among
+    the fewer that are enough on the smaller of two sets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch["shingles"]
+            at = np.concatenate(([0], np.cumsum(sets.value_lengths().to_numpy()))).astype(np.int64)
+            flat = sets.flatten().to_numpy()
+            ids, component = batch["id"].to_numpy(), batch["component"].to_numpy()
+            for a, b in words.portions(at, words.SLICE // 4):
+                own, begin = flat[at[a] : at[b]], at[a : b + 1] - at[a]
+                size = np.diff(begin)
+                row = np.repeat(np.arange(b - a), size)
+                order = np.lexsort((own, common[_buckets(own)], row))
+                position = np.arange(len(own)) - begin[:-1][row]
+                n = size[row]
+                kept = position <= n - -(-percent * n // 100)
+                leads = position <= n - -(-2 * percent * n // (100 + percent))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(own[order][kept]),
+                        pa.array(ids[a:b][row[kept]]),
+                        pa.array(component[a:b][row[kept]]),
+                        pa.array(n[kept].astype(np.int32)),
+                        pa.array(position[kept].astype(np.int32)),
+                        pa.array(leads[kept]),
+                    ],
+                    ["shingle", "id", "component", "n", "position", "leads"],
+                )
+
+    return run
+
+
+def cut_pairs(crowd: DataFrame, parts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
+    """Pairs of classes of a cut region that can be as alike as asked, their ends in different parts.
+
+    Every such pair is there: two sets that are alike enough share one of their rarest
+    shingles, at places that leave enough of both.  ``None`` if no region has two parts.
+    """
+    percent = round(threshold * 100)
+    placed = crowd.join(parts, "id", "left").select("region", "id", F.coalesce("component", "id").alias("component"))
+    ends = placed.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    mixed = scratch_table(ends.where("least < most").select("region"), "mixed")
+    apart = placed.join(small(mixed, mixed.count()), "region", "left_semi").select("id", "component").distinct()
+    apart = scratch_table(apart, "apart")
+    many = apart.count()
+    if not many:
+        return None
+    full = scratch_table(sets.join(small(apart, many), "id"), "cut-sets")
+    million = 1_000_000
+    share = min(million, -(-million * COUNTED // many))
+    some = full.where(F.pmod(F.xxhash64("id"), F.lit(million)) < share).select("shingles").coalesce(4)
+    counted = some.mapInArrow(_counts, "counts binary").collect()
+    common = sum((np.frombuffer(r["counts"], np.int64) for r in counted), np.zeros(BUCKETS, np.int64))
+    rows = scratch_table(
+        full.mapInArrow(
+            _rarest(common, percent), "shingle long, id long, component long, n int, position int, leads boolean"
+        ),
+        "rarest",
+    )
+    # A shingle's largest part is not joined with itself; its other members are with all.
+    held = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"), F.count_if("leads").alias("led"))
+    groups = held.groupBy("shingle").agg(
+        F.max(F.struct("n", "component", "led")).alias("top"), F.sum("n").alias("n"), F.sum("led").alias("led"), F.count(F.lit(1)).alias("parts")
+    )
+    blocks = lambda count: F.ceil(count / BLOCK).cast("long")
+    groups = scratch_table(
+        groups.where("parts > 1 AND led > 0").select(
+            "shingle",
+            F.col("top.component").alias("top"),
+            blocks(F.col("top.led")).alias("left_top"),
+            blocks(F.col("led") - F.col("top.led")).alias("left_other"),
+            blocks(F.col("top.n")).alias("right_top"),
+            blocks(F.col("n") - F.col("top.n")).alias("right_other"),
+        ),
+        "groups",
+    )
+    rows = rows.join(small(groups, groups.count()), "shingle").withColumn("is_top", F.col("component") == F.col("top"))
+
+    def dealt(side: str, against: str, side_rows: DataFrame) -> DataFrame:
+        """Every row once for each block of the other side that it is joined with."""
+        own = F.when(F.col("is_top"), F.col(f"{side}_top")).otherwise(F.col(f"{side}_other"))
+        block = F.pmod(F.xxhash64("id"), own)
+        other = F.expr(
+            f"concat(transform(filter(sequence(0L, {against}_other), x -> x < {against}_other), x -> struct(false AS top, x AS no)),"
+            f" transform(filter(sequence(0L, {against}_top), x -> x < {against}_top AND NOT is_top), x -> struct(true AS top, x AS no)))"
+        )
+        spread = side_rows.select("shingle", "id", "component", "n", "position", "is_top", block.alias("block"), F.explode(other).alias("other"))
+        here, there = F.struct("is_top", "block"), F.struct("other.top", "other.no")
+        ends = (here, there) if side == "left" else (there, here)
+        names = [F.col(c).alias(f"{side}_{c}") for c in ("id", "component", "n", "position")]
+        return spread.select(F.xxhash64("shingle", *ends).alias("cell"), *names)
+
+    left, right = dealt("left", "right", rows.where("leads")), dealt("right", "left", rows)
+    # Of two sets the smaller leads; what is left of both from the first common shingle must be enough.
+    possible = f"""
+        left_component <> right_component
+        AND (left_n < right_n OR left_n = right_n AND left_id < right_id)
+        AND 100L * left_n >= {percent}L * right_n
+        AND {100 + percent}L * least(left_n - left_position, right_n - right_position) >= {percent}L * (left_n + right_n)
+    """
+    pairs = left.join(right, "cell").where(possible)
+    return pairs.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: float = 0.8) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row of ``docs``."""
     spark = docs.sparkSession
@@ -361,13 +489,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: float = 0.8) -
         .select("d1", "d2", F.col("m.doc_id").alias("id"), F.col("m.signature").alias("signature")),
         "classes",
     )
-    thin, wide, told = regions(classes)
+    thin, wide, told, crowd = regions(classes)
     told = scratch_table(told, "told")
     orders = F.coalesce("orders", F.lit(0)).alias("orders")
     plain = classes.join(told, "id", "left").select("id", orders, "signature")
     thin_tree = scratch_table(candidates(thin, None, plain, threshold), "thin-tree")
     ends = thin_tree.select(F.col("a").alias("id")).union(thin_tree.select(F.col("b").alias("id")))
-    crowded = scratch_table(wide.select("id").distinct(), "crowded")
+    crowded = scratch_table(wide.select("id").union(crowd.select("id")).distinct(), "crowded")
     asked = scratch_table(ends.union(crowded).distinct(), "asked")
     wanted = texts.join(small(asked, asked.count()), texts["doc_id"] == asked["id"], "left_semi")
     sets = scratch_table(wanted.mapInArrow(_sets(shingle), "id long, shingles array<long>"), "sets")
@@ -384,6 +512,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: float = 0.8) -
     rest = found(parts, candidates(thin, parts, plain, threshold), "rest").join(tree, ["a", "b"], "left_anti")
     more = scratch_table(confirmed(rest, sets, threshold), "confirmed")
     final = components(links.union(more))
+    cut = cut_pairs(crowd, final, sets, threshold)
+    if cut is not None:
+        last = scratch_table(confirmed(scratch_table(cut, "cut-pairs"), sets, threshold), "confirmed")
+        final = components(final.select(F.col("id").alias("a"), F.col("component").alias("b")).union(last))
     lowest = signed.join(classes.select("d1", "d2", "id"), ["d1", "d2"], "left").join(
         final, "id", "left"
     )

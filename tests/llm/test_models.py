@@ -108,6 +108,29 @@ def test_equal_signatures_beyond_a_region(spark, monkeypatch):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def test_pairs_of_a_crowd_that_is_cut(spark, monkeypatch):
+    """Different fillings of one template, some with a single partner just alike enough: as by all pairs."""
+    monkeypatch.setattr(near_duplicates, "REGION", 4)
+    monkeypatch.setattr(near_duplicates, "WIDE", 4)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 3, raising=False)
+    rng, template = random.Random(7), cases.prose(21, 200).split(" ")
+
+    def text(slots):
+        words = list(template)
+        words[2::12] = [f"slot{i}v{x}" for i, x in enumerate(slots)] + words[2::12][len(slots) :]
+        return " ".join(words)
+
+    fillings = [[rng.randrange(4) for _ in range(16)] for _ in range(240)]
+    rows = [(i, text(x)) for i, x in enumerate(fillings)]
+    for i, x in enumerate(fillings[:120]):
+        other = set(rng.sample(range(16), 5))
+        rows.append((1000 + i, text([(v + rng.randint(1, 3)) % 4 if j in other else v for j, v in enumerate(x)])))
+    component = cases.linked(rows, 4, 80)
+    assert 200 < len(set(component.values())) < 280
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == component
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(1, 400).selectExpr("id * 3 AS a", "(id - 1) * 3 AS b").union(
         spark.createDataFrame([(5001, 5000), (5002, 5001), (5000, 5002)], "a long, b long")
