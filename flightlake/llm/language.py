@@ -31,7 +31,7 @@ STEPS = 12
 #: Languages a document's mixture may name at most in the choice of its set.
 MOST_LANGUAGES = 6
 LETTER = re.compile(r"[^\W\d_]")
-FOUND = "held_out boolean, lang_pred string, score double, languages map<string,double>"
+FOUND = "held_out boolean, lettered boolean, lang_pred string, score double, languages map<string,double>"
 
 
 def _trigrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,21 +166,23 @@ def _predict(names: list[str], table: np.ndarray, penalty: float) -> Callable:
                     [
                         part["row"],
                         part["held_out"],
+                        pa.array(lettered),
                         pa.array([names[t] if s else "und" for t, s in zip(top.tolist(), sure.tolist(), strict=True)]),
                         pa.array([
                             min(1.0, float(shares[i, top[i]])) if sure[i] else 0.0 for i in range(n)
                         ], pa.float64()),
                         pa.array(found, pa.map_(pa.string(), pa.float64())),
                     ],
-                    ["row", "held_out", "lang_pred", "score", "languages"],
+                    ["row", "held_out", "lettered", "lang_pred", "score", "languages"],
                 )
 
     return run
 
 
 def languages(docs: DataFrame, taught_by: DataFrame | None = None, penalty: float = 3.0) -> DataFrame:
-    """``(row, held_out, lang_pred, score, languages)``: every row of ``docs`` and what was found.
+    """``(row, held_out, lettered, lang_pred, score, languages)``: every row of ``docs`` and what was found.
 
+    ``lettered``: the text has a letter, so it is in some language, be that known or not;
     ``penalty``: log-likelihood a further language must win, times the log of the number
     of words; ``languages``: the shares of the chosen set.  ``row`` holds the input's
     columns, so none of their names can clash.

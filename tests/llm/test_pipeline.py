@@ -6,6 +6,7 @@ import collections
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flightlake.llm import line_dedup
@@ -48,6 +49,20 @@ def test_stages_of_the_table(spark, tmp_path):
             assert set(after) == set(before) - bad
 
 
+def test_language_of_unlabelled_tables(spark):
+    """Where no language can be learned, only text without a letter goes."""
+    docs = cases.odd_documents(spark)
+    want = collections.Counter(r.doc_id for r in docs.collect() if re.search(r"[^\W\d_]", r.text or ""))
+    none = F.lit(None).cast("string")
+    held = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.col("lang"))
+    for lang in (none, held):
+        got = corpus_pipeline.identify_language(spark, docs.withColumn("lang", lang), FOLDER)
+        assert collections.Counter(r.doc_id for r in got.collect()) == want
+    letters = spark.createDataFrame([(1, "日本"), (2, "…— 12"), (3, "é"), (4, None)], "doc_id long, text string")
+    got = corpus_pipeline.identify_language(spark, letters.withColumn("lang", none), FOLDER)
+    assert {r.doc_id for r in got.collect()} == {1, 3}
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 100
 
