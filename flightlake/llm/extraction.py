@@ -12,8 +12,9 @@ surrounds an article under which names, and about ``SAMPLE`` pages of the table
 mark their article themselves.
 
 Null or empty html has an empty text; so has a page without content.  Repeated rows get
-the same answer.  A page is read in one pass, whatever its length; broken markup closes
-where its parent does.
+the same answer.  A page is read in one pass, whatever its length, and in a second one if
+an element that is left out is not closed; broken markup closes where its parent does.
+Script, style and what else is raw text to a browser run to the end of the page.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ SKIPPED = frozenset(
     "script style noscript template svg math iframe object canvas audio video title textarea select button "
     "datalist".split()
 )
+#: What is text to the browser up to its end tag, or to the end of the page.
+RAW = frozenset("script style noscript template iframe title textarea".split())
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 "
     "h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
@@ -54,6 +57,8 @@ CLOSED_BY_NEXT = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"},
 }
+#: An element that is left out and has no end tag of its own is over where one of these begins.
+RESUMES = ENDS_PARAGRAPH | frozenset(CLOSED_BY_NEXT) - {"option"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 # Names under which pages place what is not their article, by role and tag.
@@ -117,9 +122,24 @@ def _tag_end(page: str, at: int) -> int:
 
 def parse(page: str) -> Tree:
     """The block elements of a page and the text they hold."""
+    tree, unclosed = _parse(page, frozenset())
+    return _parse(page, unclosed)[0] if unclosed else tree
+
+
+def _parse(page: str, open_ended: frozenset[int]) -> tuple[Tree, frozenset[int]]:
+    """The tree, and where elements begin that are left out and have no end inside their parent.
+
+    ``open_ended``: the same, as known before; of these only what comes before the next
+    block is left out.
+    """
     nodes, blocks = [Node("#page", -1)], []
     path, run, links = [0], [], 0
     at, n = 0, len(page)
+    #: Open elements from the one that is left out on, and where each begins.
+    skip: list[tuple[str, int]] = []
+    unclosed: list[int] = []
+    #: How deep the path was where an element without an end began; 0 if none has.
+    muted = 0
 
     def flush() -> None:
         if run:
@@ -138,7 +158,7 @@ def parse(page: str) -> Tree:
         begin = page.find("<", at)
         if begin < 0:
             begin = n
-        if begin > at:
+        if begin > at and not skip and not muted:
             piece = page[at:begin]
             run.append(piece)
             if links:
@@ -161,7 +181,8 @@ def parse(page: str) -> Tree:
                 stop = page.find(">", begin)
                 at = n if stop < 0 else stop + 1
             else:
-                run.append("<")
+                if not skip and not muted:
+                    run.append("<")
                 at = begin + 1
             continue
         tag = name.group().lower()
@@ -169,6 +190,20 @@ def parse(page: str) -> Tree:
         if stop < 0:
             break
         at = stop + 1
+        if skip and tag not in RAW:
+            if not ending:
+                if tag not in INLINE and tag not in VOID and page[stop - 1] != "/":
+                    skip.append((tag, begin))
+                continue
+            if tag in INLINE:
+                continue
+            own = next((i for i in range(len(skip) - 1, -1, -1) if skip[i][0] == tag), -1)
+            if own < 0 and all(nodes[i].tag != tag for i in path):
+                continue
+            unclosed += [where for name, where in skip[own + 1 :] if name in SKIPPED]
+            del skip[max(own, 0) :]
+            if own >= 0:
+                continue
         if ending:
             if tag in INLINE:
                 links = max(0, links - 1) if tag == "a" else links
@@ -176,11 +211,16 @@ def parse(page: str) -> Tree:
             for depth in range(len(path) - 1, 0, -1):
                 if nodes[path[depth]].tag == tag:
                     close(depth)
+                    muted = muted if depth >= muted else 0
                     links = 0
                     break
             continue
         if tag in SKIPPED:
-            if page[stop - 1] != "/":
+            if begin in open_ended:
+                muted = muted or len(path)
+            elif page[stop - 1] != "/" and tag not in RAW:
+                skip.append((tag, begin))
+            elif page[stop - 1] != "/":
                 closing = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(page, at)
                 at = closing.end() if closing else n
             run.append(" ")
@@ -192,6 +232,8 @@ def parse(page: str) -> Tree:
                 run.append(" ")
             continue
         flush()
+        if tag in RESUMES:
+            muted = 0
         if tag in ENDS_PARAGRAPH and nodes[path[-1]].tag == "p":
             close(len(path) - 1)
             links = 0
@@ -208,13 +250,14 @@ def parse(page: str) -> Tree:
         nodes[path[-1]].children.append(len(nodes) - 1)
         path.append(len(nodes) - 1)
     flush()
+    unclosed += [where for name, where in skip if name in SKIPPED]
     for node in reversed(nodes):
         node.all_text += node.text
         node.all_linked += node.linked
         if node.parent >= 0:
             nodes[node.parent].all_text += node.all_text
             nodes[node.parent].all_linked += node.all_linked
-    return Tree(nodes, blocks)
+    return Tree(nodes, blocks), frozenset(unclosed)
 
 
 def _level(x: float, steps: tuple) -> int:

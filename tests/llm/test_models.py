@@ -387,6 +387,23 @@ def test_broken_markup(page_model, page):
     extraction.main_text(page, page_model)
 
 
+LEFT_OUT = "button select datalist object svg math canvas audio video".split()
+
+
+@pytest.mark.parametrize("tag", LEFT_OUT)
+def test_unclosed_elements_end_with_their_parent(tag):
+    def blocks(page):
+        return [text for _, text in extraction.parse(page).blocks]
+
+    assert blocks(f"<article><p>a</p><{tag}>Share<p>b</p></article><p>c</p>") == ["a", "b", "c"]
+    assert blocks(f"<article><p>a <{tag}>Share</p>b</article><p>c <{tag}>Share") == ["a", "b", "c"]
+    assert blocks(f"<div><{tag}>x<i>y</i></div><{tag}><p>no</p></{tag}>b<{tag}>z<{tag}>z<p>c</p>") == ["b", "c"]
+    assert blocks(f"<p>a<{tag} x='>'>no <b>no</b><div>no</div></{tag.upper()}>b</p>") == ["a b"]
+    assert blocks(f"<p>a</p><script><{tag}></script><p>b</p><style>c") == ["a", "b"]
+    many = f"<{tag}>x<p>b" * 20_000
+    assert blocks(many) == ["b"] * 20_000
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (None, None, ""), (2, None, "<p>x"), (3, "u", "<article>" + "<p>word. " * 20_000), (3, "u", "plain")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
