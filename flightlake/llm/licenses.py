@@ -79,6 +79,23 @@ KNOWN = (
     ),
 )
 
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
+    "is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+    "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+    "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+    "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+    "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+#: Titles that stand above full texts, as (licence, title).
+TITLES = (
+    ("0BSD", "BSD Zero Clause License"), ("0BSD", "Zero-Clause BSD"), ("ISC", "ISC License"),
+    ("ISC", "The ISC License"), ("MIT", "MIT License"), ("MIT", "The MIT License"), ("MIT", "The MIT License (MIT)"),
+)
+_FULL = {"ISC": _ISC} | {name: text for name, text in KNOWN if text.startswith("Permission ")}
+KNOWN = (*((name, f"{title}\n\n{_FULL[name]}") for name, title in TITLES), ("ISC", _ISC), *KNOWN)
+
 #: A line that only says who holds the rights since when.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(?:[*#/;-]+[ \t]*)?(?:copyright\b|\(c\)|©)[^\n]*?(?:[0-9]{4}|\(c\)|©)[^\n]*"
 FOLDED = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -134,6 +134,19 @@ def test_licenses(spark):
     assert rows_of(got) == sorted(map(repr, want))
 
 
+def test_whole_license_files(spark):
+    """Full texts with and without their title, as licence files have them."""
+    full = {name: text for name, text in licenses.KNOWN if text.startswith("Permission ")}
+    assert set(full) == {"0BSD", "ISC", "MIT"}
+    files = [(name, f"{title}\n\nCopyright (c) 2020 Some Body\n\n{full[name]}\n") for name, title in (
+        ("MIT", "MIT License"), ("MIT", "The MIT License (MIT)"), ("ISC", "ISC License"), ("0BSD", "BSD Zero Clause License"),
+        ("MIT", ""), ("ISC", ""), ("0BSD", ""),
+    )]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(files)], "doc_id long, text string")
+    got = licenses.licenses_of(docs, licenses.known_licenses(spark)).collect()
+    assert {r.doc_id: r.text_licenses for r in got} == {i: name for i, (name, _) in enumerate(files)}
+
+
 def test_empty_tables(spark):
     docs = cases.empty_documents(spark)
     items = spark.createDataFrame([], "item_id long, text string")
