@@ -28,8 +28,6 @@ from flightlake.llm.common import held_out, ship
 BUCKETS = 1 << 16
 DOCS_PER_LANGUAGE = 2_000
 STEPS = 12
-#: Languages a document's mixture may name at most in the choice of its set.
-MOST_LANGUAGES = 6
 LETTER = re.compile(r"[^\W\d_]")
 FOUND = "held_out boolean, lettered boolean, lang_pred string, score double, languages map<string,double>"
 
@@ -123,7 +121,7 @@ def mixture(
     shares = settle(np.full((rows, langs), 1 / langs, np.float32), steps)
     rank = np.argsort(np.argsort(-shares, axis=1, kind="stable"), axis=1, kind="stable")
     best, chosen = np.full(rows, -np.inf), np.zeros((rows, langs), bool)
-    for size in range(1, min(langs, MOST_LANGUAGES) + 1):
+    for size in range(1, langs + 1):
         kept = rank < size
         within = np.where(kept, shares + np.float32(1e-6), np.float32(0))
         within /= within.sum(axis=1, keepdims=True)

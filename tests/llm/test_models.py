@@ -533,6 +533,13 @@ def test_language_sets(spark):
     assert set(got[2].languages) == {"fr"} and got[2].score > 0.99
 
 
+def test_a_mixture_of_many_languages():
+    own = np.repeat(np.arange(8), 50)
+    likelihood = np.where(np.arange(8) == own[:, None], -1.0, -30.0).astype(np.float32)
+    shares, chosen = language.mixture(likelihood, np.array([0, len(own)]), 3.0)
+    assert chosen.all() and np.allclose(shares, 1 / 8, atol=1e-3)
+
+
 def test_odd_languages(spark):
     got = language.languages(cases.odd_documents(spark)).collect()
     assert len(got) == len(cases.odd_rows())
