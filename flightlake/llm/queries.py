@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from flightlake.llm import (
     decontaminate,
     extraction,
+    filter_audit,
     language,
     licenses,
     line_dedup,
+    mixing,
     near_duplicates,
     packing,
     quality,
@@ -66,6 +68,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(docs).select("row.doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -77,10 +88,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_language": op10_language,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_source_mixing": op13_source_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.ORACLE,
     "op2_decontamination": decontaminate.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op13_source_mixing": mixing.ORACLE,
 }
