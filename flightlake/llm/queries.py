@@ -16,6 +16,7 @@ from flightlake.llm import (
     mixing,
     near_duplicates,
     packing,
+    phrases,
     quality,
     token_files,
     toxicity,
@@ -72,6 +73,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_language": op10_language,
     "op11_filter_audit": op11_filter_audit,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_source_mixing": op13_source_mixing,
 }
 
@@ -97,5 +103,6 @@ ORACLES: dict[str, str] = {
     "op2_decontamination": decontaminate.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_phrase_mining": phrases.ORACLE,
     "op13_source_mixing": mixing.ORACLE,
 }
