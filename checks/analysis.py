@@ -62,12 +62,14 @@ def a06(spark, d):
 
 @check("a08_log_bounds", """
     SELECT r.log_id, 'bin' AS source, coalesce(r.s, p.s, 0) AS start_us, coalesce(r.e, p.e, 0) AS end_us
-    FROM (SELECT log_id, min(ts_us) FILTER (log_id IN ('0', '1') AND value > 5) AS s, max(ts_us) FILTER (log_id IN ('0', '1') AND value > 5) AS e FROM telemetry GROUP BY log_id) r
-    LEFT JOIN (SELECT log_id, min(ts_us) AS s, max(ts_us) AS e FROM fixes WHERE log_id = '2' GROUP BY log_id) p ON p.log_id = r.log_id""")
+    FROM (SELECT log_id, min(ts_us) FILTER (log_id IN ('0', '1')) AS s, max(ts_us) FILTER (log_id IN ('0', '1')) AS e FROM telemetry GROUP BY log_id) r
+    LEFT JOIN (SELECT log_id, min(ts_us) AS s, max(ts_us) AS e FROM (SELECT CASE log_id WHEN '3' THEN 'x' ELSE log_id END AS log_id, ts_us FROM fixes) f
+               GROUP BY log_id) p ON p.log_id = r.log_id""")
 def a08(spark, d):
-    timed = F.coalesce(F.col("log_id").isin("0", "1") & (F.col("value") > 5), F.lit(False))
-    records = view(spark, d, "telemetry").withColumns({"source": F.lit("bin"), "has_time": timed})
-    return tables.log_bounds(records, view(spark, d, "fixes").where("log_id = '2'"))
+    """Logs with a clock, with a path only, and with neither: the path of log 3 goes by another name."""
+    records = view(spark, d, "telemetry").withColumns({"source": F.lit("bin"), "has_time": F.col("log_id").isin("0", "1")})
+    path = view(spark, d, "fixes").withColumn("log_id", F.when(F.col("log_id") == "3", "x").otherwise(F.col("log_id")))
+    return tables.log_bounds(records, path)
 
 
 @check("a09_message_counts", "SELECT log_id, message, CAST(count(*) AS BIGINT) AS n_rows FROM telemetry GROUP BY log_id, message")

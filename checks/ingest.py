@@ -253,7 +253,24 @@ _LAST = """SELECT log_id, seq, CAST(command AS BIGINT) AS command, lat10 / 10.0
     {_LAST.format(alt='CAST(25.5 AS DOUBLE)', route=_ROUTE, rest='TRUE')}""")
 def src08(spark, d):
     waypoints, _ = planfile.parse_plans(text_plans(spark, d))
-    return rounded(waypoints)
+    return rounded(waypoints.withColumn("seq", F.col("seq").cast("long")))
+
+
+@check("src08_odd_numbers", f"""WITH r AS ({_PLAN_DUCK}),
+    w AS (SELECT *, CASE file_seq % 5 WHEN 1 THEN seq + 0.5 WHEN 2 THEN 1e300 ELSE CAST(seq AS DOUBLE) END AS no FROM r)
+    SELECT log_id, no AS seq, lat FROM (
+        SELECT log_id, no, lat10 / 10.0 AS lat, row_number() OVER (PARTITION BY log_id, no ORDER BY file_seq DESC) AS k
+        FROM w WHERE {_ROUTE} AND NOT (lat10 = 0 AND lon10 = 0)) l WHERE k = 1""")
+def src08c(spark, d):
+    """Numbers that are not whole, or beyond any integer, each stand for an item of their own."""
+    rows = spark_sql(spark, d, _PLAN_ROWS)
+    s = lambda c: F.col(c).cast("string")
+    at = F.col("file_seq") % 5
+    number = F.when(at == 1, F.concat(s("seq"), F.lit(".5"))).when(at == 2, F.lit("1e300")).otherwise(s("seq"))
+    spot = lambda c: (F.col(c) / 10).cast("string")
+    line = F.concat_ws("\t", number, F.lit("0"), F.lit("3"), s("command"), *[F.lit("0")] * 4, spot("lat10"), spot("lon10"), F.lit("1"), F.lit("1"))
+    waypoints, _ = planfile.parse_plans(_plans(rows, line, "QGC WPL 110\n", "", "\n"))
+    return waypoints.select("log_id", "seq", "lat")
 
 
 @check("src08_outcome", f"""WITH r AS ({_PLAN_DUCK}), bad AS (SELECT log_id FROM r WHERE bucket = '3' AND file_seq % 50 = 7 GROUP BY log_id),
@@ -290,7 +307,7 @@ def json_plans(spark, d) -> DataFrame:
     UNION ALL SELECT DISTINCT log_id, CAST(0 AS BIGINT), CAST(16 AS BIGINT), CAST(10.5 AS DOUBLE), CAST(-20.25 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS BIGINT) FROM w""")
 def src09(spark, d):
     waypoints, _ = planfile.parse_plans(json_plans(spark, d))
-    return rounded(waypoints)
+    return rounded(waypoints.withColumn("seq", F.col("seq").cast("long")))
 
 
 @check("src10_unreadable_items", f"""WITH w AS ({_PLAN_DUCK})

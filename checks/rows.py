@@ -189,7 +189,7 @@ _COMMANDS = """
     SELECT log_id, file_seq, seq, CAST(command AS BIGINT) AS command, round(lat, 6) + 0.0 AS lat, round(lon, 6) + 0.0 AS lon, round(alt, 6) AS alt
     FROM mission_items WHERE file_seq % 3 <> 0""")
 def p14(spark, d):
-    return rounded(command_items(spark_sql(spark, d, _COMMANDS)).drop("frame"))
+    return rounded(command_items(spark_sql(spark, d, _COMMANDS)).drop("frame").withColumn("seq", F.col("seq").cast("long")))
 
 
 @check("p15_thin", """
@@ -256,10 +256,9 @@ def f04(spark, d):
 
 @check("f05_distance", """
     SELECT seq, CASE WHEN m < 1000 THEN printf('%.1f', m) || ' m' ELSE printf('%.2f', CASE WHEN m % 250 = 125 THEN m / 1000 + 0.001 ELSE m / 1000 END) || ' km' END AS shown
-    FROM (SELECT seq, CAST(floor(value) * 7 AS DOUBLE) AS m FROM telemetry WHERE value IS NOT NULL) t""")
+    FROM (SELECT seq, CAST(floor(value) * 7 AS DOUBLE) AS m FROM telemetry) t""")
 def f05(spark, d):
-    rows = view(spark, d, "telemetry").where("value IS NOT NULL")
-    return rows.select("seq", display.distance((F.floor("value") * 7).cast("double")).alias("shown"))
+    return view(spark, d, "telemetry").select("seq", display.distance((F.floor("value") * 7).cast("double")).alias("shown"))
 
 
 _HAVERSINE = """2 * 6371000 * asin(sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2)
@@ -297,12 +296,11 @@ def f09(spark, d):
 
 
 @check("f10_snap", """
-    WITH t AS (SELECT seq, least(greatest(value, 10.0), 100.0) AS v FROM telemetry WHERE value IS NOT NULL),
+    WITH t AS (SELECT seq, CASE WHEN value IS NOT NULL THEN least(greatest(value, 10.0), 100.0) END AS v FROM telemetry),
          u AS (SELECT seq, v, 10.0 + floor((v - 10.0) / 7.0 + 0.5) * 7.0 AS s FROM t)
-    SELECT seq, CAST(least(greatest(CASE WHEN s > 100 THEN s - 7 ELSE s END, 10.0), 100.0) AS DOUBLE) AS stop FROM u""")
+    SELECT seq, CASE WHEN v IS NOT NULL THEN CAST(least(greatest(CASE WHEN s > 100 THEN s - 7 ELSE s END, 10.0), 100.0) AS DOUBLE) END AS stop FROM u""")
 def f10(spark, d):
-    rows = view(spark, d, "telemetry").where("value IS NOT NULL")
-    return rows.select("seq", values.snap(F.col("value"), 10.0, 100.0, 7.0).cast("double").alias("stop"))
+    return view(spark, d, "telemetry").select("seq", values.snap(F.col("value"), 10.0, 100.0, 7.0).cast("double").alias("stop"))
 
 
 # --- sets and orders --------------------------------------------------------------

@@ -8,7 +8,7 @@ from checks.registry import check, rounded
 from checks.views import spark_sql, view
 from flightlake.functions.values import align_angle
 from flightlake.operators import sequence, tables, timejoin
-from flightlake.operators.mission import newest_plan, prefer_first
+from flightlake.operators.mission import command_items, newest_plan, prefer_first
 from flightlake.operators.trajectory import drape_heading, initial_view
 from flightlake.scale import Ordered, exact_median, row_index
 
@@ -155,6 +155,25 @@ def w02(spark, d):
     return sequence.mode_changes(view(spark, d, "telemetry").select("log_id", "seq", "ts_us", F.col("message").alias("mode")))
 
 
+@check("w02_wild_modes", """
+    SELECT log_id, seq, mode FROM (
+        SELECT *, lag(mode) OVER (PARTITION BY log_id ORDER BY seq) AS p FROM (
+            SELECT CAST(user_id % 4 AS VARCHAR) AS log_id, event_id AS seq,
+                   CASE event_id % 11 WHEN 0 THEN 'Mode 1e+30' WHEN 1 THEN 'Mode -2.5' WHEN 2 THEN 'Mode 12345678901234567000' WHEN 3 THEN 'named'
+                        WHEN 4 THEN 'Mode 1e-9' WHEN 5 THEN '?' ELSE 'Mode ' || CAST(user_id % 3 AS VARCHAR) END AS mode FROM events) e) t
+    WHERE p IS NULL OR p <> mode""")
+def w02b(spark, d):
+    """Mode numbers of any size make labels; none ends the job."""
+    rows = spark_sql(spark, d, """
+        SELECT CAST(user_id % 4 AS STRING) AS log_id, event_id AS seq, event_id AS ts_us, 'MODE' AS message,
+               CASE event_id % 11 WHEN 0 THEN 1e30D WHEN 1 THEN -2.5D WHEN 2 THEN 12345678901234567890D WHEN 3 THEN NULL WHEN 4 THEN 1e-9D
+                    WHEN 5 THEN NULL ELSE CAST(user_id % 3 AS DOUBLE) END AS n,
+               CASE WHEN event_id % 11 = 3 THEN 'named' END AS t FROM events""")
+    nums = F.when(F.col("n").isNull(), F.expr("map()").cast("map<string,double>")).otherwise(F.create_map(F.lit("Mode"), F.col("n")))
+    txts = F.when(F.col("t").isNull(), F.expr("map()").cast("map<string,string>")).otherwise(F.create_map(F.lit("Mode"), F.col("t")))
+    return tables.modes(rows.withColumn("nums", nums).withColumn("txts", txts)).select("log_id", "seq", "mode")
+
+
 @check("w03_unwrap_angle", """
     WITH known AS (SELECT *, value - lag(value) OVER (PARTITION BY log_id, message ORDER BY ts_us, seq) AS step FROM headings WHERE value IS NOT NULL),
     turned AS (SELECT log_id, message, seq, value - sum(coalesce(floor(step / 360 + 0.5), 0) * 360) OVER (PARTITION BY log_id, message ORDER BY ts_us, seq) AS value FROM known)
@@ -241,6 +260,27 @@ def w09(spark, d):
     return rounded(newest_plan(view(spark, d, "mission_items")).select(*_PLAN_COLUMNS))
 
 
+@check("w09_wild_items", """
+    SELECT log_id, no AS seq, command, frame FROM (
+        SELECT m.log_id, no, CAST(CASE WHEN m.file_seq % 7 <> 3 THEN command END AS BIGINT) AS command,
+               CAST(CASE WHEN m.file_seq % 5 <> 2 THEN frame END AS BIGINT) AS frame,
+               row_number() OVER (PARTITION BY m.log_id, no ORDER BY m.file_seq DESC) AS k
+        FROM (SELECT *, CASE file_seq % 6 WHEN 1 THEN 1e30 WHEN 2 THEN seq + 0.25 ELSE CAST(seq AS DOUBLE) END AS no FROM mission_items) m
+        JOIN (SELECT log_id, max(file_seq) AS f FROM mission_items WHERE seq = 0 AND file_seq % 6 NOT IN (1, 2) GROUP BY log_id) s ON s.log_id = m.log_id
+        WHERE m.file_seq >= s.f AND m.file_seq % 7 <> 3 AND command IN (16,17,18,19,21,22,30,31,36,82,84,85,92,94,188,189)
+          AND m.lat IS NOT NULL AND NOT (m.lat = 0 AND m.lon = 0) AND abs(m.lat) <= 90 AND abs(m.lon) <= 180) w WHERE k = 1""")
+def w09c(spark, d):
+    """Items numbered and commanded by numbers no integer holds: none is lost for its number, none ends the job."""
+    rows = spark_sql(spark, d, """
+        SELECT log_id, file_seq AS seq, 'CMD' AS message,
+               map_from_arrays(array('CNum', 'CId', 'Lat', 'Lng', 'Alt', 'Frame'),
+                   array(CASE file_seq % 6 WHEN 1 THEN 1e30D WHEN 2 THEN seq + 0.25D ELSE CAST(seq AS DOUBLE) END,
+                         CASE WHEN file_seq % 7 = 3 THEN 1e30D ELSE CAST(command AS DOUBLE) END, lat, lon, alt,
+                         CASE WHEN file_seq % 5 = 2 THEN -1e300D ELSE CAST(frame AS DOUBLE) END)) AS nums
+        FROM mission_items""")
+    return rounded(newest_plan(command_items(rows)).select("log_id", "seq", "command", "frame"))
+
+
 _TOLD = "SELECT log_id, seq AS file_seq FROM telemetry WHERE message = 'signup' AND log_id <> '2' AND value > 300"
 
 
@@ -252,13 +292,12 @@ def w09b(spark, d):
 
 
 @check("w10_preferred_plan", """
-    SELECT log_id, seq, 'int' AS form FROM mission_items WHERE command = 16 AND log_id IN ('0', '1')
-    UNION ALL SELECT log_id, seq, 'float' FROM mission_items WHERE command = 17 AND log_id NOT IN ('0', '1')""")
+    SELECT log_id, file_seq, CASE WHEN log_id IN ('0', '1') THEN 'int' ELSE 'float' END AS form FROM mission_items""")
 def w10(spark, d):
-    items = view(spark, d, "mission_items")
-    whole = items.where("command = 16 AND log_id IN ('0', '1')").select("log_id", "seq", F.lit("int").alias("form"))
-    other = items.where("command = 17").select("log_id", "seq", F.lit("float").alias("form"))
-    return prefer_first(whole, other)
+    """Every item once in its log's form, and once more in the other, which must not be taken."""
+    items = view(spark, d, "mission_items").select("log_id", "file_seq")
+    whole = items.join(items.where("log_id IN ('0', '1')").select("log_id").distinct(), "log_id", "left_semi")
+    return prefer_first(whole.withColumn("form", F.lit("int")), items.withColumn("form", F.lit("float")))
 
 
 @check("j14_plan_file_wins", """

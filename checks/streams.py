@@ -50,5 +50,5 @@ def t04_modes(spark, d):
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.col("event_type").alias("mode"),
     )
     out = _fresh(spark)
-    live.follow_modes(rows, out, f"{out}-state", f"{out}-mark").awaitTermination()
+    live.follow_modes(rows, out, f"{out}-mark").awaitTermination()
     return spark.read.parquet(out).select("log_id", "seq", "mode")

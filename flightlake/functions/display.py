@@ -67,6 +67,7 @@ def plot_value(value: Column) -> Column:
 
 
 def distance(metres: Column) -> Column:
-    return F.when(metres < 1000, F.concat(_fixed(metres, 1), F.lit(" m"))).otherwise(
-        F.concat(_fixed(metres / 1000, 2), F.lit(" km"))
+    """Metres below a kilometre, else kilometres; an unknown distance stays NULL."""
+    return F.when(metres < 1000, F.concat(_fixed(metres, 1), F.lit(" m"))).when(
+        metres.isNotNull(), F.concat(_fixed(metres / 1000, 2), F.lit(" km"))
     )

@@ -36,7 +36,7 @@ def channel_limits(
         .groupBy(
             "log_id",
             F.regexp_extract("name", pattern, 1).alias("prefix"),
-            F.regexp_extract("name", pattern, 2).cast("int").alias("channel"),
+            F.regexp_extract("name", pattern, 2).try_cast("int").alias("channel"),
         )
         .agg(F.max(F.when(end == "MIN", F.col("value"))).alias("_lo"), F.max(F.when(end == "MAX", F.col("value"))).alias("_hi"))
     )

@@ -1,4 +1,8 @@
-"""Planned missions: which items are vertices, which plan is the newest."""
+"""Planned missions: which items are vertices, which plan is the newest.
+
+An item's number is a DOUBLE, as the log holds it: numbers that are not whole, or beyond
+any integer, tell items apart like others.  A command or frame that is no INT is NULL.
+"""
 
 from __future__ import annotations
 
@@ -69,9 +73,9 @@ def command_items(records: DataFrame) -> DataFrame:
     n = lambda label: F.try_element_at("nums", F.lit(label))
     lat, lon = as_degrees(n("Lat"), n("Lng"))
     return records.where((F.col("message") == "CMD") & n("CNum").isNotNull()).select(
-        "log_id", F.col("seq").alias("file_seq"), n("CNum").cast("long").alias("seq"),
-        n("CId").cast("int").alias("command"), lat.alias("lat"), lon.alias("lon"),
-        n("Alt").alias("alt"), n("Frame").cast("int").alias("frame"),
+        "log_id", F.col("seq").alias("file_seq"), n("CNum").alias("seq"),
+        n("CId").try_cast("int").alias("command"), lat.alias("lat"), lon.alias("lon"),
+        n("Alt").alias("alt"), n("Frame").try_cast("int").alias("frame"),
     )
 
 
@@ -81,9 +85,9 @@ def telemetry_items(records: DataFrame, message: str) -> DataFrame:
     scale = 1e-7 if message == "MISSION_ITEM_INT" else 1.0
     kept = (F.col("message") == message) & is_flight_plan(n("missionType")) & n("seq").isNotNull()
     return records.where(kept).select(
-        "log_id", F.col("seq").alias("file_seq"), n("seq").cast("long").alias("seq"),
-        n("command").cast("int").alias("command"), (n("x") * scale).alias("lat"), (n("y") * scale).alias("lon"),
-        n("z").alias("alt"), n("frame").cast("int").alias("frame"),
+        "log_id", F.col("seq").alias("file_seq"), n("seq").alias("seq"),
+        n("command").try_cast("int").alias("command"), (n("x") * scale).alias("lat"), (n("y") * scale).alias("lon"),
+        n("z").alias("alt"), n("frame").try_cast("int").alias("frame"),
     )
 
 

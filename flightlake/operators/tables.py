@@ -97,19 +97,27 @@ def params(records: DataFrame) -> DataFrame:
     return last_write(onboard.unionByName(link).where("name IS NOT NULL"))
 
 
-def modes(records: DataFrame) -> DataFrame:
-    number = lambda c: c.cast("decimal(38,10)").cast("string")
-    plain = lambda c: F.when(c == F.floor(c), c.cast("long").cast("string")).otherwise(
-        F.regexp_replace(number(c), r"0+$", "")
+def _plain(number: Column) -> Column:
+    """A number as people write it: whole ones without a point, vast and tiny ones with an exponent."""
+    size = F.abs(number)
+    written = F.regexp_replace(F.regexp_replace(number.cast("string"), r"\.0E", "E"), r"E(\d)", "e+$1")
+    return (
+        F.when((size >= 1e21) | ((size < 1e-6) & (number != 0)), F.regexp_replace(written, "E", "e"))
+        .when(number % 1 == 0, number.try_cast("decimal(22,0)").cast("string"))
+        .otherwise(F.regexp_replace(number.try_cast("decimal(38,10)").cast("string"), r"0+$", ""))
     )
+
+
+def modes(records: DataFrame) -> DataFrame:
+    """Mode changes; a mode without a name is told by its number, whatever that is."""
     onboard = records.where(F.col("message") == "MODE").select(
         "log_id", "seq", "ts_us",
         F.coalesce(
-            F.concat(F.lit("Mode "), plain(num("Mode"))), txt("Mode"), plain(num("ModeNum")), txt("ModeNum"), F.lit("?")
+            F.concat(F.lit("Mode "), _plain(num("Mode"))), txt("Mode"), _plain(num("ModeNum")), txt("ModeNum"), F.lit("?")
         ).alias("mode"),
     )
     link = records.where((F.col("message") == "HEARTBEAT") & num("customMode").isNotNull()).select(
-        "log_id", "seq", "ts_us", F.concat(F.lit("Mode "), plain(num("customMode"))).alias("mode")
+        "log_id", "seq", "ts_us", F.concat(F.lit("Mode "), _plain(num("customMode"))).alias("mode")
     )
     return mode_changes(onboard.unionByName(link))
 
@@ -119,7 +127,7 @@ def texts(records: DataFrame) -> DataFrame:
         "log_id", "seq", "ts_us", txt("Message").alias("text"), F.lit(None).cast("int").alias("severity")
     )
     link = records.where((F.col("message") == "STATUSTEXT") & (F.length(txt("text")) > 0)).select(
-        "log_id", "seq", "ts_us", txt("text").alias("text"), num("severity").cast("int").alias("severity")
+        "log_id", "seq", "ts_us", txt("text").alias("text"), num("severity").try_cast("int").alias("severity")
     )
     return onboard.unionByName(link)
 

@@ -40,5 +40,7 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     # A median holds a whole group's values: few groups at a time per task.
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "32")
+    # Of a key that a plan file repeats, the last value counts.
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     ship(spark)
     return spark

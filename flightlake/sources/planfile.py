@@ -112,7 +112,8 @@ def json_plans(routed: DataFrame) -> DataFrame:
         .when(empty, "no mission")
         .when(F.coalesce(F.size("items"), F.lit(0)) <= 0, "no waypoints")
     )
-    return parts.withColumn("reason", reason).drop("doc", "file_type", "mission")
+    # Written parsed: items, home and reason are read from it, not parsed again for each.
+    return scratch_table(parts.withColumn("reason", reason).drop("doc", "file_type", "mission"), "json-plans")
 
 
 def _inner_items(item: Column) -> Column:
@@ -132,13 +133,10 @@ def _expanded(level: DataFrame) -> DataFrame:
         level = level.withColumn("inner", _inner_items(F.col("item")))
         done.append(level.where("inner IS NULL").select("log_id", "place", "item"))
         opened = level.where("inner IS NOT NULL").select("log_id", "place", F.posexplode("inner").alias("j", "sub"))
-        opened = opened.select(
-            "log_id", F.concat("place", F.array("j")).alias("place"), F.to_json("sub").alias("body")
-        )
-        opened = scratch_table(opened, "nested-items")
-        if opened.limit(1).count() == 0:
+        opened = opened.select("log_id", F.concat("place", F.array("j")).alias("place"), F.col("sub").alias("item"))
+        level = scratch_table(opened, "nested-items")
+        if level.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        level = opened.select("log_id", "place", F.parse_json("body").alias("item"))
 
 
 def json_items(plans: DataFrame) -> DataFrame:
@@ -169,7 +167,7 @@ def json_items(plans: DataFrame) -> DataFrame:
 
 def number_items(items: DataFrame) -> DataFrame:
     """``seq`` of each item: its own valid number, else one more than the item before."""
-    valid = (F.col("jump_id") >= 0) & (F.col("jump_id") == F.floor("jump_id"))
+    valid = (F.col("jump_id") >= 0) & (F.col("jump_id") % 1 == 0)
     ranked = Ordered(items.where("NOT complex"), ["log_id"], ["place"]).scan(_rank=row_index())
     ranked = ranked.with_columns(_rank=F.col("_rank") + 1)
     numbered = ranked.scan(_a=last_known(F.when(valid, F.struct("jump_id", "_rank")))).rows()
@@ -189,14 +187,14 @@ def _home(plans: DataFrame) -> DataFrame:
 
 
 def _last_written(items: DataFrame, order: str) -> DataFrame:
-    """Drawable items, the last write of each whole number.
+    """Drawable items, the last write of each number.
 
-    A number is made whole before items are told apart by it; one beyond any
-    integer, as a broken file may hold, is none.
+    A number is what the file says, whole or not: items are told apart by it and
+    ordered by it, and none is lost for what it is numbered.
     """
     drawn = items.where(is_route_vertex(F.col("command"), F.col("lat"), F.col("lon")))
     return (
-        drawn.withColumn("seq", F.col("seq").try_cast("long")).where("seq IS NOT NULL").groupBy("log_id", "seq")
+        drawn.where("seq IS NOT NULL").groupBy("log_id", "seq")
         .agg(F.max_by(F.struct("command", "lat", "lon", "alt", "frame"), F.col(order)).alias("w"))
         .select(
             "log_id", "seq", F.col("w.command").try_cast("int").alias("command"),

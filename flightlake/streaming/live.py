@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from flightlake.operators.sequence import mode_changes
 from flightlake.operators.stats import stat_columns
-from flightlake.scale import scratch_table
+from flightlake.session import ship
 from flightlake.sources.files import with_kind
 
 # The columns of the file listing source.
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+MODE_ROWS = "log_id string, seq long, ts_us long, mode string"
+#: Stands for a missing stamp among numbers.
+NO_STAMP = np.iinfo(np.int64).min
 
 
 def arriving_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -45,33 +51,66 @@ def ingest(
     )
 
 
-def follow_modes(labelled: DataFrame, out: str, state: str, checkpoint: str, **trigger: Any) -> StreamingQuery:
-    """Write mode changes of a live stream of ``(log_id, seq, ts_us, mode)``.
+class LastMode(StatefulProcessor):
+    """Remembers the latest label of a log, and tells where the label changes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "mode string, told boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        # A batch's rows of a log come in any order: their places and labels, as numbers, are put in order here.
+        labels: dict[str | None, int] = {}
+        places, stamps, codes = [], [], []
+        for part in rows:
+            places.append(part["seq"].to_numpy(np.int64))
+            stamps.append(part["ts_us"].astype("Int64").to_numpy(np.int64, na_value=NO_STAMP))
+            mode = part["mode"].where(part["mode"].notna(), None)
+            codes.append(np.array([labels.setdefault(m, len(labels)) for m in mode], np.int32))
+        place, stamp, code = (np.concatenate(x) for x in (places, stamps, codes))
+        order = np.argsort(place, kind="stable")
+        place, stamp, code = place[order], stamp[order], code[order]
+        known = self.last.get()
+        changed = np.ones(len(code), bool)
+        changed[1:] = code[1:] != code[:-1]
+        names = list(labels)
+        changed[0] = known is None or known[0] != names[code[0]]
+        if known is None or known[0] != names[code[-1]]:
+            self.last.update((names[code[-1]], True))
+        at = np.flatnonzero(changed)
+        yield pd.DataFrame(
+            {
+                "log_id": key[0],
+                "seq": place[at],
+                "ts_us": pd.arrays.IntegerArray(stamp[at], stamp[at] == NO_STAMP),
+                "mode": pd.Series([names[c] for c in code[at]], dtype=object),
+            }
+        )
 
-    What a batch must remember is the last label of each log.  It is a table,
-    one folder per batch, and joins the next batch as a row ahead of all others:
-    the batch is then an ordinary job, ordered and split like any other, and a
-    repeated batch reads the same remembered rows and replaces its own output.
-    """
+    def close(self) -> None:
+        pass
 
-    def write(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        rows = rows.select("log_id", "seq", "ts_us", "mode")
-        if batch > 0:
-            remembered = spark.read.schema("log_id string, mode string").parquet(f"{state}/batch={batch - 1}")
-            ahead = remembered.select(
-                "log_id", F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("long").alias("ts_us"), "mode"
-            )
-            rows = rows.unionByName(ahead)
-        rows = scratch_table(rows, "live")
-        mode_changes(rows).where("seq >= 0").write.mode("overwrite").parquet(f"{out}/batch={batch}")
-        rows.groupBy("log_id").agg(F.max_by("mode", "seq").alias("mode")).write.mode("overwrite").parquet(
-            f"{state}/batch={batch}"
-        )
 
+def follow_modes(labelled: DataFrame, out: str, checkpoint: str, **trigger: Any) -> StreamingQuery:
+    """Write mode changes of a live stream of ``(log_id, seq, ts_us, mode)``, rows of a log in file order.
+
+    What must be remembered between batches is the last label of each log: keyed state,
+    one value a log, kept by the state store beside the checkpoint.  A batch reads the
+    state of the logs it holds and writes that of those whose label has changed; logs it
+    does not touch cost nothing.  A log's rows of one batch meet in one task as numbers,
+    so the source's batch size (files or bytes a trigger) is what bounds them.
+    """
+    spark = labelled.sparkSession
+    ship(spark)
+    # Several values by key, with a log of changes instead of whole snapshots.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    changes = (
+        labelled.select("log_id", "seq", "ts_us", "mode").groupBy("log_id")
+        .transformWithStateInPandas(LastMode(), MODE_ROWS, "append", "none")
+    )
     return (
-        labelled.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True})).start()
+        changes.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start(out)
     )
 
 

@@ -58,7 +58,8 @@ CASES = {
     "neither": "hello",
     "json-deep": plan([deep(12, [simple(41, 139), simple(42, 139)]), simple(43, 139)]),
     "json-wild": plan([simple(36, 139, 1e300), {**simple(37, 139, 3), "frame": 1e20}, simple(38, 139, 4)]),
-    "text-fractions": HEAD + "\n".join([line(1, lat=36), line("1.5", lat=37), line(2, lat=38)]),
+    "text-fractions": HEAD + "\n".join([line(1, lat=36), line("1.5", lat=37), line(2, lat=38), line("1e300", lat=39)]),
+    "json-twice": plan([simple(36, 139, 1)]).replace('"items"', '"items": [7], "items"').replace("36,", "36, 139, 20], \"params\": [0, 0, 0, null, 37,"),
 }
 
 
@@ -100,15 +101,17 @@ def test_json(parsed):
 
 
 def test_odd_numbers(parsed):
-    """A number no integer holds counts as none given, a frame as unknown; fractions are cut off."""
+    """Items go by the number written, whole or not, however large; a frame no integer holds is unknown."""
     points, outcome = parsed
     assert [(p[0], p[2], p[4]) for p in points["json-wild"]] == [
         (0, 35.0, 0),
-        (1, 36.0, 3),
         (3, 37.0, None),
         (4, 38.0, 3),
+        (1e300, 36.0, 3),
     ]
-    assert lats(points, "text-fractions") == [(1, 37.0), (2, 38.0)]
+    assert lats(points, "text-fractions") == [(1, 36.0), (1.5, 37.0), (2, 38.0), (1e300, 39.0)]
+    # Of a key written twice the last value counts.
+    assert lats(points, "json-twice") == [(0, 35.0), (1, 37.0)]
     assert outcome["json-wild"].reason is None
 
 

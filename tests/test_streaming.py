@@ -35,17 +35,26 @@ def test_arriving_logs_are_ingested_once(spark, tmp_path):
 def test_modes_are_followed_across_batches(spark, tmp_path):
     source = tmp_path / "in"
     schema = "log_id string, seq long, ts_us long, mode string"
+    written = []
 
     def feed(*rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema(schema).parquet(str(source))
-        live.follow_modes(stream, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "mark")).awaitTermination()
+        query = live.follow_modes(stream, str(tmp_path / "out"), str(tmp_path / "mark"))
+        query.awaitTermination()
+        written.append(query.lastProgress["stateOperators"][0]["numRowsUpdated"])
         found = spark.read.schema(schema).parquet(str(tmp_path / "out"))
         return sorted((r.log_id, r.seq, r["mode"]) for r in found.collect())
 
     assert feed(("x", 0, 0, "A"), ("x", 1, 1, "A"), ("y", 0, 0, "Q")) == [("x", 0, "A"), ("y", 0, "Q")]
     assert feed(("x", 2, 2, "A"), ("x", 3, 3, "B")) == [("x", 0, "A"), ("x", 3, "B"), ("y", 0, "Q")]
     assert feed(("y", 1, 1, "Q"), ("y", 2, 2, "R"), ("x", 4, 4, "B")) == [("x", 0, "A"), ("x", 3, "B"), ("y", 0, "Q"), ("y", 2, "R")]
+    # Only a log whose label has changed has its state written.
+    assert written == [2, 1, 1]
+    # Rows of a batch come in any order; labels and stamps may be missing.
+    assert feed(("z", 3, None, None), ("z", 1, 1, "A"), ("z", 2, 2, None), ("x", 5, 5, None))[2:3] == [("x", 5, None)]
+    got = spark.read.schema(schema).parquet(str(tmp_path / "out")).where("log_id = 'z'").collect()
+    assert sorted((r.seq, r.ts_us, r["mode"]) for r in got) == [(1, 1, "A"), (2, 2, None)]
 
 
 def test_live_stats_drop_late_rows(spark, tmp_path):
