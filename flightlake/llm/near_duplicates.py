@@ -14,9 +14,10 @@ share a first prefix with is cut there; of those classes, the pairs that no cut
 are joined once more on the rarest shingles of their full sets, by which none is missed.
 
 Candidates whose signatures agree enough are confirmed on the full shingle sets, in two
-passes: first the strongest tree of candidates in every region, which joins most of
-what belongs together; then every remaining candidate pair whose ends are still in
-different components.  Pairs left out have both ends in one component already.
+passes: first a tree of candidates in every region, which joins most of what belongs
+together; an order adds only what the orders before it did not join.  Then every remaining
+candidate pair whose ends are still in different components, once, in the first order it
+meets in.  Pairs left out have both ends in one component already.
 
 Defined results: null, empty or blank text has no shingle and links with nothing; a text
 of fewer words than a shingle is one shingle; a repeated row is in its own class; rows
@@ -41,12 +42,18 @@ VALUES, ORDERS = 64, 16
 #: Prefix lengths tried in turn, and classes that may share the first and a further one.
 LADDER = (3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64)
 REGION, WIDE = 32, 1024
+#: How a class's region in an order is told, in four bits: 0 for none, a place on ``LADDER``
+#: from 1, or this where the first prefix made it no larger than ``REGION``.
+THIN = 15
 #: Members of a dense region that a class meets which shares no further prefix with few.
 SOME = 4
 #: Values of the signature that is compared in dense regions.
 LONG = 512
-#: Standard errors of a signature's estimate below the threshold that a candidate may lie.
-SLACK = 4.0
+#: Standard errors of a signature's estimate below the threshold that a candidate may lie,
+#: and above it from which on a candidate is linked without looking for a closer one.
+SLACK, SURE = 4.0, 3.0
+#: Rows of thin regions compared at a time, and pairs sent on at a time.
+ROWS, PAIRS = 4096, 16_384
 #: Members of either side of a shingle's group that are joined at a time.
 BLOCK = 512
 #: Classes whose shingles tell which are common, and the buckets these are counted in.
@@ -54,6 +61,8 @@ COUNTED, BUCKETS = 4096, 1 << 16
 
 _seeds = np.random.default_rng(20240607).integers(0, 2**32, (2, LONG), dtype=np.uint32)
 _XOR, _TIMES = _seeds[0], _seeds[1] | np.uint32(1)
+#: Prefix length by what tells a region.
+_DEPTHS = np.array([0, *LADDER, 0, 0, 0, LADDER[0]], np.int64)
 
 SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, signature binary"
 
@@ -195,19 +204,18 @@ def _placed(rows: DataFrame, depths: tuple[int, ...], name: str) -> DataFrame:
     return placed.join(small(sizes, sizes.count()), "region")
 
 
-def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """``(region, id, order_no)`` of the regions that the first prefix made small; the same
-    of the others, ``ORDERS`` standing for cuts of them; ``(id, orders)``: as bits, the
-    orders in which the first prefix alone was enough; and ``(region, id)`` of what was cut.
+def regions(classes: DataFrame) -> dict[str, DataFrame]:
+    """``thin``: ``(region, id, order_no)`` of the regions that the first prefix made small;
+    ``wide``: of the others, read on until few share them; ``extra``: where no prefix does,
+    some of the region before, under ``ORDERS`` as their order; ``told``: ``(id, orders)``, what tells
+    a class's region in every order; ``crowd``: ``(region, id)`` of what the first prefix
+    did not bring below ``WIDE``.
     """
     first = _placed(classes.select("id", "signature"), LADDER[:1], "first-prefix").select("id", "order_no", "region", "n")
     thin = scratch_table(first.where(F.col("n") <= REGION).select("region", "id", "order_no"), "thin")
     dense = scratch_table(first.where(F.col("n") > REGION), "dense")
     # Only what one prefix crowds is read further.
     whole, crowd = dense.where(F.col("n") <= WIDE), dense.where(F.col("n") > WIDE)
-    undivided = thin.select("id", "order_no").union(whole.select("id", "order_no"))
-    told = undivided.groupBy("id").agg(F.expr("sum(shiftleft(1, order_no))").cast("int").alias("orders"))
-    wide = whole.select("region", "id", "order_no")
     deeper = _placed(
         crowd.select("id", "order_no").join(classes.select("id", "signature"), "id"), LADDER, "prefixes"
     )
@@ -221,7 +229,15 @@ def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
         "chosen",
         rows=crowd.count(),
     )
-    cut = chosen.where("fitting IS NOT NULL").select(F.col("fitting.region").alias("region"), "id")
+    fitting = chosen.where("fitting IS NOT NULL").select("id", "order_no", "fitting.*")
+    place = F.array_position(F.array(*map(F.lit, LADDER)), F.col("depth")).cast("long")
+    told = (
+        thin.select("id", "order_no", F.lit(THIN).cast("long").alias("place"))
+        .union(whole.select("id", "order_no", F.lit(1).cast("long")))
+        .union(fitting.select("id", "order_no", place))
+        .groupBy("id")
+        .agg(F.bit_or(F.expr("shiftleft(place, 4 * order_no)")).alias("orders"))
+    )
     # What no prefix fits, parted from a dense region at once or never, meets some of it;
     # where even whole signatures agree also a random share.
     alone = chosen.where("fitting IS NULL AND parent IS NOT NULL").select("id", "parent.*")
@@ -229,27 +245,32 @@ def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
     ends = met.select(F.xxhash64("region", "id", "other").alias("region"), F.explode(F.array("id", "other")).alias("id"))
     block = F.pmod(F.xxhash64("id", "region"), F.ceil(2 * F.col("n") / WIDE))
     shares = alone.where(F.col("depth") == LADDER[-1]).select(F.xxhash64("region", block).alias("region"), "id")
-    cuts = cut.union(shares).union(ends).withColumn("order_no", F.lit(ORDERS))
-    return thin, wide.union(cuts), told, crowd.select("region", "id")
+    return {
+        "thin": thin,
+        "wide": whole.select("region", "id", "order_no").union(fitting.select("region", "id", "order_no")),
+        "extra": shares.union(ends).withColumn("order_no", F.lit(ORDERS)),
+        "told": told,
+        "crowd": crowd.select("region", "id"),
+    }
 
 
-def _forest(a: np.ndarray, b: np.ndarray, close: np.ndarray) -> np.ndarray:
-    """Indices of the pairs of a strongest spanning forest."""
-    parent: dict[int, int] = {}
+class _Labels:
+    """Parts of a few rows, joined one by one."""
 
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
+    def __init__(self, parts: np.ndarray):
+        self.of = np.unique(parts, return_inverse=True)[1]
 
-    kept = []
-    for i in np.argsort(-close, kind="stable").tolist():
-        x, y = root(int(a[i])), root(int(b[i]))
-        if x != y:
-            parent[x] = y
-            kept.append(i)
-    return np.array(kept, np.int64)
+    def join(self, x: np.ndarray, y: np.ndarray) -> list[int]:
+        """Joins the parts of every pair in turn; which pairs did so."""
+        did = []
+        for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+            if self.of[a] != self.of[b]:
+                self.of[self.of == self.of[b]] = self.of[a]
+                did.append(i)
+        return did
+
+    def one(self) -> bool:
+        return bool((self.of == self.of[0]).all())
 
 
 def _alike(matrix: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -259,75 +280,211 @@ def _alike(matrix: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs(threshold: float, kind: type, forest: bool) -> Callable:
+def _place(orders: np.ndarray, order: int) -> np.ndarray:
+    """What tells the region of every row in an order."""
+    return (orders >> (4 * order)) & 15
+
+
+def _met_before(
+    head: np.ndarray, orders: np.ndarray, x: np.ndarray, y: np.ndarray, before: np.ndarray, thin: bool
+) -> np.ndarray:
+    """Whether a pair shares a region of the same kind in an order before, and so is told there."""
+    out = np.zeros(len(x), bool)
+    for a in range(0, len(x), ROWS):
+        i, j, upto = x[a : a + ROWS], y[a : a + ROWS], before[a : a + ROWS]
+        same = head[i] == head[j]
+        agreed = np.zeros((len(i), 2 * VALUES + 1), np.int16)
+        np.cumsum(np.concatenate((same, same), axis=1), axis=1, out=agreed[:, 1:])
+        for order in range(ORDERS):
+            place = _place(orders[i], order)
+            both = (place == _place(orders[j], order)) & (place > 0) & ((place == THIN) == thin) & (order < upto)
+            rows, start = np.flatnonzero(both), order * (VALUES // ORDERS)
+            depth = _DEPTHS[place[rows]]
+            out[a + rows] |= agreed[rows, start + depth] - agreed[rows, start] == depth
+    return out
+
+
+def _steps(region: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one region, by how far they are apart; rows of a region lie together."""
+    for step in range(1, len(region)):
+        x = np.flatnonzero(region[step:] == region[:-step])
+        if not len(x):
+            return
+        yield x, x + step
+
+
+def _thin_pairs(
+    region: np.ndarray, part: np.ndarray, order: np.ndarray, orders: np.ndarray, matrix: np.ndarray, least: float, forest: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of small regions, all at once: what each row may bring is bounded by ``REGION``."""
+    left, right, close = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    for x, y in _steps(region):
+        apart = part[x] != part[y]
+        x, y = x[apart], y[apart]
+        alike = _alike(matrix, x, y)
+        good = alike >= least
+        left.append(x[good])
+        right.append(y[good])
+        close.append(alike[good])
+    x, y, s = np.concatenate(left), np.concatenate(right), np.concatenate(close)
+    before = _met_before(matrix, orders, x, y, order[x], True)
+    if not forest:
+        return x[~before], y[~before]
+    # What was told before is joined first and silently; then the closest first.
+    ranked = np.lexsort((-s, ~before))
+    parent: dict[int, int] = {}
+
+    def root(r: int) -> int:
+        while parent.get(r, r) != r:
+            parent[r] = parent.get(parent[r], parent[r])
+            r = parent[r]
+        return r
+
+    kept = []
+    for i in ranked.tolist():
+        a, b = root(int(x[i])), root(int(y[i]))
+        if a != b:
+            parent[a] = b
+            if not before[i]:
+                kept.append(i)
+    return x[kept], y[kept]
+
+
+def _told_parts(labels: _Labels, orders: np.ndarray, order: int, matrix: np.ndarray, sure: float) -> None:
+    """Joins rows that lie together in a wide region of an earlier order and are surely alike."""
+    for earlier in range(order):
+        place = _place(orders, earlier)
+        rows = np.flatnonzero((place > 0) & (place != THIN))
+        depth, key = _DEPTHS[place[rows]], place[rows].astype(np.uint64)
+        for j in range(int(depth.max(initial=0))):
+            on = np.flatnonzero(depth > j)
+            key[on] = words.mixed(key[on] * np.uint64(3) + matrix[rows[on], (earlier * (VALUES // ORDERS) + j) % VALUES])
+        by_key = np.argsort(key, kind="stable")
+        rows, key = rows[by_key], key[by_key]
+        same = np.flatnonzero(key[1:] == key[:-1])
+        x, y = rows[same], rows[same + 1]
+        apart = labels.of[x] != labels.of[y]
+        x, y = x[apart], y[apart]
+        close = _alike(matrix, x, y) >= sure
+        labels.join(x[close], y[close])
+
+
+def _wide_tree(part: np.ndarray, order: int, orders: np.ndarray, matrix: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of one region's candidates, without what earlier orders tell."""
+    head = matrix[:, :VALUES]
+    least = least_estimate(threshold, VALUES), least_estimate(threshold, matrix.shape[1])
+    sure = threshold + SURE * (threshold * (1 - threshold) / matrix.shape[1]) ** 0.5
+    labels = _Labels(part)
+    _told_parts(labels, orders, order, matrix, sure)
+    told: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for x, y in _steps(np.zeros(len(part), np.int8)):
+        if labels.one():
+            break
+        apart = labels.of[x] != labels.of[y]
+        x, y = x[apart], y[apart]
+        good = _alike(head, x, y) >= least[0]
+        x, y = x[good], y[good]
+        alike = _alike(matrix, x, y)
+        close = alike >= sure
+        did = labels.join(x[close], y[close])
+        told.append((x[close][did], y[close][did]))
+        late = (alike >= least[1]) & ~close
+        waiting.append((x[late], y[late], alike[late]))
+    if waiting:
+        x, y, s = (np.concatenate(c) for c in zip(*waiting, strict=True))
+        closest = np.argsort(-s, kind="stable")
+        did = labels.join(x[closest], y[closest])
+        told.append((x[closest][did], y[closest][did]))
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(none + [x for x, _ in told]), np.concatenate(none + [y for _, y in told])
+
+
+def _wide_pairs(part: np.ndarray, order: np.ndarray, orders: np.ndarray, matrix: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All candidates of one region whose ends lie in different parts, told in no order before."""
+    if (part == part[0]).all():
+        return
+    head = matrix[:, :VALUES]
+    for x, y in _steps(np.zeros(len(part), np.int8)):
+        apart = part[x] != part[y]
+        x, y = x[apart], y[apart]
+        good = _alike(head, x, y) >= least_estimate(threshold, VALUES)
+        x, y = x[good], y[good]
+        good = _alike(matrix, x, y) >= least_estimate(threshold, matrix.shape[1])
+        x, y = x[good], y[good]
+        here = ~_met_before(head, orders, x, y, order[x], False)
+        yield x[here], y[here]
+
+
+def _pairs(threshold: float, wide: bool, forest: bool) -> Callable:
     """Candidate pairs of rows that lie together by region, their ends in different parts.
 
     A region has a bounded number of rows; those of a batch's last one wait for the next.
+    Of wide regions one is held at a time, and what it gives is sent on before the next.
     """
 
-    def elsewhere(x: np.ndarray, y: np.ndarray, order: np.ndarray, orders: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-        """Whether a pair also meets in the undivided region of an earlier order, and so is told there."""
-        same = (matrix[x, :VALUES] == matrix[y, :VALUES]).reshape(len(x), ORDERS, VALUES // ORDERS)[:, :, : LADDER[0]].all(axis=2)
-        number = np.arange(ORDERS)
-        both = (((orders[x] & orders[y])[:, None] >> number) & 1).astype(bool)
-        return (same & both & (number < order[x][:, None])).any(axis=1)
-
-    def found(
-        region: np.ndarray, ids: np.ndarray, part: np.ndarray, order: np.ndarray, orders: np.ndarray, matrix: np.ndarray
-    ) -> pa.RecordBatch:
-        left, right, close = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-        head = np.ascontiguousarray(matrix[:, :VALUES])
-        for step in range(1, len(ids)):
-            x = np.flatnonzero(region[step:] == region[:-step])
-            if not len(x):
-                break
-            x = x[part[x] != part[x + step]]
-            alike = _alike(head, x, x + step)
-            good = alike >= least_estimate(threshold, VALUES)
-            x, alike = x[good], alike[good]
-            if matrix.shape[1] > VALUES and len(x):
-                alike = _alike(matrix, x, x + step)
-                good = alike >= least_estimate(threshold, matrix.shape[1])
-                x, alike = x[good], alike[good]
-                here = ~elsewhere(x, x + step, order, orders, matrix)
-                x, alike = x[here], alike[here]
-            left.append(x)
-            right.append(x + step)
-            close.append(alike)
-        x, y, s = np.concatenate(left), np.concatenate(right), np.concatenate(close)
-        if forest and len(x):
-            # A class stands in several regions of a batch; nodes are rows, so regions stay apart.
-            kept = _forest(x, y, s)
-            x, y = x[kept], y[kept]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"]
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(region: np.ndarray, ids: np.ndarray, part: np.ndarray, order: np.ndarray, orders: np.ndarray, matrix: np.ndarray) -> Iterator[tuple]:
+        cuts = np.concatenate(([0], np.flatnonzero(region[1:] != region[:-1]) + 1, [len(region)]))
+        if wide:
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                rows = slice(a, b)
+                if b - a < 2:
+                    continue
+                if forest:
+                    told = [_wide_tree(part[rows], int(order[a]), orders[rows], matrix[rows], threshold)]
+                else:
+                    told = _wide_pairs(part[rows], order[rows], orders[rows], matrix[rows], threshold)
+                for x, y in told:
+                    yield ids[a + x], ids[a + y]
+        else:
+            a, least = 0, least_estimate(threshold, VALUES)
+            while a < len(region):
+                b = int(cuts[max(np.searchsorted(cuts, a) + 1, np.searchsorted(cuts, a + ROWS, "right") - 1)])
+                rows = slice(a, b)
+                x, y = _thin_pairs(region[rows], part[rows], order[rows], orders[rows], matrix[rows], least, forest)
+                yield ids[a + x], ids[a + y]
+                a = b
+
+    def told(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        x, y = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Rows of whole regions."""
         kept = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = [batch[c].to_numpy() for c in ("region", "id", "part", "order_no", "orders")]
-            now = (*columns, _matrix(batch["signature"], kind))
+            now = (*columns, _matrix(batch["signature"], np.uint16 if wide else np.uint32))
             now = now if kept is None else tuple(np.concatenate(x) for x in zip(kept, now, strict=True))
             whole = int(np.searchsorted(now[0], now[0][-1]))
-            kept = tuple(x[whole:] for x in now)
+            kept = tuple(x[whole:].copy() for x in now)
             if whole:
-                yield found(*(x[:whole] for x in now))
+                yield tuple(x[:whole] for x in now)
         if kept is not None:
-            yield found(*kept)
+            yield kept
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for rows in settled(batches):
+            for pairs in found(*rows):
+                if len(pairs[0]):
+                    held.append(pairs)
+                if sum(len(x) for x, _ in held) > PAIRS:
+                    yield told(held)
+                    held = []
+        if held:
+            yield told(held)
 
     return run
 
 
-def candidates(
-    placed: DataFrame, parts: DataFrame | None, signatures: DataFrame, threshold: float, kind: type = np.uint32
-) -> DataFrame:
+def candidates(placed: DataFrame, parts: DataFrame | None, signatures: DataFrame, threshold: float, wide: bool) -> DataFrame:
     """Distinct candidate pairs of the regions.
 
-    Without ``parts`` the strongest forest of each region; with them every pair whose
-    ends lie in different ones.
+    Without ``parts`` a forest of each region; with them every pair whose ends lie in
+    different ones.
     """
     rows = placed.join(signatures, "id")
     if parts is None:
@@ -335,7 +492,7 @@ def candidates(
     else:
         rows = rows.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
     rows = rows.select("region", "id", "part", "order_no", "orders", "signature").repartition("region").sortWithinPartitions("region")
-    return rows.mapInArrow(_pairs(threshold, kind, parts is None), "a long, b long").where("a <> b").distinct()
+    return rows.mapInArrow(_pairs(threshold, wide, parts is None), "a long, b long").where("a <> b").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -359,12 +516,12 @@ def _buckets(shingles: np.ndarray) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles of the partition fall in every bucket, as one row."""
+    """How many shingles of the partition fall in every bucket."""
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         total += np.bincount(_buckets(batch["shingles"].flatten().to_numpy()), minlength=BUCKETS)
-    if total.any():
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+    full = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], ["bucket", "n"])
 
 
 def _rarest(common: np.ndarray, percent: int) -> Callable:
@@ -422,9 +579,10 @@ def cut_pairs(crowd: DataFrame, parts: DataFrame, sets: DataFrame, threshold: fl
     full = scratch_table(sets.join(small(apart, many), "id"), "cut-sets")
     million = 1_000_000
     share = min(million, -(-million * COUNTED // many))
-    some = full.where(F.pmod(F.xxhash64("id"), F.lit(million)) < share).select("shingles").coalesce(4)
-    counted = some.mapInArrow(_counts, "counts binary").collect()
-    common = sum((np.frombuffer(r["counts"], np.int64) for r in counted), np.zeros(BUCKETS, np.int64))
+    some = full.where(F.pmod(F.xxhash64("id"), F.lit(million)) < share).select("shingles")
+    counted = some.mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(BUCKETS, np.int64)
+    common[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     rows = scratch_table(
         full.mapInArrow(
             _rarest(common, percent), "shingle long, id long, component long, n int, position int, leads boolean"
@@ -489,11 +647,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: float = 0.8) -
         .select("d1", "d2", F.col("m.doc_id").alias("id"), F.col("m.signature").alias("signature")),
         "classes",
     )
-    thin, wide, told, crowd = regions(classes)
-    told = scratch_table(told, "told")
-    orders = F.coalesce("orders", F.lit(0)).alias("orders")
+    placed = regions(classes)
+    thin, wide, crowd = placed["thin"], placed["wide"], placed["crowd"]
+    told = scratch_table(placed["told"], "told")
+    orders = F.coalesce("orders", F.lit(0).cast("long")).alias("orders")
     plain = classes.join(told, "id", "left").select("id", orders, "signature")
-    thin_tree = scratch_table(candidates(thin, None, plain, threshold), "thin-tree")
+    thin_tree = scratch_table(candidates(thin, None, plain, threshold, False), "thin-tree")
     ends = thin_tree.select(F.col("a").alias("id")).union(thin_tree.select(F.col("b").alias("id")))
     crowded = scratch_table(wide.select("id").union(crowd.select("id")).distinct(), "crowded")
     asked = scratch_table(ends.union(crowded).distinct(), "asked")
@@ -503,13 +662,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: float = 0.8) -
     longer = scratch_table(in_crowd.mapInArrow(_long, "id long, signature binary"), "long")
     longer = longer.join(told, "id", "left").select("id", orders, "signature")
 
-    def found(parts: DataFrame | None, known: DataFrame, name: str) -> DataFrame:
-        return scratch_table(known.union(candidates(wide, parts, longer, threshold, np.uint16)).distinct(), name)
+    def found(parts: DataFrame | None, regions: DataFrame, known: DataFrame, name: str) -> DataFrame:
+        return scratch_table(known.union(candidates(regions, parts, longer, threshold, True)).distinct(), name)
 
-    tree = found(None, thin_tree, "tree")
+    tree = found(None, wide, thin_tree, "tree")
     links = scratch_table(confirmed(tree, sets, threshold), "confirmed")
     parts = scratch_table(components(links), "parts")
-    rest = found(parts, candidates(thin, parts, plain, threshold), "rest").join(tree, ["a", "b"], "left_anti")
+    # What met only some of a region takes part now that most of it is linked.
+    everywhere = wide.union(placed["extra"])
+    rest = found(parts, everywhere, candidates(thin, parts, plain, threshold, False), "rest").join(tree, ["a", "b"], "left_anti")
     more = scratch_table(confirmed(rest, sets, threshold), "confirmed")
     final = components(links.union(more))
     cut = cut_pairs(crowd, final, sets, threshold)
