@@ -4,7 +4,8 @@ A byte-level vocabulary cuts a text before it merges, and always between a chara
 that is not white space and a single space or line feed after it.  Stretches between
 such places therefore encode on their own to what they give inside the text, so a
 worker keeps the ids of stretches it has met.  A text with other white space, runs of
-it, or characters not known to be visible, is encoded whole.
+it, or characters not known to be visible, is encoded whole; so is one that holds the name
+of an added token, which the library finds before it cuts.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Stretches a worker remembers; further ones are encoded anew.
-REMEMBERED = 1_000_000
+#: Bytes of stretches and ids a worker remembers; further ones are encoded anew.
+REMEMBERED = 64 << 20
+#: What a remembered stretch takes beside its own bytes and its ids'.
+ENTRY = 200
 #: New stretches encoded as one text.
 TOGETHER = 2_000
 #: Marks that make a piece of their own after a letter.
@@ -24,8 +27,11 @@ MARKS = ".,;:!?"
 LETTERS_END = "\u0250"
 
 
-def stretches(text: str) -> list[str] | None:
-    """The text cut before every space and line feed; None if it has other white space or runs of it."""
+def stretches(text: str, added: tuple[str, ...] = ()) -> list[str] | None:
+    """The text cut before every space and line feed; None if it has other white space or runs
+    of it, or one of the ``added`` names."""
+    if any(name in text for name in added):
+        return None
     if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
         return None
     if not text.replace("\n", "").isprintable():
@@ -41,7 +47,7 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 BYTE_ALPHABET = _byte_alphabet()
-_known: dict[str, tuple] = {}
+_known: dict[str, _Loaded] = {}
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -50,24 +56,43 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _loaded(path: str) -> tuple:
-    """Tokenizer, bytes of each id, and what has been met so far; once per worker."""
-    if path not in _known:
+class _Loaded:
+    """A vocabulary, bytes of each id, names of added tokens, and what has been met so far."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        vocabulary = tokenizer.get_vocab()
-        n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
-            n_bytes[number] = len(token)  # the byte alphabet has one character for each byte
-        _known[path] = (tokenizer, n_bytes, {})
+            self.n_bytes[number] = len(token)  # the byte alphabet has one character for each byte
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        #: Stretches put together must not make up a name.
+        self.cuts = not any(c in name for name in self.added for c in " \n")
+        self.memory: dict[str, bytes] = {}
+        self.held = 0
+
+    def remember(self, found: dict[str, bytes]) -> None:
+        for name, ids in found.items():
+            self.held += len(name) + len(ids) + ENTRY
+            if self.held > REMEMBERED:
+                self.held = REMEMBERED
+                return
+            self.memory[name] = ids
+
+
+def _loaded(path: str) -> _Loaded:
+    """Once per worker."""
+    if path not in _known:
+        _known[path] = _Loaded(path)
     return _known[path]
 
 
 def encoder(path: str) -> Callable[[list[str | None]], list[np.ndarray]]:
     """A function from texts to their ids, one uint32 array each; null is empty."""
-    tokenizer, n_bytes, memory = _loaded(path)
+    loaded = _loaded(path)
+    tokenizer, n_bytes, memory = loaded.tokenizer, loaded.n_bytes, loaded.memory
     merge = tokenizer.model.tokenize
 
     def whole(text: str) -> np.ndarray:
@@ -122,15 +147,14 @@ def encoder(path: str) -> Callable[[list[str | None]], list[np.ndarray]]:
     line_feed = whole("\n").tobytes()
 
     def run(texts: list[str | None]) -> list[np.ndarray]:
-        cut = [stretches(text) if text else None for text in texts]
+        cut = [stretches(text, loaded.added) if text and loaded.cuts else None for text in texts]
         flat = [s for parts in cut if parts for s in parts]
         held = list(map(memory.get, flat))
         missing = [i for i, ids in enumerate(held) if ids is None]
         found = new_stretches({flat[i] for i in missing})
         for i in missing:
             held[i] = found[flat[i]]
-        if len(memory) + len(found) <= REMEMBERED:
-            memory.update(found)
+        loaded.remember(found)
         out, at = [], 0
         for text, parts in zip(texts, cut, strict=True):
             if parts is None:

@@ -147,9 +147,7 @@ def test_components_of_a_long_chain(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(tokens.vocabulary_path())
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(tokens.vocabulary_path())
 
 
 def plain_ids(tokenizer, text, end):
@@ -164,7 +162,8 @@ ODD_TEXTS = [
 
 def test_stretches_encode_like_whole_texts(tokenizer, monkeypatch):
     texts = ODD_TEXTS + [r[1] for r in cases.odd_rows()] + [cases.prose(i, 40) + ".\n" + cases.prose(i, 9) for i in range(30)]
-    for remembered in (tokens.REMEMBERED, 10):
+    texts += ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>\nb", "a <|endo ftext|> b", "x <|endoftext|"]
+    for remembered in (tokens.REMEMBERED, 3000, 0):
         monkeypatch.setattr(tokens, "REMEMBERED", remembered)
         tokens._known.clear()
         encode = tokens.encoder(tokens.vocabulary_path())
@@ -200,6 +199,20 @@ def test_token_files(spark, tokenizer, monkeypatch, tmp_path, block):
     assert whole == sorted((d is not None, d or 0, plain_ids(tokenizer, t, 2).tolist()) for d, t in rows)
 
 
+def test_added_tokens_are_tokens(spark, tokenizer):
+    """Names of added tokens in a text are what the library makes of them, in files and sequences too."""
+    texts = ["<|endoftext|>", *[f"plain text {i}" for i in range(20)], "hello <|endoftext|> world", "more", "last<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    at = 0
+    found = {r.doc_id: r for r in token_files.token_files(docs).collect()}
+    for i, text in enumerate(texts):
+        ids = plain_ids(tokenizer, text, 2)
+        assert (found[i].start, found[i].n_tokens, found[i].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert 50256 in tokenizer.encode(texts[-1], add_special_tokens=False).ids
+    check_packing(packing.packed(docs).collect(), {i: [t] for i, t in enumerate(texts)}, tokenizer)
+
+
 def test_files_hold_documents_in_order(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(500, 0, -1)], "doc_id long, text string")
     token_files.write_tokens(docs, str(tmp_path))
