@@ -7,9 +7,14 @@ words best; the set of languages kept is the one whose likelihood, less a penalt
 each further language, is highest.  The answer is the largest of that set and its share.
 
 Learning uses at most about ``DOCS_PER_LANGUAGE`` documents of each language, chosen by
-a hash, and never one that is held out.  Null text, or text without a letter, is
-``und`` with score 0; so is everything where nothing could be learned.  Repeated rows
-get the same answer; a null id is not held out and teaches nothing.
+a hash, and never one that is held out; of the ``LANGUAGES`` languages that most documents
+are in, so that what is gathered and sent to the workers has a bound.
+
+Defined results: null text, or text without a letter, is ``und`` with score 0; so is
+everything where nothing could be learned.  Repeated rows get the same answer; a null id is
+not held out and teaches nothing; of languages with equal shares the first by name is
+taken; a text of any length is read whole; an empty table gives no rows; the columns of
+``docs`` come back inside ``row``, so none of their names can clash.
 """
 
 from __future__ import annotations
@@ -27,9 +32,10 @@ from flightlake.llm.common import held_out, ship
 
 BUCKETS = 1 << 16
 DOCS_PER_LANGUAGE = 2_000
+LANGUAGES = 256
 STEPS = 12
 LETTER = re.compile(r"[^\W\d_]")
-FOUND = "held_out boolean, lettered boolean, lang_pred string, score double, languages map<string,double>"
+FOUND = "struct<lettered:boolean,lang_pred:string,score:double,languages:map<string,double>>"
 
 
 def _trigrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,8 +51,7 @@ def _trigrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return ((key * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64), at
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple]:
-    column = batch["text"] if "text" in batch.schema.names else batch["row"].field("text")
+def _texts(column: pa.Array) -> Iterator[tuple]:
     data, bounds = words.utf8(column)
     for a, b in words.portions(bounds, words.SLICE // 2):
         part, rows = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
@@ -59,7 +64,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch["lang"].to_pylist()
-        for a, b, data, rows, starts, ends, at in _texts(batch):
+        for a, b, data, rows, starts, ends, at in _texts(batch["text"]):
             grams, begin = _trigrams(data, starts, ends)
             for i in range(a, b):
                 own = grams[begin[at[i - a]] : begin[at[i - a + 1]]]
@@ -73,10 +78,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, most: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages, and the log-probability of every trigram bucket under each."""
     taught = docs.where(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    sizes = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = taught.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most)
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}
     million = 1_000_000
     share = F.create_map(
         *[F.lit(x) for k, n in sizes.items() for x in (k, min(million, -(-million * per_language // n)))]
@@ -136,43 +142,39 @@ def mixture(
 
 
 def _predict(names: list[str], table: np.ndarray, penalty: float) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, rows, starts, ends, at in _texts(batch):
-                part = batch.slice(a, b - a)
-                n = b - a
-                lettered = np.diff(at) > 0
-                # Letters beyond ASCII need looking at; most texts have one of A-Z.
-                ascii_word = np.zeros(len(starts), bool)
-                if len(starts):
-                    ascii_word = np.logical_or.reduceat((data < 128) & ~words.NO_LETTERS[data], starts)
-                    plain = words.row_sums(ascii_word.astype(np.int64), at) > 0
-                    for i in np.flatnonzero(lettered & ~plain).tolist():
-                        lettered[i] = bool(LETTER.search(bytes(data[rows[i] : rows[i + 1]]).decode()))
-                shares, chosen = np.zeros((n, len(names))), np.zeros((n, len(names)), bool)
-                if names and len(starts):
-                    grams, begin = _trigrams(data, starts, ends)
-                    likelihood = np.add.reduceat(table[grams], begin[:-1], axis=0)
-                    shares, chosen = mixture(likelihood, at, penalty)
-                sure = lettered & (len(names) > 0)
-                top = shares.argmax(axis=1) if names else np.zeros(n, np.int64)
-                found = [
-                    [(names[j], float(shares[i, j])) for j in np.flatnonzero(chosen[i]).tolist()] if sure[i] else []
-                    for i in range(n)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part["row"],
-                        part["held_out"],
-                        pa.array(lettered),
-                        pa.array([names[t] if s else "und" for t, s in zip(top.tolist(), sure.tolist(), strict=True)]),
-                        pa.array([
-                            min(1.0, float(shares[i, top[i]])) if sure[i] else 0.0 for i in range(n)
-                        ], pa.float64()),
-                        pa.array(found, pa.map_(pa.string(), pa.float64())),
-                    ],
-                    ["row", "held_out", "lettered", "lang_pred", "score", "languages"],
-                )
+    def told(data: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> pa.StructArray:
+        n = len(rows) - 1
+        lettered = np.diff(at) > 0
+        if len(starts):
+            # Letters beyond ASCII need looking at; most texts have one of A-Z.
+            ascii_word = np.logical_or.reduceat((data < 128) & ~words.NO_LETTERS[data], starts)
+            plain = words.row_sums(ascii_word.astype(np.int64), at) > 0
+            for i in np.flatnonzero(lettered & ~plain).tolist():
+                lettered[i] = bool(LETTER.search(bytes(data[rows[i] : rows[i + 1]]).decode()))
+        shares, chosen = np.zeros((n, len(names))), np.zeros((n, len(names)), bool)
+        if names and len(starts):
+            grams, begin = _trigrams(data, starts, ends)
+            likelihood = np.add.reduceat(table[grams], begin[:-1], axis=0)
+            shares, chosen = mixture(likelihood, at, penalty)
+        sure = lettered & (len(names) > 0)
+        top = shares.argmax(axis=1) if names else np.zeros(n, np.int64)
+        found = [
+            [(names[j], float(shares[i, j])) for j in np.flatnonzero(chosen[i]).tolist()] if sure[i] else []
+            for i in range(n)
+        ]
+        columns = {
+            "lettered": pa.array(lettered),
+            "lang_pred": pa.array([names[t] if s else "und" for t, s in zip(top.tolist(), sure.tolist(), strict=True)], pa.string()),
+            "score": pa.array([min(1.0, float(shares[i, top[i]])) if sure[i] else 0.0 for i in range(n)], pa.float64()),
+            "languages": pa.array(found, pa.map_(pa.string(), pa.float64())),
+        }
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            parts = [told(data, rows, starts, ends, at) for _, _, data, rows, starts, ends, at in _texts(column)]
+            nothing = np.empty(0, np.int64)
+            yield pa.concat_arrays(parts) if parts else told(np.empty(0, np.uint8), np.zeros(1, np.int64), nothing, nothing, np.zeros(1, np.int64))
 
     return run
 
@@ -183,15 +185,18 @@ def languages(docs: DataFrame, taught_by: DataFrame | None = None, penalty: floa
     ``lettered``: the text has a letter, so it is in some language, be that known or not;
     ``penalty``: log-likelihood a further language must win, times the log of the number
     of words; ``languages``: the shares of the chosen set.  ``row`` holds the input's
-    columns, so none of their names can clash.
+    columns; of these only the text passes through Python.
     """
     ship(docs.sparkSession)
     known = taught_by if taught_by is not None else docs
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     names, table = learn(known)
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"), held_out(F.col("doc_id").cast("long")).alias("held_out")
-    )
-    return rows.mapInArrow(
-        _predict(names, table, penalty), f"row {docs.schema.simpleString()}, {FOUND}"
-    )
+    run = _predict(names, table, penalty)
+
+    def predicted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run(texts)
+
+    verdict = F.arrow_udf(predicted, FOUND)(F.col("text"))
+    return docs.select(
+        F.struct(*docs.columns).alias("row"), held_out(F.col("doc_id").cast("long")).alias("held_out"), verdict.alias("verdict")
+    ).select("row", "held_out", "verdict.*")
