@@ -10,7 +10,7 @@ from flightlake.functions.values import align_angle
 from flightlake.operators import sequence, tables, timejoin
 from flightlake.operators.mission import command_items, newest_plan, prefer_first
 from flightlake.operators.trajectory import drape_heading, initial_view
-from flightlake.scale import Ordered, exact_median, row_index
+from flightlake.scale import Ordered, exact_median, last_known, previous, row_index
 
 # Rows of the source around each instant, by brute force over all pairs of a log.
 _AROUND = """
@@ -147,6 +147,21 @@ def w01(spark, d):
     return sequence.fill_time(spark_sql(spark, d, _CLOCKLESS))
 
 
+@check("t02_stamps_go_back", """
+    SELECT log_id, seq, lag(seq) OVER w AS before, row_number() OVER w - 1 AS place,
+           last_value(value IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY back, seq ROWS UNBOUNDED PRECEDING) AS known FROM (
+        SELECT *, ts_us - CASE WHEN seq % 7 < 3 THEN 86400000000 * (seq % 5) ELSE 0 END AS back FROM telemetry) t
+    WINDOW w AS (PARTITION BY log_id ORDER BY back, seq)""")
+def t02(spark, d):
+    """Clocks that run back, by days, for stretches of a log: order is by stamp, then by place in the file."""
+    back = F.col("ts_us") - F.when(F.col("seq") % 7 < 3, F.lit(86_400_000_000) * (F.col("seq") % 5)).otherwise(0)
+    rows = view(spark, d, "telemetry").withColumn("back", back)
+    # Split on purpose, so that what goes back crosses pieces.
+    ordered = Ordered(rows, ["log_id"], ["back", "seq"], split=True, group_rows=500)
+    found = ordered.scan(before=previous("seq"), place=row_index(), known=last_known(F.col("value"))).rows()
+    return found.select("log_id", "seq", F.col("before.seq").alias("before"), "place", "known")
+
+
 @check("w02_mode_changes", """
     SELECT log_id, seq, ts_us, mode FROM (
         SELECT log_id, seq, ts_us, message AS mode, lag(message) OVER (PARTITION BY log_id ORDER BY seq) AS p FROM telemetry) t

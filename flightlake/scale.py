@@ -6,7 +6,9 @@ every series fits comfortably in a task.  When a series does not, the rows are
 range-partitioned by ``(series, order)`` so that a long series spans several
 pieces, the window runs per piece, and what one piece must know about the others
 (the last row, a running total ...) travels in a carry table that holds at most
-two rows per piece.
+two rows per piece.  Pieces grow with the rows once there are ``MOST_PIECES`` of them,
+and where there are more than ``BLOCK`` their summaries are folded in two levels, pieces
+into blocks and blocks into the series, so that no task folds all pieces of a series.
 
 Piece numbers come from a range partitioning that Spark samples at run time, so
 they are written to the shared scratch folder before anything is derived from
@@ -26,6 +28,10 @@ from pyspark.sql import functions as F
 
 #: Rows of one series (or one group) a single task is asked to hold.
 GROUP_ROWS = 1_000_000
+#: Pieces that rows are cut into at most; more rows make longer pieces, which a task sorts on disk.
+MOST_PIECES = 100_000
+#: Pieces whose summaries one task folds.
+BLOCK = 1_000
 
 _local_scratch: dict[str, str] = {}
 
@@ -70,12 +76,25 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
 
 @dataclass(frozen=True)
 class Scan:
-    """One ordered computation, with its per-piece summary and how to carry it on."""
+    """One ordered computation, with its per-piece summary and how to carry it on.
+
+    ``fold`` makes one summary of those of several pieces in order; ``merge`` joins what
+    is known near a row with what is carried from afar.
+    """
 
     local: Callable[[WindowSpec, WindowSpec, WindowSpec], Column]
     summary: Callable[[Column], Column]
     carry: Callable[[Column, WindowSpec, WindowSpec, WindowSpec], Column]
     merge: Callable[[Column, Column], Column]
+    fold: Callable[[Column, Column], Column]
+
+
+def _last_of(s: Column, place: Column) -> Column:
+    return F.max_by(s, F.when(s.isNotNull(), place))
+
+
+def _first_of(s: Column, place: Column) -> Column:
+    return F.min_by(s, F.when(s.isNotNull(), place))
 
 
 def _before(w: WindowSpec, inclusive: bool) -> WindowSpec:
@@ -90,6 +109,7 @@ def previous(*cols: str) -> Scan:
         lambda pos: F.max_by(row, pos),
         lambda s, fwd, back, whole: F.lag(s).over(fwd),
         lambda here, carried: F.coalesce(here, carried),
+        F.max_by,
     )
 
 
@@ -101,6 +121,7 @@ def following(*cols: str) -> Scan:
         lambda pos: F.min_by(row, pos),
         lambda s, fwd, back, whole: F.lead(s).over(fwd),
         lambda here, carried: F.coalesce(here, carried),
+        F.min_by,
     )
 
 
@@ -111,6 +132,7 @@ def last_known(value: Column) -> Scan:
         lambda pos: F.max_by(value, F.when(value.isNotNull(), pos)),
         lambda s, fwd, back, whole: F.last(s, True).over(_before(fwd, False)),
         lambda here, carried: F.coalesce(here, carried),
+        _last_of,
     )
 
 
@@ -118,7 +140,7 @@ def known_before(value: Column) -> Scan:
     """Latest non-null ``value`` strictly before the row."""
     at = last_known(value)
     return Scan(
-        lambda fwd, back, whole: F.last(value, True).over(_before(fwd, False)), at.summary, at.carry, at.merge
+        lambda fwd, back, whole: F.last(value, True).over(_before(fwd, False)), at.summary, at.carry, at.merge, at.fold
     )
 
 
@@ -129,6 +151,7 @@ def first_known(value: Column) -> Scan:
         lambda pos: F.min_by(value, F.when(value.isNotNull(), pos)),
         lambda s, fwd, back, whole: F.first(s, True).over(_before(fwd, False)),
         lambda here, carried: F.coalesce(carried, here),
+        _first_of,
     )
 
 
@@ -143,6 +166,7 @@ def next_known(value: Column) -> Scan:
         lambda pos: F.min_by(value, F.when(value.isNotNull(), pos)),
         lambda s, fwd, back, whole: F.last(s, True).over(_before(back, False)),
         lambda here, carried: F.coalesce(here, carried),
+        _first_of,
     )
 
 
@@ -156,6 +180,7 @@ def running_sum(value: Column) -> Scan:
             here.isNotNull() | carried.isNotNull(),
             F.coalesce(here, F.lit(0)) + F.coalesce(carried, F.lit(0)),
         ),
+        lambda s, place: F.sum(s),
     )
 
 
@@ -166,7 +191,8 @@ def row_index() -> Scan:
         lambda fwd, back, whole: F.sum(one).over(_before(fwd, True)) - 1,
         lambda pos: F.sum(one),
         lambda s, fwd, back, whole: F.sum(s).over(_before(fwd, False)),
-        lambda here, carried: here + F.coalesce(carried, F.lit(0)),
+        lambda here, carried: F.coalesce(here, F.lit(0)) + F.coalesce(carried, F.lit(0)),
+        lambda s, place: F.sum(s),
     )
 
 
@@ -179,6 +205,7 @@ def total(value: Column, how: str = "sum") -> Scan:
         lambda pos: fold(value),
         lambda s, fwd, back, whole: again(s).over(whole),
         lambda here, carried: F.coalesce(carried, here),
+        lambda s, place: again(s),
     )
 
 
@@ -196,9 +223,10 @@ class Ordered:
         split: bool | None = None,
         group_rows: int | None = None,
         _ready: bool = False,
+        _pieces: int = 1,
     ):
         self.keys, self.order = list(keys), list(order)
-        self._written = False
+        self._written, self._pieces = False, _pieces
         limit = group_rows or GROUP_ROWS
         if not _ready:
             rows = 0
@@ -207,19 +235,19 @@ class Ordered:
                 split = split or largest > limit
             if split:
                 shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-                parts = max(shuffles, 2 * math.ceil(rows / limit))
+                parts = max(shuffles, min(MOST_PIECES, 2 * math.ceil(rows / limit)))
                 df = scratch_table(
                     df.repartitionByRange(parts, *self.keys, *self.order).withColumn(
                         "_piece", F.spark_partition_id()
                     ),
                     "pieces",
                 )
-                self._written = True
+                self._written, self._pieces = True, parts
         self.split = bool(split)
         self.df = df
 
     def _same(self, df: DataFrame) -> Ordered:
-        return Ordered(df, self.keys, self.order, split=self.split, _ready=True)
+        return Ordered(df, self.keys, self.order, split=self.split, _ready=True, _pieces=self._pieces)
 
     def with_columns(self, **cols: Column) -> Ordered:
         return self._same(self.df.withColumns(cols))
@@ -245,25 +273,7 @@ class Ordered:
         if not self.split:
             return self._same(out)
 
-        position = F.struct(*self.order)
-        over_key = Window.partitionBy(*self.keys)
-        forward, backward = over_key.orderBy("_piece"), over_key.orderBy(F.desc("_piece"))
-        carries = (
-            self.df.groupBy(*part)
-            .agg(*[s.summary(position).alias(f"_s_{name}") for name, s in scans.items()])
-            .withColumn("_pieces", F.count(F.lit(1)).over(over_key))
-            # Only a series that crosses a piece border appears here: no more
-            # than two rows per piece, however many series there are.  Spark
-            # broadcasts them while they are few, and else joins by piece.
-            .where("_pieces > 1")
-            .select(
-                *part,
-                *[
-                    s.carry(F.col(f"_s_{name}"), forward, backward, over_key).alias(f"_c_{name}")
-                    for name, s in scans.items()
-                ],
-            )
-        )
+        carries = self._carries(part, scans)
         kept = self.df.columns
         return self._same(
             out.join(carries, part, "left").select(
@@ -275,6 +285,35 @@ class Ordered:
             )
         )
 
+    def _carries(self, part: list[str], scans: dict[str, Scan]) -> DataFrame:
+        """What every piece of a series that crosses a border must know of the other pieces.
+
+        No more than two rows per piece, however many series there are.  Spark
+        broadcasts them while they are few, and else joins by piece.
+        """
+        position = F.struct(*self.order)
+        held = self.df.groupBy(*part).agg(*[s.summary(position).alias(f"_s_{name}") for name, s in scans.items()])
+        over_key = Window.partitionBy(*self.keys)
+
+        def carried(over: WindowSpec, by: str, mark: str) -> list[Column]:
+            forward, backward = over.orderBy(by), over.orderBy(F.desc(by))
+            return [s.carry(F.col(f"_s_{name}"), forward, backward, over).alias(f"{mark}{name}") for name, s in scans.items()]
+
+        if self._pieces <= BLOCK:
+            crossing = held.withColumn("_n", F.count(F.lit(1)).over(over_key)).where("_n > 1")
+            return crossing.select(*part, *carried(over_key, "_piece", "_c_"))
+        held = scratch_table(held.withColumn("_block", F.floor(F.col("_piece") / BLOCK)), "summaries")
+        blocks = held.groupBy(*self.keys, "_block").agg(
+            F.count(F.lit(1)).alias("_n"), *[s.fold(F.col(f"_s_{name}"), F.col("_piece")).alias(f"_s_{name}") for name, s in scans.items()]
+        )
+        crossing = blocks.withColumn("_n", F.sum("_n").over(over_key)).where("_n > 1")
+        far = crossing.select(*self.keys, "_block", *carried(over_key, "_block", "_f_"))
+        over_block = Window.partitionBy(*self.keys, "_block")
+        near = held.select(*part, "_block", *carried(over_block, "_piece", "_n_"))
+        return near.join(far, [*self.keys, "_block"]).select(
+            *part, *[s.merge(F.col(f"_n_{name}"), F.col(f"_f_{name}")).alias(f"_c_{name}") for name, s in scans.items()]
+        )
+
     def frozen(self, name: str) -> Ordered:
         """Written to scratch, for steps that read the rows several times."""
         out = self._same(scratch_table(self.df, name))

@@ -48,10 +48,34 @@ def scanned(rows, split, **scans):
     ],
     ids="previous following last before first next sum index total count min".split(),
 )
-def test_split_equals_whole(rows, scan):
+@pytest.mark.parametrize("block", [1000, 4], ids=["one level", "two levels"])
+def test_split_equals_whole(rows, scan, block, monkeypatch):
+    """Also where there are more pieces than one task folds."""
+    monkeypatch.setattr(scale, "BLOCK", block)
     assert scanned(rows, True, x=scan()) == scanned(rows, False, x=scan())
 
 
+def test_two_levels_share_one_pass(rows, monkeypatch):
+    """Several scans at once; no task folds all pieces of a series."""
+    scans = {"a": scale.row_index(), "b": scale.running_sum(F.col("value")), "c": scale.next_known(F.col("value"))}
+    want = scanned(rows, False, **scans)
+    monkeypatch.setattr(scale, "BLOCK", 3)
+    assert scanned(rows, True, **scans) == want
+    ordered = Ordered(rows, KEYS, ORDER, split=True, group_rows=20)
+    folded = ordered._carries([*KEYS, "_piece"], scans)
+    assert folded.count() > 3 * 3
+    plan = folded._jdf.queryExecution().optimizedPlan().toString()
+    over_series = [x for x in plan.splitlines() if "Window " in x and "_piece" in x]
+    assert over_series and all("_block" in x.split("windowspecdefinition")[-1] for x in over_series)
+
+
+def test_pieces_grow_beyond_their_number(rows, monkeypatch):
+    monkeypatch.setattr(scale, "MOST_PIECES", 6)
+    ordered = Ordered(rows, KEYS, ORDER, split=True, group_rows=1)
+    assert ordered._pieces == 6
+    assert scanned(rows, True, x=scale.row_index()) == scanned(rows, False, x=scale.row_index())
+
+
 def test_pieces_are_bounded_and_carry_is_small(rows):
     ordered = Ordered(rows, KEYS, ORDER, group_rows=20)
     assert ordered.split
