@@ -5,10 +5,18 @@ Being contained means containing every word of the window, so the necessary pref
 single word; the rarest is taken, by counts over all documents.  Document words are
 joined to those prefix words; the word's place in the window fixes where the window
 would have to start, which must lie inside the document (positional and length bounds);
-only then are the words compared exactly.
-
-Null or empty text has no words and is never contaminated; an item without words has no
-window.  Repeated items count by their id, a repeated document row gets the same answer.
+only then are the words compared exactly, over a stretch as long as a window needs.
+
+Words of documents first meet a table of fixed size, the hash buckets of the words asked
+for, which is broadcast however many these are.  Only what passes is counted, or joined
+with its stretch of at most 25 words: no text is shuffled, whether windows are few enough
+to be broadcast or not.
+
+Defined results: null or empty text has no words and is never contaminated; an item without
+words has no window; repeated items count by their id, a repeated document row gets the same
+answer; of equally rare words the first by bytes is the prefix; a text of any length is read
+whole; an empty table gives no rows, an empty benchmark no contamination; other columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -22,6 +30,8 @@ from flightlake.llm.common import KEY, ascii_lower, join_documents, keyed, scrat
 WORD = r"[\p{Alnum}\P{ASCII}]+"
 #: Windows of some hundred bytes each that are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 100_000
+#: Hash buckets that tell which words are asked for: at most so many numbers are broadcast.
+BUCKETS = 1 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -42,15 +52,23 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     )
 
 
+def among(rows: DataFrame, word: str, known: DataFrame) -> DataFrame:
+    """Rows whose word is among the ``word`` of ``known``, and a few more that share a bucket."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    buckets = known.select(bucket(F.col("word")).alias("_bucket")).distinct()
+    return rows.join(F.broadcast(buckets), bucket(F.col(word)) == F.col("_bucket"), "left_semi")
+
+
 def prefix_index(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Each window under its prefix word: ``(word, offset, window, item_ids)``.
 
     Words are ordered by how often they occur in all documents, the word itself settling
-    ties; windows without a word in any document drop out, as they occur nowhere.
+    ties; windows without a word in any document drop out, as they occur nowhere.  Counts
+    are partial before they are shuffled.
     """
     vocabulary = scratch_table(windows.select(F.explode("window").alias("word")).distinct(), "vocabulary")
     words = docs.select(F.explode(words_of(F.col("text"))).alias("word"))
-    counts = words.join(small(vocabulary, vocabulary.count()), "word", "left_semi").groupBy("word").count()
+    counts = among(words, "word", vocabulary).groupBy("word").count()
     placed = windows.select("window", "item_ids", F.posexplode("window").alias("offset", "word"))
     rarest = (
         placed.join(counts, "word", "left")
@@ -66,18 +84,22 @@ def prefix_index(docs: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def occurrences(docs: DataFrame, index: DataFrame, n_index: int) -> DataFrame:
+def occurrences(docs: DataFrame, index: DataFrame, n_index: int, size: int = 13) -> DataFrame:
     """``(doc_id, text_hash, start, length, item_ids)`` of every occurrence of a window.
 
-    Bounds and the exact comparison are part of the join's condition, where the
-    document's words are at hand: no document is copied to its candidates.
+    Bounds and the exact comparison are part of the join's condition.  A place brings the
+    words a window of ``size`` around it can reach, never the document's.
     """
     words = keyed(docs).select(*KEY, words_of(F.col("text")).alias("words"))
-    places = words.select(*KEY, "words", F.posexplode("words").alias("pos", "prefix"))
+    places = words.select(*KEY, F.size("words").alias("n"), "words", F.posexplode("words").alias("pos", "prefix"))
+    before = F.least(F.col("pos"), F.lit(size - 1))
+    around = among(places, "prefix", index).select(
+        *KEY, "n", "pos", "prefix", before.alias("before"), F.slice("words", F.col("pos") - before + 1, before + size).alias("around")
+    )
     start, length = F.col("pos") - F.col("offset"), F.size("window")
-    inside = (start >= 0) & (start + length <= F.size("words"))
-    same = F.slice("words", F.greatest(start, F.lit(0)) + 1, length) == F.col("window")
-    return places.join(
+    inside = (start >= 0) & (start + length <= F.col("n"))
+    same = F.slice("around", F.greatest(F.col("before") - F.col("offset"), F.lit(0)) + 1, length) == F.col("window")
+    return around.join(
         small(index, n_index, BROADCAST_WINDOWS), (F.col("prefix") == F.col("word")) & inside & same
     ).select(*KEY, start.alias("start"), length.alias("length"), "item_ids")
 
@@ -101,7 +123,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
     """
     windows = scratch_table(item_windows(benchmark, size), "windows")
     index = scratch_table(prefix_index(docs, windows), "prefixes")
-    found = occurrences(docs, index, index.count())
+    found = occurrences(docs, index, index.count(), size)
     spans = found.groupBy(*KEY).agg(
         F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"),

@@ -98,6 +98,34 @@ def test_decontamination(spark, monkeypatch, bound):
     assert got.count() == len(cases.odd_rows())
 
 
+def test_windows_beyond_a_broadcast(spark):
+    """200 000 windows and a text of 20 000 words: no array of its words goes through an exchange."""
+    texts = [cases.prose(900 + i, 10_012) for i in range(20)]
+    document = f"{cases.prose(33, 10_000)} {' '.join(texts[7].split()[500:900])} {cases.prose(34, 9_600)}"
+    docs = spark.createDataFrame([(1, document), (2, cases.prose(35, 200)), (3, texts[3][:4000])], "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        windows = decontaminate.item_windows(items, 13)
+        index = common.scratch_table(decontaminate.prefix_index(docs, windows), "prefixes")
+        assert windows.count() > decontaminate.BROADCAST_WINDOWS
+        found = decontaminate.occurrences(docs, index, decontaminate.BROADCAST_WINDOWS + 1)
+        plan = found._jdf.queryExecution().executedPlan()
+        lines = plan.toString().splitlines()
+        at = [i for i, x in enumerate(lines) if re.search(r"Exchange hashpartitioning\(prefix", x)]
+        # What is below projects the stretch from the words, and not the words themselves.
+        assert at and not any(re.search(r"[\[ ]words#\d+(, |\])", re.sub(r"slice\(.*?\) AS", "AS", lines[i + 1])) for i in at)
+        assert all("AS around#" in lines[i + 1] for i in at)
+        got = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    for doc, *want in contaminated([(r.doc_id, r.text) for r in docs.collect()], list(enumerate(texts))):
+        r = got[doc]
+        assert [r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated] == want
+    assert got[1].n_hit >= 400 and not got[1].contaminated and got[3].contaminated
+
+
 def test_decontamination_at_the_border(spark):
     item = "p q r s"
     texts = [" ".join(["w"] * n) + f" {item}" for n in (75, 76, 77)]
