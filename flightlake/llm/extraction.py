@@ -11,10 +11,12 @@ Potentials are trained by gradient on labelled pages: pages built from lists of
 surrounds an article under which names, and about ``SAMPLE`` pages of the table that
 mark their article themselves.
 
-Null or empty html has an empty text; so has a page without content.  Repeated rows get
-the same answer.  A page is read in one pass, whatever its length, and in a second one if
-an element that is left out is not closed; broken markup closes where its parent does.
-Script, style and what else is raw text to a browser run to the end of the page.
+Defined results: null or empty html has an empty text, so has a page without content or
+without blocks; repeated rows get the same answer; an element just as likely content as not
+is content; an empty table gives no rows; other columns are not looked at.  A page is read
+in one pass, whatever its length and however deep it nests, and in a second one if an element
+that is left out is not closed; broken markup closes where its parent does.  Script, style
+and what else is raw text to a browser run to the end of the page.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from flightlake.llm.common import ship
 
 #: Pages of the table that the potentials are also trained on, about so many.
 SAMPLE = 150
+#: Characters a page may have to be among these; with ``SAMPLE`` it bounds what is gathered.
+TAUGHT_CHARS = 200_000
 
 # How HTML elements behave.
 INLINE = frozenset(
@@ -134,6 +138,10 @@ def _parse(page: str, open_ended: frozenset[int]) -> tuple[Tree, frozenset[int]]
     """
     nodes, blocks = [Node("#page", -1)], []
     path, run, links = [0], [], 0
+    #: How many elements of a tag are open, on the path and among what is left out: an end
+    #: tag looks for its partner only where there is one, and what it passes it closes.
+    on_path: Counter = Counter()
+    left_out: Counter = Counter()
     at, n = 0, len(page)
     #: Open elements from the one that is left out on, and where each begins.
     skip: list[tuple[str, int]] = []
@@ -152,6 +160,7 @@ def _parse(page: str, open_ended: frozenset[int]) -> tuple[Tree, frozenset[int]]
 
     def close(upto: int) -> None:
         flush()
+        on_path.subtract(nodes[i].tag for i in path[upto:])
         del path[upto:]
 
     while at < n:
@@ -194,20 +203,28 @@ def _parse(page: str, open_ended: frozenset[int]) -> tuple[Tree, frozenset[int]]
             if not ending:
                 if tag not in INLINE and tag not in VOID and page[stop - 1] != "/":
                     skip.append((tag, begin))
+                    left_out[tag] += 1
                 continue
             if tag in INLINE:
                 continue
-            own = next((i for i in range(len(skip) - 1, -1, -1) if skip[i][0] == tag), -1)
-            if own < 0 and all(nodes[i].tag != tag for i in path):
+            has_own = left_out[tag] > 0
+            if not has_own and on_path[tag] <= 0:
                 continue
-            unclosed += [where for name, where in skip[own + 1 :] if name in SKIPPED]
-            del skip[max(own, 0) :]
-            if own >= 0:
+            while skip and not (has_own and skip[-1][0] == tag):
+                passed, where = skip.pop()
+                left_out[passed] -= 1
+                if passed in SKIPPED:
+                    unclosed.append(where)
+            if has_own:
+                skip.pop()
+                left_out[tag] -= 1
                 continue
         if ending:
             if tag in INLINE:
                 links = max(0, links - 1) if tag == "a" else links
                 continue
+            if on_path[tag] <= 0:
+                continue
             for depth in range(len(path) - 1, 0, -1):
                 if nodes[path[depth]].tag == tag:
                     close(depth)
@@ -220,6 +237,7 @@ def _parse(page: str, open_ended: frozenset[int]) -> tuple[Tree, frozenset[int]]
                 muted = muted or len(path)
             elif page[stop - 1] != "/" and tag not in RAW:
                 skip.append((tag, begin))
+                left_out[tag] += 1
             elif page[stop - 1] != "/":
                 closing = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(page, at)
                 at = closing.end() if closing else n
@@ -249,6 +267,7 @@ def _parse(page: str, open_ended: frozenset[int]) -> tuple[Tree, frozenset[int]]
         nodes.append(Node(tag, path[-1], names.lower()))
         nodes[path[-1]].children.append(len(nodes) - 1)
         path.append(len(nodes) - 1)
+        on_path[tag] += 1
     flush()
     unclosed += [where for name, where in skip if name in SKIPPED]
     for node in reversed(nodes):
@@ -450,7 +469,7 @@ def _labelled(page: str) -> tuple[Tree, list[int]]:
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE) -> Model:
-    marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]"))
+    marked = pages.where((F.length("html") <= TAUGHT_CHARS) & F.col("html").rlike("(?i)<(article|main)[ >]"))
     million = 1_000_000
     share = min(million, -(-million * sample // max(1, marked.count())))
     rows = marked.where(F.pmod(F.xxhash64("html"), F.lit(million)) < share).select("html").collect()

@@ -6,8 +6,10 @@ spans many partitions.  Streaming a partition yields the first occurrence of a k
 each document; those are counted per key, partially before the shuffle.  What is
 returned per document is a run-length coded keep bitmap, never text.
 
-Null or empty text is one empty line, whose key has no code point and is never dropped.
-A repeated row is one document.  Ties and order of rows do not matter.
+Defined results: null or empty text is one empty line, whose key has no code point and is
+never dropped; a repeated row, of equal id and text, is one document and gets the answer
+again; ties and order of rows do not matter; a text of any length is read whole; an empty
+table gives no rows; columns beside id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -113,11 +115,11 @@ def deduplicated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1)
 
 ORACLE = """
 WITH numbered AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-lines AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line,
+lines AS (SELECT r, doc_id, text, unnest(string_split(text, chr(10))) AS line,
                  generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM numbered),
 keys AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
-often AS (SELECT key FROM keys WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
+often AS (SELECT key FROM keys WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT (doc_id, sha256(text))) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE o.key IS NULL), '')) AS kept_sha256
 FROM keys k LEFT JOIN often o ON k.key = o.key GROUP BY r, doc_id

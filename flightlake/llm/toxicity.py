@@ -7,10 +7,14 @@ the document's likelihood says which sentences to blame.  Training uses about
 every text whole and returns the offending sentences as character ranges.
 
 Words are runs of letters, A-Z folded, and weigh through themselves and their first 4, 5
-and 6 bytes, so inflected forms share what their stem has learned.  Sentences end at ``.``, ``!``, ``?`` or a line
-feed.  Null, empty or wordless text has the score of no sentence at all, 0.  Without a
-label of either kind nothing is learned and every score is 0.  Repeated rows get the
-same answer; several labels of a document count as its highest.
+and 6 bytes, so inflected forms share what their stem has learned.  Sentences end at ``.``,
+``!``, ``?`` or a line feed.
+
+Defined results: null, empty or wordless text has the score of no sentence at all, 0;
+without a label of either kind nothing is learned and every score is 0; repeated rows get
+the same answer; several labels of a document count as its highest; a score of just 0.5 is
+toxic; a text of any length is scored whole; an empty table gives no rows; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightlake.llm import words
-from flightlake.llm.common import held_out, ship, small
+from flightlake.llm.common import held_out, scratch_table, ship, small
 
 BUCKETS = 1 << 19
 STEMS = (4, 5, 6)
@@ -85,53 +89,89 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents of the partition, and toxic ones, every feature is."""
+    with_it, bad = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for toxic, buckets in zip(batch["toxic"].to_pylist(), batch["buckets"], strict=True):
+            seen = np.unique(buckets.values.to_numpy())
+            with_it[seen] += 1
+            if toxic:
+                bad[seen] += 1
+    met = np.flatnonzero(with_it)
+    yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(with_it[met]), pa.array(bad[met])], ["bucket", "n", "bad"])
+
+
+def _clear_only(clear: np.ndarray) -> Callable:
+    """Documents with the features that weigh anything, and sentences without one only counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            empty, kept_sizes, kept = [], [], []
+            for sizes, buckets in zip(batch["sizes"], batch["buckets"], strict=True):
+                sizes, buckets = sizes.values.to_numpy(), buckets.values.to_numpy()
+                good = clear[buckets]
+                left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[good], minlength=len(sizes))
+                empty.append(int((left == 0).sum()))
+                kept_sizes.append(left[left > 0].astype(np.int32))
+                kept.append(buckets[good])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["toxic"],
+                    pa.array(empty, pa.int64()),
+                    pa.array(kept_sizes, pa.list_(pa.int32())),
+                    pa.array(kept, pa.list_(pa.int32())),
+                ],
+                ["toxic", "empty", "sizes", "buckets"],
+            )
+
+    return run
+
+
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def train(toxic: np.ndarray, sizes: list[np.ndarray], buckets: np.ndarray, epochs: int = 150) -> np.ndarray:
-    """Weights of the word buckets, the bias last."""
-    n_sentences = np.array([len(x) for x in sizes])
-    keep = n_sentences > 0
-    per_sentence = np.concatenate([x for x in sizes]) if len(sizes) else np.empty(0, np.int64)
-    held = np.concatenate(([0], np.cumsum(per_sentence)))
-    at = np.concatenate(([0], np.cumsum(n_sentences)))
-    y = toxic.astype(bool)
-    weights = np.zeros(BUCKETS + 1)
-    if not (y & keep).any() or not (~y & keep).any():
-        weights[-1] = -np.inf
-        return weights
-    per_document = words.row_sums(per_sentence, at)
-    begin = np.concatenate(([0], np.cumsum(per_document)))
-    with_it, bad = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for a, b in words.portions(begin):
-        document = np.repeat(np.arange(b - a), per_document[a:b])
-        seen = np.unique(document * BUCKETS + buckets[begin[a] : begin[b]])
-        with_it += np.bincount(seen % BUCKETS, minlength=BUCKETS)
-        bad += np.bincount((seen % BUCKETS)[y[a + seen // BUCKETS]], minlength=BUCKETS)
-    # Begin from how much likelier a feature makes a toxic document, where that is clear.
+def clear_features(with_it: np.ndarray, bad: np.ndarray, n: int, n_bad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which features tell the classes apart, and the weights to begin from.
+
+    ``with_it``, ``bad``: documents, and toxic ones, that hold each; ``n``, ``n_bad``: of all.
+    """
     good = with_it - bad
-    odds = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((good + 0.5) / ((~y).sum() + 1))
-    share = y.mean()
+    odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n - n_bad + 1))
+    share = n_bad / n
     surprise = 2 * (
         bad * np.log(np.maximum(bad, 1) / np.maximum(with_it * share, 1e-9))
         + good * np.log(np.maximum(good, 1) / np.maximum(with_it * (1 - share), 1e-9))
     )
     clear = (odds > 0) & (surprise > CLEAR**2)
-    weights[:-1] = np.where(clear, odds / WIDTH, 0)
-    weights[-1] = -4
-    # Only what weighs something is gone through again and again.
+    return clear, np.where(clear, odds / WIDTH, 0)
+
+
+def train(
+    toxic: np.ndarray, empty: np.ndarray, sizes: list[np.ndarray], buckets: np.ndarray, begin: np.ndarray, epochs: int = 150
+) -> np.ndarray:
+    """Weights of the word buckets, the bias last.
+
+    ``empty``: sentences of each document without a feature that weighs; ``sizes``: features of
+    each of the others; ``buckets``: all of them in order; ``begin``: the weights at first.
+    """
+    y = toxic.astype(bool)
+    n_sentences = np.array([len(x) for x in sizes])
+    per_sentence = np.concatenate(sizes) if len(sizes) else np.empty(0, np.int64)
+    held = np.concatenate(([0], np.cumsum(per_sentence)))
+    at = np.concatenate(([0], np.cumsum(n_sentences)))
     sentence = np.repeat(np.arange(len(per_sentence)), per_sentence)
-    kept = clear[buckets]
-    buckets, sentence = buckets[kept], sentence[kept]
-    held = np.searchsorted(sentence, np.arange(len(per_sentence) + 1))
+    weights = np.append(begin, -4.0)
     speed = np.full(BUCKETS + 1, 1e-8)
     for _ in range(epochs):
         z = words.row_sums(weights[buckets], held) + weights[-1]
-        calm = words.row_sums(_softplus(z), at)  # -log of no sentence being toxic
+        # -log of no sentence being toxic
+        calm = words.row_sums(_softplus(z), at) + empty * _softplus(weights[-1])
         blame = np.where(y, -np.exp(-calm) / np.maximum(-np.expm1(-calm), 1e-9), 1.0)
         slope = np.repeat(blame, n_sentences) * np.exp(-_softplus(-z)) / len(y)
-        gradient = np.append(np.bincount(buckets, weights=slope[sentence], minlength=BUCKETS), slope.sum())
+        bias = slope.sum() + (blame * empty).sum() * np.exp(-_softplus(-weights[-1])) / len(y)
+        gradient = np.append(np.bincount(buckets, weights=slope[sentence], minlength=BUCKETS), bias)
         gradient[:-1] += 1e-5 * weights[:-1]
         speed += gradient**2
         weights -= 0.3 * gradient / np.sqrt(speed)
@@ -139,6 +179,11 @@ def train(toxic: np.ndarray, sizes: list[np.ndarray], buckets: np.ndarray, epoch
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """Weights from about ``sample`` labelled documents.
+
+    Features are counted by class where the documents are; only those that tell the classes
+    apart reach the driver, and sentences without one as a number.
+    """
     taught = (
         labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -153,11 +198,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
         .groupBy(F.xxhash64("text").alias("copy"))  # a copied text teaches once
         .agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
         .mapInArrow(_bags, "toxic int, sizes array<int>, buckets array<int>")
-        .toArrow()
     )
-    sizes = [np.asarray(x, np.int64) for x in bags["sizes"].to_pylist()]
-    flat = bags["buckets"].combine_chunks().flatten().to_numpy() if bags.num_rows else np.empty(0, np.int32)
-    return train(bags["toxic"].to_numpy(), sizes, flat)
+    bags = scratch_table(bags.where(F.size("sizes") > 0), "bags")
+    n, n_bad = bags.agg(F.count(F.lit(1)), F.count_if("toxic = 1")).first()
+    if not n_bad or n_bad == n:
+        return np.append(np.zeros(BUCKETS), -np.inf)
+    met = bags.mapInArrow(_met, "bucket int, n long, bad long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).toArrow()
+    with_it, bad = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    with_it[met["bucket"].to_numpy()], bad[met["bucket"].to_numpy()] = met["n"].to_numpy(), met["bad"].to_numpy()
+    clear, begin = clear_features(with_it, bad, n, n_bad)
+    kept = bags.mapInArrow(_clear_only(clear), "toxic int, empty long, sizes array<int>, buckets array<int>").toArrow()
+    sizes = [np.asarray(x, np.int64) for x in kept["sizes"].to_pylist()]
+    flat = kept["buckets"].combine_chunks().flatten().to_numpy()
+    return train(kept["toxic"].to_numpy(), kept["empty"].to_numpy(), sizes, flat, begin)
 
 
 def _score(weights: np.ndarray) -> Callable:

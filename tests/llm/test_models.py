@@ -490,6 +490,77 @@ def toxic_table(n: int = 900) -> list[tuple]:
     return rows
 
 
+def test_parsing_takes_time_in_proportion():
+    """Deep nesting and end tags without a partner: four times the page, about four times the time."""
+    import time
+
+    def seconds(make, k):
+        begin = time.perf_counter()
+        extraction.parse(make(k))
+        return time.perf_counter() - begin
+
+    shapes = (
+        lambda k: "<div>" * k + "</section>" * k,
+        lambda k: "<svg>" + "<g>" * k + "</section>" * k,
+        lambda k: "<div>" * k + "x" + "</div>" * k,
+        lambda k: "<div><button>" * k + "</ul>" * k,
+    )
+    for make in shapes:
+        small, large = min(seconds(make, 10_000) for _ in range(3)), seconds(make, 40_000)
+        assert large < 10 * small + 0.05
+
+
+def plain_weights(bags, weights, epochs):
+    """Noisy-or by loops over documents, sentences and features."""
+    import math
+
+    weights, n = dict(weights), len(bags)
+    speed = dict.fromkeys(weights, 1e-8)
+    for _ in range(epochs):
+        slope = dict.fromkeys(weights, 0.0)
+        for y, sentences in bags:
+            z = [weights[-1] + sum(weights[f] for f in s) for s in sentences]
+            innocent = math.prod(1 / (1 + math.exp(x)) for x in z)
+            for s, x in zip(sentences, z, strict=True):
+                toxic = 1 / (1 + math.exp(-x))
+                g = (toxic if not y else -toxic * innocent / (1 - innocent)) / n
+                slope[-1] += g
+                for f in s:
+                    slope[f] += g
+        for f in weights:
+            g = slope[f] + (1e-5 * weights[f] if f != -1 else 0)
+            speed[f] += g * g
+            weights[f] -= 0.3 * g / math.sqrt(speed[f])
+    return weights
+
+
+def test_noisy_or_against_loops():
+    rng = np.random.default_rng(8)
+    bags = [(bool(rng.random() < 0.4), [rng.integers(0, 12, rng.integers(0, 4)).tolist() for _ in range(rng.integers(1, 5))]) for _ in range(40)]
+    begin = np.zeros(toxicity.BUCKETS)
+    begin[:12] = rng.normal(0, 1, 12)
+    full = [[s for s in b if s] for _, b in bags]
+    got = toxicity.train(
+        np.array([y for y, _ in bags]),
+        np.array([sum(not s for s in b) for _, b in bags]),
+        [np.array([len(s) for s in b], np.int64) for b in full],
+        np.array([f for b in full for s in b for f in s], np.int64),
+        begin, epochs=20,
+    )
+    want = plain_weights(bags, dict(enumerate(begin[:12])) | {-1: -4.0}, 20)
+    assert np.allclose([*got[:12], got[-1]], [want[i] for i in [*range(12), -1]], rtol=1e-9)
+
+
+def test_features_are_counted_by_document(spark):
+    rows = [(i, " ".join(["vile"] * (i % 3) + ["day"] * (1 + i % 2)), int(i % 3 > 0)) for i in range(60)]
+    bags = spark.createDataFrame([(y, t) for _, t, y in rows], "toxic int, text string").repartition(3).mapInArrow(
+        toxicity._bags, "toxic int, sizes array<int>, buckets array<int>"
+    )
+    met = bags.mapInArrow(toxicity._met, "bucket int, n long, bad long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    # Each word is there as itself and as the stems it is too short for.
+    assert sorted(tuple(r)[1:] for r in met.collect()) == [(40, 40)] * 2 + [(60, 40)] * 2
+
+
 def test_toxicity_finds_documents_and_sentences(spark):
     rows = toxic_table()
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
@@ -546,6 +617,49 @@ def test_language_sets(spark):
     assert set(got[2].languages) == {"fr"} and got[2].score > 0.99
 
 
+def plain_mixture(likelihood, penalty, steps):
+    """The mixture of one document by loops over its words and languages."""
+    import math
+
+    langs, n = len(likelihood[0]), len(likelihood)
+    relative = [[math.exp(x - max(word)) + 1e-30 for x in word] for word in likelihood]
+
+    def settle(shares, rounds):
+        for _ in range(rounds):
+            parts = [[w[j] * shares[j] for j in range(langs)] for w in relative]
+            shares = [sum(p[j] / sum(p) for p in parts) / n for j in range(langs)]
+        return shares
+
+    shares = settle([1 / langs] * langs, steps)
+    ranked = sorted(range(langs), key=lambda j: (-shares[j], j))
+    fits = []
+    for size in range(1, langs + 1):
+        kept = set(ranked[:size])
+        within = [(shares[j] + 1e-6) if j in kept else 0 for j in range(langs)]
+        within = [x / sum(within) for x in within]
+        fit = sum(math.log(sum(w[j] * within[j] for j in range(langs)) + 1e-30) for w in relative)
+        fits.append((fit - penalty * (size - 1) * math.log(n + 2), -size, kept, within))
+    _, _, kept, within = max(fits, key=lambda f: f[:2])
+    return settle(within, 2), kept
+
+
+def test_mixture_against_loops():
+    rng = np.random.default_rng(4)
+    rows = [rng.normal(-8, 1.5, (int(rng.integers(1, 40)), 5)).astype(np.float32) for _ in range(60)]
+    for own in rows[::3]:
+        own[:, 2] += 6
+    for own in rows[1::3]:
+        own[::2, 0] += 9
+        own[1::2, 4] += 9
+    at = np.concatenate(([0], np.cumsum([len(x) for x in rows])))
+    shares, chosen = language.mixture(np.concatenate(rows), at, 3.0)
+    for i, own in enumerate(rows):
+        want, kept = plain_mixture(own.astype(float).tolist(), 3.0, language.STEPS)
+        assert set(np.flatnonzero(chosen[i]).tolist()) == kept
+        assert np.allclose(shares[i], want, atol=2e-4)
+    assert {len(np.flatnonzero(c)) for c in chosen} >= {1, 2}
+
+
 def test_a_mixture_of_many_languages():
     own = np.repeat(np.arange(8), 50)
     likelihood = np.where(np.arange(8) == own[:, None], -1.0, -30.0).astype(np.float32)
