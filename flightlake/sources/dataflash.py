@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightlake.sources.files import TOLD_ARROW, byte_ranges, range_bytes_of, settle_ranges
+from flightlake.sources.files import TOLD_ARROW, byte_ranges, indexed, is_index, range_bytes_of, settle_ranges, settled
 
 # The record mark and the type that declares others.
 MARK = b"\xa3\x95"
@@ -46,6 +46,8 @@ LAYOUT = {
 }
 
 ROWS_PER_BATCH = 20_000
+#: Marks followed at a time while types are being declared, and at most.
+FEW_MARKS, MANY_MARKS = 256, 1 << 17
 
 FRAMES = "log_id string, seq long, msg_type int, body binary"
 RECORDS = (
@@ -89,44 +91,69 @@ def _layouts(declared: bytes) -> dict[int, Layout]:
     return out
 
 
-def _scan(row: dict) -> tuple[dict[int, list[int]], dict[int, Layout], bytes, int, int, bytes]:
-    """Record positions per type in one byte range, with what it declared and where it ended."""
+def _scan(row: dict) -> tuple[dict[int, np.ndarray], dict[int, Layout], bytes, int, int, bytes]:
+    """Record positions per type in one byte range, with what it declared and where it ended.
+
+    Where the record behind a mark leads is worked out for many marks at once, so that
+    following them is all that is done one by one.  A declaration changes that, so few
+    marks are looked at ahead while types are being declared.
+    """
     base = row["start"]
     buf = range_bytes_of(row)
     layouts = _layouts(row["known"] or b"")
-    sizes = [-1] * 256
+    sizes = np.full(256, -1, np.int64)
     sizes[DECLARATION] = DECLARATION_SIZE
     for t, layout in layouts.items():
         sizes[t] = layout.dtype.itemsize
-    found: dict[int, list[int]] = {}
-    declared = []
-    pos, stop, size_of_buf = 0, row["hi"] - base, len(buf)
-    while pos < stop and pos + 3 <= size_of_buf:
-        if buf[pos] != 0xA3 or buf[pos + 1] != 0x95:
-            nxt = buf.find(MARK, pos + 1)
-            pos = nxt if nxt >= 0 else max(stop, pos + 1)
-            continue
-        kind = buf[pos + 2]
+    stop = min(row["hi"] - base, len(buf) - 2)
+    raw = np.frombuffer(buf, np.uint8)
+    marks = np.flatnonzero((raw[:-2] == MARK[0]) & (raw[1:-1] == MARK[1])) if len(raw) > 2 else np.empty(0, np.int64)
+    marks = marks[marks < stop]
+    kinds = raw[marks + 2]
+    taken: list[np.ndarray] = []
+    declared: list[bytes] = []
+    at, reach, cut, after = 0, FEW_MARKS, False, 0
+    while at < len(marks) and not cut:
+        # With what is declared so far: where the record behind each of the next marks ends.
+        upto = min(len(marks), at + reach)
+        kind = kinds[at:upto]
         size = sizes[kind]
-        if size < 0:
-            pos += 1
+        ends = marks[at:upto] + 3 + size
+        whole = (size >= 0) & (ends <= len(buf))
+        short = (size >= 0) & ~whole
+        leads = (np.where(whole, np.searchsorted(marks, ends), np.arange(at + 1, upto + 1)) - at).tolist()
+        stops = (short | (kind == DECLARATION)).tolist()
+        i, here = 0, []
+        while i < len(leads):
+            here.append(i)
+            if stops[i]:
+                break
+            i = leads[i]
+        visited = np.array(here, np.int64)
+        met = visited[whole[visited]]
+        taken.append(at + met)
+        if len(met):
+            after = int(ends[met[-1]])
+        if i >= len(leads):
+            at, reach = at + i, min(8 * reach, MANY_MARKS)
             continue
-        if pos + 3 + size > size_of_buf:
-            pos = max(stop, pos)  # only the end of the file can cut a record short
-            break
-        found.setdefault(kind, []).append(pos)
-        if kind == DECLARATION:
-            body = buf[pos + 3 : pos + 3 + size]
+        # Only the end of the file can cut a record short; a declaration may change what follows.
+        cut = bool(short[i])
+        if not cut:
+            body = buf[marks[at + i] + 3 : marks[at + i] + 3 + DECLARATION_SIZE]
             layout = Layout(body)
             if layout.dtype is not None and layout.msg_type not in layouts and layout.msg_type != DECLARATION:
                 layouts[layout.msg_type] = layout
                 sizes[layout.msg_type] = layout.dtype.itemsize
                 declared.append(body)
-        pos += 3 + size
-    return found, layouts, buf, base, max(row["hi"], base + pos) if found else row["hi"], b"".join(declared)
+            at, reach = at + leads[i], FEW_MARKS
+    rows = np.concatenate(taken) if taken else np.empty(0, np.int64)
+    positions, of = marks[rows], kinds[rows]
+    found = {int(kind): positions[of == kind] for kind in np.unique(of)}
+    return found, layouts, buf, base, max(row["hi"], base + after) if found else row["hi"], b"".join(declared)
 
 
-def _last_clock(found: dict[int, list[int]], layouts: dict[int, Layout], buf: bytes) -> int | None:
+def _last_clock(found: dict[int, np.ndarray], layouts: dict[int, Layout], buf: bytes) -> int | None:
     """The last stamp in a range: that of the last record whose type has a clock."""
     timed = [
         (at[-1], layouts[kind]) for kind, at in found.items() if kind != DECLARATION and layouts[kind].has_clock()
@@ -142,10 +169,11 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             found, layouts, buf, base, end, declared = _scan(row)
-            last = max((p[-1] for p in found.values()), default=None)
+            last = max((int(p[-1]) for p in found.values()), default=None)
             if last is None or base + last < row["lo"]:
                 end = row["hi"]
-            early = sorted(base + p for at in found.values() for p in at[:4096] if base + p < row["lo"] + 8192)
+            first = np.sort(np.concatenate([*found.values(), np.empty(0, np.int64)])) + base
+            early = first[first < row["lo"] + 8192].tolist()
             clock = _last_clock(found, layouts, buf)
             yield pa.RecordBatch.from_pylist(
                 [{**row, "end": end, "declared": declared, "early": early, "last_clock": clock}],
@@ -212,9 +240,9 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([row["log_id"]] * len(part), pa.string()),
-                            pa.array([base + p for p in part], pa.int64()),
+                            pa.array(part + base, pa.int64()),
                             pa.array([kind] * len(part), pa.int32()),
-                            pa.array([buf[p + 3 : p + 3 + size] for p in part], pa.binary()),
+                            pa.array([buf[p + 3 : p + 3 + size] for p in part.tolist()], pa.binary()),
                         ],
                         names=["log_id", "seq", "msg_type", "body"],
                     )
@@ -241,7 +269,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 layout = layouts[kind]
                 for cut in range(0, len(at), ROWS_PER_BATCH):
-                    where = np.asarray(at[cut : cut + ROWS_PER_BATCH], dtype=np.int64)
+                    where = at[cut : cut + ROWS_PER_BATCH]
                     parts.append((layout, where, *_decode(layout, _gather(buf, where + 3, layout.dtype.itemsize))))
             if not parts:
                 continue
@@ -264,7 +292,13 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def settled_ranges(files: DataFrame, range_bytes: int | None = None) -> DataFrame:
-    return settle_ranges(byte_ranges(files, range_bytes), _summarise)
+    """Ranges to read, of files or of a stored index (``index``)."""
+    return settled(files) if is_index(files) else settle_ranges(byte_ranges(files, range_bytes), _summarise)
+
+
+def index(files: DataFrame, folder: str, range_bytes: int | None = None) -> DataFrame:
+    """Files as ranges that need no framing again; new or grown ones are framed and added to ``folder``."""
+    return indexed(files, folder, lambda new: settled_ranges(new, range_bytes))
 
 
 def frames(files: DataFrame, range_bytes: int | None = None) -> DataFrame:

@@ -21,6 +21,10 @@ TASK_BYTES = 8 << 20
 #: Tasks a reading job is cut into at most.
 MOST_TASKS = 200_000
 
+#: Bytes of one declaration, and the columns of a stored frame index.
+DECLARED_BYTES = 86
+INDEX = "log_id string, path string, lo long, hi long, length long, start long, known binary, clock long"
+
 RANGES = (
     "log_id string, path string, lo long, hi long, length long, start long, known binary, content binary, clock long"
 )
@@ -130,6 +134,27 @@ def _spread(ranges: DataFrame, tasks: int) -> DataFrame:
     return ranges.repartition(max(1, min(tasks, MOST_TASKS)))
 
 
+def _first_declared(scanned: DataFrame) -> DataFrame:
+    """``(log_id, _declared)``: where each type of a log is first declared, and how.
+
+    A minimum by log and type, merged on the way: what is gathered of a log are its types, at
+    most 256 however many ranges it has.
+    """
+    n = F.floor(F.octet_length("declared") / DECLARED_BYTES).cast("int")
+    body = F.substring(F.col("declared"), F.col("i") * DECLARED_BYTES + 1, F.lit(DECLARED_BYTES))
+    each = scanned.where(n > 0).select("log_id", "lo", "declared", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    first = each.groupBy("log_id", F.substring(body, 1, 1).alias("type")).agg(
+        F.min(F.struct("lo", "i", F.hex(body).alias("body"))).alias("d")
+    )
+    return first.groupBy("log_id").agg(F.sort_array(F.collect_list("d")).alias("_declared"))
+
+
+def _known_before(lo: Column) -> Column:
+    """What ranges before ``lo`` declare, in file order."""
+    ahead = F.filter(F.coalesce("_declared", F.array().cast("array<struct<lo:bigint,i:int,body:string>>")), lambda d: d["lo"] < lo)
+    return F.unhex(F.array_join(F.transform(ahead, lambda d: d["body"]), ""))
+
+
 def settle_ranges(
     ranges: DataFrame, summarise: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 ) -> DataFrame:
@@ -166,14 +191,14 @@ def settle_ranges(
     while True:
         along = Window.partitionBy("log_id").orderBy("lo")
         earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-        first_known = F.unhex(F.coalesce(F.array_join(F.collect_list(F.when(F.length("declared") > 0, F.hex("declared"))).over(earlier), ""), F.lit("")))
-        due = scanned.withColumns(
+        scanned_with = scanned.join(_first_declared(scanned), "log_id", "left")
+        due = scanned_with.withColumns(
             {
                 "true_start": F.coalesce(F.greatest(F.lag("end").over(along), F.col("lo")), F.lit(0).cast("long")),
-                "true_known": first_known,
+                "true_known": _known_before(F.col("lo")),
                 "clock": F.last("last_clock", True).over(earlier),
             }
-        )
+        ).drop("_declared")
         same_known = F.col("known") == F.col("true_known")
         in_step = same_known & (
             (F.col("true_start") == F.col("start"))
@@ -189,6 +214,37 @@ def settle_ranges(
         scanned = scratch_table(kept.unionByName(again), "ranges")
 
 
+def settled(ranges: DataFrame) -> DataFrame:
+    """Ranges of a stored index, ready to be read: no byte is looked at to find them."""
+    count, size = ranges.agg(F.count(F.lit(1)), F.sum(F.col("hi") - F.col("lo"))).first()
+    shuffles = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [F.col(c.split()[0]) if c.split()[0] != "content" else F.lit(None).cast("binary").alias("content") for c in RANGES.split(", ")]
+    return _spread(ranges.select(*columns), min(count, max(shuffles, math.ceil((size or 0) / TASK_BYTES))))
+
+
+def is_index(files: DataFrame) -> bool:
+    return {"lo", "hi", "start", "known", "clock"} <= set(files.columns)
+
+
+def indexed(files: DataFrame, folder: str, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The settled ranges of ``files(log_id, path, length)``, kept in ``folder``.
+
+    A log is framed once: ranges that the index holds for a log of the same length are
+    taken from it, those of new or grown logs are settled and added.  Readers take the
+    result in place of files.  A log added twice, by two runs at once, is read once.
+    """
+    spark = files.sparkSession
+    spark.createDataFrame([], INDEX).write.mode("ignore").parquet(folder)
+    wanted = files.select("log_id", "length")
+    stored = spark.read.schema(INDEX).parquet(folder)
+    new = files.join(stored.select("log_id", "length").distinct(), ["log_id", "length"], "left_anti")
+    new = scratch_table(new, "unindexed")
+    if not new.isEmpty():
+        settle(new).select(*[c.split()[0] for c in INDEX.split(", ")]).write.mode("append").parquet(folder)
+    stored = spark.read.schema(INDEX).parquet(folder)
+    return stored.join(wanted, ["log_id", "length"], "left_semi").dropDuplicates(["log_id", "lo"])
+
+
 def ingest_errors(files: DataFrame, framed: DataFrame) -> DataFrame:
     """``(log_id, reason)`` of logs that were not read whole.
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightlake.sources.dataflash import ROWS_PER_BATCH, _text, known_numbers, map_column
-from flightlake.sources.files import TOLD_ARROW, byte_ranges, range_bytes_of, settle_ranges
+from flightlake.sources.files import TOLD_ARROW, byte_ranges, indexed, is_index, range_bytes_of, settle_ranges, settled
 
 # Frame markers, the flag for a signed frame and its extra bytes.
 V1, V2 = 0xFE, 0xFD
@@ -109,7 +109,13 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def settled_ranges(files: DataFrame, range_bytes: int | None = None) -> DataFrame:
-    return settle_ranges(byte_ranges(files, range_bytes), _summarise)
+    """Ranges to read, of files or of a stored index (``index``)."""
+    return settled(files) if is_index(files) else settle_ranges(byte_ranges(files, range_bytes), _summarise)
+
+
+def index(files: DataFrame, folder: str, range_bytes: int | None = None) -> DataFrame:
+    """Files as ranges that need no framing again; new or grown ones are framed and added to ``folder``."""
+    return indexed(files, folder, lambda new: settled_ranges(new, range_bytes))
 
 
 def frames(files: DataFrame, range_bytes: int | None = None) -> DataFrame:

@@ -128,19 +128,19 @@ def test_decoded_values(spark, folder):
 
 
 def test_flight_from_a_log(spark, folder):
-    plain = GPS + gps(1_000_000, 35.0, 139.0, 100) + gps(2_000_000, 35.001, 139.001, 110) + gps(3_000_000, 0, 0, 0)
-    timeless = STAT + GPS + record(131, "f", 1.0) + gps(5_000_000, 35, 139, 1) + record(131, "f", 2.0)
+    plain = GPS + gps(400_000, -12.5, 45.25, 80) + gps(900_000, -12.502, 45.2525, 95.5) + gps(1_700_000, 0, 0, 0)
+    timeless = STAT + record(131, "f", 0.5) + GPS + record(131, "f", 1.5) + gps(3_200_000, 61.5, -7.25, 12) + record(131, "f", 2.5)
     # A longer plan, then a shorter one; a row off the globe; MISE is no plan.
     plan = CMD + MISE + b"".join(cmd(i, i, 16, 35 + i, 139) for i in range(5)) + cmd(6, 3, 16, 95, 139, 141)
     plan += b"".join(cmd(10 + i, i, 16, 36 + i, 140) for i in range(3)) + cmd(20, 7, 16, 120.0, 10.0) + cmd(21, 2, 178, 1, 1)
     records = dataflash.read_dataflash(list_logs(spark, folder({"plain.bin": plain, "timeless.bin": timeless, "plan.bin": plan}))).cache()
     name = F.element_at(F.split("log_id", "/"), -1).alias("log")
     path = sorted((r.log, r.ts_us, round(r.lat, 6), r.alt, r.heading) for r in trajectory(records).select(name, "*").collect())
-    assert path == [("plain.bin", 1_000_000, 35.0, 100.0, None), ("plain.bin", 2_000_000, 35.001, 110.0, None), ("timeless.bin", 5_000_000, 35.0, 1.0, None)]
+    assert path == [("plain.bin", 400_000, -12.5, 80.0, None), ("plain.bin", 900_000, -12.502, 95.5, None), ("timeless.bin", 3_200_000, 61.5, 12.0, None)]
     times = sorted(r.ts_us for r in records.where("message = 'STAT'").collect())
-    assert times == [0, 5_000_000]
+    assert times == [0, 0, 3_200_000]
     bounds = {r.log: (r.start_us, r.end_us) for r in tables.log_bounds(records).select(name, "*").collect()}
-    assert bounds["timeless.bin"] == (5_000_000, 5_000_000)
+    assert bounds["timeless.bin"] == (3_200_000, 3_200_000)
     mission = sorted((r.seq, round(r.lat, 6)) for r in log_mission(records).collect())
     assert mission == [(0, 36.0), (1, 37.0), (2, 38.0)]
 
@@ -237,3 +237,73 @@ def test_a_stamp_beyond_63_bits_is_none(spark, folder):
     path = folder({"x.tlog": good + wild + good})
     got = [r.ts_us for r in tlog.frames(list_logs(spark, path)).orderBy("seq").collect()]
     assert len(got) == 3 and got[1] is None and got[0] is not None and got[0] == got[2]
+
+
+def plain_scan(buf, lo, hi, known):
+    """Records one after the other, as a reader from the range's start meets them."""
+    sizes = {128: 86} | {d[0]: dataflash.Layout(d).dtype.itemsize for d in known}
+    found, declared, pos = [], [], lo
+    while pos < hi and pos + 3 <= len(buf):
+        if buf[pos : pos + 2] != b"\xa3\x95" or buf[pos + 2] not in sizes:
+            nxt = buf.find(b"\xa3\x95", pos + 1)
+            pos = nxt if nxt >= 0 else hi
+            continue
+        kind, end = buf[pos + 2], pos + 3 + sizes[buf[pos + 2]]
+        if end > len(buf):
+            break
+        found.append((pos, kind))
+        if kind == 128:
+            layout = dataflash.Layout(buf[pos + 3 : end])
+            if layout.dtype is not None and layout.msg_type not in sizes:
+                sizes[layout.msg_type] = layout.dtype.itemsize
+                declared.append(buf[pos + 3 : end])
+        pos = end
+    return found, b"".join(declared)
+
+
+@pytest.mark.parametrize("few", [256, 2])
+def test_scan_follows_records_like_a_reader(monkeypatch, few):
+    """Junk, marks inside bodies, types unknown or declared late, records cut short, from any start."""
+    monkeypatch.setattr(dataflash, "FEW_MARKS", few)
+    rng = random.Random(17)
+    declare = lambda t, form: b"\xa3\x95\x80" + bytes([t, 0]) + b"T%-3d" % t + form.ljust(16, b"\0") + b"a,b".ljust(64, b"\0")
+    forms = {1: b"Bh", 2: b"Q", 3: b"ii", 4: b"Z"}
+    width = {1: 3, 2: 8, 3: 8, 4: 64}
+    for _ in range(60):
+        parts = [declare(t, forms[t]) for t in rng.sample([1, 2, 3], 2)]
+        for _ in range(rng.randint(5, 120)):
+            t = rng.choice([1, 2, 3, 4, 9])
+            body = bytes(rng.choices([0xA3, 0x95, 1, 2, 128, 7], k=width.get(t, 5)))
+            parts.append(rng.choice([b"\xa3\x95" + bytes([t]) + body] * 8 + [bytes(rng.choices(range(256), k=9)), declare(4, b"Z"), b"\xa3", b"\xa3\x95"]))
+        buf = b"".join(parts)[: rng.randint(100, 9000)]
+        lo = rng.choice([0, 0, rng.randrange(len(buf))])
+        hi = rng.randint(lo, len(buf))
+        known = [declare(1, forms[1])[3:]] if rng.random() < 0.5 else []
+        row = {"start": lo, "lo": lo, "hi": hi, "length": len(buf), "known": b"".join(known), "content": buf[lo:], "path": None}
+        found, _, _, base, end, declared = dataflash._scan(row)
+        want, told = plain_scan(buf[: min(hi + 4096, len(buf))], lo, hi, known)
+        assert sorted((base + int(p), k) for k, at in found.items() for p in at) == want
+        assert declared == told and end >= hi
+
+
+def test_an_index_frames_a_log_once(spark, folder, tmp_path_factory, monkeypatch):
+    path = folder({"a.bin": long_log(200, 5), "b.bin": long_log(40, 2)})
+    kept = str(tmp_path_factory.mktemp("kept") / "index")
+    framed = []
+    plain = dataflash.settle_ranges
+    monkeypatch.setattr(dataflash, "settle_ranges", lambda *a: framed.append(1) or plain(*a))
+
+    def read():
+        files = list_logs(spark, path)
+        rows = dataflash.read_dataflash(dataflash.index(files, kept, range_bytes=300))
+        return rows_of(rows), rows_of(dataflash.read_dataflash(files))
+
+    got, want = read()
+    assert got == want and len(framed) == 2  # the index, and the plain reader
+    got, want = read()
+    assert got == want and len(framed) == 3  # only the plain reader
+    with open(f"{path}/b.bin", "ab") as grown:
+        grown.write(long_log(10, 1))
+    got, want = read()
+    assert got == want and len(framed) == 5
+    assert spark.read.parquet(kept).where("log_id LIKE '%a.bin'").groupBy("lo").count().where("count > 1").count() == 0
