@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import check, rounded
 from checks.views import spark_sql, view
+from flightlake.operators import tables
 from flightlake.operators.tables import num, txt
 from flightlake.sources import dataflash, planfile, tlog
 from flightlake.sources.files import ingest_errors
@@ -200,6 +201,32 @@ def src05(spark, d):
     ))
 
 
+@check("src05_ingest_errors", f"""{_FRAMES}
+    SELECT log_id, CAST(17 + count(*) FILTER (seq % 5 = 0 AND ts_us % 256 NOT IN (253, 254)) AS VARCHAR) || ' bytes outside records' AS reason FROM w GROUP BY log_id""")
+def src05b(spark, d):
+    """Stray bytes, and what is left of a last frame that the end of the log has cut short."""
+    logs = link_logs(spark, d).withColumn("content", F.expr("substring(content, 1, octet_length(content) - 5)"))
+    return ingest_errors(logs, tlog.framed_bytes(tlog.frames(logs)))
+
+
+@check("src12_one_type_per_name", f"""{_FRAMES}, late AS (SELECT log_id, max(seq) AS last FROM w GROUP BY log_id)
+    SELECT w.log_id, 'STAT' AS message, 'Level' AS field, CAST(w.seq % 100 AS DOUBLE) AS value FROM w JOIN late ON late.log_id = w.log_id WHERE w.seq * 2 > last
+    UNION ALL SELECT w.log_id, 'STAT', 'Level', CAST(w.seq % 100 AS DOUBLE) FROM w JOIN late ON late.log_id = w.log_id WHERE w.seq * 2 <= last AND w.seq % 4 = 0""")
+def src12_types(spark, d):
+    """A type of a name declared again late in its log replaces the one before, also in ranges it is not seen in."""
+    rows = spark_sql(spark, d, _WHOLE)
+    late = rows.groupBy("log_id").agg(F.max("seq").alias("last"))
+    rows = rows.join(late, "log_id")
+    old = F.concat(F.lit("A39583"), little(F.col("seq") % 256, 1), little(F.col("seq") % 3000 - 1500, 2))
+    new = F.concat(F.lit("A39590"), little(F.col("seq") % 100, 1))
+    both = F.when(F.col("seq") * 2 > F.col("last"), new).when(F.col("seq") % 4 == 0, F.concat(old, new)).otherwise(old)
+    # The old type opens the log, so that its first record comes first whatever the rows are.
+    head = "".join(declaration(*x) for x in (DECLARED[1], (144, "STAT", "B", "Level"))) + "A395830000" + "00"
+    logs = _joined(rows.select("log_id", "seq", both.alias("hex")), head)
+    found = tables.samples(dataflash.read_dataflash(logs, range_bytes=1009))
+    return found.select("log_id", "message", "field", "value")
+
+
 @check("src06_records", _LINK)
 def src06(spark, d):
     return _link(tlog.read_tlog(link_logs(spark, d), _dialect(spark)))

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from flightlake.functions.geo import great_circle
 from flightlake.functions.values import turns
-from flightlake.operators.timejoin import interpolate
 from flightlake.scale import (
     Ordered,
     exact_median,
-    explode_range,
+    following,
     join_per_key,
     known_before,
     last_known,
@@ -79,7 +78,7 @@ def _best_run(samples: DataFrame, keys: list[str], gap_factor: float) -> tuple[O
     marked = (
         ordered.attach(spacing)
         .with_columns(_cut=F.when(F.col("step") > F.col("median_step") * gap_factor, 1).otherwise(0))
-        .scan(run=running_sum(F.col("_cut")))
+        .scan(run=running_sum(F.col("_cut")), _next=following("ts_us", "value", "_cut"))
         .frozen("runs")
     )
     runs = marked.rows().groupBy(*keys, "run").agg(
@@ -124,13 +123,22 @@ def uniform_grid(samples: DataFrame, keys: Sequence[str] = SERIES, gap_factor: f
     """
     keys = list(keys)
     chosen, grid = _best_run(samples, keys, gap_factor)
-    rows = chosen.rows().select(*keys, "ts_us", "seq", "value")
-    stamps = explode_range(grid.select(*keys, "t0", "step", "n_grid"), F.col("n_grid"), "i").select(
-        *keys, (F.col("t0") + F.col("i") * F.col("step")).cast("double").alias("ts_us"), F.col("i").alias("seq")
-    )
-    # No spacing in a run exceeds gap_factor steps, so a series that fits a task
-    # has a grid that does: it is not counted again.
-    points = interpolate(rows, stamps, keys, split=chosen.split).withColumnRenamed("seq", "i")
+    rows = chosen.attach(grid.select(*keys, "t0", F.col("step").alias("_step"), "n_grid")).rows()
+    # A row answers for the grid points from its stamp up to the next row's, of which no
+    # more than ``gap_factor`` steps lie in a run: points are made where both rows are at hand.
+    here, there = F.col("ts_us"), F.when(F.col("_next._cut") == 0, F.col("_next.ts_us"))
+    lowest = F.floor((here - F.col("t0")) / F.col("_step")) - 1
+    highest = F.floor((F.coalesce(there, here) - F.col("t0")) / F.col("_step")) + 1
+    ends = F.greatest(lowest, F.lit(0).cast("long")), F.least(highest, F.col("n_grid") - 1)
+    made = rows.where(ends[0] <= ends[1]).select(
+        *keys, here.cast("double").alias("_a"), there.cast("double").alias("_b"), "value", F.col("_next.value").alias("_to"),
+        ((F.col("_cut") == 1) | F.col("step").isNull()).alias("_first"), "t0", "_step", F.explode(F.sequence(*ends)).alias("i"),
+    ).withColumn("_t", (F.col("t0") + F.col("i") * F.col("_step")).cast("double"))
+    t, a, b = F.col("_t"), F.col("_a"), F.col("_b")
+    # The run's first row answers at its own stamp, also where others share it.
+    mine = F.when(F.col("i") == 0, F.col("_first")).otherwise((t >= a) & F.when(b.isNull(), t == a).otherwise(t < b))
+    value = F.when(t == a, F.col("value")).otherwise(F.col("value") + (t - a) / (b - a) * (F.col("_to") - F.col("value")))
+    points = made.where(mine).select(*keys, t.alias("ts_us"), "i", value.alias("value"))
     return points, grid
 
 

@@ -18,7 +18,12 @@ def txt(label: str) -> Column:
 
 
 def samples(records: DataFrame) -> DataFrame:
-    """One row per numeric value; ``position`` is the field's place in its message."""
+    """One row per numeric value; ``position`` is the field's place in its message.
+
+    Series are built of one type per name: records told to be ``shadowed`` give none.
+    """
+    if "shadowed" in records.columns:
+        records = records.where(~F.coalesce("shadowed", F.lit(False)))
     return records.select(
         "log_id", "message", "seq", "ts_us", F.posexplode("nums").alias("position", "field", "value")
     ).select(

@@ -52,7 +52,7 @@ FEW_MARKS, MANY_MARKS = 256, 1 << 17
 FRAMES = "log_id string, seq long, msg_type int, body binary"
 RECORDS = (
     "log_id string, source string, seq long, msg_type int, message string, ts_us long, has_time boolean, "
-    "nums map<string,double>, txts map<string,string>"
+    "nums map<string,double>, txts map<string,string>, shadowed boolean"
 )
 
 
@@ -175,8 +175,12 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.sort(np.concatenate([*found.values(), np.empty(0, np.int64)])) + base
             early = first[first < row["lo"] + 8192].tolist()
             clock = _last_clock(found, layouts, buf)
+            seen = [
+                {"type": kind, "name": layouts[kind].name, "first": base + int(at[0])}
+                for kind, at in found.items() if kind != DECLARATION
+            ]
             yield pa.RecordBatch.from_pylist(
-                [{**row, "end": end, "declared": declared, "early": early, "last_clock": clock}],
+                [{**row, "end": end, "declared": declared, "early": early, "last_clock": clock, "seen": seen}],
                 schema=TOLD_ARROW,
             )
 
@@ -259,6 +263,18 @@ def _fill(positions: np.ndarray, clocks: np.ndarray, known: np.ndarray, before:
     return out
 
 
+def _hidden(row: dict, parts: list[tuple]) -> set[int]:
+    """Types that a later one of the same name replaces; told by the range, or here where it is the whole log."""
+    if row["lo"] > 0 or row["hi"] < row["length"]:
+        return set(row["hidden"] or ())
+    first: dict[int, int] = {}
+    names: dict[str, set[int]] = {}
+    for layout, where, *_ in parts:
+        first.setdefault(layout.msg_type, int(where[0]))
+        names.setdefault(layout.name, set()).add(layout.msg_type)
+    return {kind for kinds in names.values() for kind in kinds if kind != max(kinds, key=first.get)}
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
@@ -273,6 +289,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parts.append((layout, where, *_decode(layout, _gather(buf, where + 3, layout.dtype.itemsize))))
             if not parts:
                 continue
+            hidden = _hidden(row, parts)
             known = np.concatenate([p[2].is_valid().to_numpy(zero_copy_only=False) for p in parts])
             clocks = np.concatenate([p[2].fill_null(0).to_numpy(zero_copy_only=False) for p in parts])
             filled = _fill(np.concatenate([p[1] for p in parts]), clocks, known, row["clock"] or 0)
@@ -285,8 +302,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pa.array(where + base, pa.int64()), pa.array([layout.msg_type] * n, pa.int32()),
                         pa.array([layout.name] * n, pa.string()), pa.array(filled[done : done + n], pa.int64()),
                         pa.array(known[done : done + n], pa.bool_()), nums, txts,
+                        pa.array([layout.msg_type in hidden] * n, pa.bool_()),
                     ],
-                    names=["log_id", "source", "seq", "msg_type", "message", "ts_us", "has_time", "nums", "txts"],
+                    names=["log_id", "source", "seq", "msg_type", "message", "ts_us", "has_time", "nums", "txts", "shadowed"],
                 )
                 done += n
 
@@ -349,6 +367,7 @@ def read_dataflash(files: DataFrame, range_bytes: int | None = None) -> DataFram
     """Records of onboard logs, a clock on every row; one pass, no shuffle.
 
     A row without a clock of its own takes the last one before it in the file, 0
-    if there is none, and says so in ``has_time``.
+    if there is none, and says so in ``has_time``.  Rows of a type that a later one of
+    the same name replaces in its log are ``shadowed``: no series is built of them.
     """
     return settled_ranges(files, range_bytes).mapInArrow(_records, RECORDS)

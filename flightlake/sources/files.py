@@ -23,18 +23,20 @@ MOST_TASKS = 200_000
 
 #: Bytes of one declaration, and the columns of a stored frame index.
 DECLARED_BYTES = 86
-INDEX = "log_id string, path string, lo long, hi long, length long, start long, known binary, clock long"
+INDEX = "log_id string, path string, lo long, hi long, length long, start long, known binary, clock long, hidden array<int>"
 
 RANGES = (
-    "log_id string, path string, lo long, hi long, length long, start long, known binary, content binary, clock long"
+    "log_id string, path string, lo long, hi long, length long, start long, known binary, content binary, clock long, "
+    "hidden array<int>"
 )
-TOLD = RANGES + ", end long, declared binary, early array<long>, last_clock long"
+TOLD = RANGES + ", end long, declared binary, early array<long>, last_clock long, seen array<struct<type:int,name:string,first:long>>"
 TOLD_ARROW = pa.schema(
     [
         ("log_id", pa.string()), ("path", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()),
         ("length", pa.int64()), ("start", pa.int64()), ("known", pa.binary()), ("content", pa.binary()),
-        ("clock", pa.int64()), ("end", pa.int64()), ("declared", pa.binary()), ("early", pa.list_(pa.int64())),
+        ("clock", pa.int64()), ("hidden", pa.list_(pa.int32())), ("end", pa.int64()), ("declared", pa.binary()), ("early", pa.list_(pa.int64())),
         ("last_clock", pa.int64()),
+        ("seen", pa.list_(pa.struct([("type", pa.int32()), ("name", pa.string()), ("first", pa.int64())]))),
     ]
 )
 
@@ -123,7 +125,7 @@ def byte_ranges(files: DataFrame, range_bytes: int | None = None) -> DataFrame:
         .select(
             "log_id", "path", lo.alias("lo"), hi.alias("hi"), "length",
             lo.alias("start"), F.unhex(F.lit("")).alias("known"), piece.alias("content"),
-            F.lit(None).cast("long").alias("clock"),
+            F.lit(None).cast("long").alias("clock"), F.lit(None).cast("array<int>").alias("hidden"),
         )
     )
 
@@ -149,6 +151,20 @@ def _first_declared(scanned: DataFrame) -> DataFrame:
     return first.groupBy("log_id").agg(F.sort_array(F.collect_list("d")).alias("_declared"))
 
 
+def hidden_types(scanned: DataFrame) -> DataFrame:
+    """``(log_id, hidden)``: types that another of the same name replaces in their log.
+
+    Of several the one whose first record comes last stays.  Ranges each tell their first
+    record of every type, so this is a minimum by log and type, whatever read which range.
+    """
+    each = scanned.select("log_id", F.inline("seen")).groupBy("log_id", "type", "name").agg(F.min("first").alias("first"))
+    by_name = each.groupBy("log_id", "name").agg(
+        F.max(F.struct("first", "type"))["type"].alias("kept"), F.collect_set("type").alias("types")
+    )
+    gone = by_name.where(F.size("types") > 1).select("log_id", F.explode(F.array_except("types", F.array("kept"))).alias("type"))
+    return gone.groupBy("log_id").agg(F.sort_array(F.collect_list("type")).alias("hidden"))
+
+
 def _known_before(lo: Column) -> Column:
     """What ranges before ``lo`` declare, in file order."""
     ahead = F.filter(F.coalesce("_declared", F.array().cast("array<struct<lo:bigint,i:int,body:string>>")), lambda d: d["lo"] < lo)
@@ -208,7 +224,8 @@ def settle_ranges(
         moved = due.withColumns({"start": F.col("true_start"), "known": F.col("true_known")})
         columns = [c.split()[0] for c in RANGES.split(", ")]
         if due.where(~F.col("settled")).limit(1).count() == 0:
-            return single.unionByName(_spread(moved.select(*columns), tasks))
+            told = moved.drop("hidden").join(hidden_types(moved), "log_id", "left")
+            return single.unionByName(_spread(told.select(*columns), tasks))
         again = _spread(moved.where(~F.col("settled")).select(*columns), tasks).mapInArrow(summarise, TOLD)
         kept = moved.where("settled").select(*scanned.columns)
         scanned = scratch_table(kept.unionByName(again), "ranges")

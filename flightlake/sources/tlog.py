@@ -29,7 +29,7 @@ SCALARS = {
 #: Stamps are microseconds in 63 bits; what a resync through junk may read beyond is none.
 LAST_STAMP = 2**63 - 1
 
-FRAMES = "log_id string, seq long, ts_us long, msg_id int, payload binary"
+FRAMES = "log_id string, seq long, ts_us long, msg_id int, payload binary, size int"
 RECORDS = (
     "log_id string, source string, seq long, msg_type int, message string, ts_us long, "
     "nums map<string,double>, txts map<string,string>"
@@ -42,8 +42,8 @@ def layered_dialect(dialect: DataFrame) -> DataFrame:
     return dialect.join(top, ["msg_id", "layer"])
 
 
-def _scan(row: dict) -> tuple[list[tuple[int, int, int, int]], bytes, int, int]:
-    """``(position, msg_id, payload position, payload length)`` in one byte range."""
+def _scan(row: dict) -> tuple[list[tuple[int, int, int, int, int]], bytes, int, int]:
+    """``(position, msg_id, payload position, payload length, end)`` in one byte range."""
     base = row["start"]
     buf = range_bytes_of(row)
     n, stop, pos = len(buf), row["hi"] - base, 0
@@ -67,7 +67,7 @@ def _scan(row: dict) -> tuple[list[tuple[int, int, int, int]], bytes, int, int]:
             # Only the end of the file cuts a frame short, and that ends the log.
             pos = max(stop, pos) if not at_end else stop
             return found, buf, base, row["length"]
-        found.append((pos, msg_id, first, size))
+        found.append((pos, msg_id, first, size, end))
         pos = end
     return found, buf, base, max(row["hi"], base + pos)
 
@@ -78,7 +78,7 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, _, base, end = _scan(row) if row["start"] < row["hi"] else ([], b"", 0, row["start"])
             early = [base + f[0] for f in found[:1024]]
             yield pa.RecordBatch.from_pylist(
-                [{**row, "end": end, "declared": b"", "early": early, "last_clock": None}],
+                [{**row, "end": end, "declared": b"", "early": early, "last_clock": None, "seen": []}],
                 schema=TOLD_ARROW,
             )
 
@@ -103,8 +103,9 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pa.array([_stamp(buf, f[0]) for f in part], pa.int64()),
                         pa.array([f[1] for f in part], pa.int32()),
                         pa.array([buf[f[2] : f[2] + f[3]] for f in part], pa.binary()),
+                        pa.array([f[4] - f[0] for f in part], pa.int32()),
                     ],
-                    names=["log_id", "seq", "ts_us", "msg_id", "payload"],
+                    names=["log_id", "seq", "ts_us", "msg_id", "payload", "size"],
                 )
 
 
@@ -119,10 +120,15 @@ def index(files: DataFrame, folder: str, range_bytes: int | None = None) -> Data
 
 
 def frames(files: DataFrame, range_bytes: int | None = None) -> DataFrame:
-    """``(log_id, seq, ts_us, msg_id, payload)`` of every frame; ``seq`` is its byte offset."""
+    """``(log_id, seq, ts_us, msg_id, payload, size)`` of every frame; ``seq`` is its byte offset,
+    ``size`` what it occupies with its stamp, checksum and signature."""
     return settled_ranges(files, range_bytes).mapInArrow(_frames, FRAMES)
 
 
+def framed_bytes(framed: DataFrame) -> DataFrame:
+    return framed.groupBy("log_id").agg(F.sum("size").cast("long").alias("bytes"))
+
+
 def _definitions(dialect: DataFrame) -> dict[int, tuple[str, np.dtype, list[tuple[str, bool]]]]:
     """Per message id: name, payload layout, and its kept fields (is it text?).
 

@@ -156,6 +156,13 @@ def test_a_later_type_replaces_one_of_the_same_name(spark, folder):
     content = GPS + gps(1, 1, 1, 1) + declare(200, "GPS", "QB", "TimeUS,N") + record(200, "QB", 2, 9) + gps(3, 1, 1, 1)
     records = dataflash.read_dataflash(list_logs(spark, folder({"a.bin": content})))
     assert [(r.msg_type, r.ts_us) for r in dataflash.one_type_per_name(records).collect()] == [(200, 2)]
+    assert sorted((r.msg_type, r.shadowed) for r in records.collect()) == [(130, True), (130, True), (200, False)]
+    assert {(r.field, r.value) for r in tables.samples(records).collect()} == {("TimeUS", 2.0), ("N", 9.0)}
+    # So do ranges that are read apart, the later type unknown to the first of them.
+    long = GPS + b"".join(gps(i, 1, 1, 1) for i in range(300)) + declare(200, "GPS", "QB", "TimeUS,N") + record(200, "QB", 2, 9)
+    apart = dataflash.read_dataflash(list_logs(spark, folder({"a.bin": long})), range_bytes=700)
+    assert apart.where("NOT shadowed").count() == 1 and apart.count() == 301
+    assert {r.field for r in tables.samples(apart).collect()} == {"TimeUS", "N"}
 
 
 def test_listing_routes_by_name_then_first_byte(spark, folder):

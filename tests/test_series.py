@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,28 @@ def test_grid_of_the_longest_run(series, grouping):
     assert [round(v, 9) for v in got["even"]] == [0, 10, 20, 30, 40, 50]
 
 
+def test_grid_points_are_those_of_interpolation(series, grouping, spark):
+    """Stamps shared, odd and fractional steps, gaps, runs that begin on a shared stamp: as by joining on time."""
+    rng = random.Random(3)
+    logs = {}
+    for n in range(12):
+        t, rows = rng.randrange(50), []
+        for _ in range(rng.randint(4, 40)):
+            rows.append((t, NONE if rng.random() < 0.15 else rng.randrange(100) / 4))
+            t += rng.choice([0, 1, 3, 3, 4, 4, 5, 9, 11, 60])
+        logs[f"log{n}"] = rows
+    rows, grid = sequence.longest_run(series(logs))
+    asked = [
+        (r.log_id, r.message, r.field, r.t0 + i * r.step, i) for r in grid.collect() for i in range(r.n_grid)
+    ]
+    probe = spark.createDataFrame(asked, "log_id string, message string, field string, ts_us double, seq long")
+    want = timejoin.interpolate(rows, probe, sequence.SERIES).select("log_id", "ts_us", "seq", "value").collect()
+    points, _ = sequence.uniform_grid(series(logs))
+    got = points.select("log_id", "ts_us", "i", "value").collect()
+    close = lambda r: (r[0], r[1], r[2], None if r[3] is None else round(r[3], 9))
+    assert len(asked) > 50 and sorted(map(repr, map(close, got))) == sorted(map(repr, map(close, want)))
+
+
 def test_median_step(series, grouping):
     got = sequence.median_step(series({"a": [(t, 0) for t in (0, 10, 25, 30, 31)], "one": [(0, 0)]}))
     assert {r.log_id: r.median_step for r in got.collect()} == {"a": 7.5}
