@@ -119,6 +119,15 @@ def j08(spark, d):
     return rounded(drape_heading(path, rows).select("log_id", "seq", "heading"))
 
 
+@check("j07_same_message", """
+    SELECT log_id, seq, ts_us, max(value) FILTER (field = 'RDes') AS "RATE.RDes", max(value) FILTER (field = 'R') AS "RATE.R"
+    FROM fleet WHERE message = 'RATE' AND seq % 3 = 1 AND field IN ('RDes', 'R') GROUP BY log_id, seq, ts_us""")
+def j07_rows(spark, d):
+    """Every third row of a message by its place in the file: its own values, gaps too."""
+    fleet = view(spark, d, "fleet")
+    return timejoin.in_same_row(fleet, fleet.where("message = 'RATE' AND seq % 3 = 1"), "RATE", ["RDes", "R"])
+
+
 @check("j09_position_at", """
     SELECT e.event_id AS seq, round(p.lat, 6) + 0.0 AS lat, round(p.lon, 6) + 0.0 AS lon, round(p.alt, 6) AS alt
     FROM events e ASOF JOIN fixes p ON CAST(e.user_id % 4 AS VARCHAR) = p.log_id AND epoch_us(e.ts) + 1800000000 >= p.ts_us

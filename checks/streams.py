@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import check, rounded
 from flightlake.scale import scratch_dir
+from flightlake.sources.tables import merge_batches, read_ingested
 from flightlake.streaming import live
 
 
@@ -52,3 +53,22 @@ def t04_modes(spark, d):
     out = _fresh(spark)
     live.follow_modes(rows, out, f"{out}-mark").awaitTermination()
     return spark.read.parquet(out).select("log_id", "seq", "mode")
+
+
+@check("t03_ingest_and_merge", """
+    SELECT CAST(user_id % 4 AS VARCHAR) AS log_id, event_type AS message, event_id AS seq, value FROM events""")
+def t03(spark, d):
+    """A folder that fills in two steps: ingested, merged, filled again; all rows once, by message."""
+    out = _fresh(spark)
+    rows = spark.read.parquet(f"{d}/events.parquet").select(
+        (F.col("user_id") % 4).cast("string").alias("log_id"), F.col("event_type").alias("message"),
+        F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "value",
+    )
+    schema = rows.schema
+    for step in (0, 1):
+        rows.where(F.col("seq") % 2 == step).repartition(3).write.mode("append").parquet(f"{out}/in")
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+        live.ingest(arriving, lambda files: files, f"{out}/batches", f"{out}/mark").awaitTermination()
+        if step == 0:
+            merge_batches(spark, f"{out}/batches", f"{out}/merged")
+    return read_ingested(spark, f"{out}/batches", f"{out}/merged").select("log_id", "message", "seq", "value")

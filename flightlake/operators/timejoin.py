@@ -211,6 +211,20 @@ def at_instants(samples: DataFrame, instants: DataFrame, refs: Sequence[tuple[st
     return nearest(samples.where(is_one_of(refs)), asked, ("log_id", "message", "field"))
 
 
+def in_same_row(samples: DataFrame, rows: DataFrame, message: str, fields: Sequence[str]) -> DataFrame:
+    """Values of chosen fields of one message in the very rows asked for, one column a field.
+
+    ``rows(log_id, seq)``.  Fields of one message share their rows, so a row is found by its
+    place in the file, never by its time: of several rows at one stamp each answers for itself,
+    and a row without a value stays one.
+    """
+    asked = rows.select("log_id", "seq").distinct()
+    held = samples.where((F.col("message") == message) & F.col("field").isin(*fields)).join(asked, ["log_id", "seq"])
+    return held.groupBy("log_id", "seq", "ts_us").agg(
+        *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"{message}.{f}") for f in fields]
+    )
+
+
 def position_at(trajectory: DataFrame, instants: DataFrame) -> DataFrame:
     """Position and heading in force at each instant."""
     return asof(trajectory, instants, ("log_id",), ("lat", "lon", "alt", "heading"))

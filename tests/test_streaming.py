@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from flightlake.sources import tables
 from flightlake.sources.dataflash import read_dataflash
 from flightlake.streaming import live
 from tests.logwriter import GPS, gps
@@ -32,6 +33,41 @@ def test_arriving_logs_are_ingested_once(spark, tmp_path):
     assert run() == (3, 4)
 
 
+def test_batches_are_merged_while_readers_go_on(spark, tmp_path):
+    batches, merged, mark = str(tmp_path / "batches"), str(tmp_path / "merged"), str(tmp_path / "mark")
+    schema = "log_id string, message string, seq long, ts_us long, value double"
+    rows = [(f"log{i % 3}", "ABC"[i % 3], i, 1000 - i, float(i)) for i in range(60)]
+
+    def feed(part):
+        spark.createDataFrame(part, schema).repartition(4).write.mode("append").parquet(str(tmp_path / "in"))
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        live.ingest(arriving, lambda files: files, batches, mark).awaitTermination()
+
+    def held(df):
+        return sorted(map(tuple, df.select("log_id", "message", "seq", "ts_us", "value").collect()))
+
+    feed(rows[:30])
+    before = tables.read_ingested(spark, batches, merged)
+    assert held(before) == sorted(rows[:30])
+    assert tables.merge_batches(spark, batches, merged, file_rows=20) == 4
+    assert tables.merge_batches(spark, batches, merged) == 0
+    # A view taken before still reads what it saw; one taken now reads merged files.
+    after = tables.read_ingested(spark, batches, merged)
+    assert held(before) == held(after) == sorted(rows[:30])
+    assert 3 <= len([f for f in after.inputFiles() if "/merged/" in f]) <= 5
+    feed(rows[30:])
+    both = tables.read_ingested(spark, batches, merged)
+    assert held(both) == sorted(rows)
+    assert tables.merge_batches(spark, batches, merged) == 4
+    last = tables.read_ingested(spark, batches, merged)
+    assert held(last) == sorted(rows)
+    plan = last.where("message = 'B'")._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.splitlines() if "PartitionFilters: [isnotnull(message" in x]) == 2
+    # Files without a row in the manifest, as a failed run leaves them, are not read.
+    spark.createDataFrame(rows, schema).write.partitionBy("message").parquet(f"{merged}/files/batches-8-9")
+    assert tables.read_ingested(spark, batches, merged).count() == 60
+
+
 def test_modes_are_followed_across_batches(spark, tmp_path):
     source = tmp_path / "in"
     schema = "log_id string, seq long, ts_us long, mode string"
