@@ -231,7 +231,8 @@ _SCATTER = f"""
         CASE WHEN p.meaning IS NOT NULL AND f.slope < 0 THEN round(-f.slope*1000, 5) END AS resistance_mohm, coalesce(abs(f.r) < 0.5, FALSE) AS weak
     FROM ps p JOIN ft f ON f.log_id = p.log_id AND f.label = p.label""")
 def r12(spark, d):
-    out = reports.scatter_report(view(spark, d, "fleet"), rules.scatter_presets(view(spark, d, "fleet_catalog")), spark_sql(spark, d, _INSIDE))
+    catalog = view(spark, d, "fleet_catalog")
+    out = reports.scatter_report(view(spark, d, "fleet"), rules.scatter_presets(catalog), spark_sql(spark, d, _INSIDE), catalog)
     return rounded(out.select("log_id", "label", "pos", "slope", "intercept", "r", "r2", "n", "resistance_mohm", "weak"), 5)
 
 

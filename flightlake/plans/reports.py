@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightlake.operators import channels, circle, spectrum, stats, tables, timejoin, tracking
@@ -18,7 +18,7 @@ from flightlake.operators.select import fields, interval_window, is_one_of, keep
 from flightlake.operators.sequence import detrend, uniform_grid, unwrap_angle
 from flightlake.operators.trajectory import trajectory
 from flightlake.plans import rules
-from flightlake.scale import Groups, join_per_key, scratch_table
+from flightlake.scale import Groups, groups_hold_at_most, join_per_key, scratch_path, scratch_table
 
 SERIES = ("log_id", "message", "field")
 
@@ -32,6 +32,20 @@ def _windowed(rows: DataFrame, intervals: DataFrame | None) -> DataFrame:
     return rows if intervals is None else interval_window(rows, intervals)
 
 
+#: Rows that one row of a log can become on the way: an even grid has at most so many.
+SPREAD = 4
+
+
+def _largest(catalog: DataFrame | None, messages: Sequence[str] | Column | None = None) -> int | None:
+    """Rows any log can bring to a report, as its catalog tells; None if there is none."""
+    if catalog is None:
+        return None
+    if messages is not None:
+        catalog = catalog.where(messages if isinstance(messages, Column) else F.col("message").isin(*messages))
+    rows = catalog.groupBy("log_id").agg(F.sum("n_rows").alias("n")).agg(F.max("n")).first()[0]
+    return SPREAD * int(rows or 0)
+
+
 def _names_in(table: DataFrame, *columns: str) -> list[str]:
     """The different message names of a rule table: as many as there are message types."""
     names = table.select(F.explode(F.array(*columns)).alias("name")).where("name IS NOT NULL").distinct()
@@ -65,12 +79,20 @@ def compass_report(
     samples: DataFrame, catalog: DataFrame, intervals: DataFrame | None = None
 ) -> DataFrame:
     """Circle fit, arc, field magnitude and load dependence of every compass."""
+    names = sorted({n for triple in rules.COMPASS_AXES for n in triple})
+    read = F.col("field").isin(*names) | is_one_of([d[:2] for d in rules.DRIVERS])
+    with groups_hold_at_most(_largest(catalog, read)):
+        return _compass_report(samples, catalog, intervals, names)
+
+
+def _compass_report(
+    samples: DataFrame, catalog: DataFrame, intervals: DataFrame | None, names: Sequence[str]
+) -> DataFrame:
     sources = scratch_table(rules.compass_sources(catalog), "compasses")
     keys = ["log_id", "message"]
     axes = sources.select(
         *keys, F.inline(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"{a}_field").alias("field")) for a in "xyz"]))
     )
-    names = sorted({n for triple in rules.COMPASS_AXES for n in triple})
     near = samples.where(F.col("field").isin(*names))
     tagged = join_per_key(near, axes, list(SERIES), "seq")
     of = lambda a: F.max(F.when(F.col("axis") == a, F.col("value"))).alias(a)
@@ -114,14 +136,24 @@ def outputs_report(
     bank = F.lit(False)
     for message_re, field_re, _, _ in rules.BANKS:
         bank = bank | (F.col("message").rlike(message_re) & F.col("field").rlike(field_re))
-    state = channels.channel_state(_windowed(samples.where(bank), intervals), limits)
-    return channels.channel_balance(state)
+    with groups_hold_at_most(_largest(catalog, bank)):
+        state = channels.channel_state(_windowed(samples.where(bank), intervals), limits)
+        return channels.channel_balance(state)
 
 
 def tracking_report(
     samples: DataFrame, catalog: DataFrame, intervals: DataFrame | None = None
 ) -> DataFrame:
     """Error, lag and step response of every commanded/achieved pair."""
+    messages = sorted({r[1] for r in rules.PAIRS} | {r[4] for r in rules.PAIRS})
+    largest = _largest(catalog, messages)
+    with groups_hold_at_most(largest):
+        return _tracking_report(samples, catalog, intervals, messages, largest or 0)
+
+
+def _tracking_report(
+    samples: DataFrame, catalog: DataFrame, intervals: DataFrame | None, messages: Sequence[str], largest: int
+) -> DataFrame:
     pairs = scratch_table(rules.tracking_pairs(catalog), "pairs")
     keys = ["log_id", "label"]
     sided = [*keys, "side"]
@@ -139,7 +171,6 @@ def tracking_report(
             )
         ),
     )
-    messages = sorted({r[1] for r in rules.PAIRS} | {r[4] for r in rules.PAIRS})
     near = _windowed(keep_messages(samples, messages), intervals)
     rows = join_per_key(near, sides, list(SERIES), "seq").select(
         *sided, "wrap", "ts_us", "seq", (F.col("value") * F.col("scale")).alias("value")
@@ -150,8 +181,11 @@ def tracking_report(
     ready = scratch_table(rows.where("wrap = 0").unionByName(turned), "tracking")
     one = lambda s: ready.where(F.col("side") == s).select(*keys, "wrap", "ts_us", "seq", "value")
     gridded = tracking.grid_pair(one("des"), one("act"), [*keys, "wrap"], wrap=F.col("wrap")).drop("wrap")
-    metrics = tracking.tracking_metrics(gridded, keys)
-    step = tracking.step_metrics(gridded, keys)
+    # Long gaps can give a grid far more points than the log has rows.
+    longest = gridded.agg(F.max("n")).first()[0] or 0
+    with groups_hold_at_most(max(largest, int(longest))):
+        metrics = tracking.tracking_metrics(gridded, keys)
+        step = tracking.step_metrics(gridded, keys)
     return (
         pairs.select(*keys, "unit", "varies", "pos")
         .join(metrics, keys, "left").join(step, keys, "left")
@@ -161,19 +195,28 @@ def tracking_report(
 
 
 def scatter_report(
-    samples: DataFrame, presets: DataFrame, intervals: DataFrame | None = None
+    samples: DataFrame, presets: DataFrame, intervals: DataFrame | None = None, catalog: DataFrame | None = None
 ) -> DataFrame:
     """Line fit of every preset (or custom) pair: slope, r and, where it applies, resistance.
 
-    ``presets`` as ``rules.scatter_presets`` gives them.
+    ``presets`` as ``rules.scatter_presets`` gives them; with ``catalog`` the sizes of logs
+    are taken from it and not counted.
     """
-    keys = ["log_id", "label"]
     presets = scratch_table(presets, "presets")
+    names = _names_in(presets, "x_message", "y_message")
+    with groups_hold_at_most(_largest(catalog, names)):
+        return _scatter_report(samples, presets, intervals, names)
+
+
+def _scatter_report(
+    samples: DataFrame, presets: DataFrame, intervals: DataFrame | None, names: Sequence[str]
+) -> DataFrame:
+    keys = ["log_id", "label"]
     # What the pairing needs to know of a preset travels with its rows.
     carried = presets if intervals is None else presets.join(intervals, "log_id")
     told = [*keys, "x_scale", "y_scale"]
     inside = F.lit(True) if intervals is None else F.col("ts_us").between(F.col("t0"), F.col("t1"))
-    samples = keep_messages(samples, _names_in(presets, "x_message", "y_message"))
+    samples = keep_messages(samples, names)
     groups = Groups(samples, SERIES)
 
     def series(axis: str) -> DataFrame:
@@ -201,14 +244,24 @@ def spectrum_report(
     samples: DataFrame,
     chosen_fields: DataFrame,
     intervals: DataFrame | None = None,
+    catalog: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Spectra of one field per log: ``(status per log, bins)``.
 
     ``chosen_fields(log_id, message, field)``; status is ``ok``, ``flat`` or why there
-    is none: ``missing``, ``short``, ``gaps``.
+    is none: ``missing``, ``short``, ``gaps``.  With ``catalog`` the sizes of logs are
+    taken from it and not counted.
     """
+    names = _names_in(chosen_fields, "message")
+    with groups_hold_at_most(_largest(catalog, names)):
+        return _spectrum_report(samples, chosen_fields, intervals, names)
+
+
+def _spectrum_report(
+    samples: DataFrame, chosen_fields: DataFrame, intervals: DataFrame | None, names: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
     keys = list(SERIES)
-    samples = keep_messages(samples, _names_in(chosen_fields, "message"))
+    samples = keep_messages(samples, names)
     chosen = scratch_table(join_per_key(samples, chosen_fields.select(*keys), keys, "seq").select(*keys, "ts_us", "seq", "value"), "signal")
     points, grid = uniform_grid(_windowed(chosen, intervals), keys)
     points, grid = scratch_table(points, "points"), scratch_table(grid, "grids")
@@ -272,9 +325,13 @@ def flight_tables(records: DataFrame) -> dict[str, DataFrame]:
 def flight_summary(records: DataFrame) -> DataFrame:
     """One row per log: bounds and how much of everything it holds.
 
-    Every table is derived from the records, so they are decoded once.
+    Every table is derived from the records, so they are decoded once and written by
+    message: each part then reads the messages it is about.
     """
-    records = scratch_table(records, "records")
+    schema = records.schema
+    folder = scratch_path(records.sparkSession, "records")
+    records.hint("rebalance", F.col("message")).write.partitionBy("message").parquet(folder)
+    records = records.sparkSession.read.schema(schema).parquet(folder)
     t = flight_tables(records)
     count = lambda name, label: t[name].groupBy("log_id").agg(F.count(F.lit(1)).alias(label))
     out = t["bounds"]

@@ -20,7 +20,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
@@ -52,15 +54,42 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own below this application's scratch folder."""
+    return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back, cutting its lineage.
 
     Tables lie in one folder per application, to be removed when it is done.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_bound: ContextVar[int | None] = ContextVar("rows a group holds at most", default=None)
+
+
+@contextmanager
+def groups_hold_at_most(rows: int | None) -> Iterator[None]:
+    """What is known of the sizes of groups, so that they are not counted inside.
+
+    ``rows`` bounds the groups of everything built within, as a catalog can tell; None
+    takes back what was known.  A bound beyond ``GROUP_ROWS`` says nothing: then groups
+    are counted as usual.
+    """
+    before = _bound.set(rows)
+    try:
+        yield
+    finally:
+        _bound.reset(before)
+
+
+def known_small(limit: int | None = None) -> bool:
+    bound = _bound.get()
+    return bound is not None and bound <= (limit or GROUP_ROWS)
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
@@ -230,6 +259,8 @@ class Ordered:
         limit = group_rows or GROUP_ROWS
         if not _ready:
             rows = 0
+            if split is None and known_small(limit):
+                split = False
             if split is None or split:
                 largest, rows = group_sizes(df, self.keys)
                 split = split or largest > limit
@@ -342,6 +373,9 @@ class Groups:
     def __init__(self, df: DataFrame, keys: Sequence[str], group_rows: int | None = None):
         self.keys = list(keys)
         limit = group_rows or GROUP_ROWS
+        self.hot: DataFrame | None = None
+        if known_small(limit):
+            return
         sizes = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
         hot = sizes.select(*self.keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
         #: Large groups and the parts each is cut into.
@@ -391,7 +425,7 @@ def exact_median(
     keys = list(keys)
     known = df.where(F.col(value).isNotNull())
     if split is None:
-        split = group_sizes(known, keys)[0] > GROUP_ROWS
+        split = not known_small() and group_sizes(known, keys)[0] > GROUP_ROWS
     if not split:
         return known.groupBy(*keys).agg(F.median(value).alias(name))
     counted = known.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
