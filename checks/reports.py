@@ -176,6 +176,36 @@ def r10(spark, d):
     return rounded(out.select("log_id", "message", "field", "n", "mean", "low_share", "high_share", "idle", "out_of_bounds", "bank_mean", "saturated"))
 
 
+_BANKS = """
+    WITH ch AS (SELECT *, {lo} AS lo, {hi} AS hi, {known} AS known FROM ({channels}) c),
+    st AS (SELECT c.log_id, c.message, c.field, c.channel, any_value(c.known) AS known, any_value(lo) AS lo, any_value(hi) AS hi, avg(value) AS mean, min(value) AS mn, max(value) AS mx, coalesce(stddev_samp(value), 0) AS std,
+                  avg(CASE WHEN value <= lo + 2 THEN 1.0 WHEN value IS NOT NULL THEN 0 END) AS low_share, avg(CASE WHEN value >= hi - 2 THEN 1.0 WHEN value IS NOT NULL THEN 0 END) AS high_share
+           FROM ch c JOIN fleet f ON f.log_id = c.log_id AND f.message = c.message AND f.field = c.field GROUP BY c.log_id, c.message, c.field, c.channel),
+    fl AS (SELECT *, std = 0 AND mean = 0 AS idle, greatest(low_share, high_share) AS share FROM st)
+    SELECT log_id, message, CAST(count(*) FILTER (NOT idle) AS BIGINT) AS n_driven,
+           first(field ORDER BY share DESC, channel) FILTER (NOT idle) AS worst_field, round(max(share) FILTER (NOT idle), 6) AS worst_share,
+           bool_or(NOT idle AND (mn < lo - 2 OR mx > hi + 2)) AS any_out_of_bounds, {source} AS limit_source
+    FROM fl GROUP BY log_id, message"""
+_FROM_PARAMS = """CASE WHEN count(*) FILTER (NOT idle) > 0 AND count(*) FILTER (NOT idle AND NOT known) = 0 THEN 'parameters'
+    WHEN count(*) FILTER (NOT idle AND known) > 0 THEN 'part parameters' ELSE 'defaults' END"""
+_FIRST = "prefix = 'SERVO' AND channel = 1"
+
+
+@check("r10_bank_lines", _BANKS.format(
+    lo=f"CASE WHEN {_FIRST} THEN 1010.0 ELSE 1100.0 END", hi=f"CASE WHEN {_FIRST} THEN 1500.0 ELSE 1900.0 END", known=_FIRST, channels=_CHANNELS, source=_FROM_PARAMS))
+def r10_banks(spark, d):
+    _, banks = reports.outputs_banks(view(spark, d, "fleet"), view(spark, d, "fleet_catalog"), spark_sql(spark, d, _ENDS))
+    return rounded(banks)
+
+
+@check("r10_bank_lines_manual", _BANKS.format(lo="1200.0", hi="1700.0", known="TRUE", channels=_CHANNELS, source="'manual'"))
+def r10_manual(spark, d):
+    _, banks = reports.outputs_banks(
+        view(spark, d, "fleet"), view(spark, d, "fleet_catalog"), spark_sql(spark, d, _ENDS), manual_min=1200, manual_max=1700
+    )
+    return rounded(banks)
+
+
 # Each pair: scaled rows, unwrapped if an angle, both on one grid, aligned, measured.
 _TRACK = f"""
     pr AS ({_PAIRS}),
@@ -283,6 +313,15 @@ def r14(spark, d):
     return rounded(out.select("log_id", "ts_us", "x", F.col("`click.value`").alias("click"), F.col("`view.value`").alias("view_value")))
 
 
+@check("r14_plot_extents", """
+    SELECT log_id, message || '.value' AS label, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM telemetry WHERE message IN ('click', 'view') GROUP BY log_id, message
+    UNION ALL SELECT DISTINCT log_id, 'absent.value', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM telemetry""")
+def r14_extents(spark, d):
+    refs = [("click", "value"), ("view", "value"), ("absent", "value")]
+    extract = reports.plot_extract(view(spark, d, "telemetry"), None, spark_sql(spark, d, _START), refs)
+    return rounded(reports.plot_extents(extract, refs))
+
+
 _RECORDS = "SELECT log_id, seq, ts_us, message, map('a', value, 'b', CAST(seq AS DOUBLE)) AS nums FROM hourly"
 
 

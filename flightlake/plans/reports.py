@@ -122,6 +122,19 @@ def _compass_report(
     )
 
 
+def _outputs_state(
+    samples: DataFrame, catalog: DataFrame, params: DataFrame, intervals: DataFrame | None,
+    manual_min: float | None, manual_max: float | None,
+) -> DataFrame:
+    found = rules.actuator_channels(catalog)
+    limits = scratch_table(channels.channel_limits(found, params, manual_min, manual_max), "limits")
+    bank = F.lit(False)
+    for message_re, field_re, _, _ in rules.BANKS:
+        bank = bank | (F.col("message").rlike(message_re) & F.col("field").rlike(field_re))
+    with groups_hold_at_most(_largest(catalog, bank)):
+        return channels.channel_state(_windowed(samples.where(bank), intervals), limits)
+
+
 def outputs_report(
     samples: DataFrame,
     catalog: DataFrame,
@@ -131,14 +144,25 @@ def outputs_report(
     manual_max: float | None = None,
 ) -> DataFrame:
     """State, saturation and balance of every channel of every bank."""
-    found = rules.actuator_channels(catalog)
-    limits = scratch_table(channels.channel_limits(found, params, manual_min, manual_max), "limits")
-    bank = F.lit(False)
-    for message_re, field_re, _, _ in rules.BANKS:
-        bank = bank | (F.col("message").rlike(message_re) & F.col("field").rlike(field_re))
-    with groups_hold_at_most(_largest(catalog, bank)):
-        state = channels.channel_state(_windowed(samples.where(bank), intervals), limits)
-        return channels.channel_balance(state)
+    return channels.channel_balance(_outputs_state(samples, catalog, params, intervals, manual_min, manual_max))
+
+
+def outputs_banks(
+    samples: DataFrame,
+    catalog: DataFrame,
+    params: DataFrame,
+    intervals: DataFrame | None = None,
+    manual_min: float | None = None,
+    manual_max: float | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``outputs_report``, and its line per bank: how many channels are driven, the worst
+    saturated one, whether any leaves its limits, and where these came from.
+
+    Channels are measured once for both.
+    """
+    manual = manual_min is not None or manual_max is not None
+    state = scratch_table(_outputs_state(samples, catalog, params, intervals, manual_min, manual_max), "channels")
+    return channels.channel_balance(state), channels.bank_summary(state, manual)
 
 
 def tracking_report(
@@ -306,6 +330,19 @@ def plot_extract(
     return join_per_key(rows, start, ["log_id"], "ts_us").withColumn("x", x).drop("start_us")
 
 
+def plot_extents(extract: DataFrame, refs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``(log_id, label, lo, hi)`` of every column of ``plot_extract``: what an axis must hold.
+
+    Columns are walked once for all; one without a known value has no ends.
+    """
+    labels = list(dict.fromkeys(f"{m}.{f}" for m, f in refs))
+    ends = extract.groupBy("log_id").agg(
+        *[fold(F.col(f"`{x}`")).alias(f"{side}{i}") for i, x in enumerate(labels) for side, fold in (("lo", F.min), ("hi", F.max))]
+    )
+    told = [F.struct(F.lit(x).alias("label"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi")) for i, x in enumerate(labels)]
+    return ends.select("log_id", F.inline(F.array(*told)))
+
+
 def flight_tables(records: DataFrame) -> dict[str, DataFrame]:
     """The tables that describe every log, as lazy DataFrames."""
     rows = tables.samples(records)
