@@ -59,14 +59,15 @@ def among(rows: DataFrame, word: str, known: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(buckets), bucket(F.col(word)) == F.col("_bucket"), "left_semi")
 
 
-def prefix_index(docs: DataFrame, windows: DataFrame) -> DataFrame:
+def prefix_index(docs: DataFrame, windows: DataFrame, n_windows: int | None = None, size: int = 13) -> DataFrame:
     """Each window under its prefix word: ``(word, offset, window, item_ids)``.
 
     Words are ordered by how often they occur in all documents, the word itself settling
     ties; windows without a word in any document drop out, as they occur nowhere.  Counts
     are partial before they are shuffled.
     """
-    vocabulary = scratch_table(windows.select(F.explode("window").alias("word")).distinct(), "vocabulary")
+    most = None if n_windows is None else n_windows * size
+    vocabulary = scratch_table(windows.select(F.explode("window").alias("word")).distinct(), "vocabulary", rows=most)
     words = docs.select(F.explode(words_of(F.col("text"))).alias("word"))
     counts = among(words, "word", vocabulary).groupBy("word").count()
     placed = windows.select("window", "item_ids", F.posexplode("window").alias("offset", "word"))
@@ -122,7 +123,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
     Contaminated: a twentieth or more of a document's words lie in benchmark windows.
     """
     windows = scratch_table(item_windows(benchmark, size), "windows")
-    index = scratch_table(prefix_index(docs, windows), "prefixes")
+    n_windows = windows.count()
+    index = scratch_table(prefix_index(docs, windows, n_windows, size), "prefixes", rows=n_windows)
     found = occurrences(docs, index, index.count(), size)
     spans = found.groupBy(*KEY).agg(
         F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"),

@@ -62,7 +62,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
     ``(start, length)``.  A document that is not listed keeps all its lines.
     """
     hashes = scratch_table(line_hashes(docs, min_chars), "line-hashes")
-    frequent = scratch_table(frequent_keys(hashes, min_docs), "frequent-lines")
+    frequent = scratch_table(frequent_keys(hashes, min_docs), "frequent-lines", rows=hashes.count() // max(1, min_docs))
     dropped = hashes.join(small(frequent, frequent.count()), ["h1", "h2"], "left_semi")
     positions = dropped.groupBy(*KEY).agg(
         F.max("n_lines").alias("n_lines"), F.sort_array(F.collect_set("pos")).alias("p")

@@ -56,6 +56,8 @@ SLACK, SURE = 4.0, 3.0
 ROWS, PAIRS = 4096, 16_384
 #: Members of either side of a shingle's group that are joined at a time.
 BLOCK = 512
+#: Narrow rows that the sets of a pair weigh like, where tasks are dealt by rows.
+SET_WEIGHT = 50
 #: Classes whose shingles tell which are common, and the buckets these are counted in.
 COUNTED, BUCKETS = 4096, 1 << 16
 
@@ -193,31 +195,37 @@ def _regions_of(depths: tuple[int, ...]) -> Callable:
     return run
 
 
-def _placed(rows: DataFrame, depths: tuple[int, ...], name: str) -> DataFrame:
-    """``(id, order_no, depth, region)`` with ``n``, the classes that share the region, and some of them."""
+def _placed(rows: DataFrame, depths: tuple[int, ...], name: str, most: int) -> DataFrame:
+    """``(id, order_no, depth, region)`` with ``n``, the classes that share the region, and some of them.
+
+    ``most``: rows there are at most, of classes in orders.
+    """
+    most *= len(depths)
     placed = scratch_table(
-        rows.mapInArrow(_regions_of(depths), "id long, order_no int, depth int, region long"), name
+        rows.mapInArrow(_regions_of(depths), "id long, order_no int, depth int, region long"), name, rows=most
     )
     some = [F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(SOME)]
     sizes = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.array(*some).alias("some")).where("n > 1")
-    sizes = scratch_table(sizes, "sizes")
+    sizes = scratch_table(sizes, "sizes", rows=most // 2)
     return placed.join(small(sizes, sizes.count()), "region")
 
 
-def regions(classes: DataFrame) -> dict[str, DataFrame]:
+def regions(classes: DataFrame, n_classes: int) -> dict[str, DataFrame]:
     """``thin``: ``(region, id, order_no)`` of the regions that the first prefix made small;
     ``wide``: of the others, read on until few share them; ``extra``: where no prefix does,
     some of the region before, under ``ORDERS`` as their order; ``told``: ``(id, orders)``, what tells
     a class's region in every order; ``crowd``: ``(region, id)`` of what the first prefix
     did not bring below ``WIDE``.
     """
-    first = _placed(classes.select("id", "signature"), LADDER[:1], "first-prefix").select("id", "order_no", "region", "n")
-    thin = scratch_table(first.where(F.col("n") <= REGION).select("region", "id", "order_no"), "thin")
-    dense = scratch_table(first.where(F.col("n") > REGION), "dense")
+    most = n_classes * ORDERS
+    first = _placed(classes.select("id", "signature"), LADDER[:1], "first-prefix", most).select("id", "order_no", "region", "n")
+    thin = scratch_table(first.where(F.col("n") <= REGION).select("region", "id", "order_no"), "thin", rows=most)
+    dense = scratch_table(first.where(F.col("n") > REGION), "dense", rows=most)
     # Only what one prefix crowds is read further.
     whole, crowd = dense.where(F.col("n") <= WIDE), dense.where(F.col("n") > WIDE)
+    n_crowd = crowd.count()
     deeper = _placed(
-        crowd.select("id", "order_no").join(classes.select("id", "signature"), "id"), LADDER, "prefixes"
+        crowd.select("id", "order_no").join(classes.select("id", "signature"), "id"), LADDER, "prefixes", n_crowd
     )
     seen = F.struct("depth", "region", "n", "some")
     chosen = scratch_table(
@@ -227,7 +235,7 @@ def regions(classes: DataFrame) -> dict[str, DataFrame]:
             F.max(F.when(F.col("n") > WIDE, seen)).alias("parent"),
         ),
         "chosen",
-        rows=crowd.count(),
+        rows=n_crowd,
     )
     fitting = chosen.where("fitting IS NOT NULL").select("id", "order_no", "fitting.*")
     place = F.array_position(F.array(*map(F.lit, LADDER)), F.col("depth")).cast("long")
@@ -641,41 +649,48 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: float = 0.8) -
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch_table(texts.mapInArrow(_signatures(shingle), SIGNED), "signed")
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    n_known = known.count()
     classes = scratch_table(
         known.groupBy("d1", "d2")
         .agg(F.min(F.struct("doc_id", "signature")).alias("m"))
         .select("d1", "d2", F.col("m.doc_id").alias("id"), F.col("m.signature").alias("signature")),
         "classes",
+        rows=n_known,
     )
-    placed = regions(classes)
+    n_classes = classes.count()
+    placed = regions(classes, n_classes)
     thin, wide, crowd = placed["thin"], placed["wide"], placed["crowd"]
-    told = scratch_table(placed["told"], "told")
+    told = scratch_table(placed["told"], "told", rows=n_classes)
     orders = F.coalesce("orders", F.lit(0).cast("long")).alias("orders")
     plain = classes.join(told, "id", "left").select("id", orders, "signature")
-    thin_tree = scratch_table(candidates(thin, None, plain, threshold, False), "thin-tree")
+    thin_tree = scratch_table(candidates(thin, None, plain, threshold, False), "thin-tree", rows=n_classes * ORDERS)
     ends = thin_tree.select(F.col("a").alias("id")).union(thin_tree.select(F.col("b").alias("id")))
-    crowded = scratch_table(wide.select("id").union(crowd.select("id")).distinct(), "crowded")
-    asked = scratch_table(ends.union(crowded).distinct(), "asked")
+    crowded = scratch_table(wide.select("id").union(crowd.select("id")).distinct(), "crowded", rows=n_classes)
+    asked = scratch_table(ends.union(crowded).distinct(), "asked", rows=n_classes)
     wanted = texts.join(small(asked, asked.count()), texts["doc_id"] == asked["id"], "left_semi")
     sets = scratch_table(wanted.mapInArrow(_sets(shingle), "id long, shingles array<long>"), "sets")
     in_crowd = sets.join(small(crowded, crowded.count()), "id", "left_semi")
     longer = scratch_table(in_crowd.mapInArrow(_long, "id long, signature binary"), "long")
     longer = longer.join(told, "id", "left").select("id", orders, "signature")
 
-    def found(parts: DataFrame | None, regions: DataFrame, known: DataFrame, name: str) -> DataFrame:
-        return scratch_table(known.union(candidates(regions, parts, longer, threshold, True)).distinct(), name)
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Pairs confirmed on full sets; a pair weighs as much as both its sets."""
+        return scratch_table(confirmed(pairs, sets, threshold), "confirmed", rows=SET_WEIGHT * pairs.count())
 
-    tree = found(None, wide, thin_tree, "tree")
-    links = scratch_table(confirmed(tree, sets, threshold), "confirmed")
-    parts = scratch_table(components(links), "parts")
+    tree = scratch_table(
+        thin_tree.union(candidates(wide, None, longer, threshold, True)).distinct(), "tree", rows=n_classes * ORDERS
+    )
+    links = linked(tree)
+    parts = scratch_table(components(links), "parts", rows=n_classes)
     # What met only some of a region takes part now that most of it is linked.
     everywhere = wide.union(placed["extra"])
-    rest = found(parts, everywhere, candidates(thin, parts, plain, threshold, False), "rest").join(tree, ["a", "b"], "left_anti")
-    more = scratch_table(confirmed(rest, sets, threshold), "confirmed")
-    final = components(links.union(more))
+    apart = candidates(thin, parts, plain, threshold, False).union(candidates(everywhere, parts, longer, threshold, True))
+    rest = scratch_table(apart.distinct().join(tree, ["a", "b"], "left_anti"), "rest")
+    more = linked(rest)
+    final = scratch_table(components(links.union(more)), "parts", rows=n_classes)
     cut = cut_pairs(crowd, final, sets, threshold)
     if cut is not None:
-        last = scratch_table(confirmed(scratch_table(cut, "cut-pairs"), sets, threshold), "confirmed")
+        last = linked(scratch_table(cut, "cut-pairs"))
         final = components(final.select(F.col("id").alias("a"), F.col("component").alias("b")).union(last))
     lowest = signed.join(classes.select("d1", "d2", "id"), ["d1", "d2"], "left").join(
         final, "id", "left"
