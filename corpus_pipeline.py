@@ -32,8 +32,9 @@ def _rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    gone = scratch_table(gone, "gone")
+def _without(rows: DataFrame, gone: DataFrame, most: int) -> DataFrame:
+    """Rows whose key is not among ``gone``, which are ``most`` at most."""
+    gone = scratch_table(gone, "gone", rows=most)
     return join_documents(rows, small(gone, gone.count()), "left_anti")
 
 
@@ -59,21 +60,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id."""
     found = near_duplicates.near_duplicates(docs, SHINGLE, ALIKE)
-    copies = scratch_table(found.where("NOT kept").select("doc_id").distinct(), "copies")
+    most = docs.count()
+    copies = scratch_table(found.where("NOT kept").select("doc_id").distinct(), "copies", rows=most)
     rows = _rows(docs)
     left = rows.join(small(copies, copies.count()), "doc_id", "left_anti")
     # A row that is there twice, id and text, is there once afterwards.
-    twice = scratch_table(rows.groupBy(*KEY).count().where("count > 1").select(*KEY), "twice")
+    twice = scratch_table(rows.groupBy(*KEY).count().where("count > 1").select(*KEY), "twice", rows=most)
     if not twice.count():
         return left.select("row.*")
     once = join_documents(left, small(twice, twice.count()), "left_semi").groupBy(*KEY).agg(F.first("row").alias("row"))
-    return _without(left, twice).select("row").union(once.select("row")).select("row.*")
+    return _without(left, twice, most).select("row").union(once.select("row")).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not consist of benchmark passages to a twentieth or more."""
     found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    return _without(_rows(docs), found.where("contaminated").select(*KEY).distinct()).select("row.*")
+    gone = found.where("contaminated").select(*KEY).distinct()
+    return _without(_rows(docs), gone, docs.count()).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
