@@ -5,9 +5,13 @@ than ASCII letters, digits and non-ASCII ones made one space, equivalent spellin
 one.  A document is looked up as a whole and line by line; what is compared is a 128-bit
 digest, so the licence table joins on equality and no text is shipped.
 
-Null or empty text has no licence.  A repeated row is one document.  Line matches are
-counted per document and licence before they meet, so a line that a third of all rows
-share costs one row per document.  Licences with equal canonical text all count.
+Line matches are counted per document and licence before they meet, so a line that a third
+of all rows share costs one row per document.
+
+Defined results: null or empty text has no licence; a repeated row is one document and gets
+the answer again; licences with equal canonical text all count, in order of their names; a
+text of any length is read whole, and equals no licence where it is more than twice as long
+as the longest; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -22,7 +22,9 @@ meets in.  Pairs left out have both ends in one component already.
 Defined results: null, empty or blank text has no shingle and links with nothing; a text
 of fewer words than a shingle is one shingle; a repeated row is in its own class; rows
 that share an id but not the text are one node of the link graph; a null id is linked
-with nothing, its component is null and it is kept.
+with nothing, its component is null and it is kept; the smallest id names a component, so
+there are no ties; a text of any length is read whole; an empty table gives no rows; other
+columns are not looked at.
 """
 
 from __future__ import annotations

@@ -10,8 +10,10 @@ whenever a window would exceed its capacity.
 Groups are filled in the order of the input partition, so packing needs no shuffle and
 no more memory than one group; a long document passes through window by window.
 
-Null or empty text is its end id alone.  A null id is carried along.  Repeated rows are
-packed once each.
+Defined results: null or empty text is its end id alone; a null id is carried along;
+repeated rows are packed once each; of equally full windows, and of equally long pieces, the
+one that came first is taken first; an empty table gives no rows; other columns are not
+looked at.
 """
 
 from __future__ import annotations

@@ -10,8 +10,10 @@ a document by themselves.
 Figures are computed on whole texts as Arrow batches; the pattern table has at most
 3 ** rules rows, which bounds what reaches the driver and is broadcast.
 
-Null, empty or blank text has figures of 0 and fails the base rules; repeated rows get
-the same answer; a null id is carried along.
+Defined results: null, empty or blank text has figures of 0 and fails the base rules;
+repeated rows get the same answer; a null id is carried along; a document just as likely
+good as not is kept; a text of any length is measured whole; an empty table gives no rows;
+other columns are not looked at.
 """
 
 from __future__ import annotations

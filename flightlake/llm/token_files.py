@@ -7,8 +7,11 @@ bound).  A block is up to ``BLOCK`` ids of one document with the bit offset of e
 table look-up per id.  Blocks are rows of Parquet files in ascending ``doc_id`` order,
 written by Spark's committer; beside them lie the code lengths, which fix the code.
 
-Null or empty text is its end id alone; a null id sorts first; rows that repeat an id
-are kept apart by their place in the input.
+Defined results: null or empty text is its end id alone; a null id sorts first; rows that
+repeat an id are kept apart by their place in the input; of ids as frequent the smaller has
+the shorter code or an equal one; a text of any length is encoded whole, over as many blocks
+as it needs; an empty table gives no rows and files without blocks; other columns are not
+looked at.
 """
 
 from __future__ import annotations

@@ -200,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
         .mapInArrow(_bags, "toxic int, sizes array<int>, buckets array<int>")
     )
     bags = scratch_table(bags.where(F.size("sizes") > 0), "bags")
-    n, n_bad = bags.agg(F.count(F.lit(1)), F.count_if("toxic = 1")).first()
+    n, n_bad = bags.agg(F.count(F.lit(1)), F.count_if(F.col("toxic") == 1)).first()
     if not n_bad or n_bad == n:
         return np.append(np.zeros(BUCKETS), -np.inf)
     met = bags.mapInArrow(_met, "bucket int, n long, bad long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).toArrow()

@@ -304,6 +304,13 @@ def test_packing_pads_little(spark, tokenizer):
     assert filled / (1024 * len(sequences)) > 0.985
 
 
+def test_empty_tables(spark):
+    empty = cases.empty_documents(spark)
+    assert token_files.token_files(empty).count() == 0
+    assert packing.packed(empty).count() == 0
+    assert near_duplicates.near_duplicates(empty).count() == 0
+
+
 def test_differencing():
     assert sorted(map(sorted, packing.differencing([8, 7, 6, 5, 4], 2))) in ([[0, 3], [1, 2, 4]], [[0, 1], [2, 3, 4]], [[0, 4], [1, 2, 3]], [[0, 2], [1, 3, 4]])
     rng = random.Random(2)
