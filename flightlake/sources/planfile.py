@@ -130,13 +130,14 @@ def _expanded(level: DataFrame) -> DataFrame:
     """
     done = []
     while True:
-        level = level.withColumn("inner", _inner_items(F.col("item")))
-        done.append(level.where("inner IS NULL").select("log_id", "place", "item"))
-        opened = level.where("inner IS NOT NULL").select("log_id", "place", F.posexplode("inner").alias("j", "sub"))
+        level = level.withColumn("more", _inner_items(F.col("item")).isNotNull())
+        done.append(level.where("NOT more").select("log_id", "place", "item"))
+        closed = level.where("more")
+        if closed.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        opened = closed.select("log_id", "place", F.posexplode(_inner_items(F.col("item"))).alias("j", "sub"))
         opened = opened.select("log_id", F.concat("place", F.array("j")).alias("place"), F.col("sub").alias("item"))
         level = scratch_table(opened, "nested-items")
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, done)
 
 
 def json_items(plans: DataFrame) -> DataFrame:
