@@ -19,7 +19,7 @@ from flightlake.operators.tables import num, txt
 from flightlake.sources import dataflash, planfile, tlog
 from flightlake.sources.files import ingest_errors
 from flightlake.sources.tables import read_by_message, write_by_message
-from flightlake.scale import scratch_dir
+from flightlake.scale import scratch_path
 
 STRETCH = 400
 
@@ -306,7 +306,7 @@ def src08c(spark, d):
     FROM (SELECT DISTINCT log_id FROM r) l LEFT JOIN (SELECT log_id, count(DISTINCT seq) AS n FROM w WHERE {_ROUTE} AND NOT (lat10 = 0 AND lon10 = 0) GROUP BY log_id) c ON c.log_id = l.log_id""")
 def src08b(spark, d):
     _, outcome = planfile.parse_plans(text_plans(spark, d))
-    return outcome.select("log_id", "kind", F.col("reason").contains("expected 12 fields").alias("rejected"), "n_waypoints").fillna(False, ["rejected"])
+    return outcome.select("log_id", "kind", F.col("reason").contains("where a waypoint has 12").alias("rejected"), "n_waypoints").fillna(False, ["rejected"])
 
 
 def json_plans(spark, d) -> DataFrame:
@@ -360,7 +360,7 @@ def src11(spark, d):
 
 @check("snk01_write_by_message", "SELECT log_id, message, CAST(count(*) AS BIGINT) AS n, CAST(count(value) AS BIGINT) AS known, min(ts_us) AS first_us FROM telemetry GROUP BY log_id, message")
 def snk01(spark, d):
-    path = f"{scratch_dir(spark)}/by-message"
+    path = scratch_path(spark, "by-message")
     write_by_message(view(spark, d, "telemetry"), path)
     rows = read_by_message(spark, path)
     return rows.groupBy("log_id", "message").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("known"), F.min("ts_us").alias("first_us"))

@@ -30,7 +30,7 @@ def is_route_vertex(command: Column, lat: Column, lon: Column) -> Column:
 
 
 def as_degrees(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """Undo 1e7 scaling of a pair, judged and scaled together."""
+    """A position in degrees, also where either number is too large for one: then both count 1e-7 degrees."""
     scaled = (F.abs(lat) > 1e5) | (F.abs(lon) > 1e5)
     return F.when(scaled, lat * 1e-7).otherwise(lat), F.when(scaled, lon * 1e-7).otherwise(lon)
 

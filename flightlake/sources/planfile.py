@@ -218,7 +218,7 @@ def parse_plans(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     text_reason = F.when(
         F.col("bad").isNotNull(),
-        F.concat(F.lit("line "), F.col("bad.line").cast("string"), F.lit(": expected 12 fields, found "), F.col("bad.found").cast("string")),
+        F.format_string(f"%d fields on line %d where a waypoint has {TEXT_FIELDS}", F.col("bad.found"), F.col("bad.line")),
     )
     text_state = (
         routed.where("kind = 'text'").select("log_id").join(judged.withColumn("seen", F.lit(True)), "log_id", "left")

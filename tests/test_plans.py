@@ -119,7 +119,7 @@ def test_refusals(parsed):
     points, outcome = parsed
     reasons = {name: r.reason for name, r in outcome.items() if r.reason}
     assert reasons == {
-        "text-commas": "line 3: expected 12 fields, found 13",
+        "text-commas": "13 fields on line 3 where a waypoint has 12",
         "text-empty": "no waypoints",
         "text-nowhere": "no drawable waypoints",
         "json-empty": "no waypoints",
