@@ -86,6 +86,20 @@ def test_pieces_are_bounded_and_carry_is_small(rows):
     assert wrong.count() == 0
 
 
+def test_short_pieces_share_tasks_and_files(rows, spark):
+    """Pieces far shorter than a task may hold are cut inside it, in order, none left out."""
+    ordered = Ordered(rows, KEYS, ORDER, split=True, group_rows=2)
+    assert len(ordered.df.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = ordered.df.select(F.struct(*KEYS, *ORDER).alias("at"), "_piece").collect()
+    assert len(held) == rows.count()
+    pieces = [r["_piece"] for r in sorted(held, key=lambda r: tuple(r["at"]))]
+    assert pieces == sorted(pieces)
+    assert len(set(pieces)) > 100 and max(pieces.count(p) for p in set(pieces)) < 20
+    got = ordered.scan(x=scale.row_index(), y=scale.next_known(F.col("value"))).rows()
+    want = Ordered(rows, KEYS, ORDER, split=False).scan(x=scale.row_index(), y=scale.next_known(F.col("value"))).rows()
+    assert sorted(got.select("log_id", "seq", "x", "y").collect()) == sorted(want.select("log_id", "seq", "x", "y").collect())
+
+
 def test_not_split_below_the_limit(rows):
     assert not Ordered(rows, KEYS, ORDER).split
 
