@@ -31,12 +31,14 @@ from flightlake.llm.tokens import encoder, vocabulary_path
 BLOCK, CHECKPOINT = 16_384, 256
 #: Ids coded, and decoded, at once: what is coded should stay near the processor.
 CODED, DECODED = 1 << 16, 1 << 19
+#: Bytes of stretches a worker remembers here, where encoding has the worker to itself.
+REMEMBERED = 160 << 20
 BLOCK_SCHEMA = "doc_id long, row_no long, block int, n_ids int, checkpoints array<int>, bits binary"
 
 
 def _encode(path: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, REMEMBERED)
         for batch in batches:
             for a, b in words.portions(words.utf8(batch["text"])[1]):
                 part = batch.slice(a, b - a)
@@ -223,10 +225,12 @@ def write_tokens(
     spark.createDataFrame(
         [(int(i), int(b)) for i, b in zip(ids, bits, strict=True)], "id long, bits int"
     ).coalesce(1).write.parquet(f"{folder}/codebook")
+    # Ids are put in order before they are coded: to sample where ranges begin runs all that
+    # comes before it, and so would code every id twice.
     (
-        encoded.mapInArrow(_write(ids, bits), BLOCK_SCHEMA)
-        .repartitionByRange("doc_id", "row_no", "block")
-        .sortWithinPartitions("doc_id", "row_no", "block")
+        encoded.repartitionByRange("doc_id", "row_no")
+        .sortWithinPartitions("doc_id", "row_no")
+        .mapInArrow(_write(ids, bits), BLOCK_SCHEMA)
         .withColumn("part", F.spark_partition_id())
         .write.option("compression", "none")
         .parquet(f"{folder}/blocks")

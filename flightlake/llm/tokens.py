@@ -47,7 +47,7 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 BYTE_ALPHABET = _byte_alphabet()
-_known: dict[str, _Loaded] = {}
+_known: dict[tuple[str, int], _Loaded] = {}
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -59,9 +59,10 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 class _Loaded:
     """A vocabulary, bytes of each id, names of added tokens, and what has been met so far."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int):
         from tokenizers import Tokenizer
 
+        self.limit = remembered
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -76,22 +77,26 @@ class _Loaded:
     def remember(self, found: dict[str, bytes]) -> None:
         for name, ids in found.items():
             self.held += len(name) + len(ids) + ENTRY
-            if self.held > REMEMBERED:
-                self.held = REMEMBERED
+            if self.held > self.limit:
+                self.held = self.limit
                 return
             self.memory[name] = ids
 
 
-def _loaded(path: str) -> _Loaded:
-    """Once per worker."""
-    if path not in _known:
-        _known[path] = _Loaded(path)
-    return _known[path]
+def _loaded(path: str, remembered: int | None = None) -> _Loaded:
+    """Once per worker and size of its memory."""
+    key = path, remembered or REMEMBERED
+    if key not in _known:
+        _known[key] = _Loaded(*key)
+    return _known[key]
 
 
-def encoder(path: str) -> Callable[[list[str | None]], list[np.ndarray]]:
-    """A function from texts to their ids, one uint32 array each; null is empty."""
-    loaded = _loaded(path)
+def encoder(path: str, remembered: int | None = None) -> Callable[[list[str | None]], list[np.ndarray]]:
+    """A function from texts to their ids, one uint32 array each; null is empty.
+
+    A worker remembers ``remembered`` bytes of stretches, ``REMEMBERED`` if not told.
+    """
+    loaded = _loaded(path, remembered)
     tokenizer, n_bytes, memory = loaded.tokenizer, loaded.n_bytes, loaded.memory
     merge = tokenizer.model.tokenize
 
