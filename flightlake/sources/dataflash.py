@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightlake.sources.files import TOLD_ARROW, byte_ranges, indexed, is_index, range_bytes_of, settle_ranges, settled
+from flightlake.sources.files import byte_ranges, indexed, is_index, range_bytes_of, settle_ranges, settled, told_batches
 
 # The record mark and the type that declares others.
 MARK = b"\xa3\x95"
@@ -166,23 +166,22 @@ def _last_clock(found: dict[int, np.ndarray], layouts: dict[int, Layout], buf: b
 
 
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            found, layouts, buf, base, end, declared = _scan(row)
-            last = max((int(p[-1]) for p in found.values()), default=None)
-            if last is None or base + last < row["lo"]:
-                end = row["hi"]
-            first = np.sort(np.concatenate([*found.values(), np.empty(0, np.int64)])) + base
-            early = first[first < row["lo"] + 8192].tolist()
-            clock = _last_clock(found, layouts, buf)
-            seen = [
-                {"type": kind, "name": layouts[kind].name, "first": base + int(at[0])}
-                for kind, at in found.items() if kind != DECLARATION
-            ]
-            yield pa.RecordBatch.from_pylist(
-                [{**row, "end": end, "declared": declared, "early": early, "last_clock": clock, "seen": seen}],
-                schema=TOLD_ARROW,
-            )
+    return told_batches(_told(row) for batch in batches for row in batch.to_pylist())
+
+
+def _told(row: dict) -> dict:
+    found, layouts, buf, base, end, declared = _scan(row)
+    last = max((int(p[-1]) for p in found.values()), default=None)
+    if last is None or base + last < row["lo"]:
+        end = row["hi"]
+    first = np.sort(np.concatenate([*found.values(), np.empty(0, np.int64)])) + base
+    early = first[first < row["lo"] + 8192].tolist()
+    clock = _last_clock(found, layouts, buf)
+    seen = [
+        {"type": kind, "name": layouts[kind].name, "first": base + int(at[0])}
+        for kind, at in found.items() if kind != DECLARATION
+    ]
+    return {**row, "end": end, "declared": declared, "early": early, "last_clock": clock, "seen": seen}
 
 
 def _gather(buf: bytes, at: np.ndarray, size: int) -> np.ndarray:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import islice
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -18,6 +19,8 @@ RANGE_BYTES = 32 << 20
 OVERHANG = 4096
 #: Bytes a task reads at least, where there are enough tasks: short logs share one.
 TASK_BYTES = 8 << 20
+#: Ranges told of in one batch.
+TOLD_ROWS = 256
 #: Tasks a reading job is cut into at most.
 MOST_TASKS = 200_000
 
@@ -29,11 +32,12 @@ RANGES = (
     "log_id string, path string, lo long, hi long, length long, start long, known binary, content binary, clock long, "
     "hidden array<int>"
 )
-TOLD = RANGES + ", end long, declared binary, early array<long>, last_clock long, seen array<struct<type:int,name:string,first:long>>"
+#: What a scan tells of a range; its bytes stay where they are.
+TOLD = RANGES.replace("content binary, ", "") + ", end long, declared binary, early array<long>, last_clock long, seen array<struct<type:int,name:string,first:long>>"
 TOLD_ARROW = pa.schema(
     [
         ("log_id", pa.string()), ("path", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()),
-        ("length", pa.int64()), ("start", pa.int64()), ("known", pa.binary()), ("content", pa.binary()),
+        ("length", pa.int64()), ("start", pa.int64()), ("known", pa.binary()),
         ("clock", pa.int64()), ("hidden", pa.list_(pa.int32())), ("end", pa.int64()), ("declared", pa.binary()), ("early", pa.list_(pa.int64())),
         ("last_clock", pa.int64()),
         ("seen", pa.list_(pa.struct([("type", pa.int32()), ("name", pa.string()), ("first", pa.int64())]))),
@@ -171,8 +175,14 @@ def _known_before(lo: Column) -> Column:
     return F.unhex(F.array_join(F.transform(ahead, lambda d: d["body"]), ""))
 
 
+def told_batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """What a scan tells of its ranges, many to a batch."""
+    while part := list(islice(rows, TOLD_ROWS)):
+        yield pa.RecordBatch.from_pylist([{k: v for k, v in r.items() if k != "content"} for r in part], schema=TOLD_ARROW)
+
+
 def settle_ranges(
-    ranges: DataFrame, summarise: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+    ranges: DataFrame, summarise: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], declares: bool = True
 ) -> DataFrame:
     """Give every range the position and declarations a reader from byte 0 would have.
 
@@ -185,33 +195,44 @@ def settle_ranges(
     fall into step within a few hundred bytes, two rounds are usual.  ``clock``
     is the last stamp any earlier range of the log carries.
 
-    ``summarise`` adds ``end, declared, early, last_clock``.
+    ``summarise`` adds ``end, declared, early, last_clock``; ``declares`` is False for
+    logs that declare nothing.  Ranges are written down first, so what makes them runs
+    once, and bytes that came with them are joined only to ranges that are to be read.
     """
+    ranges = scratch_table(ranges, "ranges")
+    inline = not ranges.where("content IS NOT NULL").isEmpty()
     count, furthest, size = ranges.agg(
         F.count(F.lit(1)), F.max("lo"), F.sum(F.col("hi") - F.col("lo"))
     ).first()
     shuffles = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = min(count, max(shuffles, math.ceil((size or 0) / TASK_BYTES)))
-    ranges = _spread(ranges, tasks)
     if not furthest:
-        return ranges  # every log fits one range
+        return _spread(ranges, tasks)  # every log fits one range
     single = ranges.where("lo = 0 AND hi = length")
     shared = ranges.where("NOT (lo = 0 AND hi = length)")
-
-    # What the heads declare is a good first guess for all ranges of a log.
-    heads = shared.where("lo = 0").mapInArrow(summarise, TOLD).select("log_id", F.col("declared").alias("_head"))
-    guessed = shared.join(heads, "log_id").withColumn(
-        "known", F.when(F.col("lo") > 0, F.col("_head")).otherwise(F.col("known"))
-    ).drop("_head")
+    columns = [c.split()[0] for c in RANGES.split(", ")]
+
+    def with_bytes(rows: DataFrame) -> DataFrame:
+        if not inline:
+            return rows.withColumn("content", F.lit(None).cast("binary")).select(*columns)
+        return rows.join(shared.select("log_id", "lo", "content"), ["log_id", "lo"]).select(*columns)
+
+    guessed = shared
+    if declares:
+        # What the heads declare is a good first guess for all ranges of a log.
+        heads = shared.where("lo = 0").mapInArrow(summarise, TOLD).select("log_id", F.col("declared").alias("_head"))
+        guessed = shared.join(heads, "log_id").withColumn(
+            "known", F.when(F.col("lo") > 0, F.col("_head")).otherwise(F.col("known"))
+        ).drop("_head")
     scanned = scratch_table(_spread(guessed, tasks).mapInArrow(summarise, TOLD), "ranges")
     while True:
         along = Window.partitionBy("log_id").orderBy("lo")
         earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-        scanned_with = scanned.join(_first_declared(scanned), "log_id", "left")
+        scanned_with = scanned.join(_first_declared(scanned), "log_id", "left") if declares else scanned
         due = scanned_with.withColumns(
             {
                 "true_start": F.coalesce(F.greatest(F.lag("end").over(along), F.col("lo")), F.lit(0).cast("long")),
-                "true_known": _known_before(F.col("lo")),
+                "true_known": _known_before(F.col("lo")) if declares else F.col("known"),
                 "clock": F.last("last_clock", True).over(earlier),
             }
         ).drop("_declared")
@@ -222,11 +243,11 @@ def settle_ranges(
         )
         due = scratch_table(due.withColumn("settled", in_step), "ranges")
         moved = due.withColumns({"start": F.col("true_start"), "known": F.col("true_known")})
-        columns = [c.split()[0] for c in RANGES.split(", ")]
         if due.where(~F.col("settled")).limit(1).count() == 0:
-            told = moved.drop("hidden").join(hidden_types(moved), "log_id", "left")
-            return single.unionByName(_spread(told.select(*columns), tasks))
-        again = _spread(moved.where(~F.col("settled")).select(*columns), tasks).mapInArrow(summarise, TOLD)
+            if declares:
+                moved = moved.drop("hidden").join(hidden_types(moved), "log_id", "left")
+            return _spread(single.unionByName(with_bytes(moved)), tasks)
+        again = _spread(with_bytes(moved.where(~F.col("settled"))), tasks).mapInArrow(summarise, TOLD)
         kept = moved.where("settled").select(*scanned.columns)
         scanned = scratch_table(kept.unionByName(again), "ranges")
 

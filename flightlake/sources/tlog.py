@@ -7,6 +7,7 @@ Which fields a message has comes from a user-supplied table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightlake.sources.dataflash import ROWS_PER_BATCH, _text, known_numbers, map_column
-from flightlake.sources.files import TOLD_ARROW, byte_ranges, indexed, is_index, range_bytes_of, settle_ranges, settled
+from flightlake.sources.files import byte_ranges, indexed, is_index, range_bytes_of, settle_ranges, settled, told_batches
 
 # Frame markers, the flag for a signed frame and its extra bytes.
 V1, V2 = 0xFE, 0xFD
@@ -26,6 +27,9 @@ SCALARS = {
     "int32_t": "<i4", "uint64_t": "<u8", "int64_t": "<i8", "float": "<f4", "double": "<f8", "char": "S1",
 }
 
+#: Bytes of ranges that are decoded at once: short ones share a batch of records.
+TOGETHER = 1 << 20
+
 #: Stamps are microseconds in 63 bits; what a resync through junk may read beyond is none.
 LAST_STAMP = 2**63 - 1
 
@@ -73,45 +77,78 @@ def _scan(row: dict) -> tuple[list[tuple[int, int, int, int, int]], bytes, int,
 
 
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            found, _, base, end = _scan(row) if row["start"] < row["hi"] else ([], b"", 0, row["start"])
-            early = [base + f[0] for f in found[:1024]]
-            yield pa.RecordBatch.from_pylist(
-                [{**row, "end": end, "declared": b"", "early": early, "last_clock": None, "seen": []}],
-                schema=TOLD_ARROW,
-            )
+    return told_batches(_told(row) for batch in batches for row in batch.to_pylist())
 
 
-def _stamp(buf: bytes, pos: int) -> int | None:
-    stamp = int.from_bytes(buf[pos : pos + 8], "big")
-    return stamp if stamp <= LAST_STAMP else None
+def _told(row: dict) -> dict:
+    found, _, base, end = _scan(row) if row["start"] < row["hi"] else ([], b"", 0, row["start"])
+    early = [base + f[0] for f in found[:1024]]
+    return {**row, "end": end, "declared": b"", "early": early, "last_clock": None, "seen": []}
 
 
-def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@dataclass
+class _Run:
+    """Bytes of several ranges after one another, their frames by place there (as ``_scan`` tells
+    them), and of each frame its log and where in its file the bytes begin that it is counted from."""
+
+    buf: bytes
+    frames: np.ndarray
+    logs: pa.Array
+    bases: np.ndarray
+
+    def stamps(self, part: np.ndarray) -> pa.Array:
+        raw = np.frombuffer(self.buf, np.uint8)[part[:, :1] + np.arange(8)]
+        told = np.ascontiguousarray(raw).view(">u8").ravel()
+        return pa.array(told.astype(np.int64), pa.int64(), mask=told > LAST_STAMP)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Run]:
+    def joined() -> _Run:
+        counts = np.array([len(frames) for _, _, frames, _ in held])
+        shifts = np.cumsum([0] + [len(buf) for _, buf, _, _ in held])[:-1]
+        frames = np.concatenate([frames for _, _, frames, _ in held])
+        frames[:, [0, 2, 4]] += np.repeat(shifts, counts)[:, None]
+        logs = pa.array([log for log, _, _, _ in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), counts)))
+        bases = np.repeat(np.array([base for _, _, _, base in held], np.int64) - shifts, counts)
+        return _Run(b"".join(buf for _, buf, _, _ in held), frames, logs, bases)
+
+    held, size = [], 0
     for batch in batches:
         for row in batch.to_pylist():
             if row["start"] >= row["hi"]:
                 continue
             found, buf, base, _ = _scan(row)
-            for cut in range(0, len(found), ROWS_PER_BATCH):
-                part = found[cut : cut + ROWS_PER_BATCH]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["log_id"]] * len(part), pa.string()),
-                        pa.array([base + f[0] for f in part], pa.int64()),
-                        pa.array([_stamp(buf, f[0]) for f in part], pa.int64()),
-                        pa.array([f[1] for f in part], pa.int32()),
-                        pa.array([buf[f[2] : f[2] + f[3]] for f in part], pa.binary()),
-                        pa.array([f[4] - f[0] for f in part], pa.int32()),
-                    ],
-                    names=["log_id", "seq", "ts_us", "msg_id", "payload", "size"],
-                )
+            if found:
+                held.append((row["log_id"], buf, np.array(found, np.int64), base))
+                size += len(buf)
+            if size >= TOGETHER:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()
+
+
+def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for run in _runs(batches):
+        for cut in range(0, len(run.frames), ROWS_PER_BATCH):
+            part, bases = run.frames[cut : cut + ROWS_PER_BATCH], run.bases[cut : cut + ROWS_PER_BATCH]
+            payloads = [run.buf[a : a + n] for a, n in part[:, 2:4].tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    run.logs.slice(cut, len(part)),
+                    pa.array(part[:, 0] + bases, pa.int64()),
+                    run.stamps(part),
+                    pa.array(part[:, 1], pa.int32()),
+                    pa.array(payloads, pa.binary()),
+                    pa.array(part[:, 4] - part[:, 0], pa.int32()),
+                ],
+                names=["log_id", "seq", "ts_us", "msg_id", "payload", "size"],
+            )
 
 
 def settled_ranges(files: DataFrame, range_bytes: int | None = None) -> DataFrame:
     """Ranges to read, of files or of a stored index (``index``)."""
-    return settled(files) if is_index(files) else settle_ranges(byte_ranges(files, range_bytes), _summarise)
+    return settled(files) if is_index(files) else settle_ranges(byte_ranges(files, range_bytes), _summarise, declares=False)
 
 
 def index(files: DataFrame, folder: str, range_bytes: int | None = None) -> DataFrame:
@@ -161,39 +198,34 @@ def read_tlog(files: DataFrame, dialect: DataFrame, range_bytes: int | None = No
     defined = _definitions(dialect)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["start"] >= row["hi"]:
+        for run in _runs(batches):
+            raw = np.frombuffer(run.buf, dtype=np.uint8)
+            for msg_id in np.unique(run.frames[:, 1]).tolist():
+                if msg_id not in defined:
                     continue
-                found, buf, base, _ = _scan(row)
-                by_id: dict[int, list] = {}
-                for f in found:
-                    if f[1] in defined:
-                        by_id.setdefault(f[1], []).append(f)
-                raw = np.frombuffer(buf, dtype=np.uint8)
-                for msg_id, frames_of in by_id.items():
-                    name, layout, kept = defined[msg_id]
-                    for cut in range(0, len(frames_of), ROWS_PER_BATCH):
-                        part = np.asarray(frames_of[cut : cut + ROWS_PER_BATCH], dtype=np.int64)
-                        n, span = len(part), np.arange(layout.itemsize)
-                        # A payload may stop short of its last fields: they read as 0.
-                        at = np.minimum(part[:, 2:3] + span, len(raw) - 1)
-                        body = np.where(span < part[:, 3:4], raw[at], 0).astype(np.uint8)
-                        values = np.ascontiguousarray(body).view(layout).reshape(n)
-                        numbers = [(f, known_numbers(values[f].astype(np.float64))) for f, text in kept if not text]
-                        texts = [
-                            (f, pa.array([_text(v) for v in values[f].tolist()], pa.string())) for f, text in kept if text
-                        ]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([row["log_id"]] * n, pa.string()), pa.array(["tlog"] * n, pa.string()),
-                                pa.array(part[:, 0] + base, pa.int64()), pa.array([msg_id] * n, pa.int32()),
-                                pa.array([name] * n, pa.string()),
-                                pa.array([_stamp(buf, p) for p in part[:, 0].tolist()], pa.int64()),
-                                map_column([f for f, _ in numbers], [v for _, v in numbers], n, pa.float64()),
-                                map_column([f for f, _ in texts], [v for _, v in texts], n, pa.string()),
-                            ],
-                            names=["log_id", "source", "seq", "msg_type", "message", "ts_us", "nums", "txts"],
-                        )
+                name, layout, kept = defined[msg_id]
+                of_type = np.flatnonzero(run.frames[:, 1] == msg_id)
+                for cut in range(0, len(of_type), ROWS_PER_BATCH):
+                    rows = of_type[cut : cut + ROWS_PER_BATCH]
+                    part = run.frames[rows]
+                    n, span = len(part), np.arange(layout.itemsize)
+                    # A payload may stop short of its last fields: they read as 0.
+                    at = np.minimum(part[:, 2:3] + span, len(raw) - 1)
+                    body = np.where(span < part[:, 3:4], raw[at], 0).astype(np.uint8)
+                    values = np.ascontiguousarray(body).view(layout).reshape(n)
+                    numbers = [(f, known_numbers(values[f].astype(np.float64))) for f, text in kept if not text]
+                    texts = [
+                        (f, pa.array([_text(v) for v in values[f].tolist()], pa.string())) for f, text in kept if text
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            run.logs.take(pa.array(rows)), pa.array(["tlog"] * n, pa.string()),
+                            pa.array(part[:, 0] + run.bases[rows], pa.int64()), pa.array([msg_id] * n, pa.int32()),
+                            pa.array([name] * n, pa.string()), run.stamps(part),
+                            map_column([f for f, _ in numbers], [v for _, v in numbers], n, pa.float64()),
+                            map_column([f for f, _ in texts], [v for _, v in texts], n, pa.string()),
+                        ],
+                        names=["log_id", "source", "seq", "msg_type", "message", "ts_us", "nums", "txts"],
+                    )
 
     return settled_ranges(files, range_bytes).mapInArrow(decode, RECORDS).withColumn("has_time", F.lit(True))

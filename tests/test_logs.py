@@ -246,6 +246,42 @@ def test_a_stamp_beyond_63_bits_is_none(spark, folder):
     assert len(got) == 3 and got[1] is None and got[0] is not None and got[0] == got[2]
 
 
+@pytest.mark.parametrize("source", [tlog, dataflash], ids=["link", "onboard"])
+def test_logs_in_a_table_are_made_once(spark, tmp_path, source):
+    """Settling reads ranges several times; what makes their bytes runs once."""
+    marks = str(tmp_path)
+    if source is tlog:
+        content, n = b"".join(frame2(i * 1000, 33, position(7, 35, i)) for i in range(40)), 40
+    else:
+        content, n = long_log(60, 3), None
+
+    def made(batches):
+        import uuid
+
+        open(f"{marks}/{uuid.uuid4().hex}", "w").close()
+        yield from batches
+
+    rows = spark.createDataFrame([("a", bytearray(content))], "log_id string, content binary").repartition(1)
+    logs = rows.mapInArrow(made, "log_id string, content binary")
+    got = sorted(source.frames(logs, range_bytes=301).collect())
+    assert len(list(tmp_path.iterdir())) == 1
+    assert got == sorted(source.frames(rows).collect()) and len(got) == (n or len(got)) > 30
+
+
+def test_short_ranges_share_a_batch():
+    """Frames of many ranges come together, each of its own log and place."""
+    import pyarrow as pa
+
+    content = b"".join(frame2(i * 1000, 33, position(7, 35, i)) for i in range(3))
+    row = {"path": None, "lo": 0, "hi": len(content), "length": len(content), "start": 0, "content": content}
+    batch = pa.RecordBatch.from_pylist([{"log_id": str(i), **row} for i in range(50)])
+    got = list(tlog._frames(iter([batch])))
+    assert len(got) == 1
+    one = [r for r in got[0].to_pylist() if r["log_id"] == "49"]
+    assert [r["ts_us"] for r in one] == [0, 1000, 2000] and one[1]["seq"] == one[0]["size"]
+    assert sorted(set(got[0]["log_id"].to_pylist())) == sorted(str(i) for i in range(50))
+
+
 def plain_scan(buf, lo, hi, known):
     """Records one after the other, as a reader from the range's start meets them."""
     sizes = {128: 86} | {d[0]: dataflash.Layout(d).dtype.itemsize for d in known}
